@@ -42,47 +42,40 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def grouped_rank(
-    df: DataFrame, group: list[str], order: list[str], measures: list[str], rows_per_block: int
-) -> DataFrame:
-    """Exact running totals inside each group without bringing a group into one task.
-
-    Adds `rank` (rows of the group before this one) and, for each measure, `<measure>_before`
-    (its sum over those rows). Rows are ordered by a 64-bit hash of `order` and then by `order`;
-    a group is dealt into hash ranges ("blocks") of about rows_per_block rows. Only the block
-    totals are added up along a group; inside a block a window does the rest. Rows that agree
-    in all of `order` are interchangeable.
+def rank_blocks(df: DataFrame, group: str, order: list[str], measure: str | None, rows_per_block: int) -> tuple[DataFrame, int]:
+    """Totals before each block of each group, and the number of hash bits that name a block.
+
+    Rows of a group are ordered by a 64-bit hash of `order` and then by `order`; the high bits of
+    the hash cut the group into blocks of about rows_per_block rows. Only block totals are added
+    up along a group, so no group comes into one task.
     """
-    total = df.count()
-    bits = max(0, (max(1, total) - 1) // rows_per_block).bit_length()
-    hashed = df.withColumn("__hash", F.xxhash64(*order)).withColumn(
-        "__block", F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long")
-    )
-    sums = [F.count(F.lit(1)).alias("__n"), *(F.sum(m).alias(f"__{m}") for m in measures)]
-    blocks = materialize(hashed.groupBy(*group, "__block").agg(*sums), "blocks")
-    along = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    bits = max(0, (sizes - 1) // rows_per_block).bit_length()
+    totals = [F.count(F.lit(1)).alias("__n"), F.sum(measure if measure else F.lit(0)).alias("__m")]
+    blocks = materialize(_blocked(df, order, bits).groupBy(group, "__block").agg(*totals), "blocks")
+    along = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(
-        *group,
-        "__block",
+        F.col(group).alias("__group"),
+        F.col("__block").alias("__of"),
         F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__n_before"),
-        *(F.coalesce(F.sum(f"__{m}").over(along), F.lit(0)).alias(f"__{m}_before") for m in measures),
-    )
-    keys = [*group, "__block"]
-    inside = Window.partitionBy(*keys).orderBy("__hash", *order)
-    running = inside.rowsBetween(Window.unboundedPreceding, -1)
-    placed = hashed.select(
-        *hashed.columns,
-        (F.row_number().over(inside) - 1).alias("__r"),
-        *(F.coalesce(F.sum(m).over(running), F.lit(0)).alias(f"__{m}_r") for m in measures),
-    )
-    right = before.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in before.columns if c not in keys))
-    same = [placed[k].eqNullSafe(right[f"__k{i}"]) for i, k in enumerate(keys)]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = placed.join(right, on)
-    return joined.select(
-        *df.columns,
-        (F.col("__n_before") + F.col("__r")).alias("rank"),
-        *((F.col(f"__{m}_before") + F.col(f"__{m}_r")).alias(f"{m}_before") for m in measures),
+        F.coalesce(F.sum("__m").over(along), F.lit(0)).alias("__m_before"),
     )
+    return before, bits
+
+
+def _blocked(df: DataFrame, order: list[str], bits: int) -> DataFrame:
+    block = F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long")
+    return df.withColumn("__hash", F.xxhash64(*order)).withColumn("__block", block)
+
+
+def grouped_rank(df: DataFrame, group: str, order: list[str], measure: str | None, blocks: tuple[DataFrame, int]) -> DataFrame:
+    """df with `__rank` (rows of its group before this one) and `__before` (their sum of measure).
+
+    Rows that agree in all of `order` are interchangeable.
+    """
+    before, bits = blocks
+    inside = Window.partitionBy(group, "__block").orderBy("__hash", *order)
+    earlier = F.sum(measure if measure else F.lit(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    placed = _blocked(df, order, bits).select("*", (F.row_number().over(inside) - 1).alias("__r"), F.coalesce(earlier, F.lit(0)).alias("__s"))
+    joined = placed.join(before, placed[group].eqNullSafe(before["__group"]) & (placed["__block"] == before["__of"]))
+    return joined.select(*df.columns, (F.col("__n_before") + F.col("__r")).alias("__rank"), (F.col("__m_before") + F.col("__s")).alias("__before"))

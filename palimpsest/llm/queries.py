@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, token_files
+from . import exact_dedup, mixing, packing, sharding, token_files
 from .common import table
 
 
@@ -18,12 +19,29 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards by source to 24 of equal bytes."""
+    old = F.pmod(F.xxhash64("source"), F.lit(16))
+    return sharding.shard_digest(table(spark, sf_dir, "documents"), old, 16, 24)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_sharding": op5_sharding,
+    "op7_mixing": op7_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
