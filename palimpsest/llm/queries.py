@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, token_files
+from . import edit_counts, exact_dedup, html_text, knn, mixing, packing, quality, sharding, token_files
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -29,23 +33,54 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), old, 16, 24)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(knn.integer_vectors(table(spark, sf_dir, "embeddings")), query_every=100, k=10)
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every document, made from its own text; see edit_counts.scripted_edits."""
+    docs = edit_counts.scripted_edits(table(spark, sf_dir, "documents"))
+    return edit_counts.edited_counts(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
+    "op6_html": op6_html,
     "op7_mixing": op7_mixing,
+    "op8_knn": op8_knn,
+    "op9_edit_counts": op9_edit_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_knn": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS i
+          FROM embeddings
+          WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, v.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.i, v.i), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) t
+        WHERE r <= 10""",
     "op10_exact_dedup": """
         WITH n AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
