@@ -229,6 +229,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted good, with all their columns."""
-    return with_score(docs, train(docs, labels), score_col="__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
+def keep_good(docs: DataFrame, chain: LineChain) -> DataFrame:
+    """The documents that the fitted chain predicts good, with all their columns."""
+    return with_score(docs, chain, score_col="__score").filter(F.col("__score") >= THRESHOLD).drop("__score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, html_text, knn, mixing, packing, quality, sharding, token_files
+from . import edit_counts, exact_dedup, html_text, knn, mixing, ngram_join, packing, quality, sharding, token_files
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words, similarity 0.9, as this query's contract says."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -57,6 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
