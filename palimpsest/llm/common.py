@@ -63,9 +63,17 @@ def rank_blocks(df: DataFrame, group: str, order: list[str], measure: str | None
     return before, bits
 
 
+def order_hash(order: list[str]) -> Column:
+    """63 bits that order rows evenly."""
+    return F.shiftrightunsigned(F.xxhash64(*order), 1)
+
+
+def block_of(order: list[str], bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*order), 64 - bits) if bits else F.lit(0).cast("long")
+
+
 def _blocked(df: DataFrame, order: list[str], bits: int) -> DataFrame:
-    block = F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long")
-    return df.withColumn("__hash", F.xxhash64(*order)).withColumn("__block", block)
+    return df.withColumn("__hash", order_hash(order)).withColumn("__block", block_of(order, bits))
 
 
 def grouped_rank(df: DataFrame, group: str, order: list[str], measure: str | None, blocks: tuple[DataFrame, int]) -> DataFrame:

@@ -13,13 +13,14 @@ from __future__ import annotations
 import heapq
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped_rank, rank_blocks, scratch_dir
+from .common import block_of, grouped_rank, materialize, order_hash, rank_blocks, scratch_dir
 
 ROWS_PER_BLOCK = 2_000
-ROWS_PER_FILE = 50_000
+ROWS_PER_FILE = 16_000
+BROADCAST_ROWS = 500_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[tuple[int, int, int]]:
@@ -120,31 +121,51 @@ def reshard(
 
     order = ["doc_id", "crc"]
     light = rows.drop("text")
-    blocks = rank_blocks(light, "old_shard", order, "size", ROWS_PER_BLOCK)
-    cuts = spark.createDataFrame(intervals or [(0, 0, 0, 0)], "cut_old int, shard int, low long, high long")
+    before, bits = rank_blocks(light, "old_shard", order, "size", ROWS_PER_BLOCK)
+    wanted = spark.createDataFrame(intervals or [(0, 0, 0, 0)], "cut_old int, shard int, low long, high long")
+    ranked = grouped_rank(light, "old_shard", order, "size", (before, bits)).withColumn("h", order_hash(order))
+    middle = F.col("__before") + F.col("size") / 2
+    in_range = (F.col("old_shard") == F.col("cut_old")) & (middle >= F.col("low")) & (middle < F.col("high"))
+    firsts = ranked.join(F.broadcast(wanted), in_range).groupBy("cut_old", "shard").agg(F.min("h")).collect()  # a row per flow
+
+    # A cut is the hash of the first row behind it, so a row knows its shard by itself.
+    cuts = []
+    for i in {r[0] for r in firsts}:
+        own = sorted((h, j) for o, j, h in firsts if o == i)
+        ends = [h for h, _ in own[1:]] + [1 << 62]
+        cuts += [(i, j, 0 if k == 0 else h, end if end != 1 << 62 else (1 << 63) - 1) for k, ((h, j), end) in enumerate(zip(own, ends))]
+    cuts = F.broadcast(spark.createDataFrame(cuts or [(0, 0, 0, 0)], "cut_old int, shard int, from_h long, to_h long"))
 
     def assigned(df: DataFrame) -> DataFrame:
-        placed = grouped_rank(df, "old_shard", order, "size", blocks)
-        middle = F.col("__before") + F.col("size") / 2
-        return placed.join(F.broadcast(cuts), (F.col("old_shard") == F.col("cut_old")) & (middle >= F.col("low")) & (middle < F.col("high")))
+        h = df.withColumn("h", order_hash(order)).withColumn("block", block_of(order, bits))
+        return h.join(cuts, (F.col("old_shard") == F.col("cut_old")) & (F.col("h") >= F.col("from_h")) & (F.col("h") < F.col("to_h")))
+
+    along = Window.partitionBy("to_shard").orderBy("from_old", "of_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = assigned(light).groupBy(F.col("shard").alias("to_shard"), F.col("old_shard").alias("from_old"), F.col("block").alias("of_block")).count()
+    bases = materialize(blocks.select("to_shard", "from_old", "of_block", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("base")), "bases")
+    chunk = max(0, (ROWS_PER_FILE // ROWS_PER_BLOCK).bit_length() - 1)
+    dealt = assigned(rows).withColumn("chunk", F.shiftright("block", chunk)).repartition("shard", "old_shard", "chunk")
+    inside = Window.partitionBy("shard", "old_shard", "chunk", "block").orderBy("h", *order)
+    placed = dealt.withColumn("place", F.row_number().over(inside) - 1)
+    done = placed.join(
+        _small(bases), (F.col("shard") == F.col("to_shard")) & (F.col("old_shard") == F.col("from_old")) & (F.col("block") == F.col("of_block"))
+    )
+    return done.select("doc_id", "text", "size", "old_shard", "shard", (F.col("place") + F.col("base")).alias("slot")), affected
+
 
-    firsts = assigned(light).groupBy("cut_old", "shard").agg(F.min("__rank"), F.count(F.lit(1))).collect()  # a row per flow
-    used: dict[int, int] = {}
-    bases = []
-    for i, j, first, n in sorted(tuple(r) for r in firsts):
-        bases.append((i, j, used.get(j, 0) - first))
-        used[j] = used.get(j, 0) + n
-    base = spark.createDataFrame(bases or [(0, 0, 0)], "base_old int, base_shard int, base long")
-    done = assigned(rows).join(F.broadcast(base), (F.col("cut_old") == F.col("base_old")) & (F.col("shard") == F.col("base_shard")))
-    return done.select("doc_id", "text", "size", "old_shard", "shard", (F.col("__rank") + F.col("base")).alias("slot")), affected
+def _small(bases: DataFrame) -> DataFrame:
+    """A row per block: broadcast while few, beyond that joined by shuffle."""
+    return F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
 
 
 def write_shards(rows: DataFrame, path: str, only: set[int] | None = None) -> None:
-    """Write shard=N folders of files sorted by slot; with `only`, those shards alone are written."""
+    """Write shard=N folders of files; with `only`, those shards alone are written.
+
+    reshard has already dealt the rows by shard and chunk, so a task writes few, large files.
+    """
     if only is not None:
         rows = rows.filter(F.col("shard").isin(sorted(only)))
-    file = F.floor(F.col("slot") / ROWS_PER_FILE)
-    rows.repartition("shard", file).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("append").parquet(path)
+    rows.write.partitionBy("shard").mode("append").parquet(path)
 
 
 def shard_digest(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str | None = None) -> DataFrame:
