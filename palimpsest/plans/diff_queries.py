@@ -65,7 +65,7 @@ def d8_import_plan(spark, d):
 
 
 def d9_align(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("updated_at"), F.col("o_orderstatus").alias("cwd"), "o_totalprice")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)").alias("updated_at"), F.col("o_orderstatus").alias("cwd"), "o_totalprice")
     return D.align_to_target(orders, ["id", "cwd", "updated_at", "updated_at_ms", "recency_at", "recency_at_ms"], {"cwd": F.lit("/work")})
 
 
