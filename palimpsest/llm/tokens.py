@@ -13,8 +13,8 @@ from array import array
 
 import numpy as np
 
-#: Entries of one generation of a worker's tables; two generations are kept, some 200 MB at most.
-GENERATION = 450_000
+#: Entries of one generation of a worker's tables; two generations are kept, some 350 MB at most.
+GENERATION = 800_000
 #: The characters that the tokenizers' patterns call white space.
 SPACE = " \n\t\r\x0b\x0c\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What Python's split() takes for white space as well.
