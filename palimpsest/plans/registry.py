@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import diff_queries, graph_queries, path_queries
+from . import diff_queries, graph_queries, line_queries, path_queries
 
-_MODULES = (diff_queries, graph_queries, path_queries)
+_MODULES = (diff_queries, graph_queries, path_queries, line_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 
