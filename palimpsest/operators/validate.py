@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import is_sha256_id
+from ..functions.expr import clean_provider, is_sha256_id
 
 MIB = 1 << 20
 #: Bytes allowed per kind of object.
@@ -171,3 +171,43 @@ def check_revision_limits(refs: DataFrame, max_references: int = MAX_REFERENCES,
 def complete_only(snapshots: DataFrame) -> DataFrame:
     """Snapshots without warnings; only those may be published or applied."""
     return snapshots.filter("warning_count = 0")
+
+
+def check_path_rules(rules: DataFrame) -> DataFrame:
+    """id, label, remote_prefix, local_prefix, created_at (text) of mapping rules."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    bad_text = lambda c, most: (F.char_length(F.trim(c)) < 1) | (F.char_length(c) > most) | F.col(c).rlike(r"\p{Cntrl}")
+    return violations(
+        rules.withColumn("n", n),
+        ["id"],
+        {
+            "id": ~F.coalesce(F.col("id").rlike(UUID7), F.lit(False)),
+            "repeated_id": F.col("n") > 1,
+            "label": bad_text("label", 128),
+            "remote_prefix": bad_text("remote_prefix", 1024),
+            "local_prefix": bad_text("local_prefix", 1024),
+            "created_at": F.try_to_timestamp("created_at").isNull(),
+        },
+    )
+
+
+def check_namespace_rules(rules: DataFrame) -> DataFrame:
+    """id, remote_id, fingerprint, provider, home_key of selection rules; nulls are conditions not set."""
+    conditions = ["remote_id", "fingerprint", "provider", "home_key"]
+    rows = rules.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*conditions))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    return violations(
+        rows,
+        ["id"],
+        {
+            "repeated_id": F.col("n") > 1,
+            "no_condition": F.coalesce("fingerprint", "provider", "home_key").isNull(),
+            "fingerprint": F.col("fingerprint").isNotNull() & ~F.col("fingerprint").rlike(r"\A[0-9a-f]{8,64}\z"),
+            "provider": F.col("provider").isNotNull() & ~clean_provider(F.col("provider"), lower=True).eqNullSafe(F.col("provider")),
+            "same_conditions": F.col("same") > 1,
+        },
+    )
+
+
+def check_overrides(overrides: DataFrame) -> DataFrame:
+    """(remote_id, home_key) pairs with more than one override."""
+    return overrides.groupBy("remote_id", "home_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

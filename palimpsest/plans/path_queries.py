@@ -243,8 +243,26 @@ def n18_format(spark, d):
     return o.select("o_orderkey", E.format_bytes(n).alias("size"), E.format_duration(F.col("o_orderkey")).alias("duration"), E.short_head(E.content_id(F.col("o_orderkey").cast("string"))).alias("head"))
 
 
+def p17_path_rules(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(
+        F.when(k % 90 == 0, "x").otherwise(F.format_string("01890000-0000-7000-8000-%012d", k - F.when(k % 100 == 51, 1).otherwise(0))).alias("id"), F.when(k % 80 == 0, " ").otherwise(F.col("c_name")).alias("label"),
+        F.when(k % 70 == 0, "/a\tb").otherwise("/a").alias("remote_prefix"), F.when(k % 60 == 0, F.repeat(F.lit("x"), 1025)).otherwise("/b").alias("local_prefix"), F.when(k % 50 == 0, "then").otherwise("2024-01-01T00:00:00Z").alias("created_at"),
+    )
+    return V.check_path_rules(c).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p17_namespace_rules(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(
+        k.alias("id"), (k % 3).alias("remote_id"), F.when(k % 4 == 0, F.when(k % 8 == 0, "xyz").otherwise(F.format_string("%08d", k))).alias("fingerprint"), F.when(k % 5 == 0, F.when(k % 10 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))).alias("provider"),
+        F.when(k % 7 != 0, k.cast("string")).alias("home_key"),
+    )
+    return V.check_namespace_rules(c)
+
+
 QUERIES = {f.__name__: f for f in (
-    p1_path_key, p2_map_paths, p3_ambiguous_rules, p4_canonical_paths, p5_reference_paths, p6_path_usage, p7_classify_paths, p8_minimal_roots, p9_path_overlap, p10_unique_names, p11_assign_projects,
+    p17_path_rules, p17_namespace_rules, p1_path_key, p2_map_paths, p3_ambiguous_rules, p4_canonical_paths, p5_reference_paths, p6_path_usage, p7_classify_paths, p8_minimal_roots, p9_path_overlap, p10_unique_names, p11_assign_projects,
     p12_explode_projects, p13_resolve_namespace, p14_dedupe_rules, p15_cleanup, p16_search_paths, v1_classify_headers, v2_dedupe_threads, v3_enrich, v4_warning_counts, v5_dashboard, v6_ids, v7_thread_refs,
     v8_manifests, v10_lengths, v11_revisions, v13_limits, v14_graph, v15_limits, v16_safe_paths, v17_names, v19_casts, n1_canonical_json, n17_snapshot_meta, n18_format)}
 
@@ -279,6 +297,13 @@ ORACLE_SQL = {
     "p14_dedupe_rules": f"""WITH {_P}, r AS (SELECT thread_id AS id, 'C:/' || regexp_extract(path, '^[^/]+') AS x FROM p), s AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(x) ELSE x END AS x, lower(x) AS key FROM r),
         t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id % 10, id) AS rn, (SELECT count(DISTINCT x) FROM s q WHERE q.key = s.key) AS v FROM s) SELECT id, key FROM t WHERE v = 1 OR rn = 1""",
     "p16_search_paths": f"WITH {_P} SELECT thread_id, path FROM p WHERE NOT archived AND (lower(path) LIKE '%name-1%' OR CAST(thread_id AS VARCHAR) LIKE '1%')",
+    "p17_path_rules": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 90 = 0 THEN 'x' ELSE CAST(c_custkey - CASE WHEN c_custkey % 100 = 51 THEN 1 ELSE 0 END AS VARCHAR) END AS id FROM customer),
+        n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM c), v AS (SELECT 'id' AS rule FROM n WHERE id = 'x' UNION ALL SELECT 'repeated_id' FROM n WHERE n > 1 UNION ALL SELECT 'label' FROM n WHERE k % 80 = 0 UNION ALL SELECT 'remote_prefix' FROM n WHERE k % 70 = 0
+          UNION ALL SELECT 'local_prefix' FROM n WHERE k % 60 = 0 UNION ALL SELECT 'created_at' FROM n WHERE k % 50 = 0)
+        SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "p17_namespace_rules": """WITH c AS (SELECT c_custkey AS id, c_custkey % 3 AS r, CASE WHEN c_custkey % 8 = 0 THEN 'xyz' WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS f, CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END AS p,
+          CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS h FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY r, f, p, h) AS n FROM c)
+        SELECT id, 'no_condition' AS rule FROM n WHERE f IS NULL AND p IS NULL AND h IS NULL UNION ALL SELECT id, 'fingerprint' FROM n WHERE f = 'xyz' UNION ALL SELECT id, 'provider' FROM n WHERE id % 10 = 0 UNION ALL SELECT id, 'same_conditions' FROM n WHERE n > 1""",
     "v1_classify_headers": f"WITH {_H} SELECT path, kind, CASE WHEN kind IS NULL THEN tid END AS thread_id, CASE WHEN kind IS NULL THEN cwd END AS cwd, CAST(NULL AS VARCHAR) AS model_provider FROM h",
     "v2_dedupe_threads": f"WITH {_H} SELECT path, tid AS thread_id, row_number() OVER (PARTITION BY tid ORDER BY archived, path) > 1 AS duplicate FROM h WHERE kind IS NULL",
     "v3_enrich": f"""WITH {_H}, i AS (SELECT 't' || CAST(conv_id AS VARCHAR) AS tid, conv_id FROM conversations WHERE turn = 0 AND conv_id % 4 = 0)
