@@ -10,8 +10,8 @@ stands clear of the table's mean is frequent, the others are rare.
 Prefixes. If two sets are similar enough, the first p tokens of each (p = size - least overlap + 1)
 share one, and the first p + 1 share two. Rare tokens of the p-prefix are indexed alone. If the
 first shared token is frequent, so are all shared ones, and two of them lie in the prefixes of
-p + 1: frequent tokens are indexed as pairs from there. Only sets too large for pairs (LARGE and
-more) index frequent tokens alone as well; sets just below do both, so none is missed.
+p + 1: frequent tokens are indexed as pairs from there. Only sets too large for pairs (prefixes of
+more than PAIRED_PREFIX) index frequent tokens alone as well; sets just below do both, so none is missed.
 
 Candidates share a key, have sizes that can reach the similarity, and parity vectors (one bit per
 hash value, flipped by each token) that differ in no more bits than the sets may differ in
@@ -32,18 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import Generations
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 FREQUENT_TIMES, FREQUENT_MORE = 4, 16
-LARGE = 600
-PARITY_LONGS = 3
+PAIRED_PREFIX = 8
+PARITY_LONGS = 4
 SALTS = 16
 ORDERS = 8
 NEIGHBOURS = 8
 BROADCAST_ROWS = 1_000_000
-WORDS_KEPT = 400_000
+WIDE_BITS = 2_048
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -63,15 +62,14 @@ class Shingler:
     def __init__(self, words: int):
         import xxhash
 
-        self.words = words
-        self.of = Generations(xxhash.xxh64_intdigest, WORDS_KEPT)
+        self.words, self.hash = words, xxhash.xxh64_intdigest
 
     def tokens(self, text: str | None) -> np.ndarray:
         """Sorted hashes; fewer words than a shingle has make one token; no words, none."""
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not found:
             return np.zeros(0, np.uint64)
-        w = np.fromiter(map(self.of.__getitem__, found), np.uint64, len(found))
+        w = np.fromiter(map(self.hash, found), np.uint64, len(found))
         k = min(self.words, len(w))
         h = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
@@ -79,15 +77,6 @@ class Shingler:
         return np.unique(_mix(h))
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
-def shingler(words: int) -> Shingler:
-    if words not in _SHINGLERS:
-        _SHINGLERS[words] = Shingler(words)
-    return _SHINGLERS[words]
-
-
 def _signed(h) -> np.ndarray:
     return np.asarray(h, np.uint64).view(np.int64)
 
@@ -99,18 +88,18 @@ def _describe(words: int):
         import pyarrow as pa
         import xxhash
 
-        get, counts, names = shingler(words).tokens, np.zeros(1 << SKETCH_BITS, np.int64), ["doc_id", "n", "digest", "part", "counts"]
+        get, counts, names = Shingler(words).tokens, np.zeros(1 << SKETCH_BITS, np.int64), ["doc_id", "n", "digest", "wide", "part", "counts"]
         for batch in batches:
             sets = [get(t.as_py()) for t in batch.column("text")]
             if sets:
                 counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
             digests = _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]) if sets else np.zeros(0, np.int64)
             empty = [None] * len(sets)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())]
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), pa.array([parity(s, WIDE_BITS).tobytes() for s in sets], pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         parts = [x.astype("<i8").tobytes() for x in np.split(counts, SKETCH_PARTS)] if counts.any() else []
-        none = pa.array([None] * len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
+        none, no_bits = pa.array([None] * len(parts), pa.int64()), pa.array([None] * len(parts), pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, none, no_bits, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return describe
 
@@ -130,6 +119,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def large_set(percent: int) -> int:
+    """The size from which a prefix has too many frequent tokens to pair them all."""
+    return (PAIRED_PREFIX - 1) * 100 // max(1, 100 - percent)
+
+
 def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, int]:
     """The keys under which a set is indexed, those of rare tokens first, and how many those are."""
     n = len(tokens)
@@ -144,9 +138,10 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: in
     prefix, often = tokens[order], seen[order] > limit
     alone = [prefix[:p][~often[:p]]]
     many = prefix[often]
-    if n >= LARGE * percent / 100:
+    large = large_set(percent)
+    if n * 100 >= large * percent:
         alone.append(prefix[:p][often[:p]])
-    if n < LARGE and len(many) > 1:
+    if n < large and len(many) > 1:
         i, j = np.triu_indices(len(many), 1)
         alone.append(_mix(many[i] * _ODD[2] + many[j] * _ODD[3]))
     return np.concatenate(alone), len(alone[0])
@@ -164,9 +159,10 @@ def similarity_ranks(tokens: np.ndarray) -> np.ndarray:
     return np.array(ranks, np.int64)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((_mix(tokens) % np.uint64(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+def parity(tokens: np.ndarray, bits: int = 64 * PARITY_LONGS) -> np.ndarray:
+    """One bit per hash value, flipped by each token; two sets differ in at least as many tokens as bits."""
+    odd = np.bincount((_mix(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 _PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
@@ -178,7 +174,7 @@ def _index(words: int, percent: int, sketch, limit: float):
     def index(batches):
         import pyarrow as pa
 
-        get, counts = shingler(words).tokens, sketch.value
+        get, counts = Shingler(words).tokens, sketch.value
         for batch in batches:
             keys, ids, sizes, sums, salts, ranks = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -250,30 +246,29 @@ def _stars(percent: int):
     return stars
 
 
-def _sets(words: int):
-    def sets(batches):
-        import pyarrow as pa
-
-        get = shingler(words).tokens
-        for batch in batches:
-            data = [get(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["set_id", "tokens"])
+def _verify(words: int, percent: int, kept: int = 64):
+    """Pairs with their whole texts, in the order of b: those similar enough, by their full sets."""
 
-    return sets
-
-
-def _verify(percent: int):
     def verify(batches):
         import pyarrow as pa
 
+        get, sets = Shingler(words).tokens, {}
+
+        def tokens(doc: int, text) -> np.ndarray:
+            if doc not in sets:
+                if len(sets) >= kept:
+                    sets.clear()
+                sets[doc] = get(text.as_py())
+            return sets[doc]
+
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([a, b])
+            for i, x, j, y in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("b").to_pylist(), batch.column("text_b")):
+                s, t = tokens(i, x), tokens(j, y)
+                both = np.concatenate([s, t])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(a) + len(b) - common))
+                linked.append(100 * common >= percent * (len(s) + len(t) - common))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -306,14 +301,36 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _linked(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose whole sets are similar enough."""
+def _possible(percent: int):
+    """Pairs whose wide parities do not differ in more bits than the sets may differ in tokens."""
+
+    def possible(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("wide_a", "wide_b")]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = pa.array(differ * (100 + percent) <= size * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return possible
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets are similar enough.
+
+    Wide parities (256 bytes a set) go first: they tell apart large sets, which the index'
+    short ones cannot, and spare most false candidates the way of their texts. Texts travel to the pairs, not sets: compressed, a text is half as large as its hashes.
+    """
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "wide_a", "b", "n_b", "wide_b")
+    pairs = materialize(pairs.mapInArrow(_possible(percent), "a long, b long"), "possible")
     ends = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
-    sets = rows.join(_small(ends, ends.count()), "doc_id", "left_semi").mapInArrow(_sets(words), "set_id long, tokens binary")
-    sets = materialize(sets.dropDuplicates(["set_id"]), "tokens")
-    first = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    second = first.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return materialize(second.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(percent), "a long, b long"), "links")
+    texts = rows.join(_small(ends, ends.count()), "doc_id", "left_semi")
+    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    second = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return materialize(second.select("a", "text_a", "b", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
 
 
 def similar_groups(
@@ -328,15 +345,15 @@ def similar_groups(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = materialize(rows.mapInArrow(_describe(words), "doc_id long, n long, digest long, part int, counts binary"), "sets")
+    seen = materialize(rows.mapInArrow(_describe(words), "doc_id long, n long, digest long, wide binary, part int, counts binary"), "sets")
     sums = seen.filter("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_add_up, "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(sums)]) if sums else np.zeros(1 << SKETCH_BITS, np.int64)
     sketch = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))  # 4 MB at any size of the corpus
     limit = FREQUENT_TIMES * float(counts.mean()) + FREQUENT_MORE
 
-    about = seen.filter("part IS NULL").select("doc_id", "n", "digest")
-    nodes = materialize(about.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node")), "nodes")
-    copies = about.filter("n > 0").join(nodes.withColumnRenamed("n", "m").withColumnRenamed("digest", "d"), (F.col("n") == F.col("m")) & (F.col("digest") == F.col("d")) & (F.col("doc_id") != F.col("node"))).select("doc_id").distinct()
+    about = seen.filter("part IS NULL").select("doc_id", "n", "digest", "wide")
+    nodes = materialize(about.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")), "nodes")
+    copies = about.filter("n > 0").join(nodes.select("node", F.col("n").alias("m"), F.col("digest").alias("d")), (F.col("n") == F.col("m")) & (F.col("digest") == F.col("d")) & (F.col("doc_id") != F.col("node"))).select("doc_id").distinct()
     copies = materialize(copies, "copies")
     once = rows.join(_small(copies, copies.count()), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
     index = once.mapInArrow(_index(words, percent, sketch, limit), _KIND)
@@ -345,7 +362,7 @@ def similar_groups(
     shared = materialize(dealt.mapInArrow(_stars(percent), _KIND + ", meets array<long>"), "index")
 
     star = shared.select(F.explode("meets").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(rows, materialize(star, "pairs"), words, percent)
+    links = _linked(rows, nodes, materialize(star, "pairs"), words, percent)
     labels = components(links)
     labels = materialize(labels.select(F.col("node").alias("of"), F.col("component").alias("label")), "labels")
     index = shared.join(_small(labels, labels.count()), F.col("id") == F.col("of"), "left").withColumn("label", F.coalesce("label", "id"))
@@ -356,7 +373,7 @@ def similar_groups(
     close = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ordered & sized & close)
     rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = links.unionByName(_linked(rows, materialize(rest, "pairs"), words, percent))
+    links = links.unionByName(_linked(rows, nodes, materialize(rest, "pairs"), words, percent))
 
     grouped = components(links).select(F.col("node").alias("at"), "component")
     labelled = nodes.join(grouped, F.col("node") == F.col("at"), "left").select(

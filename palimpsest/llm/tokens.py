@@ -8,6 +8,7 @@ those of encoding the text in one call (tests/llm/test_tokens.py compares them).
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -101,14 +102,17 @@ class PieceEncoder:
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_RESIDENT: dict = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> PieceEncoder:
-    """The encoder of this Python worker; it outlives a task."""
-    import os
+def resident(key, make):
+    """The one large object that this Python worker keeps between tasks; another kind takes its place."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
 
+def encoder(path: str, dtype: str = "<u4") -> PieceEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = PieceEncoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    return resident((path, dtype), lambda: PieceEncoder(path, dtype))

@@ -74,10 +74,9 @@ def family(rng, n, words, start):
 @pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
 @pytest.mark.parametrize("often", [False, True])
 def test_similar_groups(spark, monkeypatch, words, percent, often):
-    if often:  # every token counts as frequent, sets of 150 and more as large
+    if often:  # every token counts as frequent
         monkeypatch.setattr(ngram_join, "FREQUENT_TIMES", -1)
         monkeypatch.setattr(ngram_join, "FREQUENT_MORE", -1)
-        monkeypatch.setattr(ngram_join, "LARGE", 150)
     rng = random.Random(words)
     rows = [*family(rng, 60, 60, 0), *family(rng, 40, 170, 100), *family(rng, 30, 12, 200), *family(rng, 25, 140, 300)]
     rows += [(400, ""), (401, None), (402, " \n"), (403, "one"), (404, "ONE"), (405, "one two"), (406, "One\ttwo"), (407, "x " * 5000), (408, "x " * 4000), (409, "É a b c d e"), (410, "é a b c d e")]
