@@ -5,6 +5,9 @@ numbers, give its place on a Hilbert curve. Documents are range-sorted by that k
 so that a group of equal texts, which share one key, is still split over tasks) and laid end to
 end; each task cuts its stretch of the curve into sequences of 4096 ids. What is left at the end
 of a stretch is cut into sequences whose lengths are powers of two, so no sequence needs padding.
+
+With a source column the sequences follow operator 7's mixture: its slots are cut into ranges of
+RANGE_SLOTS, the ranges come in order, and the curve runs inside each.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import materialize
 from .tokens import encoder
 
@@ -22,6 +26,8 @@ SEQUENCE = 4096
 DIMENSIONS = 4
 KEY_BITS = 12
 BUCKETS = 256
+#: Slots of the mixture (of mixing.BLOCK_DOCS documents each) that share one stretch of the curve.
+RANGE_SLOTS = 64
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -69,9 +75,8 @@ def _encode(tokenizer: str, end_id: int):
         for batch in batches:
             ids = [get(t.as_py() or "") + end for t in batch.column("text")]
             points = np.array([document_point(np.frombuffer(x, "<u2"), projection) for x in ids]).reshape(-1, DIMENSIONS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(hilbert_key(points, KEY_BITS), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"]
-            )
+            columns = [batch.column("doc_id"), pa.array(hilbert_key(points, KEY_BITS), pa.int64()), pa.array(ids, pa.binary()), batch.column("source")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "ids", "source"])
 
     return encode
 
@@ -145,18 +150,29 @@ def _pack(with_ids: bool, rows: int = 20_000):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, partitions: int | None = None
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
+    partitions: int | None = None,
+    source_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids).
 
     A document is its ids and then end_id; null and empty texts are end_id alone. Every id lies
     in exactly one piece, offsets in a sequence have no gaps, and every sequence is 4096 ids or
     a power of two long. Repeated rows are packed as often as they occur; a null id is carried
-    along; an empty table gives no pieces.
+    along; an empty table gives no pieces. With source_col, sequence_id follows the mixture.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encoded = materialize(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, key long, ids binary"), "ids", "zstd")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    curve = encoded.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), source.alias("source"))
+    encoded = materialize(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, key long, ids binary, source string"), "ids", "zstd")
+    n, order = partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), ["key", "doc_id"]
+    if source_col:
+        mixed = mixing.mix(encoded, extra=["key", "ids"])
+        encoded, order = mixed.select("doc_id", "__row.*", F.floor(F.col("slot") / RANGE_SLOTS).alias("range")), ["range", *order]
+    curve = encoded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "key", "ids")
     return curve.mapInArrow(_pack(with_ids), _PIECES + (", ids binary" if with_ids else ""))

@@ -259,3 +259,15 @@ def test_pipeline(spark):
     assert ids[2] == set(last.values())
     assert ids[3] == {c for _, n, c in plain_groups([(i, text[i]) for i in ids[2]], 5, 80)}
     assert ids[4] == ids[3] == ids[5] and after[4].count() == len(ids[3])
+
+
+def test_sequences_follow_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_SLOTS", 4)
+    words = {"a": "the cat sat on the mat", "b": "numbers 1 2 3 4 5 6"}
+    rows = [(i, words[s], "en", s, 20) for i, s in enumerate("a" * 1600 + "b" * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    pieces = corpus_pipeline.pack_sequences(spark, corpus_pipeline.mix_sources(spark, docs, ""), "").filter("start = 0").collect()
+    order = [rows[r.doc_id][3] for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+    assert len(order) == 2000
+    for n in range(128, 1153, 128):  # until the smaller source runs out it has a third, by the square roots of 1600 and 400
+        assert abs(order[:n].count("b") - n / 3) <= mixing.BLOCK_DOCS
