@@ -4,9 +4,12 @@ A page is cut into blocks at block-level tags. First pass: blocks inside scripts
 menus, headers, footers and containers that name themselves adverts, notices, sidebars or
 comments are boilerplate; of the others, length, link density and stop-word density decide good
 and bad, and short ones without a clear sign stay open. Second pass: an open block takes the
-label of its nearest decided neighbours (if they differ, the nearer; at a tie, good). Where a
-page marks its article, blocks in it start from good and blocks outside from bad, and the rules
-only turn the plain cases.
+label of its nearest decided neighbours (if they differ, the nearer; at a tie, good).
+
+Two marks count only as far as the rules bear them out. Where the blocks that a page marks as its
+article hold most of the text that the rules find good, or hold any and the rules find none, an
+open block is good inside the article and bad outside, and blocks of links inside are open. A name
+does not drop an element beside which hardly any text is left.
 
 The scan is one pass of a regular expression over the whole text; state is the stack of open
 elements. Unclosed tags end with their parent.
@@ -14,6 +17,7 @@ elements. Unclosed tags end with their parent.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 
@@ -25,6 +29,8 @@ SHORT, LONG = 70, 200
 #: Stop-word densities from which a block reads like prose, clearly or perhaps.
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINKS_MOST = 0.33
+#: A named element is dropped only if the text beside such elements is at least this share of its own.
+BESIDE = 0.1
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -64,7 +70,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|di
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _surrounds(attributes: str, main: bool) -> bool:
+def _named(attributes: str, main: bool) -> bool:
     for found in _NAMES.finditer(attributes):
         value = _HAS.sub(" ", (found[1] or found[2] or found[3] or "").lower())
         words = set(re.split(r"[\s_\-:]+", value))
@@ -72,14 +78,18 @@ def _surrounds(attributes: str, main: bool) -> bool:
             words -= {"header"}  # the article's own head
         if not NAMED.isdisjoint(words):
             return True
-    return bool(_HIDDEN.search(attributes))
+    return False
+
 
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]], dict[int, int]]:
+    """Blocks in page order, and the named element around each named element (by their places; -1: none).
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, is a heading, in the marked article, in a boilerplate element) in page order."""
+    A block: (text, characters in links, is a heading, in the marked article, in a boilerplate element, named element around it).
+    """
     out, words, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, in the article
+    stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, in the article, named element
     bad = main = heading = False
+    named, around = -1, {}
     links = at = 0
 
     def text(begin: int, end: int) -> None:
@@ -93,7 +103,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         nonlocal words, linked
         joined = " ".join("".join(words).split()) if words else ""
         if joined:
-            out.append((joined, linked, heading, main, bad))
+            out.append((joined, linked, heading, main, bad, named))
         words, linked = [], 0
 
     while True:
@@ -101,7 +111,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if not m:
             text(at, len(page))
             close()
-            return out
+            return out, around
         text(at, m.start())
         at = m.end()
         name = (m[2] or "").lower()
@@ -112,11 +122,11 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if m[1]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    links -= sum(n == "a" for n, _, _ in stack[depth:])
+                    links -= sum(n[0] == "a" for n in stack[depth:])
                     del stack[depth:]
                     break
-            bad, main = stack[-1][1:] if stack else (False, False)
-            heading = any(n[0] == "h" and n[1:].isdigit() for n, _, _ in stack[-3:])
+            bad, main, named = stack[-1][1:] if stack else (False, False, -1)
+            heading = any(n[0] == "h" and n[1:].isdigit() for n, *_ in stack[-3:])
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -126,22 +136,24 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-            bad, main = stack[-1][1:] if stack else (False, False)
+            bad, main, named = stack[-1][1:] if stack else (False, False, -1)
         in_main = main or name in MAIN
-        inside = name in AROUND and not (name == "header" and main) or name in DROPPED or (name not in ("html", "body") and name not in MAIN and _surrounds(m[3], main))
-        stack.append((name, bad or inside, in_main))
+        inside = name in AROUND and not (name == "header" and main) or name in DROPPED
+        if name not in ("html", "body") and name not in MAIN:
+            inside = inside or bool(_HIDDEN.search(m[3]))
+            if _named(m[3], main):
+                around[m.start()], named = named, m.start()
         bad, main = bad or inside, in_main
+        stack.append((name, bad, main, named))
         links += name == "a"
         heading = name[0] == "h" and name[1:].isdigit() or heading and name not in BLOCKS
 
 
-def _verdict(text: str, linked: int, heading: bool, marked: bool | None) -> str:
-    """good, bad or open, by density; marked: whether the block is in the article, if the page marks one."""
+def _verdict(text: str, linked: int, heading: bool) -> str:
+    """good, bad or open, by length and density."""
     size = max(1, len("".join(text.split())))
     if linked / size > LINKS_MOST:
-        return "bad" if not marked or linked == size and len(text) < SHORT else "open"
-    if marked is not None:
-        return "good" if marked else "bad"
+        return "bad"
     if len(text) < SHORT:
         return "bad" if linked and not heading else "open"
     words = _WORD.findall(text.lower())
@@ -151,11 +163,54 @@ def _verdict(text: str, linked: int, heading: bool, marked: bool | None) -> str:
     return "good" if len(text) > LONG and not linked else "open"
 
 
+def _kept_names(blocks: list, verdicts: list[str], around: dict[int, int]) -> set[int]:
+    """The named elements that leave hardly any text beside them, from the outside in; -1 for the page is one of them."""
+    own = dict.fromkeys((-1, *around), 0)
+    for b, v in zip(blocks, verdicts):
+        own[b[5]] += len(b[0]) if v != "bad" else 0
+    size, inner = dict(own), {x: [] for x in own}
+    for x in sorted(around, reverse=True):  # inner ones start later
+        size[around[x]] += size[x]
+        inner[around[x]].append(x)
+    kept, beside = {-1}, own[-1]
+    ready = [(-size[x], x) for x in inner[-1]]
+    heapq.heapify(ready)
+    while ready and beside < BESIDE * -ready[0][0]:
+        _, x = heapq.heappop(ready)
+        kept.add(x)
+        beside += own[x]
+        for y in inner[x]:
+            heapq.heappush(ready, (-size[y], y))
+    return kept
+
+
+def _labels(blocks: list, around: dict[int, int]) -> list[str]:
+    """The first pass: good, bad or open."""
+    labels = ["bad" if b[4] else _verdict(*b[:3]) for b in blocks]
+    kept = _kept_names(blocks, labels, around)  # from the outside in: what is around a kept one is kept
+    out = [b[4] or b[5] not in kept for b in blocks]
+    labels = ["bad" if o else x for o, x in zip(out, labels)]
+    marked = [b[3] and not o for b, o in zip(blocks, out)]
+    good = [len(b[0]) if x == "good" else 0 for b, x in zip(blocks, labels)]
+    inside = sum(n for n, m in zip(good, marked) if m)
+    if not any(marked) or 2 * inside < sum(good):
+        return labels
+    for i, (text, linked, *_) in enumerate(blocks):
+        if marked[i] and labels[i] == "open":
+            labels[i] = "good"
+        elif marked[i] and labels[i] == "bad":
+            size = len("".join(text.split()))
+            heavy = linked > LINKS_MOST * size
+            labels[i] = ("bad" if linked == size and len(text) < SHORT else "open") if heavy else "good"
+        elif labels[i] == "open":
+            labels[i] = "bad"
+    return labels
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its good blocks in order, joined by one space; empty if there are none."""
-    blocks = blocks_of(page) if page else []
-    marks = any(b[3] and not b[4] for b in blocks)
-    labels = ["bad" if b[4] else _verdict(b[0], b[1], b[2], b[3] if marks else None) for b in blocks]
+    blocks, around = blocks_of(page) if page else ([], {})
+    labels = _labels(blocks, around)
     decided = [i for i, x in enumerate(labels) if x != "open"]
     final, before = list(labels), None
     after = iter([*decided, None])

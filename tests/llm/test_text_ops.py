@@ -114,6 +114,18 @@ def test_pages(spark):
     assert got == {(i, t, len(t)) for i, t in texts}
 
 
+def test_marks_and_names_do_not_override_the_rules():
+    prose = "The cat sat on the mat and it was the best of all the times that we had, so they said to us at the end of it."
+    teasers = "".join(f"<article><a href={i}>Card {i} of the list</a><p>Short teaser {i}</p></article>" for i in range(6))
+    assert html_text.main_text(f"<div><p>{prose}</p><p>{prose}</p></div>{teasers}").startswith(f"{prose} {prose}")
+    aside = "<p>Tags of today</p>"
+    assert html_text.main_text(f"<article><p>{prose}</p><p>In short.</p></article><div>{aside}</div>") == f"{prose} In short."
+    assert html_text.main_text(f"<article><p>{prose}</p></article><div><p>{prose}</p></div>") == f"{prose} {prose}"
+    comments = f"<div class=comments><p>First! {prose}</p></div>"
+    assert html_text.main_text(f"<div class='social page'><p>{prose}</p><p>{prose}</p>{comments}</div><footer>(c)</footer>") == f"{prose} {prose}"
+    assert html_text.main_text(f"<p>{prose}</p>{comments}") == prose
+
+
 def test_generated_pages(spark):
     import html
     import re
