@@ -6,10 +6,11 @@ neighbouring labels. Forward-backward gives each line's probability of being goo
 document's score is their mean weighted by line length.
 
 Training: at most SAMPLE_DOCS labelled documents (those first by a hash of doc_id, so the sample
-does not depend on the input's order), at most SAMPLE_LINES lines of each; every line takes its
-document's label. Line features are computed on executors; the bounded sample, at most
-SAMPLE_DOCS x SAMPLE_LINES x FEATURES floats, is fitted on the driver by gradient ascent on the
-conditional likelihood. Scoring reads every line of every text.
+does not depend on the input's order), whole ones in that order until SAMPLE_LINES lines are
+reached; every line takes its document's label. Of a document of more than LONGEST lines there
+are WINDOWS stretches from its first line to its last. Line features are computed on executors;
+the bounded sample, less than (SAMPLE_LINES + LONGEST) x FEATURES floats, is fitted on the driver
+by gradient ascent on the conditional likelihood. Scoring reads every line of every text.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SAMPLE_DOCS = 2_000
-SAMPLE_LINES = 32
+SAMPLE_LINES = 64_000
+LONGEST, WINDOWS = 8_000, 8
 ROUNDS = 200
 THRESHOLD = 0.3
 
@@ -92,6 +96,15 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(x) + 1.0 for x in lines])
 
 
+def training_features(text: str) -> np.ndarray:
+    """The text's line features; of more than LONGEST lines evenly spread stretches, each line with its true neighbours."""
+    x = line_features(text)[0]
+    if len(x) <= LONGEST:
+        return x
+    size = LONGEST // WINDOWS
+    return np.concatenate([x[a : a + size] for a in np.linspace(0, len(x) - size, WINDOWS).astype(int)])
+
+
 def _forward_backward(unary: np.ndarray, pairs: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of label good, pair marginals and log normalisers of padded chains (documents x lines).
 
@@ -130,20 +143,26 @@ class LineChain:
         w, pairs = np.zeros(FEATURES), np.zeros((2, 2))
         if not documents:
             return cls(w, pairs)
-        n, length = len(documents), max(map(len, documents))
-        x, mask = np.zeros((n, length, FEATURES)), np.zeros((n, length), bool)
-        for i, d in enumerate(documents):
-            x[i, : len(d)], mask[i, : len(d)] = d, True
-        y = np.array(labels, float)[:, None] * mask
-        lines = mask.sum(1)
-        even = (1.0 / lines)[:, None]  # a document counts once, however many lines it has
+        n, lines, label = len(documents), np.array([len(d) for d in documents]), np.array(labels)
+        alike: dict[int, list[int]] = {}  # documents of like length are padded together
+        for i, m in enumerate(lines.tolist()):
+            alike.setdefault(m.bit_length() // 2, []).append(i)
+        chains = []
+        for members in alike.values():
+            mask = np.arange(lines[members].max()) < lines[members][:, None]
+            even = 1.0 / np.repeat(lines[members], lines[members])  # a document counts once, however many lines it has
+            chains.append((np.concatenate([documents[i] for i in members]), mask, np.repeat(label[members], lines[members]), even))
         steps = np.zeros((2, 2))
-        for label, c in ((0, (1 - np.array(labels)) * (lines - 1)), (1, np.array(labels) * (lines - 1))):
-            steps[label, label] = c.sum()
+        for y, c in ((0, (1 - label) * (lines - 1)), (1, label * (lines - 1))):
+            steps[y, y] = c.sum()
         first, second = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
         for k in range(1, rounds + 1):
-            good, joint, _ = _forward_backward(x @ w, pairs, mask)
-            slope = np.einsum("dl,dlf->f", (y - good) * even, x) / n - ridge * w
+            slope, joint = -ridge * w, np.zeros((2, 2))
+            for x, mask, y, even in chains:
+                unary = np.zeros(mask.shape)
+                unary[mask] = x @ w
+                good, some, _ = _forward_backward(unary, pairs, mask)
+                slope, joint = slope + ((y - good[mask]) * even) @ x / n, joint + some
             theta = np.concatenate([slope, ((steps - joint) / max(1, lines.sum()) - ridge * pairs).ravel()])
             first, second = 0.9 * first + 0.1 * theta, 0.999 * second + 0.001 * theta**2
             move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -189,15 +208,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     chosen = known.orderBy(F.xxhash64("__label_id"), "__label_id").limit(SAMPLE_DOCS)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__label_id"))
+    size = F.coalesce(F.size(F.split("__text", "\n")), F.lit(1)).cast("long")
+    place = F.struct(F.xxhash64("__id"), F.col("__id"), F.col("__label"), F.xxhash64("__text"))
+    sample = materialize(rows.select("__id", "__label", "__text", place.alias("__place"), F.least(size, F.lit(LONGEST)).alias("__lines")), "sample")
+    taken, lines = [], 0
+    for r in sample.select("__place", "__lines").orderBy("__place").limit(2 * SAMPLE_DOCS).collect():
+        if lines >= SAMPLE_LINES:
+            break
+        taken, lines = r["__place"], lines + r["__lines"]
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            data = [line_features(t.as_py() or "")[0][:SAMPLE_LINES].astype("<f4").tobytes() for t in batch.column("__text")]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__label"), pa.array(data, pa.binary())], ["__id", "__label", "__x"])
-
-    got = rows.select("__id", "__label", "__text").mapInArrow(features, "__id long, __label int, __x binary").limit(2 * SAMPLE_DOCS).collect()
+            for i in range(batch.num_rows):
+                data = training_features(batch.column("__text")[i].as_py() or "").astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("__id")[i : i + 1], batch.column("__label")[i : i + 1], pa.array([data], pa.binary())], ["__id", "__label", "__x"])
+
+    if taken:
+        last = F.struct(*(F.lit(v).cast(f.dataType) for v, f in zip(taken, sample.schema["__place"].dataType)))
+        sample = sample.filter(F.col("__place") <= last)
+    got = sample.select("__id", "__label", "__text").mapInArrow(features, "__id long, __label int, __x binary").limit(2 * SAMPLE_DOCS).collect()
     got.sort(key=lambda r: (r["__id"], r["__label"], bytes(r["__x"])))
     return LineChain.fit([np.frombuffer(r["__x"], "<f4").reshape(-1, FEATURES).astype(float) for r in got], [r["__label"] for r in got])
 

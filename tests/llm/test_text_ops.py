@@ -169,3 +169,25 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in quality.quality_scores(odd, labels.limit(0)).collect())
     kept = quality.keep_good(docs.withColumnRenamed("lang", "score"), quality.train(docs, labels))
     assert kept.columns == ["doc_id", "text", "score", "source", "n_chars"]
+
+
+def test_training_reads_past_the_first_lines(spark):
+    word = lambda i, j: f"Line {'abcdefghij'[i % 10]}{'klmnopqrst'[j % 10]}{'uvwxyz'[j // 10]} of the text that is here for the reader."
+    head = lambda i: [word(i, j) for j in range(40)]
+    tail = {1: lambda i: head(i + 1), 0: lambda i: [f"### $$$ {i} %%% @@@ {j}" for j in range(40)]}
+    rows = [(i, "\n".join(head(i) + tail[i % 2](i))) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    chain = quality.train(docs, labels)
+    assert chain.score("\n".join(head(3) + tail[1](3))) > chain.score("\n".join(head(3) + tail[0](3))) + 0.2  # the first lines alone give 0.02
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(50))) for i in range(60)], DOCS)
+    monkeypatch.setattr(quality, "LONGEST", 80)
+    x = quality.training_features("\n".join(f"line {j}" for j in range(400)))
+    assert len(x) == 80 and x[0, 3 * quality.OWN] == x[-1, 3 * quality.OWN + 1] == 1
+    got = []
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 1000)
+    monkeypatch.setattr(quality.LineChain, "fit", classmethod(lambda cls, documents, labels: got.extend(documents)))
+    quality.train(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int"))
+    assert sum(map(len, got)) == 1000 and {len(x) for x in got} == {50}
