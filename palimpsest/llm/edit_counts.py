@@ -126,7 +126,7 @@ def scripted_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def edited_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+def edited_counts(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
     """One row per document: doc_id, chars_before, n_before, chars_after, n_after, chars_encoded, leaves.
 
     docs: doc_id, text, edits (start, end, new; applied in order, each on the text the last one
@@ -139,7 +139,7 @@ def edited_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, added_tokens=added_tokens)
         width = e.dtype.itemsize
         ids = lambda leaf: len(e.encode(leaf)) // width
         names = ["doc_id", "chars_before", "n_before", "chars_after", "n_after", "chars_encoded", "leaves"]

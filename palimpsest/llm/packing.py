@@ -65,11 +65,11 @@ def document_point(ids: np.ndarray, projection: np.ndarray) -> np.ndarray:
     return np.clip(scaled, 0, (1 << KEY_BITS) - 1).astype(np.int64)
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, added_tokens: bool):
     def encode(batches):
         import pyarrow as pa
 
-        get = encoder(tokenizer, "<u2").encode
+        get = encoder(tokenizer, "<u2", added_tokens).encode
         projection = np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
@@ -158,6 +158,7 @@ def pack_documents(
     with_ids: bool = False,
     partitions: int | None = None,
     source_col: str | None = None,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids).
 
@@ -169,7 +170,7 @@ def pack_documents(
     spark = docs.sparkSession
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), source.alias("source"))
-    encoded = materialize(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, key long, ids binary, source string"), "ids", "zstd")
+    encoded = materialize(rows.mapInArrow(_encode(tokenizer, end_id, added_tokens), "doc_id long, key long, ids binary, source string"), "ids", "zstd")
     n, order = partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), ["key", "doc_id"]
     if source_col:
         mixed = mixing.mix(encoded, extra=["key", "ids"])

@@ -16,7 +16,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), added_tokens=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits to every document, made from its own text; see edit_counts.scripted_edits."""
     docs = edit_counts.scripted_edits(table(spark, sf_dir, "documents"))
-    return edit_counts.edited_counts(docs, tokenizer_path("byte_bpe_50k.json"))
+    return edit_counts.edited_counts(docs, tokenizer_path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,12 +78,12 @@ def decode_block(data: bytes, start: int) -> np.ndarray:
     return over + np.uint32(low)
 
 
-def _writer(tokenizer: str, end_id: int, segment_ids: int):
+def _writer(tokenizer: str, end_id: int, segment_ids: int, added_tokens: bool):
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, seg = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, part, seg = encoder(tokenizer, added_tokens=added_tokens).encode, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, kept, size = [], [], 0
 
@@ -110,7 +110,7 @@ def _writer(tokenizer: str, end_id: int, segment_ids: int):
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, added_tokens: bool = False
 ) -> None:
     """Encode every text (null: empty), append end_id and write the format above, in doc_id order.
 
@@ -122,7 +122,7 @@ def write_token_files(
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(_writer(tokenizer, end_id, SEGMENT_IDS), SCHEMA).write.option("compression", "lz4").parquet(path)
+    ordered.mapInArrow(_writer(tokenizer, end_id, SEGMENT_IDS, added_tokens), SCHEMA).write.option("compression", "lz4").parquet(path)
 
 
 def _reader(batches):
@@ -158,8 +158,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("doc_id", (F.col("part_start") + F.col("seg_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Write the token files and describe each document from what was read back."""
     path = path or f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path, tokenizer, end_id)
+    write_token_files(docs, path, tokenizer, end_id, added_tokens=added_tokens)
     return read_token_files(docs.sparkSession, path)

@@ -3,7 +3,9 @@
 The library splits a text before it merges, and it never joins what stands on both sides of the
 step from a visible character to white space. So a text is cut at such steps and the ids of a
 piece are looked up; the library encodes pieces not seen lately. The ids are exactly
-those of encoding the text in one call (tests/llm/test_tokens.py compares them).
+those of encoding the text in one call (tests/llm/test_tokens.py compares them). With added_tokens a
+text is first cut at the tokenizer's added tokens, which get their own ids, as the library does
+at its default settings; without, they are text like any other.
 """
 
 from __future__ import annotations
@@ -48,13 +50,18 @@ class Generations(dict):
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes of `dtype`."""
 
-    def __init__(self, path: str, dtype: str = "<u4", size: int = GENERATION):
+    def __init__(self, path: str, dtype: str = "<u4", size: int = GENERATION, added_tokens: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         t = self.tokenizer = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        added = t.get_added_tokens_decoder() if added_tokens else {}
+        if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError(f"{path}: an added token is not matched as plain text")
         self.dtype = np.dtype(dtype)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.markers = {x.content: np.array([i], self.dtype).tobytes() for i, x in added.items()}
+        self.marker = re.compile("(" + "|".join(map(re.escape, sorted(self.markers, key=len, reverse=True))) + ")")
         if t.get_vocab_size() > np.iinfo(self.dtype).max:
             raise ValueError(f"{path}: ids do not fit {dtype}")
         self.blind = not t.encode(" \n ", add_special_tokens=False).ids  # white space has no ids
@@ -99,6 +106,12 @@ class PieceEncoder:
         return found if found[0] else found[1:]
 
     def encode(self, text: str) -> bytes:
+        for x in self.markers:
+            if x in text:
+                return b"".join([self.markers[s] if s in self.markers else self._stretch(s) for s in self.marker.split(text) if s])
+        return self._stretch(text)
+
+    def _stretch(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
@@ -113,6 +126,6 @@ def resident(key, make):
     return _RESIDENT[key]
 
 
-def encoder(path: str, dtype: str = "<u4") -> PieceEncoder:
+def encoder(path: str, dtype: str = "<u4", added_tokens: bool = False) -> PieceEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return resident((path, dtype), lambda: PieceEncoder(path, dtype))
+    return resident((path, dtype, added_tokens), lambda: PieceEncoder(path, dtype, added_tokens=added_tokens))

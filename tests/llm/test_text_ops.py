@@ -191,3 +191,24 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality.LineChain, "fit", classmethod(lambda cls, documents, labels: got.extend(documents)))
     quality.train(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int"))
     assert sum(map(len, got)) == 1000 and {len(x) for x in got} == {50}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_have_their_own_ids(name):
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, "end of page<|endoftext|>next", "a  <|endoftext|>\n<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "x \n<|endoftext|> it's"]
+    plain, e = Tokenizer.from_file(tokenizer_path(name)), tokens.PieceEncoder(tokenizer_path(name), added_tokens=True)
+    assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.queries import op4_token_files, op9_edit_counts
+
+    text = "end of page<|endoftext|>next"
+    spark.createDataFrame([(1, text)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert op4_token_files(spark, str(tmp_path)).first().ids_crc32 == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+    assert op9_edit_counts(spark, str(tmp_path)).first().n_before == len(ids)
