@@ -25,6 +25,12 @@ def is_sha256_id(value: Column) -> Column:
     return F.coalesce(value.rlike(r"\Asha256:[0-9a-f]{64}\z"), F.lit(False))
 
 
+def is_rfc3339(text: Column) -> Column:
+    """A full date and time with offset; parts of one are not enough."""
+    whole = text.rlike(r"\A\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z")
+    return F.coalesce(whole & F.try_to_timestamp(F.upper(text)).isNotNull(), F.lit(False))
+
+
 def safe_relative_path(path: Column) -> Column:
     """Not empty, not absolute, no parent step or drive, and below one of the rollout roots."""
     parts = F.split(path, "/")
@@ -85,10 +91,10 @@ def clean_tags(tags: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """1024-based units to TiB, one decimal from KiB up."""
+    """1024-based units to TiB, one decimal (a tie goes to the even digit) from KiB up."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", size / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", F.bround(size / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_id
@@ -63,9 +63,37 @@ def verify_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("rule", bad).filter("rule IS NOT NULL")
 
 
+def verify_whole(chunks: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
+    """Contents whose chunks, put together, do not have the declared id or length, or hold a bad chunk.
+
+    declared: keys.., logical_sha256, byte_length.
+    """
+    whole = reassemble(chunks, keys).select(*keys, "verified", content_id(F.col("content")).alias("now"), F.octet_length("content").alias("length"))
+    rows = declared.join(whole, keys, "left")
+    rule = (
+        F.when(F.col("verified").isNull() & (F.col("byte_length") > 0), "no_chunks")
+        .when(F.col("verified").isNull(), None)
+        .when(~F.col("verified"), "chunk")
+        .when(F.col("now") != F.col("logical_sha256"), "content_hash")
+        .when(F.col("length") != F.col("byte_length"), "content_length")
+    )
+    return rows.select(*keys, rule.alias("rule")).filter("rule IS NOT NULL")
+
+
+def list_fingerprint(rows: DataFrame, by: list[str], text: Column) -> DataFrame:
+    """Per group of `by` one id of its set of texts, and their number.
+
+    Texts are hashed in buckets of six leading hex digits of their own hash, those in buckets of
+    three, and those per group, so that no list holds more than a bucket.
+    """
+    rows = rows.select(*by, text.alias("t")).withColumn("b", F.substring(F.sha2("t", 256), 1, 6))
+    joined = lambda c: content_id(F.array_join(F.array_sort(F.collect_list(c)), "\n"))
+    fine = rows.groupBy(*by, "b").agg(joined("t").alias("h"), F.count(F.lit(1)).alias("n"))
+    wide = fine.groupBy(*by, F.substring("b", 1, 3).alias("b3")).agg(joined(F.concat("b", "h")).alias("h"), F.sum("n").alias("n"))
+    return wide.groupBy(*by).agg(joined(F.concat("b3", "h")).alias("fingerprint"), F.sum("n").alias("objects"))
+
+
 def revision_ids(refs: DataFrame, root: list[str]) -> DataFrame:
-    """Per root an id over its references sorted by thread, so input order does not matter."""
-    ordered = F.array_sort(F.collect_list(F.struct("thread_id", "hash")))
-    rows = refs.groupBy(*root).agg(ordered.alias("refs"))
-    text = F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["thread_id"].cast("string"), r["hash"])), "\n")
-    return rows.select(*root, F.size("refs").cast("long").alias("thread_count"), content_id(text).alias("revision_id"))
+    """Per root an id over the set of its references, so input order does not matter; no root's references come in one list."""
+    listed = list_fingerprint(refs, root, F.concat_ws(":", F.col("thread_id").cast("string"), "hash"))
+    return listed.select(*root, F.col("objects").alias("thread_count"), F.col("fingerprint").alias("revision_id"))

@@ -42,13 +42,15 @@ def diff_summary(diff: DataFrame, by: list[str] | None = None) -> DataFrame:
     return diff.groupBy(*(by or [])).agg(*(F.count_if(F.col("status") == k).alias(k) for k in kinds))
 
 
-def merge3(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+def merge3(base: DataFrame, local: DataFrame, remote: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per thread the side that wins (null: absent in the result) or the kind of its conflict.
 
+    keys: thread_id, after the columns of the merge it belongs to where there are several.
+
     A side has changed if it differs from the base in presence or hash. Neither: local, else
     remote; one: that side, whose absence deletes; both alike: local; else a conflict.
     """
-    m = _outer({"base": base, "local": local, "remote": remote}, ["hash", "title"], ["thread_id"])
+    m = _outer({"base": base, "local": local, "remote": remote}, ["hash", "title"], keys or ["thread_id"])
 
     def same(a: str, b: str) -> Column:
         return (F.col(f"in_{a}") == F.col(f"in_{b}")) & (~F.col(f"in_{a}") | F.col(f"{a}_hash").eqNullSafe(F.col(f"{b}_hash")))
@@ -77,36 +79,49 @@ def duplicate_ids(threads: DataFrame, keys: list[str] | None = None) -> DataFram
     return threads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def conflict_ids(merged: DataFrame) -> DataFrame:
+def conflict_ids(merged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The conflicts with an id that changes when any version of the thread changes."""
     parts = ["thread_id", "conflict_kind", "base_hash", "local_hash", "remote_hash"]
     text = F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in parts))
-    return merged.filter("conflict_kind IS NOT NULL").select("thread_id", "title", "conflict_kind", "in_local", "in_remote", content_id(text).alias("conflict_id"))
+    return merged.filter("conflict_kind IS NOT NULL").select(*(by or []), "thread_id", "title", "conflict_kind", "in_local", "in_remote", content_id(text).alias("conflict_id"))
+
 
+def resolution_problems(conflicts: DataFrame, resolutions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows that reject a merge's resolutions: missing, extra, duplicate, stale id, unknown choice.
 
-def resolution_problems(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Rows that reject a resolution: missing, extra, duplicate, stale id, unknown choice."""
-    given = resolutions.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.max("conflict_id").alias("given_id"), F.max("choice").alias("choice"))
-    both = conflicts.select("thread_id", "conflict_id").join(given, "thread_id", "full")
+    by: the columns that name a merge, where there are several.
+    """
+    keys = [*(by or []), "thread_id"]
+    given = resolutions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("conflict_id").alias("given_id"), F.max("choice").alias("choice"))
+    both = conflicts.select(*keys, "conflict_id").join(given, keys, "full")
     problem = (
         F.when(F.col("n").isNull(), "missing")
         .when(F.col("conflict_id").isNull(), "extra")
         .when(F.col("n") > 1, "duplicate")
-        .when(F.col("conflict_id") != F.col("given_id"), "stale")
-        .when(~F.col("choice").isin("local", "remote"), "unknown_choice")
+        .when(~F.col("conflict_id").eqNullSafe(F.col("given_id")), "stale")
+        .when(~F.coalesce(F.col("choice").isin("local", "remote"), F.lit(False)), "unknown_choice")
     )
-    return both.select("thread_id", problem.alias("problem")).filter("problem IS NOT NULL")
+    return both.select(*keys, problem.alias("problem")).filter("problem IS NOT NULL")
+
 
+def resolve(merged: DataFrame, resolutions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """thread_id, side, hash of each merged set after the choices; a chosen absent side deletes.
 
-def resolve(merged: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """thread_id, side, hash of the merged set after the choices; a chosen absent side deletes."""
-    chosen = resolutions.select("thread_id", "choice").dropDuplicates(["thread_id"])
-    joined = merged.join(chosen, "thread_id", "left")
+    resolutions: by.., thread_id, conflict_id, choice. A merge (one per group of `by`, else all is one) with any
+    problem is rejected as a whole: it gives no rows here, and its problems by resolution_problems.
+    """
+    keys = [*(by or []), "thread_id"]
+    problems = resolution_problems(conflict_ids(merged, by), resolutions, by)
+    if by:
+        sound = merged.join(problems.select(*by).distinct(), by, "left_anti")
+    else:
+        sound = merged.join(problems.agg((F.count(F.lit(1)) > 0).alias("rejected")), ~F.col("rejected"), "left_semi")  # one row
+    joined = sound.join(resolutions.select(*keys, "choice"), keys, "left")
     side = F.when(F.col("conflict_kind").isNull(), F.col("side")).otherwise(
         F.when((F.col("choice") == "local") & F.col("in_local"), "local").when((F.col("choice") == "remote") & F.col("in_remote"), "remote")
     )
     picked = joined.withColumn("side", side).filter("side IS NOT NULL")
-    return picked.select("thread_id", "side", F.when(F.col("side") == "local", F.col("local_hash")).otherwise(F.col("remote_hash")).alias("hash"))
+    return picked.select(*keys, "side", F.when(F.col("side") == "local", F.col("local_hash")).otherwise(F.col("remote_hash")).alias("hash"))
 
 
 def same_state(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -205,6 +220,21 @@ def sync_status(tracking: DataFrame, namespaces: DataFrame, equal: DataFrame) ->
     return rows.select("home_key", "namespace_id", push.alias("push"), pull.alias("pull"))
 
 
+def restore_status(tracking: DataFrame, namespaces: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Per home and revision of its namespace whether it can be restored: epoch_changed, pull_first (the head is not integrated), has_warnings or restorable.
+
+    revisions: namespace_id, revision, warning_count.
+    """
+    rows = tracking.join(namespaces, "namespace_id").join(revisions, "namespace_id")
+    state = (
+        F.when(F.col("remote_epoch") != F.col("namespace_epoch"), "epoch_changed")
+        .when(~F.col("head_revision").eqNullSafe(F.col("integrated_head")), "pull_first")
+        .when(F.col("warning_count") > 0, "has_warnings")
+        .otherwise("restorable")
+    )
+    return rows.select("home_key", "namespace_id", "revision", state.alias("restore"))
+
+
 def workspace_clean(local: DataFrame, base: DataFrame, by: list[str]) -> DataFrame:
     """Per home, whether nothing is unpublished."""
     return same_state(local, base, by).withColumnRenamed("same", "clean")
@@ -219,6 +249,16 @@ def latest_tracking(log: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def active_binding(log: DataFrame) -> DataFrame:
+    """Per home its active namespace by the newest generation of each binding, and how many are active: more than one names none.
+
+    log: home_key, remote_id, namespace_id, generation, active.
+    """
+    newest = log.groupBy("home_key", "remote_id", "namespace_id").agg(F.max_by("active", "generation").alias("active"))
+    rows = newest.groupBy("home_key").agg(F.count_if("active").alias("n_active"), F.max(F.when(F.col("active"), F.col("namespace_id"))).alias("namespace_id"))
+    return rows.withColumn("namespace_id", F.when(F.col("n_active") == 1, F.col("namespace_id")))
+
+
 def primary_source(index: DataFrame, by: list[str]) -> DataFrame:
     """Per home the index source with the most rows; ties go to the first by name."""
     counted = index.groupBy(*by, "source").agg(F.count(F.lit(1)).alias("n"))

@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_id
+from .chunks import list_fingerprint
 from ..sources.scratch import rewritten
 
 OBJECT = ["kind", "sha256"]
-FINISHED = ("completed", "rolled_back")
+#: States of journals that need nothing more, in lower case.
+FINISHED = ("completed", "rolled_back", "rolledback")
+#: The fields that tell the kind of a journal.
+PROVIDER_MARKS = ("targetProvider", "files")
+IMPORT_MARKS = ("backupDir", "plannedRollouts", "importedThreadIds")
+CHECKOUT_MARKS = ("repositoryBackupDir", "databaseBackups", "directorySwaps", "expectedThreadHashes")
 
 
-def build_edges(roots: DataFrame, threads: DataFrame, chunks: DataFrame) -> DataFrame:
+def build_edges(roots: DataFrame, threads: DataFrame, chunks: DataFrame, wholes: DataFrame | None = None) -> DataFrame:
     """owner -> target edges, distinct.
 
-    roots: root, thread; threads: thread, content; chunks: content, sha256.
+    roots: root, thread; threads: thread, content; chunks: content, sha256; wholes (contents
+    stored in one piece): thread, sha256.
     """
     edge = lambda df, ok, o, tk, t: df.select(F.lit(ok).alias("owner_kind"), F.col(o).alias("owner_sha256"), F.lit(tk).alias("target_kind"), F.col(t).alias("target_sha256"))
-    first = edge(roots, "revision_root", "root", "thread", "thread")
-    second = edge(threads, "thread", "thread", "chunk_manifest", "content")
-    third = edge(chunks, "chunk_manifest", "content", "chunk", "sha256")
-    return first.unionByName(second).unionByName(third).distinct()
+    parts = [edge(roots, "revision_root", "root", "thread", "thread"), edge(threads, "thread", "thread", "chunk_manifest", "content"), edge(chunks, "chunk_manifest", "content", "chunk", "sha256")]
+    if wholes is not None:
+        parts.append(edge(wholes, "thread", "thread", "whole", "sha256"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def reachable(roots: DataFrame, edges: DataFrame, depth: int | None = 4) -> DataFrame:
-    """Objects in the closure of roots (kind, sha256). With a known depth the joins are unrolled.
+def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Objects in the closure of roots (kind, sha256), however deep.
 
-    Without one, a frontier runs on until it is empty; each round is written, so it survives the
-    loss of executors, and objects seen before are not followed again.
+    A frontier runs on until it is empty; each round is written, so it survives the loss of
+    executors, and objects seen before are not followed again.
     """
-    step = lambda front: front.join(edges, (F.col("kind") == F.col("owner_kind")) & (F.col("sha256") == F.col("owner_sha256"))).select(
-        F.col("target_kind").alias("kind"), F.col("target_sha256").alias("sha256")
-    ).distinct()
-    seen = front = roots.select(*OBJECT).distinct()
-    if depth is not None:
-        for _ in range(depth - 1):
-            front = step(front)
-            seen = seen.unionByName(front)
-        return seen.distinct()
-    seen = front = rewritten(front, "seen")
+    seen = front = rewritten(roots.select(*OBJECT).distinct(), "seen")
     while front.limit(1).count():
-        front = rewritten(step(front).join(seen, OBJECT, "left_anti"), "front")
+        step = front.join(edges, (F.col("kind") == F.col("owner_kind")) & (F.col("sha256") == F.col("owner_sha256")))
+        step = step.select(F.col("target_kind").alias("kind"), F.col("target_sha256").alias("sha256")).distinct()
+        front = rewritten(step.join(seen, OBJECT, "left_anti"), "front")
         seen = seen.unionByName(front)
     return seen
 
@@ -59,11 +62,19 @@ def gc_plan(objects: DataFrame, reached: DataFrame, now: Column, grace: str = "1
 
 
 def gc_fingerprint(plan: DataFrame) -> DataFrame:
-    """Per kind and leading hex digit a hash of the sorted planned objects, and their bytes; compare tables, not one list."""
-    bucket = F.substring(F.sha2("sha256", 256), 1, 1)
-    rows = plan.withColumn("bucket", bucket).groupBy("kind", "bucket")
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "sha256", F.col("byte_length").cast("string")))), "\n")
-    return rows.agg(content_id(text).alias("fingerprint"), F.count(F.lit(1)).alias("objects"), F.sum("byte_length").alias("bytes"))
+    """Per kind the fingerprint of the planned objects, their number and bytes."""
+    text = F.concat_ws(":", "sha256", F.col("byte_length").cast("string"))
+    return list_fingerprint(plan, ["kind"], text).join(plan.groupBy("kind").agg(F.sum("byte_length").alias("bytes")), "kind")
+
+
+def gc_enqueue(plan: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """The planned objects as pending entries, of the kinds whose fingerprint is still the given one; of others `stale`.
+
+    fingerprints: kind, fingerprint, as they were shown. A kind without one is stale.
+    """
+    now = gc_fingerprint(plan).select("kind", F.col("fingerprint").alias("now"))
+    rows = plan.join(now.join(fingerprints.select("kind", "fingerprint"), "kind", "left"), "kind")
+    return rows.withColumn("state", F.when(F.col("now").eqNullSafe(F.col("fingerprint")), "pending").otherwise("stale")).drop("now", "fingerprint")
 
 
 def gc_recheck(queue: DataFrame, reached: DataFrame) -> DataFrame:
@@ -72,6 +83,18 @@ def gc_recheck(queue: DataFrame, reached: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.when(F.col("state") != "pending", F.col("state")).when(F.col("hit"), "cancelled").otherwise("quarantined")).drop("hit")
 
 
+def gc_results(checked: DataFrame, objects: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """objects and edges without those that were quarantined (edges by their owner)."""
+    gone = checked.filter("state = 'quarantined'").select(*OBJECT).distinct()
+    owner = gone.select(F.col("kind").alias("owner_kind"), F.col("sha256").alias("owner_sha256"))
+    return objects.join(gone, OBJECT, "left_anti"), edges.join(owner, ["owner_kind", "owner_sha256"], "left_anti")
+
+
+def over_cap(wanted: DataFrame, by: list[str], cap: int = 10_000) -> DataFrame:
+    """Requests that name more distinct objects of a kind than may be asked for at once."""
+    return wanted.select(*by, *OBJECT).distinct().groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("objects")).filter(F.col("objects") > cap)
+
+
 def missing_objects(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """Distinct wanted objects the other side lacks, and those whose length it disputes."""
     w = wanted.groupBy(*OBJECT).agg(F.min("byte_length").alias("byte_length"))
@@ -96,7 +119,10 @@ def list_snapshots(refs: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def deletion_plan(refs: DataFrame, pinned: DataFrame, protected: DataFrame) -> DataFrame:
-    """For every snapshot at once: objects shared with others and its own, the bytes a deletion frees, and whether it may go."""
+    """For every snapshot at once: objects shared with others and its own, the bytes a deletion frees, and whether it may go.
+
+    The fingerprint changes with the set of objects, with which of them are shared, and with both flags.
+    """
     per = refs.groupBy("snapshot_id", *OBJECT).agg(F.first("byte_length").alias("n"))
     holders = per.groupBy(*OBJECT).agg((F.count(F.lit(1)) == 1).alias("own"))
     rows = per.join(holders, OBJECT).groupBy("snapshot_id").agg(
@@ -104,21 +130,24 @@ def deletion_plan(refs: DataFrame, pinned: DataFrame, protected: DataFrame) -> D
     )
     marked = rows.join(pinned.select("snapshot_id", F.lit(True).alias("pinned")), "snapshot_id", "left").join(protected.select("snapshot_id", F.lit(True).alias("guarded")).distinct(), "snapshot_id", "left")
     marked = marked.fillna(False, ["pinned", "guarded"])
-    return marked.withColumn("eligible", ~F.col("pinned") & ~F.col("guarded"))
+    listed = list_fingerprint(per.join(holders, OBJECT), ["snapshot_id"], F.concat_ws(":", "kind", "sha256", F.col("own").cast("string"))).select("snapshot_id", F.col("fingerprint").alias("listed"))
+    fingerprint = content_id(F.concat_ws("\n", "snapshot_id", F.col("pinned").cast("string"), F.col("guarded").cast("string"), "listed"))
+    return marked.join(listed, "snapshot_id").withColumn("eligible", ~F.col("pinned") & ~F.col("guarded")).withColumn("fingerprint", fingerprint).drop("listed")
 
 
-def storage_summary(refs: DataFrame, trash: DataFrame, objects: DataFrame, by: list[str]) -> DataFrame:
-    """Logical, physical, active, shared, exclusive, trash-only and reclaimable bytes per group.
+def storage_summary(refs: DataFrame, trash: DataFrame, objects: DataFrame, by: list[str], quarantine: DataFrame | None = None) -> DataFrame:
+    """Logical, physical, active, shared, exclusive, trash-only, reclaimable and quarantined bytes per group.
 
     refs: by.., snapshot_id, kind, sha256, byte_length of live snapshots; trash: the same of
-    trashed ones; objects: by.., kind, sha256, byte_length of all that is stored.
+    trashed ones; objects: by.., kind, sha256, byte_length of all that is stored; quarantine:
+    by.., byte_length of what waits outside the store.
     """
     live = refs.groupBy(*by, *OBJECT).agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("snapshot_id").alias("holders"))
     dead = trash.select(*by, *OBJECT).distinct().withColumn("trashed", F.lit(True))
     rows = objects.dropDuplicates([*by, *OBJECT]).join(live, [*by, *OBJECT], "left").join(dead, [*by, *OBJECT], "left")
     size, used = F.col("byte_length"), F.col("holders").isNotNull()
     total = lambda test, value=size: F.coalesce(F.sum(F.when(test, value)), F.lit(0))
-    return rows.groupBy(*by).agg(
+    summed = rows.groupBy(*by).agg(
         total(used, size * F.col("uses")).alias("logical_bytes"),
         F.sum(size).alias("physical_bytes"),
         total(used).alias("active_bytes"),
@@ -127,32 +156,44 @@ def storage_summary(refs: DataFrame, trash: DataFrame, objects: DataFrame, by: l
         total(~used & F.col("trashed")).alias("trash_only_bytes"),
         total(~used & F.col("trashed").isNull()).alias("reclaimable_bytes"),
     )
+    if quarantine is None:
+        return summed
+    return summed.join(quarantine.groupBy(*by).agg(F.sum("byte_length").alias("quarantine_bytes")), by, "left").fillna(0, ["quarantine_bytes"])
+
+
+def _open_status(status: Column) -> Column:
+    return ~F.lower(F.coalesce(status, F.lit("unknown"))).isin(*FINISHED)
 
 
 def protected_by(journals: DataFrame) -> DataFrame:
-    """Per snapshot the unfinished operations that hold it. journals: path, body (JSON text)."""
+    """Per snapshot the unfinished operations that hold it. journals: path, body (JSON text).
+
+    An operation without an id goes by its journal's path.
+    """
     v = F.try_parse_json("body")
-    rows = journals.select(F.try_variant_get(v, "$.operationId", "string").alias("op"), F.try_variant_get(v, "$.status", "string").alias("status"), F.try_variant_get(v, "$.snapshotId", "string").alias("snapshot_id"))
-    open_ = rows.filter(~F.coalesce(F.col("status").isin(*FINISHED), F.lit(False)) & F.col("snapshot_id").isNotNull())
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    rows = journals.select(F.coalesce(text("operationId"), "path").alias("op"), text("status").alias("status"), text("snapshotId").alias("snapshot_id"))
+    open_ = rows.filter(_open_status(F.col("status")) & F.col("snapshot_id").isNotNull())
     return open_.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_set("op")), ",").alias("operations"))
 
 
 def recovery_points(journals: DataFrame) -> DataFrame:
-    """Journals by kind of their marker field, with status and whether they need attention.
+    """Journals of a known kind, with status and whether they need attention.
 
-    Markers in order: provider, importedThreads, snapshotId; two of them make it ambiguous.
+    Kinds by their fields, in this order: provider_sync (both of its marks), import and checkout
+    (any of theirs); `ambiguous` where more than one kind fits. Journals of no kind are left out,
+    an operation without an id goes by its file's name.
     """
     v = F.try_parse_json("body")
-    field = lambda name: F.try_variant_get(v, f"$.{name}", "string")
-    marks = {"provider_sync": field("provider"), "import": field("importedThreads"), "checkout": field("snapshotId")}
-    kind = F.lit("unknown")
-    for name, mark in reversed(marks.items()):
-        kind = F.when(mark.isNotNull(), name).otherwise(kind)
-    found = sum((m.isNotNull().cast("int") for m in marks.values()), F.lit(0))
-    status = F.coalesce(field("status"), F.lit("unknown"))
-    return journals.select(
-        "path", field("operationId").alias("operation_id"), kind.alias("kind"), (found > 1).alias("ambiguous"), status.alias("status"),
-        (~status.isin(*FINISHED)).alias("attention"), field("updatedAt").try_cast("bigint").alias("updated_at"),
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    has = lambda name: F.coalesce(F.array_contains("keys", name), F.lit(False))
+    fits = {"provider_sync": reduce(and_, map(has, PROVIDER_MARKS)), "import": reduce(or_, map(has, IMPORT_MARKS)), "checkout": reduce(or_, map(has, CHECKOUT_MARKS))}
+    kind = F.coalesce(*(F.when(fit, F.lit(name)) for name, fit in fits.items()))
+    rows = journals.withColumn("keys", F.when(v.isNotNull(), F.json_object_keys("body"))).withColumn("kind", kind).filter("kind IS NOT NULL")
+    status = F.coalesce(text("status"), F.lit("unknown"))
+    return rows.select(
+        "path", F.coalesce(text("operationId"), F.regexp_extract("path", r"([^/\\]*?)(\.[^./\\]*)?$", 1)).alias("operation_id"), "kind", (sum((f.cast("int") for f in fits.values()), F.lit(0)) > 1).alias("ambiguous"),
+        status.alias("status"), _open_status(status).alias("attention"), text("updatedAt").alias("updated_at"),
     )
 
 

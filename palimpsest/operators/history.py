@@ -17,70 +17,129 @@ def list_revisions(revisions: DataFrame, limit: int) -> DataFrame:
     return revisions.filter("state = 'active'").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def namespace_heads(revisions: DataFrame) -> DataFrame:
-    """Head (the revision that is no one's parent and stands last) and length of each namespace."""
-    return revisions.groupBy("namespace_id").agg(F.max_by("id", "seq").alias("head_revision"), F.count(F.lit(1)).alias("revisions"))
+def list_namespaces(namespaces: DataFrame) -> DataFrame:
+    """All namespaces by time of creation and id."""
+    return namespaces.orderBy("created_at", "namespace_id")
+
+
+def namespace_heads(revisions: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """Head (the last active revision; null if there is none), number of active revisions and epoch of each namespace.
+
+    namespaces: namespace_id, namespace_epoch.
+    """
+    active = revisions.filter("state = 'active'").groupBy("namespace_id").agg(F.max_by("id", "seq").alias("head_revision"), F.count(F.lit(1)).alias("revisions"))
+    return namespaces.select("namespace_id", "namespace_epoch").join(active, "namespace_id", "left").fillna(0, ["revisions"])
+
+
+def _linked(revisions: DataFrame) -> DataFrame:
+    """id, namespace_id, up (the parent, where it stands in the same namespace) and whether a parent is missing there."""
+    own = revisions.select(F.col("namespace_id").alias("of"), F.col("id").alias("up"))
+    rows = revisions.select("id", "namespace_id", "parent").join(own, (F.col("namespace_id") == F.col("of")) & (F.col("parent") == F.col("up")), "left")
+    return rows.select("id", "namespace_id", "up", (F.col("parent").isNotNull() & F.col("up").isNull()).alias("broken"))
 
 
 def ancestors(revisions: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """id, namespace_id, depth (steps to the root) and root, by pointer jumping: about log2(max_steps) rounds.
+    """id, namespace_id, depth (steps to the end of its chain), root (that end) and whether the end lacks its parent.
 
-    A chain longer than max_steps keeps depth null.
+    By pointer jumping inside namespaces, in about log2(max_steps) rounds; rows that have reached
+    their end are not written again. A chain longer than max_steps, or a circle, has nulls.
     """
-    at = revisions.select("id", "namespace_id", F.coalesce("parent", "id").alias("to"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"))
-    at = rewritten(at, "jump")
+    first = _linked(revisions).select(
+        "id", "namespace_id", F.coalesce("up", "id").alias("to"), F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").isNull().alias("done"), "broken"
+    )
+    at = rewritten(first, "jump")
+    done, moving = at.filter("done"), at.filter("NOT done")
     for _ in range(max_steps.bit_length()):
-        ahead = at.select(F.col("id").alias("to"), F.col("namespace_id").alias("of"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        step = at.join(ahead, "to", "left").select(
-            "id", "namespace_id", F.coalesce(F.when(F.col("of") == F.col("namespace_id"), F.col("next")), F.col("to")).alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
-        )
-        step = rewritten(step, "jump")
-        moved = step.join(at.select("id", F.col("to").alias("was")), "id").filter("to <> was").limit(1).count()
-        at = step
-        if not moved:
+        if not moving.limit(1).count():
             break
-    return at.select("id", "namespace_id", F.when(F.col("depth") <= max_steps, F.col("depth")).alias("depth"), F.col("to").alias("root"))
+        ahead = done.unionByName(moving).select(F.col("namespace_id").alias("of"), F.col("id").alias("mid"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"), F.col("broken").alias("cut"))
+        step = moving.join(ahead, (F.col("namespace_id") == F.col("of")) & (F.col("to") == F.col("mid")))
+        at = rewritten(step.select("id", "namespace_id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"), F.col("cut").alias("broken")), "jump")
+        done, moving = done.unionByName(at.filter("done")), at.filter("NOT done")
+    known = F.col("done") & (F.col("depth") <= max_steps)
+    return done.unionByName(moving).select("id", "namespace_id", *(F.when(known, F.col(a)).alias(b) for a, b in (("depth", "depth"), ("to", "root"), ("broken", "broken"))))
 
 
 def is_ancestor(pairs: DataFrame, revisions: DataFrame, depths: DataFrame, max_steps: int = 10_000) -> DataFrame:
     """(ancestor, id) pairs with the flag: the id lifted by the difference of depths is the ancestor.
 
-    Lifting takes one join per binary digit, against jump tables of that length.
+    Only pairs of one namespace and root are lifted, one join per binary digit against jump
+    tables of that length. An id is its own ancestor.
     """
-    d = depths.select("id", "depth")
-    at = pairs.join(d, "id", "left").join(d.select(F.col("id").alias("ancestor"), F.col("depth").alias("above")), "ancestor", "left")
-    at = at.withColumn("lift", F.col("depth") - F.col("above")).withColumn("at", F.col("id"))
-    jump = revisions.select("id", F.col("parent").alias("to"))
+    d = depths.select("id", "namespace_id", "depth", "root")
+    above = d.select(F.col("id").alias("ancestor"), F.col("namespace_id").alias("of"), F.col("depth").alias("above"), F.col("root").alias("top"))
+    at = pairs.select("ancestor", "id").join(d, "id", "left").join(above, "ancestor", "left")
+    lift = F.col("depth") - F.col("above")
+    possible = (F.col("namespace_id") == F.col("of")) & (F.col("root") == F.col("top")) & lift.between(0, max_steps)
+    at = at.select("ancestor", "id", "namespace_id", F.when(possible, lift).alias("lift"), F.col("id").alias("at"))
+    jump = _linked(revisions).filter("up IS NOT NULL").select(F.col("namespace_id").alias("of"), F.col("id").alias("near"), F.col("up").alias("far"))
     for bit in range(max_steps.bit_length()):
-        at = at.join(jump.select(F.col("id").alias("at"), F.col("to").alias("far")), "at", "left")
-        go = F.col("lift").isNotNull() & (F.col("lift") >= 0) & (F.shiftright("lift", bit).bitwiseAND(F.lit(1)) == 1)
-        at = rewritten(at.withColumn("at", F.when(go, F.col("far")).otherwise(F.col("at"))).drop("far"), "lift")
+        at = at.join(jump, (F.col("namespace_id") == F.col("of")) & (F.col("at") == F.col("near")), "left")
+        go = F.col("lift").isNotNull() & (F.shiftright("lift", bit).bitwiseAND(F.lit(1)) == 1)
+        at = rewritten(at.withColumn("at", F.when(go, F.col("far")).otherwise(F.col("at"))).drop("of", "near", "far"), "lift")
         if not at.filter(F.shiftright("lift", bit + 1) > 0).limit(1).count():
             break
-        jump = rewritten(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select("id", F.col("next").alias("to")), "jump")
-    return at.select("ancestor", "id", F.coalesce((F.col("lift") >= 0) & (F.col("at") == F.col("ancestor")), F.lit(False)).alias("is_ancestor"))
+        next_ = jump.select(F.col("of").alias("of2"), F.col("near").alias("mid"), F.col("far").alias("next"))
+        jump = rewritten(jump.join(next_, (F.col("of") == F.col("of2")) & (F.col("far") == F.col("mid"))).select("of", "near", F.col("next").alias("far")), "jump")
+    return at.select("ancestor", "id", F.coalesce(F.col("lift").isNotNull() & (F.col("at") == F.col("ancestor")), F.lit(False)).alias("is_ancestor"))
 
 
-def plan_truncation(revisions: DataFrame, depths: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
-    """One row per request (namespace_id, new_head, epoch; a null new_head trashes all): what it would do.
+def plan_truncation(revisions: DataFrame, namespaces: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """One row per request: what it would do. A null new_head trashes all.
 
-    conflict: the new head is not an ancestor of the head, or is the head.
+    namespaces: namespace_id, head_revision, namespace_epoch; wanted: operation_id, namespace_id,
+    expected_head, expected_epoch, new_head. outcome: head_mismatch, epoch_mismatch, conflict (the
+    new head is the head, or no walk over active revisions leads from the head to it) or planned.
     """
-    heads = namespace_heads(revisions).select("namespace_id", F.col("head_revision").alias("old_head"))
-    d = depths.select("id", "depth", F.col("namespace_id").alias("home"))
-    rows = (
-        wanted.join(heads, "namespace_id")
-        .join(d.select(F.col("id").alias("old_head"), F.col("depth").alias("head_depth")), "old_head")
-        .join(d.select(F.col("id").alias("new_head"), F.col("depth").alias("new_depth"), "home"), "new_head", "left")
+    active = revisions.filter("state = 'active'")
+    depths = rewritten(ancestors(active), "depths")
+    rows = wanted.join(namespaces.select("namespace_id", "head_revision", "namespace_epoch"), "namespace_id")
+    pairs = rows.filter("new_head IS NOT NULL").select(F.col("new_head").alias("ancestor"), F.col("head_revision").alias("id")).distinct()
+    hit = is_ancestor(pairs, active, depths).select(F.col("ancestor").alias("new_head"), F.col("id").alias("head_revision"), "is_ancestor")
+    d = depths.select("id", "depth", "broken")
+    rows = rows.join(d.select(F.col("id").alias("head_revision"), F.col("depth").alias("head_depth"), "broken"), "head_revision", "left")
+    rows = rows.join(d.select(F.col("id").alias("new_head"), F.col("depth").alias("new_depth")), "new_head", "left").join(hit, ["new_head", "head_revision"], "left")
+    walk = F.when(F.col("new_head").isNull(), F.col("head_depth").isNotNull() & ~F.coalesce("broken", F.lit(True))).otherwise(F.coalesce("is_ancestor", F.lit(False)))
+    outcome = (
+        F.when(~F.col("head_revision").eqNullSafe(F.col("expected_head")), "head_mismatch")
+        .when(F.col("namespace_epoch") != F.col("expected_epoch"), "epoch_mismatch")
+        .when(F.col("head_revision").eqNullSafe(F.col("new_head")) | ~walk, "conflict")
+        .otherwise("planned")
     )
-    conflict = F.col("new_head").isNotNull() & (F.col("home").isNull() | (F.col("home") != F.col("namespace_id")) | (F.col("new_head") == F.col("old_head")))
-    count = F.when(~conflict, F.col("head_depth") - F.coalesce("new_depth", F.lit(-1)))
-    return rows.select(
-        "namespace_id", "old_head", "new_head", conflict.alias("conflict"), count.alias("revision_count"), F.col("epoch").alias("epoch_before"),
-        F.when(conflict, F.col("epoch")).otherwise(F.col("epoch") + 1).alias("epoch_after"), (now + F.expr(f"INTERVAL {RETENTION_DAYS} DAYS")).alias("expires_at"),
+    ok = F.col("outcome") == "planned"
+    return rows.withColumn("outcome", outcome).select(
+        "operation_id", "namespace_id", F.col("head_revision").alias("old_head"), "new_head", "outcome",
+        F.when(ok, F.col("head_depth") - F.coalesce("new_depth", F.lit(-1))).alias("revision_count"), F.col("namespace_epoch").alias("epoch_before"),
+        (F.col("namespace_epoch") + F.when(ok, 1).otherwise(0)).alias("epoch_after"), F.when(ok, now + F.expr(f"INTERVAL {RETENTION_DAYS} DAYS")).alias("expires_at"),
     )
 
 
+def truncated_revisions(plan: DataFrame, revisions: DataFrame) -> DataFrame:
+    """id, operation_id of the revisions that the planned requests trash: those on the walk from the head, the new head left out."""
+    active = revisions.filter("state = 'active'")
+    depths = rewritten(ancestors(active), "depths")
+    d = depths.select("id", "namespace_id", "depth", "root")
+    wanted = plan.filter("outcome = 'planned'").select("operation_id", "namespace_id", "old_head", "revision_count")
+    heads = wanted.join(d.select(F.col("id").alias("old_head"), F.col("depth").alias("head_depth"), F.col("root").alias("top")), "old_head")
+    inside = (F.col("root") == F.col("top")) & (F.col("depth") <= F.col("head_depth")) & (F.col("depth") > F.col("head_depth") - F.col("revision_count"))
+    near = heads.join(d, "namespace_id").filter(inside)
+    held = is_ancestor(near.select(F.col("id").alias("ancestor"), F.col("old_head").alias("id")).distinct(), active, depths).filter("is_ancestor")
+    return near.join(held.select(F.col("ancestor").alias("id"), F.col("id").alias("old_head")), ["id", "old_head"]).select("id", "operation_id")
+
+
+def trash_rows(plan: DataFrame, now: Column) -> DataFrame:
+    """The trash operations of the planned requests."""
+    columns = ["namespace_id", "old_head", "new_head", "epoch_before", "epoch_after", "expires_at", "revision_count"]
+    return plan.filter("outcome = 'planned'").select(F.col("operation_id").alias("id"), *columns, now.alias("created_at"), F.lit("active").alias("state"))
+
+
+def moved_heads(plan: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """namespaces with the heads and epochs after the planned requests (one per namespace)."""
+    new = plan.filter("outcome = 'planned'").select("namespace_id", F.col("new_head").alias("to"), "epoch_after", F.lit(True).alias("moved"))
+    rows = namespaces.join(new, "namespace_id", "left")
+    return rows.withColumn("head_revision", F.when(F.col("moved"), F.col("to")).otherwise(F.col("head_revision"))).withColumn("namespace_epoch", F.coalesce("epoch_after", "namespace_epoch")).drop("to", "epoch_after", "moved")
+
+
 def plan_restore(ops: DataFrame, heads: DataFrame, now: Column) -> DataFrame:
     """Which trash operations can be undone: active ones whose new head is still the head; expired is a flag only."""
     rows = ops.join(heads.select("namespace_id", F.col("head_revision").alias("head")), "namespace_id", "left")
@@ -94,6 +153,12 @@ def list_trash(ops: DataFrame) -> DataFrame:
     return ops.withColumn("place", F.row_number().over(w))
 
 
+def list_snapshot_trash(entries: DataFrame, manifests: DataFrame, by: list[str]) -> DataFrame:
+    """Trashed snapshots whose manifest is there, newest first in each group."""
+    w = Window.partitionBy(*by).orderBy(F.desc("created_at"), F.desc("id"))
+    return entries.join(manifests.select("id").distinct(), "id", "left_semi").withColumn("place", F.row_number().over(w))
+
+
 def version_timeline(local: DataFrame, remote: DataFrame, by: list[str], newest: int = 3) -> DataFrame:
     """The newest local snapshots and all remote revisions in one schema; the newest remote one is HEAD."""
     w = Window.partitionBy(*by).orderBy(F.desc("created_at"), F.desc("id"))
@@ -115,32 +180,40 @@ def replay_commits(log: DataFrame) -> DataFrame:
     log: namespace_id, seq, request_id, parent, expected_head, expected_epoch, action (commit or
     bump). wrong_epoch; the head again with the same parent: already_committed; another known id:
     conflict; head is not the expected one: head_mismatch; parent is not the expected head:
-    conflict; else created, and the head moves. bump raises the epoch. One task per namespace
-    holds ids only; the rule is sequential by nature.
+    conflict; else created, and the head moves. bump raises the epoch. The rule is sequential by
+    nature: a namespace is read by one task, batch by batch, which holds its ids and nothing else.
     """
 
-    def replay(pdf):
-        pdf = pdf.sort_values("seq")
-        head, epoch, parents, out = None, 0, {}, []
+    def replay(batches):
+        import pandas as pd
+
+        of = head = None
+        epoch, parents = 0, {}
         none = lambda x: None if x is None or x != x else int(x)
-        for r in pdf.itertuples(index=False):
-            parent, expected = none(r.parent), none(r.expected_head)
-            if r.action == "bump":
-                epoch, result = epoch + 1, "bumped"
-            elif r.expected_epoch != epoch:
-                result = "wrong_epoch"
-            elif r.request_id == head and parents[head] == parent:
-                result = "already_committed"
-            elif r.request_id in parents:
-                result = "conflict"
-            elif head != expected:
-                result = "head_mismatch"
-            elif parent != expected:
-                result = "conflict"
-            else:
-                head, result = int(r.request_id), "created"
-                parents[head] = parent
-            out.append((result, epoch))
-        return pdf.assign(outcome=[o for o, _ in out], epoch=[e for _, e in out])[["namespace_id", "seq", "request_id", "outcome", "epoch"]]
-
-    return log.groupBy("namespace_id").applyInPandas(replay, "namespace_id long, seq long, request_id long, outcome string, epoch long")
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.namespace_id != of:
+                    of, head, epoch, parents = r.namespace_id, None, 0, {}
+                parent, expected = none(r.parent), none(r.expected_head)
+                if r.action == "bump":
+                    epoch, result = epoch + 1, "bumped"
+                elif r.expected_epoch != epoch:
+                    result = "wrong_epoch"
+                elif r.request_id == head and parents[head] == parent:
+                    result = "already_committed"
+                elif r.request_id in parents:
+                    result = "conflict"
+                elif head != expected:
+                    result = "head_mismatch"
+                elif parent != expected:
+                    result = "conflict"
+                else:
+                    head, result = int(r.request_id), "created"
+                    parents[head] = parent
+                out.append((result, epoch))
+            yield pdf[["namespace_id", "seq", "request_id"]].assign(outcome=[o for o, _ in out], epoch=[e for _, e in out])
+
+    columns = ["namespace_id", "seq", "request_id", "parent", "expected_head", "expected_epoch", "action"]
+    ordered = log.select(*columns).repartition("namespace_id").sortWithinPartitions("namespace_id", "seq")
+    return ordered.mapInPandas(replay, "namespace_id long, seq long, request_id long, outcome string, epoch long")

@@ -16,20 +16,35 @@ from pyspark.sql.types import BooleanType, StringType
 from ..functions.expr import PROVIDER_TOKEN, WORKSPACE_TOKEN, content_id
 
 MAX_LINE = 16 << 20
-MACHINE_KEYS = ("model_provider", "rollout_path", "archive_home")
 
 
 def _dump(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 def _strict(text: str | None):
+    """The value of a text that is one JSON value and nothing else; NaN, infinities and halves of surrogate pairs are not."""
     try:
-        return json.loads(text), True
+        value = json.loads(text, parse_constant=_no_constant)
+        if "\\u" in text:
+            _dump(value).encode()
+        return value, True
     except (TypeError, ValueError, RecursionError):
         return None, False
 
 
+@F.pandas_udf(BooleanType())
+def is_json(text):
+    """Whether the whole text is one JSON value; null is not."""
+    import pandas as pd
+
+    return pd.Series([ok for _, ok in map(_strict, text)], dtype=bool)
+
+
 @F.pandas_udf(StringType())
 def canonical_json_strict(text):
     """Canonical form; null unless the whole text is one JSON value."""
@@ -38,8 +53,8 @@ def canonical_json_strict(text):
     return pd.Series([_dump(v) if ok else None for v, ok in map(_strict, text)], dtype=object)
 
 
-def strip_keys(text: Column, keys: tuple[str, ...] = MACHINE_KEYS) -> Column:
-    """Canonical JSON without the keys, at every depth."""
+def strip_keys(text: Column, keys: tuple[str, ...]) -> Column:
+    """Canonical JSON without the keys (the archive's machine-specific ones), at every depth; null for broken JSON."""
 
     @F.pandas_udf(StringType())
     def strip(values):
@@ -79,34 +94,40 @@ def _rewrite(lines: DataFrame, provider: str, workspace: str | None, check_id: b
         import pyarrow as pa
 
         names = ["file", "thread_id", "line_no", "raw", "ending", "warning"]
+
+        def session(value: dict, thread, first: bool, provider, workspace) -> tuple[bytes | None, str | None]:
+            if not isinstance(value.get("payload"), dict):
+                return None, "broken_header" if first and check_id else "invalid_session_meta"
+            payload = value["payload"]
+            if first and check_id and payload.get("id") != thread:
+                return None, "broken_header"
+            if provider is not None:
+                payload["model_provider"] = provider
+            if first and workspace is not None:
+                payload["cwd"] = workspace
+            return _dump(value).encode(), None
+
         for batch in batches:
-            raws, warnings = [], []
-            for r in batch.to_pylist():
-                raw, warning, first = r["raw"] or b"", None, r["line_no"] == 0
+            raws, warnings = batch.column("raw").to_pylist(), [None] * batch.num_rows
+            places = batch.column("line_no").to_pylist()
+            for i, raw in enumerate(raws):
+                raw = raws[i] = raw or b""
+                first = places[i] == 0
+                if len(raw) > MAX_LINE:
+                    warnings[i] = "oversized_line"
+                    continue
                 try:
-                    text = raw.decode("utf-8")
+                    value, ok = _strict(raw.decode("utf-8"))
                 except UnicodeDecodeError:
-                    text = None
-                value, ok = _strict(text)
-                if len(raw) > MAX_LINE:
-                    warning = "oversized_line"
-                elif not ok:
-                    warning = "broken_header" if first else "invalid_json" if raw.strip() else None
-                elif not isinstance(value, dict) or value.get("type") != "session_meta":
-                    warning = "broken_header" if first and check_id else None
-                elif not isinstance(value.get("payload"), dict):
-                    warning = "broken_header" if first and check_id else "invalid_session_meta"
-                elif first and check_id and value["payload"].get("id") != r["thread_id"]:
-                    warning = "broken_header"
-                else:
-                    payload = value["payload"]
-                    if r["__provider"] is not None:
-                        payload["model_provider"] = r["__provider"]
-                    if first and r["__workspace"] is not None:
-                        payload["cwd"] = r["__workspace"]
-                    raw = _dump(value).encode()
-                raws.append(raw)
-                warnings.append(warning)
+                    ok = False
+                if not ok:
+                    warnings[i] = "broken_header" if first else "invalid_json" if raw.strip() else None
+                elif isinstance(value, dict) and value.get("type") == "session_meta":
+                    of = (batch.column(c)[i].as_py() for c in ("__provider", "__workspace"))
+                    new, warnings[i] = session(value, batch.column("thread_id")[i].as_py(), first, *of)
+                    raws[i] = raw if new is None else new
+                elif first and check_id:
+                    warnings[i] = "broken_header"
             columns = [batch.column(c) for c in names[:3]] + [pa.array(raws, pa.binary()), batch.column("ending"), pa.array(warnings, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -120,12 +141,18 @@ def _rewrite(lines: DataFrame, provider: str, workspace: str | None, check_id: b
 def normalize_lines(lines: DataFrame) -> DataFrame:
     """Session records in canonical form with fixed tokens for provider and (first line) workspace; all other lines byte by byte as they were.
 
-    `warning`: broken_header fails the thread; invalid_json, invalid_session_meta and
+    `warning`: broken_header fails the thread (see accepted_lines); invalid_json, invalid_session_meta and
     oversized_line keep the line.
     """
     return _rewrite(lines.withColumn("__p", F.lit(PROVIDER_TOKEN)).withColumn("__w", F.lit(WORKSPACE_TOKEN)), "__p", "__w", True)
 
 
+def accepted_lines(normalized: DataFrame) -> DataFrame:
+    """The lines of the threads whose header is sound; the others fail as a whole."""
+    failed = normalized.filter("warning = 'broken_header'").select("file", "thread_id").distinct()
+    return normalized.join(failed, normalized["file"].eqNullSafe(failed["file"]) & normalized["thread_id"].eqNullSafe(failed["thread_id"]), "left_anti")
+
+
 def materialize_lines(lines: DataFrame, machines: DataFrame, on: str) -> DataFrame:
     """The inverse: this machine's provider and workspace (home_key.., provider, workspace) put back."""
     m = machines.select(on, F.col("provider").alias("__p"), F.col("workspace").alias("__w"))
@@ -137,21 +164,26 @@ def rewrite_provider(lines: DataFrame, provider: str) -> DataFrame:
     return _rewrite(lines.withColumn("__p", F.lit(provider)), "__p", None, False)
 
 
-def content_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Per file its length and content id over all lines and endings in order."""
+def joined_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Per file its content again: all lines and endings in order. For files that fit a row."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.hex(F.concat("raw", F.encode("ending", "UTF-8"))).alias("h"))))
     data = F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), ""))
-    return lines.groupBy(*keys).agg(data.alias("data")).select(*keys, F.octet_length("data").cast("long").alias("byte_length"), content_id(F.col("data")).alias("content_id"))
+    return lines.groupBy(*keys).agg(data.alias("content"))
+
+
+def content_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Per file its length and content id over all lines and endings in order."""
+    return joined_lines(lines, keys).select(*keys, F.octet_length("content").cast("long").alias("byte_length"), content_id(F.col("content")).alias("content_id"))
 
 
-def semantic_row(row: Column) -> Column:
+def semantic_row(row: Column, machine_keys: tuple[str, ...] = ("model_provider", "rollout_path", "cwd")) -> Column:
     """A thread's row (map of strings) without machine keys, nulls, synthesised recency and defaults."""
     updated, updated_ms = F.try_element_at(row, F.lit("updated_at")), F.try_element_at(row, F.lit("updated_at_ms"))
     ms = F.coalesce(updated_ms, (updated.try_cast("bigint") * 1000).cast("string"))
 
     def keep(k, v):
         quiet = (
-            k.isin(*MACHINE_KEYS, "cwd")
+            k.isin(*machine_keys)
             | v.isNull()
             | ((k == "recency_at") & ((v == "0") | v.eqNullSafe(updated)))
             | ((k == "recency_at_ms") & ((v == "0") | v.eqNullSafe(ms)))

@@ -36,17 +36,22 @@ def canonical_paths(paths: DataFrame, rules: DataFrame, **options) -> DataFrame:
 
 
 def ambiguous_rules(rules: DataFrame, scope: list[str]) -> DataFrame:
-    """Violations: blank or root prefixes, and keys that two rules of a scope share on one side."""
+    """Violations: blank or root prefixes (a drive is none), and keys that two rules of a scope share on one side."""
     sides = [rules.select(*scope, F.lit(s).alias("side"), path_key(F.col(f"{s}_prefix")).alias("key")) for s in ("remote", "local")]
     rows = sides[0].unionByName(sides[1]).groupBy(*scope, "side", "key").agg(F.count(F.lit(1)).alias("n"))
-    rule = F.when(F.col("key").rlike(r"\A(|[a-z]:)\z"), "root").when(F.col("n") > 1, "repeated")
+    rule = F.when(F.col("key") == "", "root").when(F.col("n") > 1, "repeated")
     return rows.withColumn("rule", rule).filter("rule IS NOT NULL")
 
 
 def with_reference_paths(threads: DataFrame, reference: DataFrame) -> DataFrame:
-    """A thread's path from the reference set, else its own, else its row's cwd."""
-    known = reference.dropDuplicates(["thread_id"]).select("thread_id", F.col("source_path").alias("__known"))
-    return threads.join(known, "thread_id", "left").withColumn("source_path", F.coalesce("__known", "source_path", "cwd")).drop("__known")
+    """A thread's path from the reference set, else its own, else its row's cwd.
+
+    problem: duplicate_reference where the set names the thread more than once; such a reference is not applied.
+    """
+    known = reference.groupBy("thread_id").agg(F.first("source_path").alias("__known"), (F.count(F.lit(1)) > 1).alias("__twice"))
+    rows = threads.join(known, "thread_id", "left")
+    path = F.coalesce(F.when(~F.col("__twice"), F.col("__known")), "source_path", "cwd")
+    return rows.withColumn("source_path", path).withColumn("problem", F.when(F.col("__twice"), "duplicate_reference")).drop("__known", "__twice")
 
 
 def path_usage(threads: DataFrame, index: DataFrame, by: list[str]) -> DataFrame:
@@ -57,12 +62,14 @@ def path_usage(threads: DataFrame, index: DataFrame, by: list[str]) -> DataFrame
 
 
 def classify_paths(paths: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct paths as mapped, existing (in the table of known folders) or missing."""
+    """Distinct paths as mapped, existing (in the table of known folders) or missing; `listed` marks the missing ones that lie in no other missing one."""
     distinct = paths.withColumn("key", path_key(F.col("path"))).groupBy("key").agg(F.min("path").alias("path"))
     mapped = map_paths(distinct, rules)
     dirs = known.select(path_key(F.col("path")).alias("key"), F.lit(True).alias("exists")).distinct()
     kind = F.when(F.col("mapped").isNotNull(), "mapped").when(F.col("exists"), "existing").otherwise("missing")
-    return mapped.join(dirs, "key", "left").select("key", "path", kind.alias("kind"))
+    rows = mapped.join(dirs, "key", "left").select("key", "path", kind.alias("kind"))
+    roots = minimal_roots(rows.filter("kind = 'missing'").select("path")).select("key", F.lit(True).alias("listed"))
+    return rows.join(roots, "key", "left").fillna(False, ["listed"])
 
 
 def minimal_roots(paths: DataFrame) -> DataFrame:
@@ -82,19 +89,19 @@ def path_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return inside.select("a", "b", kind.alias("relation")).unionByName(around.select("a", "b", F.lit("parent").alias("relation")))
 
 
-def unique_names(df: DataFrame, by: list[str], rounds: int = 20) -> DataFrame:
+def unique_names(df: DataFrame, by: list[str]) -> DataFrame:
     """suggest_name per path, made unique without regard to case: the first keeps it, others get -2, -3...
 
-    A generated name can meet another one, so the pass repeats until none does.
+    A generated name can meet another one, so the pass repeats until none does; each pass
+    lengthens all but the first of the names that meet, so it ends.
     """
     named = df.withColumn("name", suggest_name(F.col("path")))
-    for _ in range(rounds):
+    while True:
         w = Window.partitionBy(*by, F.lower("name")).orderBy("path")
         n = F.row_number().over(w)
         named = rewritten(named.withColumn("name", F.when(n > 1, F.concat("name", F.lit("-"), n.cast("string"))).otherwise(F.col("name"))), "names")
         if not named.groupBy(*by, F.lower("name").alias("l")).count().filter("count > 1").limit(1).count():
-            break
-    return named
+            return named
 
 
 def assign_projects(threads: DataFrame, roots: DataFrame, projects: DataFrame) -> DataFrame:
@@ -160,22 +167,22 @@ def dedupe_rules(rules: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def cleanup_candidates(usage: DataFrame, rules: DataFrame, projects: DataFrame, dirs: DataFrame, protected: DataFrame) -> DataFrame:
-    """Per path: threads, whether a rule covers it, whether it is a project, folder state, eligibility.
+    """Per path: active and archived threads, whether a rule covers it (inherited: only one of a folder above), its projects' names, folder state, eligibility.
 
-    Eligible: no threads, no rule, no overlap with a protected path, and an empty folder or a
-    missing one that is listed as a project.
+    projects: path, name. Eligible: no threads, no rule, no overlap with a protected path, and an
+    empty folder or a missing one that is listed as a project.
     """
     key = lambda df: df.withColumn("key", path_key(F.col("path")))
-    u = key(usage).groupBy("key").agg(F.sum(F.col("active") + F.col("archived")).alias("threads"))
-    p = key(projects).select("key", F.lit(True).alias("project")).distinct()
+    u = key(usage).groupBy("key").agg(F.sum("active").alias("active"), F.sum("archived").alias("archived"))
+    p = key(projects).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("projects"))
     d = key(dirs).groupBy("key").agg(F.min("state").alias("state"))
     all_ = u.join(p, "key", "full").join(d, "key", "full")
     up = all_.select("key", F.explode(ancestors(F.col("key"))).alias("at"))
-    covered = up.join(rules.select(path_key(F.col("local_prefix")).alias("at")).distinct(), "at").select("key").distinct().withColumn("covered", F.lit(True))
+    covered = up.join(rules.select(path_key(F.col("local_prefix")).alias("at")).distinct(), "at").groupBy("key").agg(F.lit(True).alias("covered"), F.bool_and(F.col("at") != F.col("key")).alias("inherited"))
     touched = path_overlap(all_.select(F.col("key").alias("path")), protected).select(F.col("a").alias("key")).distinct().withColumn("touched", F.lit(True))
-    rows = all_.join(covered, "key", "left").join(touched, "key", "left").fillna(False, ["project", "covered", "touched"]).fillna(0, ["threads"]).fillna("missing", ["state"])
-    empty = (F.col("state") == "empty") | ((F.col("state") == "missing") & F.col("project"))
-    return rows.withColumn("eligible", (F.col("threads") == 0) & ~F.col("covered") & ~F.col("touched") & empty).drop("touched")
+    rows = all_.join(covered, "key", "left").join(touched, "key", "left").fillna(False, ["covered", "inherited", "touched"]).fillna(0, ["active", "archived"]).fillna("missing", ["state"])
+    empty = (F.col("state") == "empty") | ((F.col("state") == "missing") & F.col("projects").isNotNull())
+    return rows.withColumn("eligible", (F.col("active") + F.col("archived") == 0) & ~F.col("covered") & ~F.col("touched") & empty).drop("touched")
 
 
 def search_paths(entries: DataFrame, wanted: Column, query: str) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clean_provider, is_sha256_id
+from ..functions.expr import clean_provider, is_rfc3339, is_sha256_id
+from .normalize import is_json
 
 MIB = 1 << 20
 #: Bytes allowed per kind of object.
 MAX_BYTES = {"whole": 64 << 30, "chunk": 4 * MIB, "chunk_manifest": 16 * MIB, "thread": 16 * MIB, "revision_root": 16 * MIB, "snapshot_overlay": 16 * MIB}
 HEADER_BYTES = MIB
+TIMES = ("created_at_ms", "updated_at_ms")
 MAX_REFERENCES, MAX_MANIFESTS, MAX_TOTAL = 500_000, 10_000, 20_000
+FINGERPRINT = r"\Ahmac-sha256:[0-9a-f]{64}\z"
 UUID7 = r"\A[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 
 
@@ -24,12 +27,13 @@ def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> Data
 def classify_headers(files: DataFrame) -> DataFrame:
     """Warning kind or header fields of each file; the first check that fails names the kind.
 
-    files: path, archived, byte_length, header (binary, the first line).
+    files: path, archived, byte_length, header (binary, the first line). Whether a header is JSON
+    is asked of a strict parser, which takes one value and nothing behind it.
     """
     blank = lambda c: F.when(F.trim(c) != "", c)
     text = F.regexp_replace(F.decode("header", "UTF-8"), "^\ufeff", "")
     rows = files.withColumn("valid_text", F.is_valid_utf8(F.col("header").cast("string"))).withColumn("text", F.when(F.col("valid_text"), text))
-    v = F.when(F.trim("text").rlike(r"(?s)\}\s*\z"), F.try_parse_json("text"))
+    v = F.when(is_json(F.col("text")), F.try_parse_json("text"))
     rows = rows.withColumn("type", F.try_variant_get(v, "$.type", "string")).withColumn("ok", v.isNotNull())
     get = lambda name: blank(F.try_variant_get(v, f"$.payload.{name}", "string"))
     rows = rows.withColumn("thread_id", get("id")).withColumn("cwd", get("cwd")).withColumn("model_provider", get("model_provider"))
@@ -53,12 +57,12 @@ def dedupe_threads(valid: DataFrame) -> DataFrame:
 
 
 def enrich_with_index(rollouts: DataFrame, index: DataFrame) -> DataFrame:
-    """Index values where there are any, else the file's; the title falls back to the id."""
-    i = index.select("thread_id", *(F.col(c).alias(f"i_{c}") for c in ("title", "archived", "cwd", "model_provider")))
+    """Index values where there are any, else the file's; the title falls back to the id, and the index' times are taken over."""
+    i = index.select("thread_id", *(F.col(c).alias(f"i_{c}") for c in ("title", "archived", "cwd", "model_provider")), *(c for c in TIMES if c in index.columns))
     rows = rollouts.join(i, "thread_id", "left")
     title = F.coalesce(F.when(F.trim("i_title") != "", F.trim("i_title")), F.col("thread_id").cast("string"))
     pick = lambda c: F.coalesce(f"i_{c}", c).alias(c)
-    return rows.select("thread_id", "path", "byte_length", title.alias("title"), pick("archived"), pick("cwd"), pick("model_provider"))
+    return rows.select("thread_id", "path", "byte_length", title.alias("title"), pick("archived"), pick("cwd"), pick("model_provider"), *(c for c in TIMES if c in index.columns))
 
 
 def warning_counts(classified: DataFrame) -> DataFrame:
@@ -115,13 +119,27 @@ def check_revisions(revisions: DataFrame) -> DataFrame:
             "version": F.col("version") != 4,
             "namespace": ~F.coalesce(F.col("namespace_id").rlike(UUID7), F.lit(False)),
             "parent": F.col("parent_revision").isNotNull() & ~is_sha256_id(F.col("parent_revision")),
-            "created_at": F.try_to_timestamp("created_at").isNull(),
+            "created_at": ~is_rfc3339(F.col("created_at")),
             "blank_thread": F.exists(ids, lambda x: F.trim(x) == ""),
             "repeated_thread": F.size(F.array_distinct(ids)) != F.size(ids),
         },
     )
 
 
+def check_revision_threads(threads: DataFrame) -> DataFrame:
+    """revision, thread_id, schema_version, sha256, media_type of the threads and attachments that revisions list."""
+    return violations(
+        threads,
+        ["revision", "thread_id"],
+        {
+            "thread_version": F.col("schema_version") != 4,
+            "blank_thread": F.trim("thread_id") == "",
+            "object_hash": ~is_sha256_id(F.col("sha256")),
+            "media_type": F.trim("media_type") == "",
+        },
+    )
+
+
 def check_descriptors(d: DataFrame) -> DataFrame:
     """id, schema_version, normalization_version, thread_id, media_type, logical_sha256, related (array of table names)."""
     return violations(
@@ -186,7 +204,7 @@ def check_path_rules(rules: DataFrame) -> DataFrame:
             "label": bad_text("label", 128),
             "remote_prefix": bad_text("remote_prefix", 1024),
             "local_prefix": bad_text("local_prefix", 1024),
-            "created_at": F.try_to_timestamp("created_at").isNull(),
+            "created_at": ~is_rfc3339(F.col("created_at")),
         },
     )
 
@@ -201,7 +219,7 @@ def check_namespace_rules(rules: DataFrame) -> DataFrame:
         {
             "repeated_id": F.col("n") > 1,
             "no_condition": F.coalesce("fingerprint", "provider", "home_key").isNull(),
-            "fingerprint": F.col("fingerprint").isNotNull() & ~F.col("fingerprint").rlike(r"\A[0-9a-f]{8,64}\z"),
+            "fingerprint": F.col("fingerprint").isNotNull() & ~F.col("fingerprint").rlike(FINGERPRINT),
             "provider": F.col("provider").isNotNull() & ~clean_provider(F.col("provider"), lower=True).eqNullSafe(F.col("provider")),
             "same_conditions": F.col("same") > 1,
         },

@@ -84,3 +84,37 @@ REVISIONS_SQL = """
     SELECT event_id AS id, user_id AS namespace_id, lag(event_id) OVER w AS parent, row_number() OVER w AS seq, ts AS created_at,
            CASE WHEN event_type = 'error' THEN 'trashed' ELSE 'active' END AS state, value
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+def revision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions with branches, parents in other namespaces, parents that are not there, and trashed ones at the ends of chains."""
+    k = F.col("id")
+    r = revisions(spark, sf_dir)
+    parent = F.when(k % 97 == 5, k + 10_000_000).when(k % 89 == 7, k - 1).when((k % 19 == 3) & (F.col("seq") > 2), F.col("before"))
+    from pyspark.sql import Window
+
+    before = F.lag("id", 2).over(Window.partitionBy("namespace_id").orderBy("seq"))
+    return r.withColumn("before", before).withColumn("parent", F.coalesce(parent, "parent")).drop("before")
+
+
+TREE_SQL = f"""{REVISIONS_SQL},
+  tree AS (SELECT id, namespace_id, seq, created_at, state, CASE WHEN id % 97 = 5 THEN id + 10000000 WHEN id % 89 = 7 THEN id - 1 WHEN id % 19 = 3 AND seq > 2 THEN lag(id, 2) OVER (PARTITION BY namespace_id ORDER BY seq) ELSE parent END AS parent FROM revisions)"""
+
+
+def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace per user: its epoch is its number of sign-ups, its head the last revision that is not trashed."""
+    e = table(spark, sf_dir, "events")
+    live = F.when(F.col("event_type") != "error", F.struct("ts", "event_id"))
+    return e.groupBy(F.col("user_id").alias("namespace_id")).agg(
+        F.count_if(F.col("event_type") == "signup").alias("namespace_epoch"), F.max(live)["event_id"].alias("head_revision"), F.min("ts").alias("created_at")
+    )
+
+
+NAMESPACES_SQL = """
+  namespaces AS (SELECT user_id AS namespace_id, count(*) FILTER (event_type = 'signup') AS namespace_epoch, arg_max(event_id, (ts, event_id)) FILTER (event_type <> 'error') AS head_revision, min(ts) AS created_at FROM events GROUP BY 1)"""
+
+
+#: Two levels of buckets over the rows l({by}, t).
+LISTED_SQL = """fine AS (SELECT {by}, substr(sha256(t), 1, 6) AS b, 'sha256:' || sha256(string_agg(t, chr(10) ORDER BY t)) AS h, count(*) AS n FROM l GROUP BY ALL),
+  wide AS (SELECT {by}, substr(b, 1, 3) AS b3, 'sha256:' || sha256(string_agg(b || h, chr(10) ORDER BY b || h)) AS h, sum(n) AS n FROM fine GROUP BY ALL),
+  listed AS (SELECT {by}, 'sha256:' || sha256(string_agg(b3 || h, chr(10) ORDER BY b3 || h)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM wide GROUP BY ALL)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import chunks as C
 from ..operators import diffmerge as D
-from .bindings import CHUNKS_SQL, SETS_SQL, chunk_rows, table, thread_set, threads
+from .bindings import CHUNKS_SQL, LISTED_SQL, SETS_SQL, chunk_rows, table, thread_set, threads
 
 
 def _sets(spark, d):
@@ -32,24 +32,43 @@ def d4_conflict_ids(spark, d):
     return D.conflict_ids(D.merge3(*_sets(spark, d))).select("thread_id", "conflict_kind", "conflict_id")
 
 
+BY = ["home_key"]
+
+
 def _choices(spark, d):
-    """Local for even threads, remote for odd ones; every 17th is missing, every 19th is stale."""
-    c = D.conflict_ids(D.merge3(*_sets(spark, d)))
-    stale = F.when(F.col("thread_id") % 19 == 0, "sha256:0").otherwise(F.col("conflict_id"))
-    return c, c.filter("thread_id % 17 <> 0").select("thread_id", stale.alias("conflict_id"), F.when(F.col("thread_id") % 2 == 0, "local").otherwise("remote").alias("choice"))
+    """Merges of homes and what was chosen in each: homes by number modulo 4 are answered in full, lack answers, hold stale ids, or have extra, double and unknown ones."""
+    m = D.merge3(*_sets(spark, d), keys=[*BY, "thread_id"])
+    c, k, h = D.conflict_ids(m, BY), F.col("thread_id"), F.regexp_extract("home_key", r"(\d+)$", 1).cast("int") % 4
+    stale = F.when((h == 2) & (k % 19 == 0), "sha256:0").otherwise(F.col("conflict_id"))
+    choice = F.when((h == 3) & (k % 29 == 1), "both").when(k % 2 == 0, "local").otherwise("remote")
+    given = c.select("home_key", "thread_id", stale.alias("conflict_id"), choice.alias("choice")).withColumn("thread_id", F.when((h == 1) & (k % 17 == 0), -k).otherwise(k))
+    return m, c, given.filter("thread_id > 0").unionByName(given.filter((h == 3) & (k % 23 == 2)))
 
 
 def d5_resolution_problems(spark, d):
-    return D.resolution_problems(*_choices(spark, d))
+    _, c, given = _choices(spark, d)
+    return D.resolution_problems(c, given, BY)
 
 
 def d5_resolve(spark, d):
-    return D.resolve(D.merge3(*_sets(spark, d)), _choices(spark, d)[1])
+    m, _, given = _choices(spark, d)
+    return D.resolve(m, given, BY)
+
+
+def _owned(spark, d):
+    """Documents as threads of small homes."""
+    t = table(spark, d, "documents")
+    return t.select(F.floor(F.col("doc_id") / 40).alias("home_key"), F.col("doc_id").alias("thread_id"), F.substring("text", 1, 24).alias("title"), E.content_id(F.col("text")).alias("hash"))
+
+
+def _moved(spark, d):
+    """The same with some edited and some in another home."""
+    k = F.col("thread_id")
+    return _owned(spark, d).withColumn("hash", F.when(k % 91 == 0, E.content_id(F.col("hash"))).otherwise(F.col("hash"))).withColumn("home_key", F.col("home_key") + F.when(k % 97 == 0, 1).otherwise(0))
 
 
 def d6_same_state(spark, d):
-    base, local, _ = _sets(spark, d)
-    return D.same_state(base.filter("thread_id % 5 <> 0 AND thread_id % 91 <> 0"), local.filter("thread_id % 5 <> 0"), ["home_key"])
+    return D.same_state(_owned(spark, d), _moved(spark, d), ["home_key"])
 
 
 def d7_apply_check(spark, d):
@@ -58,10 +77,13 @@ def d7_apply_check(spark, d):
 
 
 def d8_import_plan(spark, d):
+    """Into archives that hold a quarter of the threads under their ids, the rest under others."""
     _, local, remote = _sets(spark, d)
-    path = lambda k: F.concat(F.lit("sessions/"), (F.col("thread_id") - F.col("thread_id") % k).cast("string"))
-    incoming = remote.withColumn("path", path(2)).withColumn("index_rows", F.when(F.col("thread_id") % 23 == 0, 2).otherwise(1))
-    return D.import_plan(incoming, local.filter("thread_id % 4 = 0").withColumn("path", path(1)))
+    k = F.col("thread_id")
+    path = lambda n: F.concat(F.lit("sessions/"), (k - k % n).cast("string"))
+    incoming = remote.withColumn("path", path(2)).withColumn("index_rows", F.when(k % 23 == 0, 2).otherwise(1))
+    target = local.withColumn("path", path(1)).withColumn("path", F.when(k % 4 == 0, F.col("path")).otherwise(F.concat("path", F.lit("x"))))
+    return D.import_plan(incoming, target.withColumn("thread_id", F.when(k % 4 == 0, k).otherwise(-k)))
 
 
 def d9_align(spark, d):
@@ -87,9 +109,28 @@ def d12_sync_status(spark, d):
     return D.sync_status(tracking, n, equal)
 
 
+def d12_restore_status(spark, d):
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    tracking = c.select(k.alias("home_key"), F.col("c_nationkey").alias("namespace_id"), (k % 4).alias("integrated_head"), F.when(k % 9 == 0, 2).otherwise(1).alias("remote_epoch"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("namespace_id"), (F.col("n_nationkey") % 4).cast("long").alias("head_revision"), F.lit(1).alias("namespace_epoch"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("namespace_id"), F.col("s_suppkey").alias("revision"), (F.col("s_suppkey") % 3).alias("warning_count"))
+    return D.restore_status(tracking, n, s).groupBy("home_key", "restore").agg(F.count(F.lit(1)).alias("n"))
+
+
 def d13_workspace_clean(spark, d):
-    base, local, _ = _sets(spark, d)
-    return D.workspace_clean(local.filter("thread_id % 5 <> 0 AND thread_id % 13 <> 0"), base.filter("thread_id % 5 <> 0 AND thread_id % 7 <> 0 AND thread_id % 97 <> 0"), ["home_key"])
+    return D.workspace_clean(_moved(spark, d), _owned(spark, d), ["home_key"])
+
+
+def d14_active_binding(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("home_key"), F.lit("r").alias("remote_id"), "event_type", F.col("event_id").alias("generation"), (F.col("event_id") % 3 == 0).alias("active"))
+    return D.active_binding(e.withColumnRenamed("event_type", "namespace_id"))
+
+
+def d3_duplicate_ids(spark, d):
+    """Ids that a set holds twice, after some were written over."""
+    k = F.col("thread_id")
+    return D.duplicate_ids(thread_set(spark, d, "local").withColumn("thread_id", k - F.when(k % 50 == 1, 1).otherwise(0)), [*BY, "thread_id"])
 
 
 def d14_latest_tracking(spark, d):
@@ -137,6 +178,15 @@ def s6_new_objects(spark, d):
     return C.new_objects(rows.filter("id % 3 = 0"), rows.filter("id % 3 <> 0")).select("kind", "sha256")
 
 
+def v9_verify_whole(spark, d):
+    t = table(spark, d, "documents")
+    k = F.col("doc_id")
+    declared = t.select(k.alias("id"), F.when(k % 31 == 0, E.content_id(F.lit("x"))).otherwise(E.content_id(F.col("text"))).alias("logical_sha256"), (F.octet_length("text") + F.when(k % 37 == 0, 1).otherwise(0)).alias("byte_length"))
+    rows = chunk_rows(spark, d)
+    rows = rows.withColumn("bytes", F.when((F.col("id") % 41 == 0) & (F.col("pos") == 0), F.encode(F.lit("?"), "UTF-8")).otherwise(F.col("bytes")))
+    return C.verify_whole(rows, declared, ["id"])
+
+
 def v9_verify_chunks(spark, d):
     rows = chunk_rows(spark, d)
     rows = rows.withColumn("sha256", F.when(F.col("id") % 50 == 0, E.content_id(F.lit("x"))).otherwise(F.col("sha256"))).withColumn("byte_length", F.col("byte_length") + F.when(F.col("id") % 70 == 1, 1).otherwise(0))
@@ -144,7 +194,7 @@ def v9_verify_chunks(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    d1_snapshot_diff, d2_diff_summary, d3_merge3, d4_conflict_ids, d5_resolution_problems, d5_resolve, d6_same_state, d7_apply_check, d8_import_plan, d9_align,
+    d3_duplicate_ids, d12_restore_status, d14_active_binding, v9_verify_whole, d1_snapshot_diff, d2_diff_summary, d3_merge3, d4_conflict_ids, d5_resolution_problems, d5_resolve, d6_same_state, d7_apply_check, d8_import_plan, d9_align,
     d10_provider_drift, d11_set_provider, d12_sync_status, d13_workspace_clean, d14_latest_tracking, d15_primary_source, n2_content_id, n10_chunk, n11_storage_mode,
     n12_manifest, n13_reassemble, n14_dedup_stats, n15_revision_id, s6_new_objects, v9_verify_chunks)}
 
@@ -154,7 +204,7 @@ _DIFF = """
          coalesce(r.title, l.title) AS title
   FROM {a} l FULL JOIN {b} r ON l.thread_id = r.thread_id"""
 _MERGE = f"""{SETS_SQL},
-  m AS (SELECT coalesce(b.thread_id, l.thread_id, r.thread_id) AS thread_id, coalesce(l.title, r.title, b.title) AS title,
+  m AS (SELECT coalesce(b.thread_id, l.thread_id, r.thread_id) AS thread_id, coalesce(b.home_key, l.home_key, r.home_key) AS home_key, coalesce(l.title, r.title, b.title) AS title,
                b.hash AS bh, l.hash AS lh, r.hash AS rh,
                b.hash IS NOT DISTINCT FROM l.hash AS ls, b.hash IS NOT DISTINCT FROM r.hash AS rs, l.hash IS NOT DISTINCT FROM r.hash AS lr
         FROM base b FULL JOIN local l ON b.thread_id = l.thread_id FULL JOIN remote r ON r.thread_id = coalesce(b.thread_id, l.thread_id)),
@@ -162,27 +212,38 @@ _MERGE = f"""{SETS_SQL},
              FROM m),
   sided AS (SELECT *, CASE WHEN conflict_kind IS NOT NULL THEN NULL WHEN ls AND rs THEN CASE WHEN lh IS NOT NULL THEN 'local' WHEN rh IS NOT NULL THEN 'remote' END
                            WHEN ls THEN CASE WHEN rh IS NOT NULL THEN 'remote' END ELSE CASE WHEN lh IS NOT NULL THEN 'local' END END AS side FROM merged),
-  conflicts AS (SELECT thread_id, conflict_kind, 'sha256:' || sha256(concat_ws(chr(10), CAST(thread_id AS VARCHAR), conflict_kind, coalesce(bh, '-'), coalesce(lh, '-'), coalesce(rh, '-'))) AS conflict_id
+  conflicts AS (SELECT thread_id, home_key, CAST(regexp_extract(home_key, '(\\d+)$', 1) AS INT) % 4 AS h, conflict_kind, 'sha256:' || sha256(concat_ws(chr(10), CAST(thread_id AS VARCHAR), conflict_kind, coalesce(bh, '-'), coalesce(lh, '-'), coalesce(rh, '-'))) AS conflict_id
                 FROM merged WHERE conflict_kind IS NOT NULL)"""
 
+_PROBLEMS = """problems AS (SELECT home_key, thread_id, CASE WHEN h = 1 AND thread_id % 17 = 0 THEN 'missing' WHEN h = 3 AND thread_id % 23 = 2 THEN 'duplicate' WHEN h = 2 AND thread_id % 19 = 0 THEN 'stale' ELSE 'unknown_choice' END AS problem
+    FROM conflicts WHERE (h = 1 AND thread_id % 17 = 0) OR (h = 3 AND thread_id % 23 = 2) OR (h = 2 AND thread_id % 19 = 0) OR (h = 3 AND thread_id % 29 = 1))"""
+_OWNED = """owned AS (SELECT doc_id AS thread_id, doc_id // 40 AS home_key, sha256(text) AS hash FROM documents),
+  moved AS (SELECT thread_id, home_key + CASE WHEN thread_id % 97 = 0 THEN 1 ELSE 0 END AS home_key, CASE WHEN thread_id % 91 = 0 THEN 'x' ELSE hash END AS hash FROM owned),
+  sames AS (SELECT home_key, count(*) FILTER (a.hash IS DISTINCT FROM b.hash) = 0 AS same FROM owned a FULL JOIN moved b USING (home_key, thread_id) GROUP BY 1)"""
+
 ORACLE_SQL = {
+    "d3_duplicate_ids": f"WITH {SETS_SQL} SELECT home_key, thread_id - CASE WHEN thread_id % 50 = 1 THEN 1 ELSE 0 END AS thread_id, count(*) AS n FROM local GROUP BY 1, 2 HAVING count(*) > 1",
+    "d12_restore_status": """SELECT c_custkey AS home_key, CASE WHEN c_custkey % 9 = 0 THEN 'epoch_changed' WHEN c_custkey % 4 <> c_nationkey % 4 THEN 'pull_first' WHEN s_suppkey % 3 > 0 THEN 'has_warnings' ELSE 'restorable' END AS restore, count(*) AS n
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""",
+    "d14_active_binding": """WITH l AS (SELECT user_id, event_type, arg_max(event_id % 3 = 0, event_id) AS a FROM events GROUP BY 1, 2)
+        SELECT user_id AS home_key, count(*) FILTER (a) AS n_active, CASE WHEN count(*) FILTER (a) = 1 THEN max(event_type) FILTER (a) END AS namespace_id FROM l GROUP BY 1""",
+    "v9_verify_whole": """SELECT doc_id AS id, CASE WHEN doc_id % 41 = 0 THEN 'chunk' WHEN doc_id % 31 = 0 THEN 'content_hash' ELSE 'content_length' END AS rule FROM documents WHERE text <> '' AND (doc_id % 41 = 0 OR doc_id % 31 = 0 OR doc_id % 37 = 0)
+        UNION ALL SELECT doc_id, 'no_chunks' FROM documents WHERE text = '' AND doc_id % 37 = 0""",
     "d1_snapshot_diff": f"WITH {SETS_SQL} SELECT thread_id, status, title FROM ({_DIFF.format(k='thread_id', a='base', b='local')})",
     "d2_diff_summary": f"""WITH {SETS_SQL} SELECT home_key, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted,
         count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'unchanged') AS unchanged
         FROM ({_DIFF.format(k='thread_id', a='base', b='local')}) GROUP BY home_key""",
     "d3_merge3": f"WITH {_MERGE} SELECT thread_id, side, conflict_kind, title FROM sided",
-    "d4_conflict_ids": f"WITH {_MERGE} SELECT * FROM conflicts",
-    "d5_resolution_problems": f"""WITH {_MERGE} SELECT thread_id, CASE WHEN thread_id % 17 = 0 THEN 'missing' ELSE 'stale' END AS problem
-        FROM conflicts WHERE thread_id % 17 = 0 OR thread_id % 19 = 0""",
-    "d5_resolve": f"""WITH {_MERGE}, picked AS (SELECT thread_id, lh, rh, CASE WHEN conflict_kind IS NULL THEN side WHEN thread_id % 17 = 0 THEN NULL
-          WHEN thread_id % 2 = 0 THEN CASE WHEN lh IS NOT NULL THEN 'local' END ELSE CASE WHEN rh IS NOT NULL THEN 'remote' END END AS side FROM sided)
-        SELECT thread_id, side, CASE side WHEN 'local' THEN lh ELSE rh END AS hash FROM picked WHERE side IS NOT NULL""",
-    "d6_same_state": f"""WITH {SETS_SQL} SELECT home_key, count(*) FILTER (status <> 'unchanged') = 0 AS same FROM (
-        {_DIFF.format(k='thread_id', a='(SELECT * FROM base WHERE thread_id % 5 <> 0 AND thread_id % 91 <> 0)', b='(SELECT * FROM local WHERE thread_id % 5 <> 0)')}) GROUP BY home_key""",
+    "d4_conflict_ids": f"WITH {_MERGE} SELECT thread_id, conflict_kind, conflict_id FROM conflicts",
+    "d5_resolution_problems": f"WITH {_MERGE}, {_PROBLEMS} SELECT * FROM problems",
+    "d5_resolve": f"""WITH {_MERGE}, {_PROBLEMS}, picked AS (SELECT thread_id, home_key, lh, rh, CASE WHEN conflict_kind IS NULL THEN side
+          WHEN thread_id % 2 = 0 THEN CASE WHEN lh IS NOT NULL THEN 'local' END ELSE CASE WHEN rh IS NOT NULL THEN 'remote' END END AS side FROM sided WHERE home_key NOT IN (SELECT home_key FROM problems))
+        SELECT home_key, thread_id, side, CASE side WHEN 'local' THEN lh ELSE rh END AS hash FROM picked WHERE side IS NOT NULL""",
+    "d6_same_state": f"WITH {_OWNED} SELECT * FROM sames",
     "d7_apply_check": f"""WITH {SETS_SQL} SELECT thread_id, CASE status WHEN 'deleted' THEN 'missing' WHEN 'added' THEN 'unexpected' ELSE 'changed' END AS problem
         FROM ({_DIFF.format(k='thread_id', a='base', b='remote')}) WHERE status <> 'unchanged'""",
     "d8_import_plan": f"""WITH {SETS_SQL}, i AS (SELECT *, 'sessions/' || CAST(thread_id - thread_id % 2 AS VARCHAR) AS path, CASE WHEN thread_id % 23 = 0 THEN 2 ELSE 1 END AS index_rows FROM remote),
-        t AS (SELECT *, 'sessions/' || CAST(thread_id AS VARCHAR) AS path FROM local WHERE thread_id % 4 = 0)
+        t AS (SELECT CASE WHEN thread_id % 4 = 0 THEN thread_id ELSE -thread_id END AS thread_id, hash, 'sessions/' || CAST(thread_id AS VARCHAR) || CASE WHEN thread_id % 4 = 0 THEN '' ELSE 'x' END AS path FROM local)
         SELECT i.thread_id, i.path, CASE WHEN t.hash = i.hash THEN 'skip' WHEN t.thread_id IS NOT NULL THEN 'conflict' WHEN p.path IS NOT NULL THEN 'path_taken'
           WHEN count(*) OVER (PARTITION BY i.path) > 1 THEN 'path_repeated' WHEN i.index_rows <> 1 THEN 'index_rows' ELSE 'insert' END AS action
         FROM i LEFT JOIN t ON i.thread_id = t.thread_id LEFT JOIN t p ON p.path = i.path""",
@@ -198,8 +259,7 @@ ORACLE_SQL = {
         SELECT c_custkey AS home_key, c_nationkey AS namespace_id,
           CASE WHEN e <> 1 THEN 'epoch_changed' WHEN same THEN 'no_changes' WHEN h IS NOT DISTINCT FROM i THEN 'pushable' ELSE 'pull_first' END AS push,
           CASE WHEN e <> 1 THEN 'epoch_changed' WHEN h IS NULL THEN 'no_head' WHEN h IS NOT DISTINCT FROM i THEN 'no_changes' ELSE 'pullable' END AS pull FROM r""",
-    "d13_workspace_clean": f"""WITH {SETS_SQL} SELECT home_key, count(*) FILTER (status <> 'unchanged') = 0 AS clean FROM (
-        {_DIFF.format(k='thread_id', a='(SELECT * FROM local WHERE thread_id % 5 <> 0 AND thread_id % 13 <> 0)', b='(SELECT * FROM base WHERE thread_id % 5 <> 0 AND thread_id % 7 <> 0 AND thread_id % 97 <> 0)')}) GROUP BY home_key""",
+    "d13_workspace_clean": f"WITH {_OWNED} SELECT home_key, same AS clean FROM sames",
     "d14_latest_tracking": """WITH l AS (SELECT user_id AS home_key, event_type, event_id AS g, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS p FROM events WHERE event_id % 37 <> 0)
         SELECT home_key, event_type, max(g) AS generation, 'r' || CAST(max(g) AS VARCHAR) AS integrated_head, count(*) FILTER (p IS NOT NULL AND g - p <> 1) AS gaps FROM l GROUP BY ALL""",
     "d15_primary_source": """SELECT home_key, source, n FROM (SELECT lang AS home_key, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS rn FROM documents GROUP BY lang, source) WHERE rn = 1""",
@@ -211,7 +271,7 @@ ORACLE_SQL = {
     "n13_reassemble": "SELECT doc_id AS id, true AS verified, 'sha256:' || sha256(text) AS content_id FROM documents WHERE text <> ''",
     "n14_dedup_stats": f"""WITH {CHUNKS_SQL}, o AS (SELECT snapshot_id, sha256, count(*) AS refs, any_value(byte_length) AS size FROM chunks GROUP BY 1, 2)
         SELECT snapshot_id, CAST(sum(refs) AS BIGINT) AS references, count(*) AS objects, CAST(sum(refs * size) AS BIGINT) AS logical_bytes, CAST(sum(size) AS BIGINT) AS physical_bytes, count(*) FILTER (refs > 1) AS shared_objects FROM o GROUP BY 1""",
-    "n15_revision_id": f"""WITH {SETS_SQL} SELECT home_key, count(*) AS thread_count, 'sha256:' || sha256(string_agg(CAST(thread_id AS VARCHAR) || ':' || hash, chr(10) ORDER BY thread_id)) AS revision_id FROM local GROUP BY home_key""",
+    "n15_revision_id": f"""WITH {SETS_SQL}, l AS (SELECT home_key, CAST(thread_id AS VARCHAR) || ':' || hash AS t FROM local), {LISTED_SQL.format(by='home_key')} SELECT home_key, n AS thread_count, fingerprint AS revision_id FROM listed""",
     "s6_new_objects": f"""WITH {CHUNKS_SQL} SELECT DISTINCT 'chunk' AS kind, sha256 FROM chunks WHERE id % 3 <> 0 AND NOT (id % 8 = 0 AND pos = 0) AND sha256 NOT IN (SELECT sha256 FROM chunks WHERE id % 3 = 0)""",
     "v9_verify_chunks": f"WITH {CHUNKS_SQL} SELECT id, pos, CASE WHEN id % 50 = 0 THEN 'hash' ELSE 'length' END AS rule FROM chunks WHERE id % 50 = 0 OR id % 70 = 1",
 }

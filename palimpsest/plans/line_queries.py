@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import normalize as N
 from ..operators import validate as V
 from ..sources import rollouts as S
+from ..sources.scratch import shared_dir
 from ..streaming import streams as T
 from .bindings import table
+from .graph_queries import ORACLE_SQL as GRAPH_SQL
+from .graph_queries import commit_log
 
 
 def contents(spark, d):
@@ -30,47 +35,94 @@ def _lines(spark, d):
 
 
 def s2_split_lines(spark, d):
-    return _lines(spark, d).groupBy("thread_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("raw") + F.length("ending")).cast("long").alias("bytes"))
+    """Lines and endings per file, and whether they make up all of its bytes."""
+    c = contents(spark, d)
+    rows = S.split_lines(c).groupBy("thread_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("ending") == "\r\n").alias("crlf"), F.count_if(F.col("ending") == "\n").alias("lf"), F.sum(F.octet_length("raw") + F.length("ending")).alias("bytes")
+    )
+    return rows.join(c.select("thread_id", F.octet_length("content").alias("size")), "thread_id").select("thread_id", "lines", "crlf", "lf", (F.col("bytes") == F.col("size")).alias("whole"))
+
+
+def _odd_lines(spark, d):
+    """A line per event, of every kind that the rules know: session records, broken ones, half surrogates, numbers that JSON does not have, other records."""
+    k = F.col("event_id")
+    head = F.concat(F.lit('{"type": "session_meta", "payload": {"id": "t'), k, F.lit('", "model_provider": "p", "z": [1, {"b": null, "a": "\\u00e9"}]}}'))
+    raw = (
+        F.when(k % 10 == 1, '{"type": "session_meta", "payload": {"id": "\\ud800"}}').when(k % 10 == 2, '{"type": "session_meta", "payload": {"id": "a", "n": NaN}}').when(k % 10 == 3, '{"type": "session_meta"} {}')
+        .when(k % 10 == 4, '{"type": "session_meta", "payload": 3}').when(k % 10 == 5, "  ").when(k % 10 == 6, F.concat(F.lit('{"type": "event", "props": '), "props", F.lit(" }"))).when(k % 10 == 7, "[1, 2]").otherwise(head)
+    )
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.concat(F.lit("t"), k - F.when(k % 10 == 9, 1).otherwise(0)).alias("thread_id"), F.when(k % 20 < 10, 0).otherwise(k).cast("long").alias("line_no"), F.encode(raw, "UTF-8").alias("raw"), F.lit("\n").alias("ending"), k.alias("k"))
 
 
 def n3_normalize(spark, d):
-    n = N.normalize_lines(_lines(spark, d))
-    return n.groupBy("thread_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("warning") == "invalid_json").alias("invalid"), F.count_if(F.col("raw").cast("string").contains(E.PROVIDER_TOKEN)).alias("tokens"))
+    """Every line as it leaves, with its warning."""
+    rows = _odd_lines(spark, d)
+    out = N.normalize_lines(rows.withColumn("file", F.col("k").cast("string")))
+    return out.select(F.col("file").cast("long").alias("k"), F.col("raw").cast("string").alias("raw"), "warning")
+
+
+def n3_accepted(spark, d):
+    """Threads with a broken header go as a whole."""
+    n = N.accepted_lines(N.normalize_lines(S.split_lines(contents(spark, d).withColumn("thread_id", F.when(F.substring("thread_id", 2, 20).cast("long") % 6 == 0, "tx").otherwise(F.col("thread_id"))))))
+    return n.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("warning") == "invalid_json").alias("invalid"), F.count_if(F.col("raw").cast("string").contains(E.PROVIDER_TOKEN)).alias("tokens"))
 
 
 def n4_round_trip(spark, d):
-    """Normalise, put the machine's values back, and compare with the canonical first lines."""
+    """Normalise, put the machine's values back: the header line, and whether each file is what it was but for the form of session records."""
     n = N.normalize_lines(_lines(spark, d)).drop("warning")
     m = contents(spark, d).select("thread_id", F.concat(F.lit("p"), F.substring("thread_id", 2, 20).cast("long") % 3).alias("provider"), F.concat(F.lit("/home/u"), F.substring("thread_id", 2, 20).cast("long") % 4).alias("workspace"))
-    head = N.materialize_lines(n, m, "thread_id").filter("line_no = 0")
-    return head.select("thread_id", F.col("raw").cast("string").alias("head"))
+    back = N.materialize_lines(n, m, "thread_id")
+    was = _lines(spark, d).select("thread_id", "line_no", F.col("raw").cast("string").alias("was"), F.col("ending").alias("end_was"))
+    text = F.col("raw").cast("string")
+    return back.join(was, ["thread_id", "line_no"]).groupBy("thread_id").agg(
+        F.max(F.when(F.col("line_no") == 0, text)).alias("head"), F.count(F.lit(1)).alias("lines"),
+        F.count_if((text == F.col("was")) & (F.col("ending") == F.col("end_was")) & ~F.col("was").contains('"session_meta"')).alias("as_they_were"),
+    )
 
 
 def n5_rewrite_provider(spark, d):
-    out = N.content_of_lines(N.rewrite_provider(_lines(spark, d), "zz"), ["thread_id"])
-    return out.join(N.content_of_lines(N.rewrite_provider(N.rewrite_provider(_lines(spark, d), "yy"), "zz"), ["thread_id"]).withColumnRenamed("content_id", "again"), ["thread_id", "byte_length"]).select("thread_id", (F.col("content_id") == F.col("again")).alias("same"))
+    """Per file its session records' providers after a change, and the lines that are byte by byte as before."""
+    out = N.rewrite_provider(_lines(spark, d), "zz").select("thread_id", "line_no", F.col("raw").cast("string").alias("now"))
+    was = _lines(spark, d).select("thread_id", "line_no", F.col("raw").cast("string").alias("was"))
+    return out.join(was, ["thread_id", "line_no"]).groupBy("thread_id").agg(
+        F.count_if(F.get_json_object("now", "$.payload.model_provider") == "zz").alias("set"), F.count_if(F.col("now").contains('"cwd":"/home/u')).alias("kept_cwd"), F.count_if(F.col("now") == F.col("was")).alias("untouched")
+    )
 
 
 def n6_strip_keys(spark, d):
-    text = F.concat(F.lit('{"b": [{"model_provider": 1, "k": '), F.get_json_object("props", "$.k"), F.lit('}], "archive_home": "x", "a": {"cwd": 2}}'))
-    return table(spark, d, "events").select("event_id", N.strip_keys(text).alias("stripped"))
+    text = F.concat(F.lit('{"b": [{"model_provider": 1, "k": '), F.get_json_object("props", "$.k"), F.lit('}], "rollout_path": "x", "a": {"cwd": 2, "home": {"x": 1}, "u": "\\u00e9"}}'))
+    text = F.when(F.col("event_id") % 7 == 3, F.concat(text, F.lit(" {}"))).otherwise(text)
+    return table(spark, d, "events").select("event_id", N.strip_keys(text, ("model_provider", "rollout_path", "home")).alias("stripped"))
 
 
 def n7_contains_key(spark, d):
-    text = F.when(F.col("event_id") % 2 == 0, '{"a": [{"model_provider": 1}]}').when(F.col("event_id") % 3 == 0, "{").otherwise(F.col("props"))
+    p = F.col("props")
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"a": [{"model_provider": '), p, F.lit("}]}"))).when(F.col("event_id") % 4 == 1, F.concat(p, F.lit("{"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"model_provider_x": '), p, F.lit("}"))).otherwise(p)
     return table(spark, d, "events").groupBy("event_type").agg(F.count_if(N.contains_key(text, "model_provider")).alias("n"))
 
 
+def n1_strict(spark, d):
+    """The strict canonical form: null unless the text is one JSON value."""
+    p, k = F.col("props"), F.col("event_id")
+    text = F.when(k % 5 == 0, F.concat(p, F.lit(" {}"))).when(k % 5 == 1, F.concat(F.lit('{"n": NaN, "p": '), p, F.lit("}"))).when(k % 5 == 2, F.concat(F.lit('{"z": null, "a": '), p, F.lit("}"))).otherwise(p)
+    return table(spark, d, "events").select("event_id", N.canonical_json_strict(text).alias("canonical"))
+
+
 def n9_semantic_hash(spark, d):
-    """Rows that differ only in machine keys, defaults and synthesised recency hash alike."""
+    """Groups of orders that differ only in machine keys, defaults and synthesised recency have one hash; a real recency gives another."""
     o = table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    base = F.create_map(F.lit("id"), k.cast("string"), F.lit("updated_at"), (k * 10).cast("string"), F.lit("name"), F.lit(None).cast("string"))
-    noisy = F.map_concat(base, F.create_map(F.lit("recency_at"), (k * 10).cast("string"), F.lit("recency_at_ms"), (k * 10000).cast("string"), F.lit("history_mode"), F.lit("legacy"), F.lit("cwd"), F.lit("/x")))
-    real = F.map_concat(base, F.create_map(F.lit("recency_at"), (k * 10 + 1).cast("string")))
-    status = F.col("o_orderstatus")
-    rows = o.select(status.alias("status"), (N.semantic_hash(base, status) == N.semantic_hash(noisy, status)).alias("alike"), (N.semantic_hash(base, status) == N.semantic_hash(real, status)).alias("other"))
-    return rows.groupBy("status").agg(F.count_if("alike").alias("alike"), F.count_if(~F.col("other")).alias("different"))
+    k, form = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    name = F.col("o_custkey") % 50
+    pairs = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    base = pairs("id", name.cast("string"), "updated_at", (name * 10 + 1).cast("string"), "name", F.lit(None).cast("string"))
+    row = (
+        F.when(form == 1, F.map_concat(base, pairs("recency_at", (name * 10 + 1).cast("string"), "recency_at_ms", ((name * 10 + 1) * 1000).cast("string"))))
+        .when(form == 2, F.map_concat(base, pairs("history_mode", "legacy", "cwd", F.concat(F.lit("/x"), k), "rollout_path", "/r")))
+        .when(form == 3, F.map_concat(base, pairs("recency_at", (name * 10 + 2).cast("string"))))
+        .otherwise(base)
+    )
+    hashed = o.select(name.alias("name"), form.alias("form"), N.semantic_hash(row, F.col("o_orderstatus")).alias("h"), F.col("o_orderstatus").alias("status"))
+    return hashed.groupBy("name").agg(F.count_distinct("h").alias("hashes"), F.count_distinct(F.when(F.col("form") != 3, F.col("h"))).alias("plain"), F.count_distinct(F.when(F.col("form") == 3, F.col("h"))).alias("recent"))
 
 
 def n16_effective_time(spark, d):
@@ -88,14 +140,22 @@ def s3_thread_index(spark, d):
 
 
 def s4_rows_to_json(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.encode("n_name", "UTF-8").alias("raw"), F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")).alias("r"))
-    return n.select("n_nationkey", S.rows_to_json(n).alias("row"))
+    n = table(spark, d, "customer").select("c_custkey", "c_name", F.encode("c_name", "UTF-8").alias("raw"), F.when(F.col("c_nationkey") > 9, F.col("c_nationkey")).alias("r"))
+    return n.select("c_custkey", S.rows_to_json(n).alias("row"))
 
 
 def s5_collect_related(spark, d):
     n, s = table(spark, d, "nation"), table(spark, d, "supplier").select("s_nationkey", "s_suppkey")
     related = S.collect_related({"nation": (n.select("n_nationkey", "n_regionkey"), "n_nationkey"), "supplier": (s, "s_nationkey")})
-    return related.select(F.col("thread_id").cast("int").alias("thread_id"), "table_name", F.size("rows").cast("long").alias("n"), F.get("rows", F.lit(0)).alias("first_row"))
+    return related.select(F.col("thread_id").cast("int").alias("thread_id"), "table_name", F.col("place").cast("long").alias("place"), "row")
+
+
+def s8_load_snapshot(spark, d):
+    """A snapshot published to a new folder and read back."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("thread_id"), F.when(F.col("doc_id") % 5 != 0, F.substring("text", 1, 20)).alias("title"), (F.col("doc_id") % 4 == 0).alias("archived"), E.content_id(F.col("text")).alias("content_id"), F.col("lang").alias("observed_provider"), F.col("source").alias("local_path"))
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    S.publish_snapshot(t, "s1", path)
+    return S.load_snapshot(spark, "s1", path).select(*t.columns)
 
 
 def s9_unchanged(spark, d):
@@ -107,12 +167,30 @@ def s9_unchanged(spark, d):
     return S.unchanged_files(f.drop("doc_id"), cache, chunks, objects).select("path", F.col("content_id").isNotNull().alias("reused"))
 
 
+def s9_refreshed(spark, d):
+    """Contents after those that had changed were read again; some could not be."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 3).alias("m"), "doc_id")
+    files = t.select("path", F.when(F.col("m") != 0, F.concat(F.lit("c"), "path")).alias("content_id"))
+    return S.refreshed_contents(files, t.filter("doc_id % 2 = 0").select("path", F.concat(F.lit("n"), "path").alias("content_id")))
+
+
 def s10_json_to_typed(spark, d):
+    """Round trips of typed rows; every 7th row has a text where the number should be."""
     from pyspark.sql.types import StructType
 
-    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.encode("n_name", "UTF-8").alias("raw"))
-    rows = n.select(S.rows_to_json(n).alias("row"))
-    return rows.select(*S.json_to_typed(F.col("row"), StructType(n.schema.fields))).select("n_nationkey", "n_name", F.hex("raw").alias("raw_hex"))
+    n = table(spark, d, "customer").select("c_custkey", "c_name", F.encode("c_name", "UTF-8").alias("raw"), F.col("c_nationkey").cast("int").alias("nation"))
+    rows = n.select(F.when(F.col("c_custkey") % 7 == 0, F.regexp_replace(S.rows_to_json(n), r'"nation":\d+', '"nation":"none"')).otherwise(S.rows_to_json(n)).alias("row"))
+    return rows.select(*S.json_to_typed(F.col("row"), StructType(n.schema.fields))).select("c_custkey", "c_name", F.hex("raw").alias("raw_hex"), "nation", F.array_join("problems", ",").alias("problems"))
+
+
+def t1_ingest(spark, d):
+    """The rules of the ingest stream, as a batch: what becomes of every conversation's file."""
+    c = contents(spark, d).withColumn("content", F.when(F.substring("thread_id", 2, 20).cast("long") % 9 == 4, F.encode(F.lit("{}\n"), "UTF-8")).otherwise(F.col("content")))
+    head = F.substring_index(F.decode("content", "ISO-8859-1"), "\n", 1)
+    h = V.classify_headers(c.select(F.col("file").alias("path"), F.lit(False).alias("archived"), F.octet_length("content").cast("long").alias("byte_length"), F.encode(head, "ISO-8859-1").alias("header")))
+    sound = c.drop("thread_id").join(h.filter("kind IS NULL").select(F.col("path").alias("file"), "thread_id"), "file")
+    n = N.accepted_lines(N.normalize_lines(S.split_lines(sound))).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count("warning").alias("warnings"))
+    return h.select(F.col("path").alias("file"), "kind").join(n, "file", "left")
 
 
 def t2_transfer_rate(spark, d):
@@ -121,6 +199,27 @@ def t2_transfer_rate(spark, d):
     return r.select("event_id", F.floor(F.col("rate") * 1000).cast("long").alias("milli_rate"))
 
 
+def t3_stream_commits(spark, d):
+    """The commit log as a stream, one file in order, to a table."""
+    path = f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}"
+    log = commit_log(spark, d)
+    log.repartitionByRange(1, "namespace_id", "seq").sortWithinPartitions("namespace_id", "seq").write.parquet(f"{path}/log")
+    store, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = T.stream_commits(spark.readStream.schema(log.schema).parquet(f"{path}/log"))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, was) if was else spark.conf.unset(store)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def v11_threads(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("revision"), F.when(k % 103 == 0, " ").otherwise(k.cast("string")).alias("thread_id"), F.when(k % 101 == 0, 3).otherwise(4).alias("schema_version"), F.when(k % 109 == 0, F.upper(E.content_id(k.cast("string")))).otherwise(E.content_id(k.cast("string"))).alias("sha256"), F.when(k % 107 == 0, "").otherwise("text/plain").alias("media_type"))
+    return V.check_revision_threads(o)
+
+
 def v12_descriptors(spark, d):
     k = F.col("o_orderkey")
     o = table(spark, d, "orders").select(
@@ -136,24 +235,45 @@ def v20_complete(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash,
+    n1_strict, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash,
     n16_effective_time, t2_transfer_rate, v12_descriptors, v20_complete)}
 
 ORACLE_SQL = {
     "s3_thread_index": """SELECT 'a' AS source, 'first' AS title, CAST(NULL AS VARCHAR) AS o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0
         UNION ALL SELECT 'b', 'second', o_orderstatus, count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 GROUP BY o_orderstatus""",
-    "s4_rows_to_json": """SELECT n_nationkey, '{"n_nationkey":' || CAST(n_nationkey AS VARCHAR) || ',"n_name":"' || n_name || '","raw":{"$type":"blob","base64":"' || base64(encode(n_name)) || '"},"r":' || CASE WHEN n_regionkey > 1 THEN CAST(n_regionkey AS VARCHAR) ELSE 'null' END || '}' AS "row" FROM nation""",
-    "s5_collect_related": """SELECT n_nationkey AS thread_id, 'nation' AS table_name, CAST(1 AS BIGINT) AS n, '{"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS first_row FROM nation
-        UNION ALL SELECT s_nationkey, 'supplier', count(*), min('{"s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}') FROM supplier GROUP BY s_nationkey""",
+    "s2_split_lines": "SELECT 't' || conv_id AS thread_id, count(*) + 1 AS lines, count(*) - 1 AS crlf, CAST(1 AS BIGINT) AS lf, true AS whole FROM conversations GROUP BY conv_id",
+    "s4_rows_to_json": """SELECT c_custkey, '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_name":"' || c_name || '","raw":{"$type":"blob","base64":"' || base64(encode(c_name)) || '"},"r":' || CASE WHEN c_nationkey > 9 THEN CAST(c_nationkey AS VARCHAR) ELSE 'null' END || '}' AS "row" FROM customer""",
+    "s5_collect_related": """WITH r AS (SELECT n_nationkey AS thread_id, 'nation' AS table_name, '{"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS row FROM nation
+        UNION ALL SELECT s_nationkey, 'supplier', '{"s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}' FROM supplier)
+        SELECT *, row_number() OVER (PARTITION BY thread_id, table_name ORDER BY row) - 1 AS place FROM r""",
+    "s8_load_snapshot": "SELECT doc_id AS thread_id, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 20) END AS title, doc_id % 4 = 0 AS archived, 'sha256:' || sha256(text) AS content_id, lang AS observed_provider, source AS local_path FROM documents",
+    "s9_refreshed": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 <> 0 THEN 'c' || doc_id WHEN doc_id % 2 = 0 THEN 'n' || doc_id END AS content_id, doc_id % 3 <> 0 AS reused FROM documents",
     "s9_unchanged": "SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AND doc_id % 100 % 6 <> 0 AS reused FROM documents",
-    "s10_json_to_typed": "SELECT n_nationkey, n_name, hex(encode(n_name)) AS raw_hex FROM nation",
-    "n3_normalize": """SELECT 't' || CAST(conv_id AS VARCHAR) AS thread_id, count(*) + 1 AS lines, count(*) FILTER (conv_id % 7 = 0 AND turn = 1) AS invalid, 1 + count(*) FILTER (conv_id % 7 <> 0 AND conv_id % 5 = 0 AND turn = 1) AS tokens FROM conversations GROUP BY conv_id""",
-    "n4_round_trip": """SELECT DISTINCT 't' || conv_id AS thread_id, '{"payload":{"cwd":"/home/u' || (conv_id % 4) || '","id":"t' || conv_id || '","model_provider":"p' || (conv_id % 3) || '"},"type":"session_meta"}' AS head FROM conversations""",
-    "n5_rewrite_provider": "SELECT DISTINCT 't' || conv_id AS thread_id, true AS same FROM conversations",
-    "n6_strip_keys": """SELECT event_id, '{"a":{"cwd":2},"b":[{"k":' || json_extract_string(props, '$.k') || '}]}' AS stripped FROM events""",
-    "n7_contains_key": "SELECT event_type, count(*) FILTER (event_id % 2 = 0) AS n FROM events GROUP BY 1",
-    "n9_semantic_hash": "SELECT o_orderstatus AS status, count(*) AS alike, count(*) AS different FROM orders GROUP BY 1",
+    "s10_json_to_typed": "SELECT c_custkey, c_name, hex(encode(c_name)) AS raw_hex, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey AS INT) END AS nation, CASE WHEN c_custkey % 7 = 0 THEN 'nation' ELSE '' END AS problems FROM customer",
+    "t1_ingest": """WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1)
+        SELECT 'sessions/rollout-t' || conv_id || '.jsonl' AS file, CASE WHEN conv_id % 9 = 4 THEN 'missing_session_meta' END AS kind, CASE WHEN conv_id % 9 <> 4 THEN turns + 1 END AS lines,
+          CASE WHEN conv_id % 9 <> 4 THEN CASE WHEN conv_id % 7 = 0 AND turns > 1 THEN 1 ELSE 0 END END AS warnings FROM c""",
+    "t2_transfer_rate": """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(floor(value * 1000) AS BIGINT) AS bytes FROM events),
+        w AS (SELECT event_id, sum(bytes) OVER q AS b, (ms - min(ms) OVER q) / 1000.0 AS span FROM e WINDOW q AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW))
+        SELECT event_id, CASE WHEN span >= 0.1 THEN CAST(floor(CAST(b AS DOUBLE) / CAST(span AS DOUBLE) * 1000) AS BIGINT) END AS milli_rate FROM w""",
+    "t3_stream_commits": GRAPH_SQL["h19_replay"],
+    "n1_strict": """SELECT event_id, CASE WHEN event_id % 5 < 2 THEN NULL WHEN event_id % 5 = 2 THEN '{"a":' || replace(props, ' ', '') || ',"z":null}' ELSE replace(props, ' ', '') END AS canonical FROM events""",
+    "n3_normalize": """WITH e AS (SELECT event_id AS k, props, event_id % 20 < 10 AS first, event_id % 10 AS m FROM events)
+        SELECT k, CASE WHEN m = 1 THEN '{"type": "session_meta", "payload": {"id": "\\ud800"}}' WHEN m = 2 THEN '{"type": "session_meta", "payload": {"id": "a", "n": NaN}}' WHEN m = 3 THEN '{"type": "session_meta"} {}' WHEN m = 4 THEN '{"type": "session_meta", "payload": 3}' WHEN m = 5 THEN '  '
+            WHEN m = 6 THEN '{"type": "event", "props": ' || props || ' }' WHEN m = 7 THEN '[1, 2]' WHEN m = 9 AND first THEN '{"type": "session_meta", "payload": {"id": "t' || k || '", "model_provider": "p", "z": [1, {"b": null, "a": "\\u00e9"}]}}'
+            ELSE '{"payload":{' || CASE WHEN first THEN '"cwd":"__local_workspace__",' ELSE '' END || '"id":"t' || k || '","model_provider":"__local_provider__","z":[1,{"a":"é","b":null}]},"type":"session_meta"}' END AS raw,
+          CASE WHEN m IN (1, 2, 3) THEN CASE WHEN first THEN 'broken_header' ELSE 'invalid_json' END WHEN m = 4 THEN CASE WHEN first THEN 'broken_header' ELSE 'invalid_session_meta' END WHEN m IN (5, 6, 7, 9) AND first THEN 'broken_header' END AS warning FROM e""",
+    "n3_accepted": """SELECT 'sessions/rollout-t' || conv_id || '.jsonl' AS file, count(*) + 1 AS lines, count(*) FILTER (conv_id % 7 = 0 AND turn = 1) AS invalid, 1 + count(*) FILTER (conv_id % 7 <> 0 AND conv_id % 5 = 0 AND turn = 1) AS tokens FROM conversations WHERE conv_id % 6 <> 0 GROUP BY conv_id""",
+    "n4_round_trip": """SELECT 't' || conv_id AS thread_id, '{"payload":{"cwd":"/home/u' || (conv_id % 4) || '","id":"t' || conv_id || '","model_provider":"p' || (conv_id % 3) || '"},"type":"session_meta"}' AS head, count(*) + 1 AS lines,
+          count(*) - count(*) FILTER (conv_id % 7 <> 0 AND conv_id % 5 = 0 AND turn = 1) AS as_they_were FROM conversations GROUP BY conv_id""",
+    "n5_rewrite_provider": """SELECT 't' || conv_id AS thread_id, 1 + count(*) FILTER (conv_id % 7 <> 0 AND conv_id % 5 = 0 AND turn = 1) AS "set", CAST(1 AS BIGINT) AS kept_cwd, count(*) - count(*) FILTER (conv_id % 7 <> 0 AND conv_id % 5 = 0 AND turn = 1) AS untouched FROM conversations GROUP BY conv_id""",
+    "n6_strip_keys": """SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN '{"a":{"cwd":2,"u":"é"},"b":[{"k":' || json_extract_string(props, '$.k') || '}]}' END AS stripped FROM events""",
+    "n7_contains_key": "SELECT event_type, count(*) FILTER (event_id % 4 = 0) AS n FROM events GROUP BY 1",
+    "n9_semantic_hash": """WITH o AS (SELECT o_custkey % 50 AS name, o_orderkey % 4 AS form, o_orderstatus AS st FROM orders)
+        SELECT name, count(DISTINCT (st, form = 3)) AS hashes, count(DISTINCT st) FILTER (form <> 3) AS plain, count(DISTINCT st) FILTER (form = 3) AS recent FROM o GROUP BY 1""",
     "n16_effective_time": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey + 1 WHEN 2 THEN o_orderkey + 2 WHEN 3 THEN (o_orderkey + 3) * 1000 ELSE o_orderkey * 1000 END AS time_ms FROM orders",
+    "v11_threads": """SELECT o_custkey AS revision, CASE WHEN o_orderkey % 103 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS thread_id, unnest(list_filter([CASE WHEN o_orderkey % 101 = 0 THEN 'thread_version' END, CASE WHEN o_orderkey % 103 = 0 THEN 'blank_thread' END,
+        CASE WHEN o_orderkey % 107 = 0 THEN 'media_type' END, CASE WHEN o_orderkey % 109 = 0 THEN 'object_hash' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",
     "v12_descriptors": """SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 101 = 0 THEN 'version' END, CASE WHEN o_orderkey % 103 = 0 THEN 'blank_id' END, CASE WHEN o_orderkey % 107 = 0 THEN 'media_type' END, CASE WHEN o_orderkey % 109 = 0 THEN 'hash' END,
         CASE WHEN o_orderkey % 113 = 0 THEN 'forbidden_table' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",
     "v20_complete": "SELECT user_id AS snapshot_id, CAST(0 AS BIGINT) AS warning_count FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error' AND value > 100) = 0",

@@ -46,7 +46,8 @@ def p3_ambiguous_rules(spark, d):
 def p5_reference_paths(spark, d):
     p = paths(spark, d)
     t = p.select("thread_id", F.when(F.col("thread_id") % 5 != 0, F.col("path")).alias("source_path"), F.lit("/cwd").alias("cwd"))
-    return P.with_reference_paths(t, p.filter("thread_id % 7 = 0").select("thread_id", F.upper("path").alias("source_path"))).select("thread_id", "source_path")
+    twice = p.withColumn("thread_id", F.col("thread_id") - F.when(F.col("thread_id") % 35 == 1, 1).otherwise(0)).filter("thread_id % 7 = 0")
+    return P.with_reference_paths(t, twice.select("thread_id", F.upper("path").alias("source_path"))).select("thread_id", "source_path", "problem")
 
 
 def p6_path_usage(spark, d):
@@ -56,7 +57,8 @@ def p6_path_usage(spark, d):
 
 def p7_classify_paths(spark, d):
     p = paths(spark, d)
-    return P.classify_paths(p, rules(spark, d), p.filter("thread_id % 2 = 0").select("path")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    p = p.unionByName(p.filter("thread_id % 5 = 3").withColumn("path", F.concat("path", F.lit("/x"))))  # below others
+    return P.classify_paths(p, rules(spark, d), p.filter("thread_id % 2 = 0").select("path")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("listed").alias("listed"))
 
 
 def _roots(spark, d):
@@ -74,7 +76,11 @@ def p9_path_overlap(spark, d):
 
 
 def p10_unique_names(spark, d):
-    return P.unique_names(paths(spark, d).select("path").distinct(), []).groupBy(F.lower("name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    """Per suggested name: its paths, their different names, and how many keep it."""
+    names = P.unique_names(paths(spark, d).select("path").distinct(), [])
+    rows = names.select(F.lower("name").alias("l"), F.lower(E.suggest_name(F.col("path"))).alias("suggested"))
+    all_ = names.agg(F.count_distinct(F.lower("name")).alias("different"))
+    return rows.groupBy("suggested").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("l").alias("names"), F.count_if(F.col("l") == F.col("suggested")).alias("keep")).crossJoin(F.broadcast(all_))
 
 
 def p11_assign_projects(spark, d):
@@ -85,8 +91,8 @@ def p11_assign_projects(spark, d):
 
 
 def p12_explode_projects(spark, d):
-    body = F.concat(F.lit('{"p'), F.col("n_nationkey"), F.lit('": {"name": "'), "n_name", F.lit('", "roots": ["/a/'), "n_name", F.lit('", "/b"]}, "q": {"roots": ["/c"]}}'))
-    return P.explode_projects(table(spark, d, "nation").select(F.col("n_nationkey").alias("home_key"), body.alias("body")))
+    body = F.concat(F.lit('{"p'), F.col("c_custkey"), F.lit('": {"name": "'), "c_name", F.lit('", "roots": ["/a/'), "c_mktsegment", F.lit('", "/b"]}, "q": {"roots": ["/c"]}}'))
+    return P.explode_projects(table(spark, d, "customer").select(F.col("c_custkey").alias("home_key"), body.alias("body")))
 
 
 def p13_resolve_namespace(spark, d):
@@ -110,9 +116,9 @@ def p14_dedupe_rules(spark, d):
 
 def p15_cleanup(spark, d):
     p = paths(spark, d)
-    u = p.filter("thread_id % 2 = 0").select("path", F.lit(1).alias("active"), F.lit(0).alias("archived"))
+    u = p.filter("thread_id % 2 = 0").select("path", F.when(F.col("archived"), 0).otherwise(1).alias("active"), F.when(F.col("archived"), 1).otherwise(0).alias("archived"))
     dirs = p.filter("thread_id % 3 = 0").select("path", F.when(F.col("thread_id") % 9 == 0, "used").otherwise("empty").alias("state"))
-    return P.cleanup_candidates(u, rules(spark, d).select(F.col("remote_prefix").alias("local_prefix")).filter("local_prefix LIKE '%.com'"), p.filter("thread_id % 5 = 0").select("path"), dirs, p.filter("thread_id % 11 = 0").select("path")).select("key", "threads", "covered", "project", "state", "eligible")
+    return P.cleanup_candidates(u, rules(spark, d).select(F.col("remote_prefix").alias("local_prefix")).filter("local_prefix LIKE '%.com'"), p.filter("thread_id % 5 = 0").select("path", F.concat(F.lit("n"), F.col("thread_id") % 3).alias("name")), dirs, p.filter("thread_id % 11 = 0").select("path"))
 
 
 def p16_search_paths(spark, d):
@@ -129,7 +135,7 @@ def headers(spark, d):
     k = F.col("k")
     head = F.concat(F.lit('{"type":"session_meta","payload":{"id":"t'), k - k % 2, F.lit('","cwd":"/w/'), k % 5, F.lit('","model_provider":" "}}'))
     text = (
-        F.when(k % 11 == 1, "").when(k % 11 == 2, "  ").when(k % 11 == 3, '{"type":').when(k % 11 == 4, '{"type":"event"}').when(k % 11 == 5, '{"type":"session_meta","payload":{}}').when(k % 11 == 6, F.concat(F.lit("\ufeff"), head)).otherwise(head)
+        F.when(k % 11 == 1, "").when(k % 11 == 2, "  ").when(k % 11 == 3, '{"type":').when(k % 11 == 4, '{"type":"event"}').when(k % 11 == 5, '{"type":"session_meta","payload":{}}').when(k % 11 == 6, F.concat(F.lit("\ufeff"), head)).when(k % 11 == 8, F.concat(head, F.lit(" {}"))).when(k % 11 == 9, F.regexp_replace(head, " ", "\\\\ud800")).otherwise(head)
     )
     b = F.when(k % 11 == 7, F.unhex(F.lit("7BFF7D"))).otherwise(F.encode(text, "UTF-8"))
     return c.select(F.concat(F.when(k % 3 == 0, "archived_sessions/").otherwise("sessions/"), k).alias("path"), (k % 3 == 0).alias("archived"), F.octet_length(b).cast("long").alias("byte_length"), b.alias("header"))
@@ -145,8 +151,8 @@ def v2_dedupe_threads(spark, d):
 
 def v3_enrich(spark, d):
     r = V.classify_headers(headers(spark, d)).filter("kind IS NULL")
-    i = table(spark, d, "conversations").filter("turn = 0 AND conv_id % 4 = 0").select(F.concat(F.lit("t"), "conv_id").alias("thread_id"), F.when(F.col("conv_id") % 8 == 0, " ").otherwise(" Title ").alias("title"), F.when(F.col("conv_id") % 3 == 1, True).alias("archived"), F.lit("/i").alias("cwd"), F.lit("p").alias("model_provider"))
-    return V.enrich_with_index(r, i).select("path", "title", "archived", "cwd", "model_provider")
+    i = table(spark, d, "conversations").filter("turn = 0 AND conv_id % 4 = 0").select((F.col("conv_id") * 1000).alias("updated_at_ms"), F.concat(F.lit("t"), "conv_id").alias("thread_id"), F.when(F.col("conv_id") % 8 == 0, " ").otherwise(" Title ").alias("title"), F.when(F.col("conv_id") % 3 == 1, True).alias("archived"), F.lit("/i").alias("cwd"), F.lit("p").alias("model_provider"))
+    return V.enrich_with_index(r, i).select("path", "title", "archived", "cwd", "model_provider", "updated_at_ms")
 
 
 def v4_warning_counts(spark, d):
@@ -186,7 +192,7 @@ def v11_revisions(spark, d):
     k = F.col("event_id")
     e = table(spark, d, "events").select(
         k.alias("id"), F.when(k % 90 == 0, 3).otherwise(4).alias("version"), F.when(k % 70 == 0, "x").otherwise("01890000-0000-7000-8000-000000000000").alias("namespace_id"), F.when(k % 60 == 0, "p").when(k % 2 == 0, E.content_id(k.cast("string"))).alias("parent_revision"),
-        F.when(k % 50 == 0, "yesterday").otherwise("2024-01-01T00:00:00Z").alias("created_at"), F.when(k % 40 == 0, F.array(F.lit("a"), F.lit(" "))).when(k % 30 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("thread_ids"),
+        F.when(k % 50 == 0, "yesterday").when(k % 50 == 1, "2024-01-01").when(k % 50 == 2, "2024-01-01T00:00:00").when(k % 50 == 3, "2024-13-01T00:00:00Z").when(k % 50 == 4, "2024-01-01t00:00:00.5+02:00").otherwise("2024-01-01T00:00:00Z").alias("created_at"), F.when(k % 40 == 0, F.array(F.lit("a"), F.lit(" "))).when(k % 30 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"))).alias("thread_ids"),
     )
     return V.check_revisions(e)
 
@@ -247,7 +253,7 @@ def p17_path_rules(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer").select(
         F.when(k % 90 == 0, "x").otherwise(F.format_string("01890000-0000-7000-8000-%012d", k - F.when(k % 100 == 51, 1).otherwise(0))).alias("id"), F.when(k % 80 == 0, " ").otherwise(F.col("c_name")).alias("label"),
-        F.when(k % 70 == 0, "/a\tb").otherwise("/a").alias("remote_prefix"), F.when(k % 60 == 0, F.repeat(F.lit("x"), 1025)).otherwise("/b").alias("local_prefix"), F.when(k % 50 == 0, "then").otherwise("2024-01-01T00:00:00Z").alias("created_at"),
+        F.when(k % 70 == 0, "/a\tb").otherwise("/a").alias("remote_prefix"), F.when(k % 60 == 0, F.repeat(F.lit("x"), 1025)).otherwise("/b").alias("local_prefix"), F.when(k % 50 == 0, "then").when(k % 50 == 1, "2024").otherwise("2024-01-01T00:00:00Z").alias("created_at"),
     )
     return V.check_path_rules(c).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -255,14 +261,19 @@ def p17_path_rules(spark, d):
 def p17_namespace_rules(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer").select(
-        k.alias("id"), (k % 3).alias("remote_id"), F.when(k % 4 == 0, F.when(k % 8 == 0, "xyz").otherwise(F.format_string("%08d", k))).alias("fingerprint"), F.when(k % 5 == 0, F.when(k % 10 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))).alias("provider"),
+        k.alias("id"), (k % 3).alias("remote_id"), F.when(k % 4 == 0, F.when(k % 8 == 0, F.sha2(k.cast("string"), 256)).otherwise(F.concat(F.lit("hmac-sha256:"), F.sha2(k.cast("string"), 256)))).alias("fingerprint"), F.when(k % 5 == 0, F.when(k % 10 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))).alias("provider"),
         F.when(k % 7 != 0, k.cast("string")).alias("home_key"),
     )
     return V.check_namespace_rules(c)
 
 
+def p17_overrides(spark, d):
+    """Homes that a remote overrides more than once."""
+    return V.check_overrides(table(spark, d, "orders").select((F.col("o_orderkey") % 2).alias("remote_id"), F.col("o_custkey").alias("home_key")))
+
+
 QUERIES = {f.__name__: f for f in (
-    p17_path_rules, p17_namespace_rules, p1_path_key, p2_map_paths, p3_ambiguous_rules, p4_canonical_paths, p5_reference_paths, p6_path_usage, p7_classify_paths, p8_minimal_roots, p9_path_overlap, p10_unique_names, p11_assign_projects,
+    p17_overrides,     p17_path_rules, p17_namespace_rules, p1_path_key, p2_map_paths, p3_ambiguous_rules, p4_canonical_paths, p5_reference_paths, p6_path_usage, p7_classify_paths, p8_minimal_roots, p9_path_overlap, p10_unique_names, p11_assign_projects,
     p12_explode_projects, p13_resolve_namespace, p14_dedupe_rules, p15_cleanup, p16_search_paths, v1_classify_headers, v2_dedupe_threads, v3_enrich, v4_warning_counts, v5_dashboard, v6_ids, v7_thread_refs,
     v8_manifests, v10_lengths, v11_revisions, v13_limits, v14_graph, v15_limits, v16_safe_paths, v17_names, v19_casts, n1_canonical_json, n17_snapshot_meta, n18_format)}
 
@@ -271,22 +282,41 @@ _P = """p AS (SELECT page_id AS thread_id, regexp_replace(regexp_replace(url, '^
   hosts AS (SELECT DISTINCT split_part(path, '/', 1) AS prefix FROM p WHERE path LIKE 'm%' OR path LIKE 't%'
             UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM p WHERE path LIKE 't%')"""
 _H = """h AS (SELECT conv_id AS k, CASE WHEN conv_id % 3 = 0 THEN 'archived_sessions/' ELSE 'sessions/' END || CAST(conv_id AS VARCHAR) AS path, conv_id % 3 = 0 AS archived,
-    CASE conv_id % 11 WHEN 1 THEN 'empty_rollout' WHEN 2 THEN 'empty_rollout' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'missing_session_meta' WHEN 5 THEN 'missing_thread_id' WHEN 7 THEN 'invalid_utf8' END AS kind,
+    CASE conv_id % 11 WHEN 1 THEN 'empty_rollout' WHEN 2 THEN 'empty_rollout' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'missing_session_meta' WHEN 5 THEN 'missing_thread_id' WHEN 7 THEN 'invalid_utf8' WHEN 8 THEN 'invalid_json' WHEN 9 THEN 'invalid_json' END AS kind,
     't' || CAST(conv_id - conv_id % 2 AS VARCHAR) AS tid, '/w/' || CAST(conv_id % 5 AS VARCHAR) AS cwd FROM conversations WHERE turn = 0)"""
 
 ORACLE_SQL = {
+    "p1_path_key": f"""WITH {_P} SELECT CASE thread_id % 3 WHEN 0 THEN rtrim('c:/' || lower(path), '/') WHEN 1 THEN rtrim('//srv/' || lower(path), '/') ELSE key END AS key, count(*) AS n FROM k GROUP BY 1""",
+    "p3_ambiguous_rules": f"""WITH {_P}, s AS (SELECT prefix, '/data/' || replace(prefix, '/', '_') AS l FROM hosts UNION ALL SELECT prefix, 'c:' FROM hosts WHERE prefix LIKE 'm%'),
+        u AS (SELECT 'remote' AS side, prefix AS key FROM s UNION ALL SELECT 'local', l FROM s) SELECT side, key, 'repeated' AS rule FROM u GROUP BY side, key HAVING count(*) > 1""",
+    "p10_unique_names": f"""WITH {_P}, u AS (SELECT DISTINCT path FROM p), n AS (SELECT lower(regexp_replace(regexp_replace(list_filter(string_split(path, '/'), lambda x: x <> '')[-1], '[<>:"|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')) AS x FROM u)
+        SELECT CASE WHEN coalesce(x, '') = '' THEN 'project' ELSE x END AS suggested, count(*) AS paths, count(*) AS names, CAST(1 AS BIGINT) AS keep, (SELECT count(*) FROM u) AS different FROM n GROUP BY 1""",
+    "p11_assign_projects": f"""WITH {_P}, t AS (SELECT thread_id, rtrim(regexp_extract(path, '^[^/]+(/[^/]+)?'), '/') AS key FROM p), r AS (SELECT prefix FROM hosts WHERE prefix NOT LIKE '%/%'), used AS (SELECT key, count(*) AS n FROM t GROUP BY 1),
+        own AS (SELECT key AS root FROM used WHERE n >= 2 OR NOT EXISTS (SELECT 1 FROM r WHERE key = prefix OR starts_with(key, prefix || '/'))), roots AS (SELECT prefix AS root FROM r UNION SELECT root FROM own),
+        best AS (SELECT key, (SELECT root FROM roots WHERE key = root OR starts_with(key, root || '/') ORDER BY length(root) DESC LIMIT 1) AS root FROM used)
+        SELECT thread_id, root, CASE WHEN root IN (SELECT prefix FROM r) THEN 'p-' || root ELSE 'local-' || substr(sha256(root), 1, 32) END AS project_id FROM t JOIN best USING (key) WHERE root IS NOT NULL""",
+    "p15_cleanup": f"""WITH {_P}, u AS (SELECT key, sum(CASE WHEN archived THEN 0 ELSE 1 END) AS active, sum(CASE WHEN archived THEN 1 ELSE 0 END) AS archived FROM k WHERE thread_id % 2 = 0 GROUP BY 1), j AS (SELECT key, string_agg(DISTINCT 'n' || (thread_id % 3), ',' ORDER BY 'n' || (thread_id % 3)) AS projects FROM k WHERE thread_id % 5 = 0 GROUP BY 1),
+        d AS (SELECT key, min(CASE WHEN thread_id % 9 = 0 THEN 'used' ELSE 'empty' END) AS state FROM k WHERE thread_id % 3 = 0 GROUP BY 1), a AS (SELECT key FROM u UNION SELECT key FROM j UNION SELECT key FROM d), c AS (SELECT prefix FROM hosts WHERE prefix LIKE '%.com'),
+        x AS (SELECT a.key, coalesce(active, 0) AS active, coalesce(archived, 0) AS archived, projects, coalesce(state, 'missing') AS state, EXISTS (SELECT 1 FROM c WHERE a.key = prefix OR starts_with(a.key, prefix || '/')) AS covered, EXISTS (SELECT 1 FROM c WHERE a.key = prefix) AS itself,
+          EXISTS (SELECT 1 FROM k q WHERE q.thread_id % 11 = 0 AND (q.key = a.key OR starts_with(a.key, q.key || '/') OR starts_with(q.key, a.key || '/'))) AS touched FROM a LEFT JOIN u USING (key) LEFT JOIN j USING (key) LEFT JOIN d USING (key))
+        SELECT key, CAST(active AS BIGINT) AS active, CAST(archived AS BIGINT) AS archived, projects, state, covered, covered AND NOT itself AS inherited, active + archived = 0 AND NOT covered AND NOT touched AND (state = 'empty' OR (state = 'missing' AND projects IS NOT NULL)) AS eligible FROM x""",
+    "p17_overrides": "SELECT o_orderkey % 2 AS remote_id, o_custkey AS home_key, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1",
+    "n18_format": """WITH o AS (SELECT o_orderkey AS k, o_orderkey * o_orderkey * 37 AS n FROM orders)
+        SELECT k AS o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0) WHEN n < 1099511627776 THEN printf('%.1f GiB', n / 1073741824.0) ELSE printf('%.1f TiB', n / 1099511627776.0) END AS size,
+          CASE WHEN k < 60 THEN k || ' s' ELSE (k // 60) || ' m ' || (k % 60) || ' s' END AS duration, substr(sha256(CAST(k AS VARCHAR)), 1, 12) AS head FROM o""",
     "p2_map_paths": f"""WITH {_P} SELECT thread_id, path, (SELECT '/data/' || replace(prefix, '/', '_') || substr(key, length(prefix) + 1) FROM hosts WHERE key = prefix OR starts_with(key, prefix || '/') ORDER BY length(prefix) DESC LIMIT 1) AS mapped FROM k""",
     "p4_canonical_paths": f"""WITH {_P}, m AS (SELECT coalesce((SELECT '/data/' || replace(prefix, '/', '_') || substr(key, length(prefix) + 1) FROM hosts WHERE key = prefix OR starts_with(key, prefix || '/') ORDER BY length(prefix) DESC LIMIT 1), path) AS mapped FROM k)
         SELECT mapped, count(*) AS n FROM m GROUP BY 1""",
-    "p5_reference_paths": f"WITH {_P} SELECT thread_id, CASE WHEN thread_id % 7 = 0 THEN upper(path) WHEN thread_id % 5 <> 0 THEN path ELSE '/cwd' END AS source_path FROM p",
+    "p5_reference_paths": f"""WITH {_P}, r AS (SELECT thread_id - CASE WHEN thread_id % 35 = 1 THEN 1 ELSE 0 END AS id, upper(path) AS x FROM p), n AS (SELECT id, count(*) AS n, any_value(x) AS x FROM r WHERE id % 7 = 0 GROUP BY 1)
+        SELECT thread_id, CASE WHEN n = 1 THEN x WHEN thread_id % 5 <> 0 THEN path ELSE '/cwd' END AS source_path, CASE WHEN n > 1 THEN 'duplicate_reference' END AS problem FROM p LEFT JOIN n ON id = thread_id""",
     "p6_path_usage": f"""WITH {_P}, t AS (SELECT thread_id, archived, regexp_extract(path, '^[^/]+/[^/]+') AS path FROM p) SELECT path AS key, path, count(*) FILTER (NOT archived) AS active, count(*) FILTER (archived) AS archived FROM t WHERE trim(path) <> '' GROUP BY path""",
-    "p7_classify_paths": f"""WITH {_P}, u AS (SELECT DISTINCT key FROM k), c AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM hosts WHERE key = prefix OR starts_with(key, prefix || '/')) THEN 'mapped' WHEN key IN (SELECT key FROM k WHERE thread_id % 2 = 0) THEN 'existing' ELSE 'missing' END AS kind FROM u)
-        SELECT kind, count(*) AS n FROM c GROUP BY kind""",
+    "p7_classify_paths": f"""WITH {_P}, q AS (SELECT key, thread_id FROM k UNION ALL SELECT rtrim(path || '/x', '/'), thread_id FROM p WHERE thread_id % 5 = 3), u AS (SELECT DISTINCT key FROM q), c AS (SELECT key, CASE WHEN EXISTS (SELECT 1 FROM hosts WHERE key = prefix OR starts_with(key, prefix || '/')) THEN 'mapped' WHEN key IN (SELECT key FROM q WHERE thread_id % 2 = 0) THEN 'existing' ELSE 'missing' END AS kind FROM u)
+        SELECT kind, count(*) AS n, count(*) FILTER (kind = 'missing' AND NOT EXISTS (SELECT 1 FROM c x WHERE x.kind = 'missing' AND starts_with(c.key, x.key || '/'))) AS listed FROM c GROUP BY kind""",
     "p8_minimal_roots": f"""WITH {_P}, r AS (SELECT path FROM p UNION ALL SELECT regexp_extract(path, '^[^/]+/[^/]+') FROM p WHERE thread_id % 5 = 0), u AS (SELECT rtrim(path, '/') AS key, min(path) AS path FROM r GROUP BY 1)
         SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.key <> '' AND starts_with(u.key, x.key || '/'))""",
     "p9_path_overlap": f"""WITH {_P}, a AS (SELECT DISTINCT rtrim(x, '/') AS a FROM (SELECT regexp_extract(path, '^[^/]+/[^/]+') AS x FROM p WHERE thread_id % 9 = 0 UNION ALL SELECT path FROM p WHERE thread_id % 10 = 1)), b AS (SELECT DISTINCT key AS b FROM k WHERE thread_id % 4 = 0)
         SELECT a, b, CASE WHEN a = b THEN 'same' WHEN starts_with(a, b || '/') THEN 'child' ELSE 'parent' END AS relation FROM a, b WHERE a <> '' AND b <> '' AND (a = b OR starts_with(a, b || '/') OR starts_with(b, a || '/'))""",
-    "p12_explode_projects": """SELECT n_nationkey AS home_key, 'p' || CAST(n_nationkey AS VARCHAR) AS project_id, n_name AS name, unnest(['/a/' || n_name, '/b']) AS root FROM nation UNION ALL SELECT n_nationkey, 'q', 'q', '/c' FROM nation""",
+    "p12_explode_projects": """SELECT c_custkey AS home_key, 'p' || CAST(c_custkey AS VARCHAR) AS project_id, c_name AS name, unnest(['/a/' || c_mktsegment, '/b']) AS root FROM customer UNION ALL SELECT c_custkey, 'q', 'q', '/c' FROM customer""",
     "p13_resolve_namespace": """WITH r AS (SELECT c_custkey AS id, c_custkey % 2 AS remote_id, CAST(c_custkey % 5 AS INT) AS ns, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 END AS f, CASE WHEN c_custkey % 4 < 2 THEN c_mktsegment END AS p, CASE WHEN c_custkey % 5 < 2 THEN c_nationkey END AS h
           FROM customer WHERE c_custkey % 40 = 1 OR c_custkey % 55 = 2),
         s AS (SELECT c_custkey AS identity, r.id, r.ns, CASE WHEN f IS NULL THEN 0 ELSE 4 END + CASE WHEN p IS NULL THEN 0 ELSE 2 END + CASE WHEN h IS NULL THEN 0 ELSE 1 END AS score FROM customer c JOIN r ON c.c_custkey % 2 = r.remote_id
@@ -299,15 +329,15 @@ ORACLE_SQL = {
     "p16_search_paths": f"WITH {_P} SELECT thread_id, path FROM p WHERE NOT archived AND (lower(path) LIKE '%name-1%' OR CAST(thread_id AS VARCHAR) LIKE '1%')",
     "p17_path_rules": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 90 = 0 THEN 'x' ELSE CAST(c_custkey - CASE WHEN c_custkey % 100 = 51 THEN 1 ELSE 0 END AS VARCHAR) END AS id FROM customer),
         n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM c), v AS (SELECT 'id' AS rule FROM n WHERE id = 'x' UNION ALL SELECT 'repeated_id' FROM n WHERE n > 1 UNION ALL SELECT 'label' FROM n WHERE k % 80 = 0 UNION ALL SELECT 'remote_prefix' FROM n WHERE k % 70 = 0
-          UNION ALL SELECT 'local_prefix' FROM n WHERE k % 60 = 0 UNION ALL SELECT 'created_at' FROM n WHERE k % 50 = 0)
+          UNION ALL SELECT 'local_prefix' FROM n WHERE k % 60 = 0 UNION ALL SELECT 'created_at' FROM n WHERE k % 50 < 2)
         SELECT rule, count(*) AS n FROM v GROUP BY rule""",
-    "p17_namespace_rules": """WITH c AS (SELECT c_custkey AS id, c_custkey % 3 AS r, CASE WHEN c_custkey % 8 = 0 THEN 'xyz' WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS f, CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END AS p,
+    "p17_namespace_rules": """WITH c AS (SELECT c_custkey AS id, c_custkey % 3 AS r, CASE WHEN c_custkey % 8 = 0 THEN 'xyz' || c_custkey WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS f, CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END AS p,
           CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS h FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY r, f, p, h) AS n FROM c)
-        SELECT id, 'no_condition' AS rule FROM n WHERE f IS NULL AND p IS NULL AND h IS NULL UNION ALL SELECT id, 'fingerprint' FROM n WHERE f = 'xyz' UNION ALL SELECT id, 'provider' FROM n WHERE id % 10 = 0 UNION ALL SELECT id, 'same_conditions' FROM n WHERE n > 1""",
+        SELECT id, 'no_condition' AS rule FROM n WHERE f IS NULL AND p IS NULL AND h IS NULL UNION ALL SELECT id, 'fingerprint' FROM n WHERE f LIKE 'xyz%' UNION ALL SELECT id, 'provider' FROM n WHERE id % 10 = 0 UNION ALL SELECT id, 'same_conditions' FROM n WHERE n > 1""",
     "v1_classify_headers": f"WITH {_H} SELECT path, kind, CASE WHEN kind IS NULL THEN tid END AS thread_id, CASE WHEN kind IS NULL THEN cwd END AS cwd, CAST(NULL AS VARCHAR) AS model_provider FROM h",
     "v2_dedupe_threads": f"WITH {_H} SELECT path, tid AS thread_id, row_number() OVER (PARTITION BY tid ORDER BY archived, path) > 1 AS duplicate FROM h WHERE kind IS NULL",
     "v3_enrich": f"""WITH {_H}, i AS (SELECT 't' || CAST(conv_id AS VARCHAR) AS tid, conv_id FROM conversations WHERE turn = 0 AND conv_id % 4 = 0)
-        SELECT path, CASE WHEN conv_id % 8 = 4 THEN 'Title' ELSE h.tid END AS title, CASE WHEN conv_id % 3 = 1 THEN true ELSE archived END AS archived, CASE WHEN conv_id IS NOT NULL THEN '/i' ELSE cwd END AS cwd, CASE WHEN conv_id IS NOT NULL THEN 'p' END AS model_provider
+        SELECT path, CASE WHEN conv_id % 8 = 4 THEN 'Title' ELSE h.tid END AS title, CASE WHEN conv_id % 3 = 1 THEN true ELSE archived END AS archived, CASE WHEN conv_id IS NOT NULL THEN '/i' ELSE cwd END AS cwd, CASE WHEN conv_id IS NOT NULL THEN 'p' END AS model_provider, conv_id * 1000 AS updated_at_ms
         FROM h LEFT JOIN i ON h.tid = i.tid WHERE kind IS NULL""",
     "v4_warning_counts": f"WITH {_H} SELECT kind, count(*) AS n FROM h WHERE kind IS NOT NULL GROUP BY 1",
     "v5_dashboard": """WITH t AS (SELECT source AS home_key, doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
@@ -319,7 +349,7 @@ ORACLE_SQL = {
         SELECT id AS manifest_id, 'version' AS rule FROM m WHERE id % 20 = 3 UNION ALL SELECT id, 'chunk_length' FROM m WHERE list_max(s) > size UNION ALL SELECT id, 'short_chunk' FROM m WHERE size = 200 AND len(s) > 1
         UNION ALL SELECT id, 'total' FROM m WHERE id % 33 = 5 UNION ALL SELECT id, 'count' FROM m WHERE len(s) > 60""",
     "v10_lengths": f"WITH {CHUNKS_SQL}, c AS (SELECT sha256, byte_length + CASE WHEN id % 12 = 0 THEN 1 ELSE 0 END AS n FROM chunks) SELECT sha256, count(DISTINCT n) AS lengths, min(n) AS least FROM c GROUP BY 1 HAVING count(DISTINCT n) > 1",
-    "v11_revisions": """SELECT event_id AS id, unnest(list_filter([CASE WHEN event_id % 90 = 0 THEN 'version' END, CASE WHEN event_id % 70 = 0 THEN 'namespace' END, CASE WHEN event_id % 60 = 0 THEN 'parent' END, CASE WHEN event_id % 50 = 0 THEN 'created_at' END,
+    "v11_revisions": """SELECT event_id AS id, unnest(list_filter([CASE WHEN event_id % 90 = 0 THEN 'version' END, CASE WHEN event_id % 70 = 0 THEN 'namespace' END, CASE WHEN event_id % 60 = 0 THEN 'parent' END, CASE WHEN event_id % 50 < 4 THEN 'created_at' END,
         CASE WHEN event_id % 40 = 0 THEN 'blank_thread' END, CASE WHEN event_id % 40 <> 0 AND event_id % 30 = 0 THEN 'repeated_thread' END], lambda x: x IS NOT NULL)) AS rule FROM events""",
     "v13_limits": """WITH o AS (SELECT ['whole', 'chunk', 'thread', 'snapshot_overlay', 'other'][o_orderkey % 5 + 1] AS kind, CAST(o_orderkey AS VARCHAR) AS sha256, CAST(trunc(o_totalprice * 60) AS BIGINT) AS n FROM orders)
         SELECT kind, sha256, 'kind' AS rule FROM o WHERE kind = 'other' UNION ALL SELECT kind, sha256, 'size' FROM o WHERE (kind = 'chunk' AND n > 4194304) OR (kind IN ('thread', 'snapshot_overlay') AND n > 16777216) UNION ALL SELECT kind, sha256, 'local_only' FROM o WHERE kind = 'snapshot_overlay'""",

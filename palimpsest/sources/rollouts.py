@@ -63,9 +63,12 @@ def rows_to_json(df: DataFrame) -> Column:
 
 
 def json_to_typed(text: Column, schema: StructType) -> list[Column]:
-    """The columns of a schema out of a JSON object; booleans as 0 and 1 for numbers, tagged bytes decoded, else null."""
+    """The columns of a schema out of a JSON object; booleans as 0 and 1 for numbers, tagged bytes decoded, else null.
+
+    The last column, `problems`, lists the fields whose value is there but does not fit its type.
+    """
     v = F.try_parse_json(text)
-    out = []
+    out, problems = [], []
     for f in schema.fields:
         path, kind = f"$.{f.name}", f.dataType.simpleString()
         if isinstance(f.dataType, BinaryType):
@@ -75,16 +78,21 @@ def json_to_typed(text: Column, schema: StructType) -> list[Column]:
         else:
             value = F.try_variant_get(v, path, kind)
         out.append(value.alias(f.name))
-    return out
+        there = F.try_variant_get(v, path, "string").isNotNull()
+        problems.append(F.when(value.isNull() & there, F.lit(f.name)))
+    return [*out, F.array_compact(F.array(*problems)).alias("problems")]
 
 
 def collect_related(children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """thread_id, table_name, rows (JSON, sorted) of all child tables; each comes with its foreign-key column."""
+    """thread_id, table_name, place, row (JSON) of all child tables; each comes with its foreign-key column.
+
+    A row per related row, numbered from 0 in the order of its text, so a thread may have any number of them.
+    """
     union = None
     for name, (df, fk) in children.items():
         one = df.select(F.col(fk).alias("thread_id"), F.lit(name).alias("table_name"), rows_to_json(df).alias("row"))
         union = one if union is None else union.unionByName(one)
-    return union.groupBy("thread_id", "table_name").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return union.withColumn("place", F.row_number().over(Window.partitionBy("thread_id", "table_name").orderBy("row")) - 1)
 
 
 def unchanged_files(files: DataFrame, cache: DataFrame, chunks: DataFrame, objects: DataFrame) -> DataFrame:
@@ -99,6 +107,13 @@ def unchanged_files(files: DataFrame, cache: DataFrame, chunks: DataFrame, objec
     return files.alias("f").join(whole.alias("c"), same[0] & same[1] & same[2] & same[3], "left").select("f.*", "c.content_id")
 
 
+def refreshed_contents(files: DataFrame, read_again: DataFrame) -> DataFrame:
+    """The files of unchanged_files with the content ids of those that had to be read again (path, content_id); a file without either keeps null."""
+    new = read_again.select(F.col("path"), F.col("content_id").alias("__new"))
+    rows = files.join(new, "path", "left")
+    return rows.withColumn("reused", F.col("content_id").isNotNull()).withColumn("content_id", F.coalesce("content_id", "__new")).drop("__new")
+
+
 def publish_snapshot(threads: DataFrame, snapshot_id: str, path: str) -> None:
     """Write descriptors, overlay and references of a snapshot under its id; one that exists is never overwritten.
 

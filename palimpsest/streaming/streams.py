@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.chunks import chunk, new_objects
+from ..operators.normalize import accepted_lines, joined_lines, normalize_lines
+from ..operators.validate import classify_headers
+from ..sources.rollouts import split_lines
+from ..sources.scratch import rewritten
 
 
 def transfer_rate(events: DataFrame, seconds: float, remaining: str) -> DataFrame:
@@ -31,18 +35,31 @@ def transfer_rate_stream(events: DataFrame, seconds: int = 5, late: str = "10 se
     )
 
 
+_OBJECTS = "sha256 string, byte_length long, bytes binary, kind string"
+
+
 def stream_ingest(spark: SparkSession, source: str, store: str, checkpoint: str, chunk_size: int = 4 << 20, glob: str = "rollout-*.jsonl"):
-    """Pick up new files, chunk them and append the chunks that are not stored yet; returns the started query.
+    """Pick up new files, classify and normalise them, chunk what is sound and append what is not stored yet; returns the started query.
 
-    A batch that is run again after a failure finds its chunks stored and adds nothing.
+    Under store: objects (chunks by kind), manifests (path, thread_id, pos, sha256, byte_length) and
+    warnings (path, kind). A store that does not exist yet is begun. A batch that is run again
+    after a failure finds its chunks stored and its own folder of manifests and warnings written over.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(source)
-
-    def append(batch: DataFrame, _: int) -> None:
-        incoming = chunk(batch.select("content"), chunk_size).select(F.lit("chunk").alias("kind"), "sha256", "byte_length", "bytes")
-        have = spark.read.schema("sha256 string, byte_length long, bytes binary, kind string").parquet(store)
-        new_objects(have, incoming).write.partitionBy("kind").mode("append").parquet(store)
+    spark.createDataFrame([], _OBJECTS).write.partitionBy("kind").mode("append").parquet(f"{store}/objects")
+
+    def append(batch: DataFrame, number: int) -> None:
+        headers = batch.select("path", F.col("path").contains("archived_sessions/").alias("archived"), F.col("length").alias("byte_length"), F.substring_index(F.decode("content", "ISO-8859-1"), "\n", 1).alias("head"))
+        found = rewritten(classify_headers(headers.withColumn("header", F.encode(F.rtrim("head", F.lit("\r")), "ISO-8859-1"))).select("path", "kind", "thread_id"), "headers")
+        sound = batch.select("path", "content").join(found.filter("kind IS NULL").drop("kind"), "path")
+        lines = rewritten(normalize_lines(split_lines(sound.select(F.col("path").alias("file"), "thread_id", "content"))), "lines")
+        pieces = rewritten(chunk(joined_lines(accepted_lines(lines), ["file", "thread_id"]), chunk_size), "pieces")
+        have = spark.read.schema(_OBJECTS).parquet(f"{store}/objects")
+        new_objects(have, pieces.select(F.lit("chunk").alias("kind"), "sha256", "byte_length", "bytes")).write.partitionBy("kind").mode("append").parquet(f"{store}/objects")
+        pieces.select(F.col("file").alias("path"), "thread_id", "pos", "sha256", "byte_length").write.mode("overwrite").parquet(f"{store}/manifests/batch={number}")
+        noted = found.filter("kind IS NOT NULL").select("path", "kind").unionByName(lines.filter("warning IS NOT NULL").select(F.col("file").alias("path"), F.col("warning").alias("kind")))
+        noted.write.mode("overwrite").parquet(f"{store}/warnings/batch={number}")
 
     return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -38,7 +38,18 @@ def test_merge_branches(spark):
 def test_merge_invariants(spark):
     base, other = threads(spark, {"a": "1", "b": "1"}), threads(spark, {"b": "2", "c": "1"})
     for merged in (D.merge3(base, other, base), D.merge3(base, base, other)):
-        assert rows(D.resolve(merged, spark.createDataFrame([], "thread_id string, choice string")), "thread_id", "hash") == [("b", "2"), ("c", "1")]
+        assert rows(D.resolve(merged, spark.createDataFrame([], "thread_id string, conflict_id string, choice string")), "thread_id", "hash") == [("b", "2"), ("c", "1")]
+
+
+def test_a_problem_rejects_the_whole_merge(spark):
+    base, local, remote = (threads(spark, {"a": v, "b": v, "c": "1"}) for v in "123")
+    merged = D.merge3(base, local, remote)
+    ids = {r.thread_id: r.conflict_id for r in D.conflict_ids(merged).collect()}
+    given = lambda *r: spark.createDataFrame(r, "thread_id string, conflict_id string, choice string")
+    good = given(("a", ids["a"], "local"), ("b", ids["b"], "remote"))
+    assert rows(D.resolve(merged, good), "thread_id", "hash") == [("a", "2"), ("b", "3"), ("c", "1")]
+    for bad in (given(("a", ids["a"], "local")), given(("a", ids["a"], "local"), ("b", "old", "remote")), good.unionByName(given(("x", "y", "local"))), good.unionByName(given(("a", ids["a"], "local")))):
+        assert D.resolution_problems(D.conflict_ids(merged), bad).count() and D.resolve(merged, bad).count() == 0
 
 
 def test_conflict_id_binds_versions(spark):
@@ -125,9 +136,8 @@ def test_gc_keeps_what_is_shared(spark):
     edges = spark.createDataFrame([("r", "1", "c", "x"), ("r", "2", "c", "x"), ("r", "2", "c", "y"), ("c", "y", "d", "z")], "owner_kind string, owner_sha256 string, target_kind string, target_sha256 string")
     roots = spark.createDataFrame([("r", "1")], "kind string, sha256 string")
     objects = spark.createDataFrame([("c", "x"), ("c", "y"), ("d", "z")], "kind string, sha256 string").withColumn("created_at", F.lit("2020-01-01").cast("timestamp"))
-    for depth in (4, None):
-        reached = G.reachable(roots, edges, depth)
-        assert rows(G.gc_plan(objects, reached, F.lit("2024-01-01").cast("timestamp")), "sha256") == [("y",), ("z",)]
+    reached = G.reachable(roots, edges)
+    assert rows(G.gc_plan(objects, reached, F.lit("2024-01-01").cast("timestamp")), "sha256") == [("y",), ("z",)]
 
 
 def test_deletion_plan(spark):

@@ -1,6 +1,5 @@
 """Streams give what the batch forms give."""
 
-from palimpsest.operators.chunks import chunk
 from palimpsest.operators.history import replay_commits
 from palimpsest.streaming import streams as T
 
@@ -9,13 +8,22 @@ from .test_operators import COMMITS, LOG
 
 def test_ingest_appends_each_chunk_once(spark, tmp_path):
     source, store = tmp_path / "in", str(tmp_path / "store")
-    source.mkdir()
-    chunk(spark.createDataFrame([(bytearray(b"seed"),)], "content binary"), 4).selectExpr("'chunk' kind", "sha256", "byte_length", "bytes").write.partitionBy("kind").parquet(store)
-    for name, data in (("rollout-1.jsonl", b"aaaabbbb"), ("rollout-2.jsonl", b"bbbbcc")):
-        (source / name).write_bytes(data)
-        T.stream_ingest(spark, str(source), store, str(tmp_path / "cp"), 4).awaitTermination(120)
-    got = sorted(bytes(r.bytes) for r in spark.read.parquet(store).collect())
-    assert got == [b"aaaa", b"bbbb", b"cc", b"seed"]
+    (source / "sessions").mkdir(parents=True)
+    head = '{"type":"session_meta","payload":{"id":"%s","cwd":"/w","model_provider":"p"}}\n'
+    for name, data in (("rollout-1", head % "a" + "x" * 90), ("rollout-2", head % "a" + "x" * 90 + "y"), ("rollout-3", "{}\n"), ("rollout-4", head % "b" + "not json\r\n")):
+        (source / "sessions" / f"{name}.jsonl").write_bytes(data.encode())
+        T.stream_ingest(spark, str(source), store, str(tmp_path / "cp"), 64).awaitTermination(120)
+    objects = [bytes(r.bytes) for r in spark.read.parquet(f"{store}/objects").collect()]
+    assert len(objects) == len(set(objects))
+    by_id = {r.sha256: bytes(r.bytes) for r in spark.read.parquet(f"{store}/objects").collect()}
+    files = {}
+    for r in sorted(spark.read.parquet(f"{store}/manifests").collect(), key=lambda r: (r.path, r.pos)):
+        name = r.path.rsplit("/", 1)[-1]
+        files[name] = files.get(name, b"") + by_id[r.sha256]
+    fixed = '{"payload":{"cwd":"__local_workspace__","id":"%s","model_provider":"__local_provider__"},"type":"session_meta"}\n'
+    assert files == {"rollout-1.jsonl": (fixed % "a" + "x" * 90).encode(), "rollout-2.jsonl": (fixed % "a" + "x" * 90 + "y").encode(), "rollout-4.jsonl": (fixed % "b" + "not json\r\n").encode()}
+    noted = sorted((r.path.rsplit("/", 1)[-1], r.kind) for r in spark.read.parquet(f"{store}/warnings").collect())
+    assert noted == [("rollout-1.jsonl", "invalid_json"), ("rollout-2.jsonl", "invalid_json"), ("rollout-3.jsonl", "missing_session_meta"), ("rollout-4.jsonl", "invalid_json")]
 
 
 def test_commits(spark, tmp_path):
