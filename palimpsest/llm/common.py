@@ -15,9 +15,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one only where the session names none."""
+    """The folder shared by driver and executors; a local one only where the session names none and runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         shared = _LOCAL.get(app) or _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='palimpsest-')}")
     return shared.rstrip("/")
@@ -31,6 +33,13 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in parts of at most `rows` rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mixing
-from .common import materialize
-from .tokens import encoder
+from .common import materialize, slices
+from .tokens import encoder, release
 
 SEQUENCE = 4096
 DIMENSIONS = 4
@@ -65,18 +65,20 @@ def document_point(ids: np.ndarray, projection: np.ndarray) -> np.ndarray:
     return np.clip(scaled, 0, (1 << KEY_BITS) - 1).astype(np.int64)
 
 
-def _encode(tokenizer: str, end_id: int, added_tokens: bool):
+def _encode(tokenizer: str, end_id: int, added_tokens: bool, keep_tables: bool):
     def encode(batches):
         import pyarrow as pa
 
         get = encoder(tokenizer, "<u2", added_tokens).encode
         projection = np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
         end = np.array([end_id], "<u2").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [get(t.as_py() or "") + end for t in batch.column("text")]
             points = np.array([document_point(np.frombuffer(x, "<u2"), projection) for x in ids]).reshape(-1, DIMENSIONS)
             columns = [batch.column("doc_id"), pa.array(hilbert_key(points, KEY_BITS), pa.int64()), pa.array(ids, pa.binary()), batch.column("source")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "ids", "source"])
+        if not keep_tables:
+            release()
 
     return encode
 
@@ -159,18 +161,20 @@ def pack_documents(
     partitions: int | None = None,
     source_col: str | None = None,
     added_tokens: bool = False,
+    keep_tables: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids).
 
     A document is its ids and then end_id; null and empty texts are end_id alone. Every id lies
     in exactly one piece, offsets in a sequence have no gaps, and every sequence is 4096 ids or
     a power of two long. Repeated rows are packed as often as they occur; a null id is carried
-    along; an empty table gives no pieces. With source_col, sequence_id follows the mixture.
+    along; an empty table gives no pieces. With source_col, sequence_id follows the mixture. Without
+    keep_tables a worker gives up the tokenizer's tables after each task.
     """
     spark = docs.sparkSession
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), source.alias("source"))
-    encoded = materialize(rows.mapInArrow(_encode(tokenizer, end_id, added_tokens), "doc_id long, key long, ids binary, source string"), "ids", "zstd")
+    encoded = materialize(rows.mapInArrow(_encode(tokenizer, end_id, added_tokens, keep_tables), "doc_id long, key long, ids binary, source string"), "ids", "zstd")
     n, order = partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), ["key", "doc_id"]
     if source_col:
         mixed = mixing.mix(encoded, extra=["key", "ids"])

@@ -36,16 +36,46 @@ SCHEMA = "part int, seg int, doc_ids array<long>, lengths array<int>, n_ids long
 
 
 def _bits(values: np.ndarray, width: int) -> bytes:
-    size = 2 if width <= 16 else 4
-    lanes = np.unpackbits(values.astype(f"<u{size}").view(np.uint8), bitorder="little").reshape(len(values), 8 * size)
-    return np.packbits(lanes[:, :width].reshape(-1), bitorder="little").tobytes()
+    """`width` bits of each value, lowest first, padded to a byte. Up to 16 bits eight values fill two 64-bit words."""
+    if width > 16:
+        lanes = np.unpackbits(values.astype("<u4").view(np.uint8), bitorder="little").reshape(len(values), 32)
+        return np.packbits(lanes[:, :width].reshape(-1), bitorder="little").tobytes()
+    eights = np.zeros(-(-len(values) // 8) * 8, np.uint64)
+    eights[: len(values)] = values
+    eights = eights.reshape(-1, 8).T
+    words = np.zeros((eights.shape[1], 2), "<u8")
+    for i, v in enumerate(eights):
+        at = i * width
+        if at < 64:
+            words[:, 0] |= v << np.uint64(at)
+            if at + width > 64:
+                words[:, 1] |= v >> np.uint64(64 - at)
+        else:
+            words[:, 1] |= v << np.uint64(at - 64)
+    return np.ascontiguousarray(words.view(np.uint8)[:, :width]).tobytes()[: -(-len(values) * width // 8)]
 
 
 def _values(packed: np.ndarray, count: int, width: int) -> np.ndarray:
-    size = 2 if width <= 16 else 4
-    lanes = np.zeros((count, 8 * size), np.uint8)
-    lanes[:, :width] = np.unpackbits(packed, count=count * width, bitorder="little").reshape(count, width)
-    return np.packbits(lanes, axis=1, bitorder="little").reshape(-1).view(f"<u{size}").astype(np.uint32)
+    if width > 16:
+        lanes = np.zeros((count, 32), np.uint8)
+        lanes[:, :width] = np.unpackbits(packed, count=count * width, bitorder="little").reshape(count, width)
+        return np.packbits(lanes, axis=1, bitorder="little").reshape(-1).view("<u4").astype(np.uint32)
+    rows = -(-count // 8)
+    data = np.zeros((rows, 16), np.uint8)
+    padded = np.zeros(rows * width, np.uint8)
+    padded[: len(packed)] = packed
+    data[:, :width] = padded.reshape(rows, width)
+    words, out, mask = data.view("<u8"), np.empty((rows, 8), np.uint32), np.uint64((1 << width) - 1)
+    for i in range(8):
+        at = i * width
+        if at < 64:
+            v = words[:, 0] >> np.uint64(at)
+            if at + width > 64:
+                v = v | words[:, 1] << np.uint64(64 - at)
+        else:
+            v = words[:, 1] >> np.uint64(at - 64)
+        out[:, i] = v & mask
+    return out.reshape(-1)[:count]
 
 
 def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE) -> tuple[bytes, list[int]]:

@@ -3,7 +3,7 @@
 The library splits a text before it merges, and it never joins what stands on both sides of the
 step from a visible character to white space. So a text is cut at such steps and the ids of a
 piece are looked up; the library encodes pieces not seen lately. The ids are exactly
-those of encoding the text in one call (tests/llm/test_tokens.py compares them). With added_tokens a
+those of encoding the text in one call (tests/llm/test_text_ops.py compares them). With added_tokens a
 text is first cut at the tokenizer's added tokens, which get their own ids, as the library does
 at its default settings; without, they are text like any other.
 """
@@ -16,8 +16,9 @@ from array import array
 
 import numpy as np
 
-#: Entries of one generation of a worker's tables; two generations are kept, some 350 MB at most.
-GENERATION = 800_000
+#: Entries of one generation of a worker's tables by piece and by word, some 200 bytes each; two
+#: generations are kept, some 200 MB at most. Longer pieces are not kept.
+PIECES, WORDS, LONGEST = 400_000, 100_000, 64
 #: The characters that the tokenizers' patterns call white space.
 SPACE = " \n\t\r\x0b\x0c\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What Python's split() takes for white space as well.
@@ -40,17 +41,18 @@ class Generations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= LONGEST:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes of `dtype`."""
 
-    def __init__(self, path: str, dtype: str = "<u4", size: int = GENERATION, added_tokens: bool = False):
+    def __init__(self, path: str, dtype: str = "<u4", size: int = PIECES, added_tokens: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         t = self.tokenizer = Tokenizer.from_file(path)
@@ -65,10 +67,12 @@ class PieceEncoder:
         if t.get_vocab_size() > np.iinfo(self.dtype).max:
             raise ValueError(f"{path}: ids do not fit {dtype}")
         self.blind = not t.encode(" \n ", add_special_tokens=False).ids  # white space has no ids
-        self.words = Generations(self._word, size // 4)
+        self.tokenize = t.model.tokenize
+        self.words = Generations(self._word, max(1, size * WORDS // PIECES))
         self.known = Generations(self._piece, size)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         lower = bool(t.normalizer) and t.normalizer.normalize_str("A") == "a"
+        self.lower = lower
         self.letters = {c: level.pre_tokenize_str(chr(c).lower() if lower else chr(c))[0][0] for c in range(32, 256)}
         self.gap = {"": "", " ": "" if self.blind else self.letters[32]}
         self.line = b"" if self.blind else self._split("\n")
@@ -76,7 +80,7 @@ class PieceEncoder:
 
     def _word(self, word: str) -> bytes:
         """A pre-token: what the library merges by itself."""
-        return array(self.code, [x.id for x in self.tokenizer.model.tokenize(word)]).tobytes()
+        return array(self.code, [x.id for x in self.tokenize(word)]).tobytes()
 
     def _plain(self, piece: str) -> bytes | None:
         """By the rule of _PLAIN: gap and word merge, the line end and the marks stand alone."""
@@ -84,7 +88,7 @@ class PieceEncoder:
         if not m:
             return None
         gap, word, marks = m.groups()
-        word = word.translate(self.letters)
+        word = (word.lower() if self.lower else word) if word.isascii() else word.translate(self.letters)
         ids = self.line + self.words[word] if gap == "\n" else self.words[self.gap[gap] + word]
         return ids + self.words[marks] if marks else ids
 
@@ -129,3 +133,8 @@ def resident(key, make):
 def encoder(path: str, dtype: str = "<u4", added_tokens: bool = False) -> PieceEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return resident((path, dtype, added_tokens), lambda: PieceEncoder(path, dtype, added_tokens=added_tokens))
+
+
+def release() -> None:
+    """Give up the resident object: work that does not encode needs the memory."""
+    _RESIDENT.clear()
