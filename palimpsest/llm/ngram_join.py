@@ -1,17 +1,24 @@
 """Operator 2, n-gram Jaccard join by token-combination prefixes.
 
-A document is the set of its distinct word shingles ("tokens"), as 64-bit hashes. Documents of
-one set are one node, so copies are never paired with each other.
-
-Order and classes. The tokens of all documents are counted into a table of fixed size
-(SKETCH counters); tokens are ordered by that count, rare first, then by hash. A token whose count
-stands clear of the table's mean is frequent, the others are rare.
-
-Prefixes. If two sets are similar enough, the first p tokens of each (p = size - least overlap + 1)
-share one, and the first p + 1 share two. Rare tokens of the p-prefix are indexed alone. If the
-first shared token is frequent, so are all shared ones, and two of them lie in the prefixes of
-p + 1: frequent tokens are indexed as pairs from there. Only sets too large for pairs (prefixes of
-more than PAIRED_PREFIX) index frequent tokens alone as well; sets just below do both, so none is missed.
+A document is the set of its distinct word shingles ("tokens"), as 64-bit hashes.
+
+Counting. Chunks of documents send their distinct tokens to ranges of the hash space, where the
+documents of each token are counted, however many there are; a range answers every chunk. A set
+most of whose tokens stand in no other set can have no partner: such documents are done after the
+first count. What is left is reduced to its different sets ("nodes", by a 128-bit digest) and
+counted again among those.
+
+Order and classes. Tokens are ordered by class, count and hash. Class 1 are tokens of at most
+CLASS_LIMITS[0] sets, class 2 of at most CLASS_LIMITS[1], class 3 the rest. Two tokens whose
+shortened hashes agree count as one; that moves both in the order, for all sets alike.
+
+Prefixes. A set of n tokens that must share t with a partner may miss n - t of its own. Tokens of
+class k are dealt by hash into groups, and a group of m tokens of a prefix is sure of a shared
+k-combination once it misses fewer than m - k + 1. So the prefix is extended until these credits
+reach n - t + 1, and its k-combinations inside the groups are indexed: single tokens of class 1,
+pairs of class 2, triples of class 3. Similar sets then share a key in both their prefixes. The
+number of groups belongs to a size level (powers of two); a set is indexed at the level of every
+partner that is not larger, so keys grow in proportion to a set. Tokens of one set make no key.
 
 Candidates share a key, have sizes that can reach the similarity, and parity vectors (one bit per
 hash value, flipped by each token) that differ in no more bits than the sets may differ in
@@ -19,28 +26,37 @@ tokens: none of these tests loses a link. What is left is verified on the full s
 
 Groups. The answer is each document's connected component, so a group of near copies is not
 expanded into its pairs. First every set meets only a few others under a key: those before it when
-the key's sets stand in an order of least hashes, which puts similar sets together. That takes one
-pass over the sorted index. The links found join sets into components (alternating stars). Then all sets under a key meet that are not in one component yet; any link
-not in the first round's components is found here. Keys of frequent tokens are salted by
-a least hash in the first round and joined with skew handling in the second.
+the key's sets stand in an order of least hashes, which puts similar sets together (keys of many
+sets are cut along that order), and of all those the FIRST_PAIRS with the nearest parities. The links found join sets into components (alternating stars).
+Then, under keys that still hold several components, the sets outside a key's largest component
+meet all those of other components; any link not in the first round's components is found here.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import or_
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
+from .tokens import release
 
-SKETCH_BITS = 20
-SKETCH_PARTS = 64
-FREQUENT_TIMES, FREQUENT_MORE = 4, 16
-PAIRED_PREFIX = 8
+#: Most sets that hold a token of class 1 and of class 2.
+CLASS_LIMITS = (64, 1_024)
+CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
+RANGE_BYTES, RANGE_TOKENS = 4 << 20, 1 << 19
+MANY = 0xFFFF
+SHIFT = np.uint64(28)
 PARITY_LONGS = 4
-SALTS = 16
+SALT_SETS = 4_096
 ORDERS = 8
 NEIGHBOURS = 8
+#: Pairs that a set enters in the first round; what they leave unlinked is for the second.
+FIRST_PAIRS = 8
 BROADCAST_ROWS = 1_000_000
 WIDE_BITS = 2_048
 
@@ -81,70 +97,279 @@ def _signed(h) -> np.ndarray:
     return np.asarray(h, np.uint64).view(np.int64)
 
 
+def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the tokens of a chunk in order of their hashes: their places, which are new, and the new ones' numbers of times.
+
+    The last SHIFT bits do not count.
+    """
+    order = np.sort((tokens >> SHIFT << SHIFT) | np.arange(len(tokens), dtype=np.uint64))
+    head, places = order >> SHIFT, (order & np.uint64((1 << int(SHIFT)) - 1)).astype(np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = head[1:] != head[:-1]
+    return places, new, np.diff(np.append(np.flatnonzero(new), len(order)))
+
+
+def cut_by_range(tokens: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the ranges that hold some of the ordered tokens."""
+    of = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
+    return list(zip(of[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(of)]))
+
+
+_DEALT = "range long, chunk long, tokens binary, with binary, ids array<long>, sizes array<int>, sets binary"
+
+
+def _deal(words: int, ranges: int, with_sets: bool):
+    """Per chunk of documents a row for each range that holds some of its distinct tokens, and one for its documents.
+
+    `with` has two bytes for each token: the document in the chunk (MANY: several), or with_sets
+    the documents of the chunk that have it. The documents' row goes along with one of the ranges.
+    """
+
+    def deal(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        get, chunk = Shingler(words).tokens, TaskContext.get().partitionId() << 32
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        names = [x.split()[0] for x in _DEALT.split(", ")]
+        ids, sets, held = [], [], 0
+
+        def flush():
+            nonlocal chunk, ids, sets, held
+            sizes, all_tokens = np.array([len(s) for s in sets], np.int32), np.concatenate(sets)
+            places, new, times = distinct(all_tokens)
+            first = places[new]
+            tokens = all_tokens[first]
+            if with_sets:
+                extra = np.minimum(times, MANY)
+            else:
+                extra = np.where(times > 1, MANY, np.repeat(np.arange(len(sizes)), sizes)[first])
+            short, extra = (tokens >> SHIFT).astype("<u4"), extra.astype("<u2")
+            rows = [(r, chunk, short[a:b].tobytes(), extra[a:b].tobytes(), None, None, None) for r, a, b in cut_by_range(tokens, ranges)]
+            rows.append((chunk % ranges, chunk, None, None, ids, sizes.tolist(), all_tokens.tobytes() if with_sets else None))
+            chunk, ids, sets, held = chunk + 1, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        release()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids.append(doc)
+                sets.append(get(text.as_py()))
+                held += len(sets[-1])
+                if held >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return deal
+
+
+def _ranges_of(batches):
+    """The tokens' rows of one range after another, as (range, chunks, tokens, with); documents' rows as they come."""
+    now, rows = None, []
+    for batch in slices(batches, 64):
+        for of, chunk, tokens, extra, ids, sizes, sets in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if of != now and rows:
+                yield now, rows
+                rows = []
+            now = of
+            if tokens is None:
+                yield None, (of, chunk, None, None, ids, sizes, sets)
+            else:
+                rows.append((chunk, np.frombuffer(tokens, "<u4"), np.frombuffer(extra, "<u2")))
+    if rows:
+        yield now, rows
+
+
+def _equal_tokens(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the rows' tokens in order of the tokens, and which are new there."""
+    tokens = np.concatenate([t for _, t, _ in rows]).astype(np.uint64)
+    order = np.sort(tokens << np.uint64(32) | np.arange(len(tokens), dtype=np.uint64))
+    new = np.ones(len(order), bool)
+    new[1:] = order[1:] >> np.uint64(32) != order[:-1] >> np.uint64(32)
+    return (order & np.uint64(0xFFFFFFFF)).astype(np.int64), new
+
+
+def _answer(rows: list, chunk_rows) -> list[tuple]:
+    bounds = np.cumsum([0, *(len(t) for _, t, _ in rows)]).tolist()
+    return [(chunk, *chunk_rows(a, b)) for (chunk, _, _), a, b in zip(rows, bounds, bounds[1:])]
+
+
+def _single(rows: list) -> list[tuple]:
+    """Per chunk: the documents with tokens that no other document has, and how many of them."""
+    places, new = _equal_tokens(rows)
+    owner = np.concatenate([x for _, _, x in rows])
+    alone = np.zeros(len(owner), bool)
+    alone[places] = new & np.append(new[1:], True)
+    alone &= owner != MANY
+
+    def of(a, b):
+        docs, times = np.unique(owner[a:b][alone[a:b]], return_counts=True)
+        return docs.astype("<u2").tobytes(), times.astype("<u4").tobytes()
+
+    return _answer(rows, of)
+
+
+#: Codes of counts: themselves up to 128, then eight to a doubling; the last one has no upper end.
+_EDGES = np.unique(np.concatenate([np.arange(1, 129), np.ceil(128 * 2.0 ** (np.arange(1, 127) / 8))]).astype(np.int64))
+
+
+def code_of(counts: np.ndarray) -> np.ndarray:
+    """One byte that orders counts; equal counts have equal codes, and a code of 1 is a count of 1."""
+    return np.searchsorted(_EDGES, counts, "right").astype(np.uint8)
+
+
+def count_of(codes: np.ndarray) -> np.ndarray:
+    """The least count of each code (a code of 0 counts as 1)."""
+    return _EDGES[np.maximum(codes.astype(np.int64), 1) - 1]
+
+
+def _counted(rows: list) -> list[tuple]:
+    """Per chunk: the codes of its tokens' counts, in the order of its tokens."""
+    places, new = _equal_tokens(rows)
+    times = np.concatenate([x for _, _, x in rows]).astype(np.int64)[places]
+    sums = np.add.reduceat(times, np.flatnonzero(new))
+    codes = np.zeros(len(places), np.uint8)
+    codes[places] = code_of(sums)[np.cumsum(new) - 1]
+    return _answer(rows, lambda a, b: (codes[a:b].tobytes(), None))
+
+
+_ANSWERED = "chunk long, range long, one binary, two binary, ids array<long>, sizes array<int>, sets binary"
+
+
+def _in_ranges(answer):
+    """Rows of _DEALT ordered by range: what `answer` makes of each range's rows, a row per chunk, and the documents' rows (range -1)."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        names = [x.split()[0] for x in _ANSWERED.split(", ")]
+        for of, rows in _ranges_of(batches):
+            found = [(rows[1], -1, *rows[2:])] if of is None else [(chunk, of, one, two, None, None, None) for chunk, one, two in answer(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+    return count
+
+
+def _answers(rows: DataFrame, words: int, ranges: int, with_sets: bool) -> DataFrame:
+    """The ranges' answers brought together by chunk, the documents' row first and then ranges in order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(_deal(words, ranges, with_sets), _DEALT).repartition(n, "range").sortWithinPartitions("range")
+    answered = dealt.mapInArrow(_in_ranges(_counted if with_sets else _single), _ANSWERED)
+    return answered.repartition(n, "chunk").sortWithinPartitions("chunk", "range")
+
+
+def _by_chunk(batches):
+    """(documents' row, answers' rows) of each chunk, as tuples of one, two, ids, sizes, sets."""
+    now, rows = None, []
+    for batch in slices(batches, 16):
+        for chunk, _, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if chunk != now and rows:
+                yield rows[0], rows[1:]
+                rows = []
+            now = chunk
+            rows.append(row)
+    if rows:
+        yield rows[0], rows[1:]
+
+
+def least_overlap(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
+
+
+def _alone(percent: int):
+    """Per document: doc_id, n, and whether too many of its tokens are in no other document for it to have a partner."""
+
+    def alone(batches):
+        import pyarrow as pa
+
+        for (_, _, ids, sizes, _), answers in _by_chunk(batches):
+            single = np.zeros(len(ids), np.int64)
+            for docs, times, *_ in answers:
+                single[np.frombuffer(docs, "<u2")] += np.frombuffer(times, "<u4")
+            n = np.array(sizes, np.int64)
+            done = n - single < -(-percent * n // 100)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(done)], ["doc_id", "n", "alone"])
+
+    return alone
+
+
 def _describe(words: int):
-    """Per document its size and a digest of its set; per task the counters, in SKETCH_PARTS rows."""
+    """The rows with the size, a 128-bit digest and the wide parity of their sets."""
 
     def describe(batches):
         import pyarrow as pa
         import xxhash
 
-        get, counts, names = Shingler(words).tokens, np.zeros(1 << SKETCH_BITS, np.int64), ["doc_id", "n", "digest", "wide", "part", "counts"]
-        for batch in batches:
+        get = Shingler(words).tokens
+        for batch in slices(batches):
             sets = [get(t.as_py()) for t in batch.column("text")]
-            if sets:
-                counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
-            digests = _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]) if sets else np.zeros(0, np.int64)
-            empty = [None] * len(sets)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), pa.array([parity(s, WIDE_BITS).tobytes() for s in sets], pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-        parts = [x.astype("<i8").tobytes() for x in np.split(counts, SKETCH_PARTS)] if counts.any() else []
-        none, no_bits = pa.array([None] * len(parts), pa.int64()), pa.array([None] * len(parts), pa.binary())
-        yield pa.RecordBatch.from_arrays([none, none, none, no_bits, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([parity(s, WIDE_BITS).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *columns], ["doc_id", "text", "n", "digest", "wide"])
 
     return describe
 
 
-def _add_up(batches):
-    import pyarrow as pa
-
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, data in zip(batch.column("part").to_pylist(), batch.column("counts")):
-            x = np.frombuffer(data.as_py(), "<i8")
-            sums[part] = sums[part] + x if part in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
-
+def group_count(level: int, percent: int) -> int:
+    """Groups of a class at a size level (sets of 2 ** level tokens or more); 0 where combinations cannot be sure to meet."""
+    n = 1 << level
+    must = least_overlap(n, percent)
+    return min(max(1, (n - must + 1) // 2), (must - 1) // 3)
 
-def least_overlap(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
 
+def levels_of(n: int, percent: int) -> range:
+    """The levels of all partners that are not larger."""
+    return range(max(1, least_overlap(n, percent)).bit_length() - 1, n.bit_length())
 
-def large_set(percent: int) -> int:
-    """The size from which a prefix has too many frequent tokens to pair them all."""
-    return (PAIRED_PREFIX - 1) * 100 // max(1, 100 - percent)
 
+def index_keys(tokens: np.ndarray, codes: np.ndarray, percent: int, limits: tuple[int, int] = CLASS_LIMITS) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is indexed, and about how many sets have the tokens of each.
 
-def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, int]:
-    """The keys under which a set is indexed, those of rare tokens first, and how many those are."""
+    tokens: sorted hashes; codes: of the number of sets that hold each.
+    """
     n = len(tokens)
-    if not n or n * 100 // percent == n and least_overlap(n, percent) == n and (n - 1) * 100 < percent * (n + 1):
-        return np.zeros(0, np.uint64), 0  # only an equal set can be that similar
-    p = n - least_overlap(n, percent) + 1
-    seen = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    if p + 1 < n:
-        near = np.flatnonzero(seen <= np.partition(seen, p)[p])
-        tokens, seen = tokens[near], seen[near]
-    order = np.lexsort((tokens, seen))[: p + 1]
-    prefix, often = tokens[order], seen[order] > limit
-    alone = [prefix[:p][~often[:p]]]
-    many = prefix[often]
-    large = large_set(percent)
-    if n * 100 >= large * percent:
-        alone.append(prefix[:p][often[:p]])
-    if n < large and len(many) > 1:
-        i, j = np.triu_indices(len(many), 1)
-        alone.append(_mix(many[i] * _ODD[2] + many[j] * _ODD[3]))
-    return np.concatenate(alone), len(alone[0])
+    must = least_overlap(n, percent)
+    if n * 100 < percent * (n + 1):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)  # only an equal set can be that similar
+    need = n - must + 1
+    order = np.lexsort((tokens, codes))
+    tokens, counts = tokens[order], count_of(codes[order])
+    kind = 1 + (counts > limits[0]) + (counts > limits[1])
+    found, sizes, single = [], [], 0
+    for level in levels_of(n, percent):
+        groups = group_count(level, percent)
+        if not groups:
+            single = need
+            continue
+        if kind[min(need, n) - 1] == 1:
+            single = max(single, need)
+            continue
+        group = np.where(kind == 1, 0, kind * groups + (_mix(tokens ^ _ODD[5]) % np.uint64(groups)).astype(np.int64))
+        at = np.argsort(group, kind="stable")
+        start = np.append(True, group[at][1:] != group[at][:-1])
+        rank = np.empty(n, np.int64)
+        rank[at] = np.arange(n) - np.maximum.accumulate(np.where(start, np.arange(n), 0))
+        credit = np.cumsum(rank >= kind - 1)
+        end = int(np.searchsorted(credit, need)) + 1
+        single = max(single, int((kind[:end] == 1).sum()))
+        for k in (2, 3):
+            own = at[(at < end) & (kind[at] == k)]
+            for members in np.split(own, np.flatnonzero(np.diff(group[own])) + 1):
+                if len(members) >= k:
+                    members = members[np.argsort(tokens[members])]
+                    chosen = members[np.array(list(combinations(range(len(members)), k)))]
+                    key = np.full(len(chosen), level * 4 + k, np.uint64)
+                    for i in range(k):
+                        key = (key + tokens[chosen[:, i]]) * _ODD[i + 2]
+                    found.append(_mix(key))
+                    sizes.append(counts[chosen].min(1))
+    if single:
+        shared = counts[:single] > 1
+        found.append(tokens[:single][shared])
+        sizes.append(counts[:single][shared])
+    return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def similarity_ranks(tokens: np.ndarray) -> np.ndarray:
@@ -166,48 +391,54 @@ def parity(tokens: np.ndarray, bits: int = 64 * PARITY_LONGS) -> np.ndarray:
 
 
 _PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
-_INDEX = ["key", "salt", "rank", "n", "id", *_PARITY]
-_KIND = "key long, salt int, rank long, n int, id long, " + ", ".join(f"{p} long" for p in _PARITY)
+_BEFORE = [f"before{i}" for i in range(3)]
+_INDEX = ["key", "salt", "rank", "n", "id", *_BEFORE, *_PARITY]
+_KIND = "key long, salt int, rank long, n int, id long, " + ", ".join(f"{c} long" for c in [*_BEFORE, *_PARITY])
+
 
+def _index(percent: int, limits: tuple[int, int]):
+    """The index rows of the sets that come with the codes of their tokens' counts."""
 
-def _index(words: int, percent: int, sketch, limit: float):
     def index(batches):
         import pyarrow as pa
 
-        get, counts = Shingler(words).tokens, sketch.value
-        for batch in batches:
-            keys, ids, sizes, sums, salts, ranks = [], [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                tokens = get(text.as_py())
-                k, rare = index_keys(tokens, counts, limit, percent)
-                if len(k):
-                    keys.append(_signed(k))
-                    ids.append(np.full(len(k), doc, np.int64))
-                    sizes.append(np.full(len(k), len(tokens), np.int32))
-                    sums.append(np.broadcast_to(parity(tokens), (len(k), PARITY_LONGS)))
-                    ranks.append(similarity_ranks(tokens)[(k % np.uint64(ORDERS)).astype(np.int64)])
-                    salts.append(np.where(np.arange(len(k)) < rare, 0, 1 + (ranks[-1] >> 50) % SALTS).astype(np.int32))
-            if keys:
-                sums = np.concatenate(sums)
-                columns = [*map(np.concatenate, (keys, salts, ranks, sizes, ids)), *(np.ascontiguousarray(sums[:, i]) for i in range(PARITY_LONGS))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _INDEX)
+        for (_, _, ids, sizes, sets), answers in _by_chunk(batches):
+            tokens = np.frombuffer(sets, np.uint64)
+            places, new, _ = distinct(tokens)
+            codes = np.zeros(len(tokens), np.uint8)
+            if len(tokens):
+                codes[places] = np.frombuffer(b"".join(a[0] for a in answers), np.uint8)[np.cumsum(new) - 1]
+            bounds, found = np.cumsum([0, *sizes]).tolist(), []
+            for doc, a, b in zip(ids, bounds, bounds[1:]):
+                own = tokens[a:b]
+                keys, seen = index_keys(own, codes[a:b], percent, limits)
+                if len(keys):
+                    keys, first = np.unique(keys, return_index=True)
+                    seen = seen[first]
+                    before = [np.concatenate([keys[:i], keys[: max(0, len(keys) - i)]])[: len(keys)] for i in (1, 2, 3)]
+                    ranks = similarity_ranks(own)[(keys % np.uint64(ORDERS)).astype(np.int64)]
+                    parts = 1 + seen // SALT_SETS
+                    salts = np.where(parts > 1, 1 + ((ranks >> 30) * parts >> 30), 0)
+                    found.append((_signed(keys), salts.astype(np.int32), ranks, np.full(len(keys), b - a, np.int32), np.full(len(keys), doc, np.int64), *map(_signed, before), *np.broadcast_to(parity(own)[:, None], (PARITY_LONGS, len(keys)))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], _INDEX)
 
     return index
 
 
 def _stars(percent: int):
-    """Rows sorted by key, salt, rank and id: each with the ids it is to be compared with.
+    """Rows sorted by key, salt, rank and id: each with the ids it is to be compared with, and the bits in which parities differ.
 
     Those are the NEIGHBOURS rows before it under its key and salt, where size and parity allow a
-    link. Rows that are alone under an unsalted key go. The last row of a batch waits for the next.
+    link. Rows that are alone under a key of few sets (salt 0) go. The last row of a batch waits for the next.
     """
 
-    def near(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def near(rows: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         differ = np.zeros(len(i), np.int64)
         for p in _PARITY:
             differ += np.bitwise_count(rows[p][i] ^ rows[p][j])
         a, b = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
-        return (i != j) & (np.maximum(a, b) * percent <= np.minimum(a, b) * 100) & (differ * (100 + percent) <= (a + b) * (100 - percent))
+        return (i != j) & (np.maximum(a, b) * percent <= np.minimum(a, b) * 100) & (differ * (100 + percent) <= (a + b) * (100 - percent)), differ
 
     def stars(batches):
         import pyarrow as pa
@@ -225,10 +456,11 @@ def _stars(percent: int):
             alone[:-1] &= new[1:]
             i = np.flatnonzero((~alone | (rows["salt"] > 0)) & (at < n - (not last)))
             meets = np.stack([np.maximum(at - back, start)[i] for back in range(1, NEIGHBOURS + 1)], 1)
-            fits = near(rows, np.repeat(i, NEIGHBOURS), meets.ravel()).reshape(meets.shape)
+            fits, differ = (x.reshape(meets.shape) for x in near(rows, np.repeat(i, NEIGHBOURS), meets.ravel()))
             fits[:, 1:] &= meets[:, 1:] != meets[:, :-1]
             bounds = np.concatenate([[0], np.cumsum(fits.sum(1))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(bounds, rows["id"][meets[fits]])
+            pairs = pa.StructArray.from_arrays([pa.array(rows["id"][meets[fits]]), pa.array(differ[fits].astype(np.int32))], ["id", "differ"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pairs)
             done = pa.RecordBatch.from_arrays([*(pa.array(rows[c][i]) for c in _INDEX), lists], [*_INDEX, "meets"])
             return done, n > 1 and not new[-1] or n == 1 and joined
 
@@ -317,7 +549,7 @@ def _possible(percent: int):
     return possible
 
 
-def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(near: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole sets are similar enough.
 
     Wide parities (256 bytes a set) go first: they tell apart large sets, which the index'
@@ -327,65 +559,84 @@ def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "wide_a", "b", "n_b", "wide_b")
     pairs = materialize(pairs.mapInArrow(_possible(percent), "a long, b long"), "possible")
     ends = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
-    texts = rows.join(_small(ends, ends.count()), "doc_id", "left_semi")
+    texts = near.select("doc_id", "text").join(_small(ends, ends.count()), "doc_id", "left_semi")
     first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     second = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return materialize(second.select("a", "text_a", "b", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
 
 
+def _met(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components under a key that may be similar enough.
+
+    Of a key's components the one with the most rows meets the others' rows, never its own, and
+    keys of one component are left out. A pair that also shares one of the three keys before this
+    one, in each set's order of keys, is found under that key and not again here.
+    """
+    held = index.groupBy("key", "label").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("count", "label")).alias("largest"))
+    mixed = materialize(index.join(held.filter("parts > 1").select("key", "largest"), "key"), "mixed")
+    x, y = mixed.filter("label <> largest").alias("x"), mixed.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITY), F.lit(0))
+    once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    sized = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
+    close = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    again = [(F.col(f"x.{a}") == F.col(f"y.{b}")) & (F.col(f"x.{a}") != F.col("x.key")) for a in _BEFORE for b in _BEFORE]
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & sized & close & ~reduce(or_, again))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def similar_groups(
-    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", class_limits: tuple[int, int] = CLASS_LIMITS
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets. component_id is
-    the smallest id reachable by links. Texts without words, empty and null ones have no shingles and link with nothing;
-    rows repeated under one id share its group; rows with a null id have their group's. An empty
-    table gives no rows; other columns are not read.
+    the smallest id reachable by links. Texts without words, empty and null ones have no shingles and link with nothing.
+    Every row has the group of its own set: repeated rows share one, different texts under one id
+    need not (sets whose smallest id is the same are linked by it), and a row with a null id has
+    that of the documents of its set, else none (null). An empty table gives no rows; other
+    columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = materialize(rows.mapInArrow(_describe(words), "doc_id long, n long, digest long, wide binary, part int, counts binary"), "sets")
-    sums = seen.filter("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(_add_up, "part int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(sums)]) if sums else np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))  # 4 MB at any size of the corpus
-    limit = FREQUENT_TIMES * float(counts.mean()) + FREQUENT_MORE
-
-    about = seen.filter("part IS NULL").select("doc_id", "n", "digest", "wide")
-    nodes = materialize(about.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")), "nodes")
-    copies = about.filter("n > 0").join(nodes.select("node", F.col("n").alias("m"), F.col("digest").alias("d")), (F.col("n") == F.col("m")) & (F.col("digest") == F.col("d")) & (F.col("doc_id") != F.col("node"))).select("doc_id").distinct()
-    copies = materialize(copies, "copies")
-    once = rows.join(_small(copies, copies.count()), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
-    index = once.mapInArrow(_index(words, percent, sketch, limit), _KIND)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    first = _answers(rows, words, 1 + size // RANGE_BYTES, False)
+    about = materialize(first.mapInArrow(_alone(percent), "doc_id long, n long, alone boolean"), "counted")
+    open_ids = materialize(about.filter("NOT alone AND n > 0").select(F.col("doc_id").alias("open_id")).distinct(), "open")
+    still = _small(open_ids, open_ids.count())
+    is_open = F.col("doc_id").eqNullSafe(F.col("open_id"))
+    near = materialize(rows.join(still, is_open, "left_semi").mapInArrow(_describe(words), "doc_id long, text string, n long, digest binary, wide binary"), "near")
+
+    nodes = materialize(near.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("wide").alias("wide")), "nodes")
+    named = nodes.filter("node IS NOT NULL").select(F.col("digest").alias("of"), "node")
+    once = near.join(named, (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("node")), "left_semi")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    index = _answers(once.select("doc_id", "text"), words, 1 + total // RANGE_TOKENS, True).mapInArrow(_index(percent, class_limits), _KIND)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "rank", "id")
-    shared = materialize(dealt.mapInArrow(_stars(percent), _KIND + ", meets array<long>"), "index")
+    shared = materialize(dealt.mapInArrow(_stars(percent), _KIND + ", meets array<struct<id: long, differ: int>>"), "index")
 
-    star = shared.select(F.explode("meets").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(rows, nodes, materialize(star, "pairs"), words, percent)
+    met = shared.select(F.explode("meets").alias("m"), F.col("id").alias("b")).select(F.col("m.id").alias("a"), "b", "m.differ").distinct()
+    star = met.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))).filter(F.col("place") <= FIRST_PAIRS).select("a", "b")
+    links = _linked(near, named_nodes := nodes.filter("node IS NOT NULL"), materialize(star, "pairs"), words, percent)
     labels = components(links)
     labels = materialize(labels.select(F.col("node").alias("of"), F.col("component").alias("label")), "labels")
-    index = shared.join(_small(labels, labels.count()), F.col("id") == F.col("of"), "left").withColumn("label", F.coalesce("label", "id"))
-    x, y = index.alias("x"), index.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITY), F.lit(0))
-    ordered = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))
-    sized = F.col("y.n") * percent <= F.col("x.n") * 100
-    close = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ordered & sized & close)
-    rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = links.unionByName(_linked(rows, nodes, materialize(rest, "pairs"), words, percent))
+    index = shared.drop("meets").join(_small(labels, labels.count()), F.col("id") == F.col("of"), "left").withColumn("label", F.coalesce("label", "id"))
+    links = links.unionByName(_linked(near, named_nodes, materialize(_met(index, percent), "pairs"), words, percent))
 
     grouped = components(links).select(F.col("node").alias("at"), "component")
-    labelled = nodes.join(grouped, F.col("node") == F.col("at"), "left").select(
-        F.col("n").alias("m"), F.col("digest").alias("d"), F.coalesce("component", "node").alias("component")
-    )
-    full = about.filter("n > 0").join(labelled, (F.col("n") == F.col("m")) & (F.col("digest") == F.col("d")))
-    none = about.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(none)
+    labelled = nodes.join(grouped, F.col("node") == F.col("at"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"))
+    full = near.select("doc_id", "n", "digest").filter("n > 0").join(labelled, F.col("digest") == F.col("d"))
+    none = near.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    done = about.join(still, is_open, "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(none).unionByName(done)
 
 
 def keep_one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose group has a smaller id; all columns."""
+    """The documents without those whose group has a smaller id; all columns, whatever their names.
+
+    Documents without words, and those with null ids that are like no other, stay; repeated rows
+    stay or go together; an empty table stays empty.
+    """
     groups = similar_groups(docs, words, percent)
     gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(_small(gone, gone.count()), docs["doc_id"] == F.col("__gone"), "left_anti")

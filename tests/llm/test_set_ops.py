@@ -71,17 +71,58 @@ def family(rng, n, words, start):
             text[rng.randrange(len(text))] = f"w{rng.randint(0, 400)}"
 
 
-@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
-@pytest.mark.parametrize("often", [False, True])
-def test_similar_groups(spark, monkeypatch, words, percent, often):
-    if often:  # every token counts as frequent
-        monkeypatch.setattr(ngram_join, "FREQUENT_TIMES", -1)
-        monkeypatch.setattr(ngram_join, "FREQUENT_MORE", -1)
+@pytest.mark.parametrize("words, percent, limits", [(3, 90, ngram_join.CLASS_LIMITS), (3, 90, (0, 0)), (5, 80, (0, 10**9)), (5, 80, (3, 9))])
+def test_similar_groups(spark, words, percent, limits):
     rng = random.Random(words)
     rows = [*family(rng, 60, 60, 0), *family(rng, 40, 170, 100), *family(rng, 30, 12, 200), *family(rng, 25, 140, 300)]
     rows += [(400, ""), (401, None), (402, " \n"), (403, "one"), (404, "ONE"), (405, "one two"), (406, "One\ttwo"), (407, "x " * 5000), (408, "x " * 4000), (409, "É a b c d e"), (410, "é a b c d e")]
     df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", key int").repartition(5)
-    assert {tuple(r) for r in ngram_join.similar_groups(df, words, percent).collect()} == plain_groups(rows, words, percent)
+    assert {tuple(r) for r in ngram_join.similar_groups(df, words, percent, class_limits=limits).collect()} == plain_groups(rows, words, percent)
+
+
+def test_similar_groups_of_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, text), (None, text), (7, text + " more"), (None, "alone by itself here"), (9, "quite other words"), (9, text), (None, None), (3, "")]
+    got = ngram_join.similar_groups(spark.createDataFrame([(*r, "k") for r in rows], DOCS + ", digest string"))
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got.collect()))) == sorted(map(str, [(5, 5)] * 2 + [(None, 5), (7, 5), (None, None), (9, 9), (9, 5), (None, None), (3, 3)]))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+@pytest.mark.parametrize("limits", [(0, 10**9), (0, 0), (4, 12), (64, 1024)])
+def test_similar_sets_share_a_key(percent, limits):
+    """Any two sets that are similar enough, whatever the classes and sizes."""
+    rng = np.random.default_rng(percent)
+    tokens = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64))
+    codes = ngram_join.code_of(rng.integers(1, 30, len(tokens)))
+    compared = 0
+    for size in [1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 16, 17, 31, 33, 64, 100, 127, 129, 300, 700] * 6:
+        first = np.sort(rng.choice(len(tokens), size, replace=False))
+        drop, add = rng.integers(0, 1 + size * (100 - percent) // 150, 2)
+        second = np.unique(np.concatenate([rng.permutation(first)[drop:], rng.choice(len(tokens), add)]))
+        common = len(np.intersect1d(first, second))
+        if len(second) and not np.array_equal(first, second) and 100 * common >= percent * (size + len(second) - common):
+            codes[np.intersect1d(first, second)] = np.maximum(codes[np.intersect1d(first, second)], 2)
+            keys = [ngram_join.index_keys(tokens[s], codes[s], percent, limits)[0] for s in (first, second)]
+            assert len(np.intersect1d(*keys))
+            compared += 1
+    assert compared > 10
+
+
+def test_counts_of_ranges():
+    rng = np.random.default_rng(1)
+    rows = [(c, np.unique(rng.integers(0, 300, 90)).astype("<u4")) for c in range(7)]
+    counted = [(c, t, rng.integers(1, 5, len(t)).astype("<u2")) for c, t in rows]
+    sums = collections.Counter()
+    for _, t, x in counted:
+        for a, b in zip(t.tolist(), x.tolist()):
+            sums[a] += b
+    for (_, t, _), (_, codes, _) in zip(counted, ngram_join._counted(counted)):
+        assert list(codes) == ngram_join.code_of(np.array([sums[a] for a in t.tolist()])).tolist()
+    owned = [(c, t, np.where(rng.random(len(t)) < 0.1, ngram_join.MANY, rng.integers(0, 9, len(t))).astype("<u2")) for c, t in rows]
+    seen = collections.Counter(a for _, t, _ in owned for a in t.tolist())
+    for (_, t, x), (_, docs, times) in zip(owned, ngram_join._single(owned)):
+        want = collections.Counter(d for a, d in zip(t.tolist(), x.tolist()) if seen[a] == 1 and d != ngram_join.MANY)
+        assert dict(zip(np.frombuffer(docs, "<u2").tolist(), np.frombuffer(times, "<u4").tolist())) == want
 
 
 def test_similar_groups_of_nothing(spark):
