@@ -1,107 +1,181 @@
 """Operator 9, edit-aware token counts: a segment tree over the pre-tokens of each document.
 
-A document's text is cut into leaves of about LEAF characters, always at the step from a visible
-character to white space, which the tokenizer never joins. A leaf knows its characters and its
-ids; an inner node knows the sums of its children. An edit finds its first and last leaf by
-descending the sums, re-encodes the leaves it touches with as much context as a safe step needs
-on either side, puts the new leaves in their place and updates the sums on the way up; what it
-does not touch is neither read nor encoded again.
+A leaf is a word with the white space before it and the marks behind it: the library never joins
+what stands on both sides of the step from a visible character to white space. A leaf knows its
+characters and ids; leaves stand in blocks of up to FAN_OUT, blocks in nodes of up to FAN_OUT, and
+each node knows the sums of what is below it. Trees are kept as a table: the text and two
+arrays with the characters and ids of its leaves, from which the sums follow without encoding.
+
+An edit finds its first and last leaf by descending the sums, takes as much context as a safe step
+needs on either side, encodes that region, splits the tree at both its ends and joins the
+pieces with a tree of the new leaves. Only the nodes on the two paths are made anew, a
+number of the order of the tree's height; what the edit does not touch is neither read nor encoded again. A
+stretch without white space is one leaf, as what the library makes of it may depend on all of it.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, slices
 from .tokens import SEPARATORS, SPACE, encoder
 
-LEAF = 256
-FAN_OUT = 16
+FAN_OUT = 32
 _WHITE = frozenset(SPACE)
-_STEP = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
-def leaves_of(text: str, size: int = LEAF) -> list[str]:
-    """The text in leaves of at least `size` characters, cut at safe steps; the last is the rest."""
-    out, at = [], 0
-    while at < len(text):
-        step = _STEP.search(text, at + size) if at + size < len(text) else None
-        end = step.start() if step else len(text)
-        out.append(text[at:end])
+class Block:
+    """Up to FAN_OUT leaves: their text, and the characters and ids of each."""
+
+    __slots__ = ("text", "sizes", "counts", "chars", "ids")
+    height = 0
+
+    def __init__(self, text: str, sizes: list[int], counts: list[int]):
+        self.text, self.sizes, self.counts = text, sizes, counts
+        self.chars, self.ids = len(text), sum(counts)
+
+
+class Node:
+    """Up to FAN_OUT blocks or nodes of one height, and their sums."""
+
+    __slots__ = ("kids", "height", "chars", "ids")
+    made = 0
+
+    def __init__(self, kids: list):
+        Node.made += 1
+        self.kids, self.height = kids, kids[0].height + 1
+        self.chars, self.ids = sum(k.chars for k in kids), sum(k.ids for k in kids)
+
+
+def _over(kids: list):
+    """The tree of kids of one height, 2 * FAN_OUT at most."""
+    if not kids:
+        return None
+    if len(kids) == 1:
+        return kids[0]
+    if len(kids) <= FAN_OUT:
+        return Node(kids)
+    half = len(kids) // 2
+    return Node([Node(kids[:half]), Node(kids[half:])])
+
+
+def grow(text: str, sizes: list[int], counts: list[int]):
+    """The tree of a text's leaves; None for no leaves."""
+    level, at = [], 0
+    for i in range(0, len(sizes), FAN_OUT):
+        own = sizes[i : i + FAN_OUT]
+        end = at + sum(own)
+        level.append(Block(text[at:end], own, counts[i : i + FAN_OUT]))
         at = end
-    return out
+    while len(level) > 1:
+        level = [Node(level[i : i + FAN_OUT]) for i in range(0, len(level), FAN_OUT)]
+    return level[0] if level else None
+
+
+def join(a, b):
+    """The tree of all of a and then all of b: one path of the taller tree is made anew."""
+    if a is None or b is None:
+        return a or b
+    if a.height == b.height:
+        if a.height == 0 and len(a.sizes) + len(b.sizes) <= FAN_OUT:
+            return Block(a.text + b.text, a.sizes + b.sizes, a.counts + b.counts)
+        return _over(a.kids + b.kids) if a.height and len(a.kids) + len(b.kids) <= FAN_OUT else Node([a, b])
+    if a.height > b.height:
+        last = join(a.kids[-1], b)
+        return _over(a.kids[:-1] + ([last] if last.height < a.height else last.kids))
+    first = join(a, b.kids[0])
+    return _over(([first] if first.height < b.height else first.kids) + b.kids[1:])
+
+
+def split(tree, place: int):
+    """The trees of what stands before and behind `place`, the start of a leaf or the end of the text."""
+    if tree is None or place <= 0:
+        return None, tree
+    if place >= tree.chars:
+        return tree, None
+    if tree.height == 0:
+        k = before = 0
+        while before < place:
+            before += tree.sizes[k]
+            k += 1
+        return Block(tree.text[:before], tree.sizes[:k], tree.counts[:k]), Block(tree.text[before:], tree.sizes[k:], tree.counts[k:])
+    k = before = 0
+    while before + tree.kids[k].chars <= place:
+        before += tree.kids[k].chars
+        k += 1
+    left, right = split(tree.kids[k], place - before)
+    return join(_over(tree.kids[:k]), left), join(right, _over(tree.kids[k + 1 :]))
+
+
+def leaf_at(tree, place: int) -> tuple[int, str]:
+    """Start and text of the leaf that holds the character at `place`; the last leaf for the end."""
+    before = 0
+    while tree.height:
+        k = 0
+        while k < len(tree.kids) - 1 and before + tree.kids[k].chars <= place:
+            before += tree.kids[k].chars
+            k += 1
+        tree = tree.kids[k]
+    k, at = 0, 0
+    while k < len(tree.sizes) - 1 and before + at + tree.sizes[k] <= place:
+        at += tree.sizes[k]
+        k += 1
+    return before + at, tree.text[at : at + tree.sizes[k]]
+
+
+def text_between(tree, start: int, end: int) -> str:
+    """The characters start..end, from the blocks that hold them."""
+    if tree is None or start >= end:
+        return ""
+    if tree.height == 0:
+        return tree.text[start:end]
+    out, before = [], 0
+    for kid in tree.kids:
+        if before < end and before + kid.chars > start:
+            out.append(text_between(kid, max(0, start - before), min(kid.chars, end - before)))
+        before += kid.chars
+    return "".join(out)
 
 
 class CountTree:
-    """Leaves grouped FAN_OUT to a node, with sums of characters and ids at every level."""
-
-    def __init__(self, leaves: list[str], count):
-        self.count, self.encoded = count, 0
-        self.leaves = leaves
-        self.levels = [np.array([[len(x), self._ids(x)] for x in leaves], np.int64).reshape(-1, 2)]
-        self._sum_up(0)
-
-    def _ids(self, leaf: str) -> int:
-        self.encoded += len(leaf)
-        return self.count(leaf)
-
-    def _sum_up(self, first: int) -> None:
-        """Rebuild the nodes above leaf `first` and those after it; nodes before keep their sums."""
-        level = 0
-        while len(self.levels[level]) > 1:
-            first //= FAN_OUT
-            below = self.levels[level]
-            starts = np.arange(first * FAN_OUT, len(below), FAN_OUT)
-            new = np.add.reduceat(below, starts, axis=0) if len(starts) else np.zeros((0, 2), np.int64)
-            old = self.levels[level + 1][:first] if level + 1 < len(self.levels) else np.zeros((0, 2), np.int64)
-            self.levels[level + 1 :] = [np.concatenate([old, new]), *self.levels[level + 2 :]]
-            level += 1
-        del self.levels[level + 1 :]
+    """The tree of one document. `leaves` gives the leaves of a text, `count` the ids of each of them."""
+
+    def __init__(self, leaves, count, text: str, sizes: list[int] | None = None, counts: list[int] | None = None):
+        self.cut, self.count, self.encoded = leaves, count, 0
+        self.root = grow(text, sizes, counts) if sizes is not None else self._encode(text)
+
+    def _encode(self, text: str):
+        found = self.cut(text)
+        self.encoded += len(text)
+        return grow(text, [len(x) for x in found], self.count(found))
 
     @property
     def total(self) -> tuple[int, int]:
-        top = self.levels[-1]
-        return (int(top[0, 0]), int(top[0, 1])) if len(top) else (0, 0)
-
-    def find(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the character at `place` (the last leaf for the end) and its first character's place."""
-        node, before = 0, 0
-        for level in range(len(self.levels) - 2, -1, -1):
-            child = node * FAN_OUT
-            last = min(child + FAN_OUT, len(self.levels[level])) - 1
-            while child < last and before + self.levels[level][child, 0] <= place:
-                before += int(self.levels[level][child, 0])
-                child += 1
-            node = child
-        return node, before
+        return (self.root.chars, self.root.ids) if self.root else (0, 0)
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters start..end (clipped to the text) by `new`."""
         size = self.total[0]
         start = max(0, min(start, size))
         end = max(start, min(end, size))
-        if not self.leaves:
-            first, last, region = 0, -1, new
-        else:
-            first, before = self.find(start)
-            last, after = self.find(max(start, end - 1))
-            region = "".join(self.leaves[first : last + 1])
-            region = region[: start - before] + new + region[end - before :]
-            # The step before the region is safe while a leaf begins with white space after a visible character.
-            while first > 0 and not (region and region[0] in _WHITE):
-                first -= 1
-                region = self.leaves[first] + region
-            while last + 1 < len(self.leaves) and not (region and region[-1] not in _WHITE):
-                last += 1
-                region += self.leaves[last]
-        fresh = leaves_of(region)
-        rows = np.array([[len(x), self._ids(x)] for x in fresh], np.int64).reshape(-1, 2)
-        self.leaves[first : last + 1] = fresh
-        self.levels[0] = np.concatenate([self.levels[0][:first], rows, self.levels[0][last + 1 :]])
-        self._sum_up(first)
+        low = high = 0
+        if self.root:
+            low, _ = leaf_at(self.root, start)
+            at, last = leaf_at(self.root, max(start, end - 1))
+            high = at + len(last)
+        region = text_between(self.root, low, start) + new + text_between(self.root, end, high)
+        # A region may begin where white space stands after a visible character, and end where white space follows one.
+        while low > 0 and not (region and region[0] in _WHITE):
+            low, leaf = leaf_at(self.root, low - 1)
+            region = leaf + region
+        while high < size and not (region and region[-1] not in _WHITE):
+            at, leaf = leaf_at(self.root, high)
+            high, region = at + len(leaf), region + leaf
+        left, rest = split(self.root, low)
+        right = split(rest, high - low)[1]
+        self.root = join(join(left, self._encode(region)), right)
 
 
 def scripted_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,36 +200,80 @@ def scripted_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def edited_counts(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
-    """One row per document: doc_id, chars_before, n_before, chars_after, n_after, chars_encoded, leaves.
+def _leaves(e):
+    """The leaves of a text and the numbers of their ids, by an encoder; an added token is in its leaf."""
+    width = e.dtype.itemsize
+    cut = lambda text: e.whole_pieces(text)
+    return cut, lambda pieces: [len(e.encode(x)) // width if e.marked(x) else len(e.known[x]) // width for x in pieces]
+
+
+_TREE = "doc_id long, text string, sizes binary, counts binary"
+
+
+def build_trees(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
+    """doc_id, text, sizes, counts (two bytes or four for each leaf: the first byte of each array tells) and the edits, if docs has them.
 
-    docs: doc_id, text, edits (start, end, new; applied in order, each on the text the last one
-    left). n_before and n_after count ids by the tokenizer without special tokens;
-    chars_encoded is what the edits made it encode again. Null texts and edits count as empty,
-    places outside the text are clipped, a null replacement deletes; repeated rows are edited
-    alike; an empty table gives no rows.
+    Null texts count as empty and have no leaves; repeated rows have a tree each; an empty table gives no rows.
     """
+    keeps = "edits" in docs.columns
 
-    def count(batches):
+    def build(batches):
         import pyarrow as pa
 
-        e = encoder(tokenizer, added_tokens=added_tokens)
-        width = e.dtype.itemsize
-        ids = lambda leaf: len(e.encode(leaf)) // width
-        names = ["doc_id", "chars_before", "n_before", "chars_after", "n_after", "chars_encoded", "leaves"]
-        for batch in batches:
+        cut, count = _leaves(encoder(tokenizer, added_tokens=added_tokens))
+        for batch in slices(batches):
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            found = [cut(t) for t in texts]
+            sizes, counts = ([_packed(x) for x in c] for c in (([len(x) for x in f] for f in found), map(count, found)))
+            columns = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(sizes, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column("edits")] if keeps else [])], ["doc_id", "text", "sizes", "counts", *(["edits"] if keeps else [])])
+
+    edits = ", edits " + docs.schema["edits"].dataType.simpleString() if keeps else ""
+    return docs.select("doc_id", "text", *(["edits"] if keeps else [])).mapInArrow(build, _TREE + edits)
+
+
+def _packed(values: list[int]) -> bytes:
+    x = np.array(values, np.int64)
+    width = 1 if x.max(initial=0) < 256 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
+
+
+def edit_trees(trees: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
+    """One row per tree of build_trees with its edits: doc_id, chars_before, n_before, chars_after, n_after, chars_encoded, leaves, nodes_made.
+
+    edits: start, end, new; applied in order, each on the text the last one left. The n count ids
+    by the tokenizer without special tokens; chars_encoded is what the edits made it encode,
+    nodes_made the inner nodes they made. Null edits count as none, places outside the text are
+    clipped, a null replacement deletes.
+    """
+
+    def edit(batches):
+        import pyarrow as pa
+
+        cut, count = _leaves(encoder(tokenizer, added_tokens=added_tokens))
+        names = ["doc_id", "chars_before", "n_before", "chars_after", "n_after", "chars_encoded", "leaves", "nodes_made"]
+        for batch in slices(batches):
             out = []
-            for doc, text, edits in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("edits").to_pylist()):
-                tree = CountTree(leaves_of(text.as_py() or ""), ids)
-                before, tree.encoded = tree.total, 0
+            for doc, text, sizes, counts, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sizes", "counts", "edits"))):
+                sizes = _unpacked(sizes)
+                tree = CountTree(cut, count, text, sizes, _unpacked(counts))
+                before, made = tree.total, Node.made
                 for x in edits or []:
                     if x:
                         tree.edit(x["start"] or 0, x["end"] if x["end"] is not None else x["start"] or 0, x["new"] or "")
-                out.append((doc, *before, *tree.total, tree.encoded, len(tree.leaves)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7, names)
+                out.append((doc, *before, *tree.total, tree.encoded, len(sizes), Node.made - made))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 8, names)
+
+    return trees.mapInArrow(edit, "doc_id long, chars_before long, n_before long, chars_after long, n_after long, chars_encoded long, leaves long, nodes_made long")
 
-    kind = "doc_id long, chars_before long, n_before long, chars_after long, n_after long, chars_encoded long, leaves long"
-    return docs.select("doc_id", "text", "edits").mapInArrow(count, kind)
+
+def edited_counts(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
+    """Keep the trees of docs (doc_id, text, edits) as a table, then edit them; see build_trees and edit_trees. Other columns are not read."""
+    return edit_trees(materialize(build_trees(docs.select("doc_id", "text", "edits"), tokenizer, added_tokens), "trees", "zstd"), tokenizer, added_tokens)
 
 
 assert not _WHITE & set(SEPARATORS)

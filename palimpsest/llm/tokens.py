@@ -17,8 +17,8 @@ from array import array
 import numpy as np
 
 #: Entries of one generation of a worker's tables by piece and by word, some 200 bytes each; two
-#: generations are kept, some 200 MB at most. Longer pieces are not kept.
-PIECES, WORDS, LONGEST = 400_000, 100_000, 64
+#: generations are kept, some 250 MB at most. Longer pieces are not kept.
+PIECES, WORDS, LONGEST = 550_000, 120_000, 64
 #: The characters that the tokenizers' patterns call white space.
 SPACE = " \n\t\r\x0b\x0c\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What Python's split() takes for white space as well.
@@ -109,10 +109,16 @@ class PieceEncoder:
         found = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")  # no two spaces meet: each starts a piece
         return found if found[0] else found[1:]
 
+    def marked(self, text: str) -> bool:
+        return any(x in text for x in self.markers)
+
+    def whole_pieces(self, text: str) -> list[str]:
+        """The text cut at the steps from a visible character to white space; put together they are the text."""
+        return _PIECE.findall(text) if self.blind or any(x in text for x in _UNPLAIN) else self.pieces(text)
+
     def encode(self, text: str) -> bytes:
-        for x in self.markers:
-            if x in text:
-                return b"".join([self.markers[s] if s in self.markers else self._stretch(s) for s in self.marker.split(text) if s])
+        if self.marked(text):
+            return b"".join([self.markers[s] if s in self.markers else self._stretch(s) for s in self.marker.split(text) if s])
         return self._stretch(text)
 
     def _stretch(self, text: str) -> bytes:
