@@ -1,11 +1,15 @@
 """Operator 5, minimum-cost-flow resharding.
 
-From the bytes in the old shards and the capacities of the new ones a transport problem is
-solved: the bytes that stay cost nothing, those that move cost what `cost` says (1 by default),
-and the flow of least cost moves the fewest bytes. The graph has a node per shard, whatever the
-number of documents. An old shard's rows stand in hash order; its flows cut that line into byte
-ranges, and the rows in a range are the block that goes to one new shard. Each cut is at the
-nearest document, so a shard misses its capacity by half a document per cut.
+A store is a Parquet table of shards cut into files of about file_bytes. In a shard rows stand in hash order; every row
+carries its slot and the bytes before it. From the bytes in the old shards and the capacities of
+the new ones a transport problem is solved: the bytes that stay cost nothing, those that move
+cost what `cost` says (1 by default), and the flow of least cost moves the fewest bytes. The graph
+has a node per shard, whatever the number of documents. A shard's flows cut its line of bytes into
+ranges, what stays first, and the rows in a range are the block that goes to one new shard. Each
+cut is at the nearest document, so a shard misses its capacity by half a document per cut.
+
+What stays keeps its slots, what comes is numbered behind it, so files whose rows all stay are
+left as they are; only the files that lose rows are read with their texts and written again.
 """
 
 from __future__ import annotations
@@ -13,14 +17,15 @@ from __future__ import annotations
 import heapq
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import block_of, grouped_rank, materialize, order_hash, rank_blocks, scratch_dir
+from .common import block_of, materialize, order_hash, rank_blocks, scratch_dir
 
-ROWS_PER_BLOCK = 2_000
-ROWS_PER_FILE = 16_000
+ROWS_PER_BLOCK = 500
+FILE_BYTES = 32 << 20
 BROADCAST_ROWS = 500_000
+STORED = "doc_id long, text string, size long, slot long, before long, shard int, file int"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[tuple[int, int, int]]:
@@ -87,95 +92,82 @@ def flow_intervals(flows: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     return found
 
 
-def reshard(
-    docs: DataFrame,
-    old_shard: Column,
-    old_shards: int,
-    new_shards: int,
-    capacities: list[int] | None = None,
-    cost=lambda i, j: int(i != j),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> tuple[DataFrame, set[int]]:
-    """doc_id, text, size, old_shard, shard, slot for every row, and the new shards whose rows change.
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast while few rows, beyond that joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def write_store(docs: DataFrame, shard: Column, path: str, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write documents as shards: folders shard=N/file=M of doc_id, text, size, slot, before.
 
     size is the bytes of the text (null: none) plus 8. Slots number a shard's rows from 0 without
-    gaps. Rows are ordered by a hash of id and text, so repeated rows are interchangeable; a null
-    id or old shard 0..n-1 outside its range is an error of the caller's expression, except that
-    null goes to old shard 0. An empty table gives no rows.
+    gaps, `before` counts its bytes up to the row. Rows are ordered by a hash of id and text, so
+    repeated rows are interchangeable; a null id is carried along, a null shard is shard 0. An
+    empty table writes an empty store.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text, order = F.coalesce(F.col(text_col).cast("string"), F.lit("")), ["doc_id", "crc"]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("crc"),
-        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
-    )
-    sums = {r[0]: r[1] for r in rows.groupBy("old_shard").agg(F.sum("size")).collect()}  # a row per old shard
-    supply = [sums.get(i, 0) for i in range(old_shards)]
-    flows = min_cost_flow(supply, capacities or even_capacities(sum(supply), new_shards), cost)
-    intervals = flow_intervals(flows)
-    affected = {j for i, j, _ in flows if i != j} | {i for i, j, _ in flows if i != j and i < new_shards}
-
-    order = ["doc_id", "crc"]
-    light = rows.drop("text")
-    before, bits = rank_blocks(light, "old_shard", order, "size", ROWS_PER_BLOCK)
-    wanted = spark.createDataFrame(intervals or [(0, 0, 0, 0)], "cut_old int, shard int, low long, high long")
-    ranked = grouped_rank(light, "old_shard", order, "size", (before, bits)).withColumn("h", order_hash(order))
-    middle = F.col("__before") + F.col("size") / 2
-    in_range = (F.col("old_shard") == F.col("cut_old")) & (middle >= F.col("low")) & (middle < F.col("high"))
-    firsts = ranked.join(F.broadcast(wanted), in_range).groupBy("cut_old", "shard").agg(F.min("h")).collect()  # a row per flow
-
-    # A cut is the hash of the first row behind it, so a row knows its shard by itself.
-    cuts = []
-    for i in {r[0] for r in firsts}:
-        own = sorted((h, j) for o, j, h in firsts if o == i)
-        ends = [h for h, _ in own[1:]] + [1 << 62]
-        cuts += [(i, j, 0 if k == 0 else h, end if end != 1 << 62 else (1 << 63) - 1) for k, ((h, j), end) in enumerate(zip(own, ends))]
-    cuts = F.broadcast(spark.createDataFrame(cuts or [(0, 0, 0, 0)], "cut_old int, shard int, from_h long, to_h long"))
-
-    def assigned(df: DataFrame) -> DataFrame:
-        h = df.withColumn("h", order_hash(order)).withColumn("block", block_of(order, bits))
-        return h.join(cuts, (F.col("old_shard") == F.col("cut_old")) & (F.col("h") >= F.col("from_h")) & (F.col("h") < F.col("to_h")))
-
-    along = Window.partitionBy("to_shard").orderBy("from_old", "of_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = assigned(light).groupBy(F.col("shard").alias("to_shard"), F.col("old_shard").alias("from_old"), F.col("block").alias("of_block")).count()
-    bases = materialize(blocks.select("to_shard", "from_old", "of_block", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("base")), "bases")
-    chunk = max(0, (ROWS_PER_FILE // ROWS_PER_BLOCK).bit_length() - 1)
-    dealt = assigned(rows).withColumn("chunk", F.shiftright("block", chunk)).repartition("shard", "old_shard", "chunk")
-    inside = Window.partitionBy("shard", "old_shard", "chunk", "block").orderBy("h", *order)
-    placed = dealt.withColumn("place", F.row_number().over(inside) - 1)
-    done = placed.join(
-        _small(bases), (F.col("shard") == F.col("to_shard")) & (F.col("old_shard") == F.col("from_old")) & (F.col("block") == F.col("of_block"))
+        F.coalesce(shard.cast("int"), F.lit(0)).alias("shard"),
     )
-    return done.select("doc_id", "text", "size", "old_shard", "shard", (F.col("place") + F.col("base")).alias("slot")), affected
+    totals, bits = rank_blocks(rows.drop("text"), "shard", order, "size", ROWS_PER_BLOCK)
+    blocks = totals.select(F.col("__group").alias("of"), F.col("__of").alias("at"), "__n_before", "__m_before")
+    placed = rows.withColumn("hash", order_hash(order)).withColumn("block", block_of(order, bits))
+    placed = placed.join(_small(blocks), (F.col("shard") == F.col("of")) & (F.col("block") == F.col("at")))
+    placed = placed.withColumn("file", F.floor(F.col("__m_before") / file_bytes).cast("int")).repartition("shard", "file")
+    inside = Window.partitionBy("shard", "file", "block").orderBy("hash", *order)
+    earlier = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    done = placed.select("doc_id", "text", "size", (F.col("__n_before") + F.row_number().over(inside) - 1).alias("slot"), (F.col("__m_before") + earlier).alias("before"), "shard", "file")
+    done.write.option("compression", "zstd").partitionBy("shard", "file").parquet(path)
 
 
-def _small(bases: DataFrame) -> DataFrame:
-    """A row per block: broadcast while few, beyond that joined by shuffle."""
-    return F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORED).parquet(path)
 
 
-def write_shards(rows: DataFrame, path: str, only: set[int] | None = None) -> None:
-    """Write shard=N folders of files; with `only`, those shards alone are written.
+def reshard(
+    store: DataFrame, old_shards: int, new_shards: int, path: str, capacities: list[int] | None = None, cost=lambda i, j: int(i != j)
+) -> DataFrame:
+    """Solve the transport, write the rows of affected files to `path`, and return the new store.
 
-    reshard has already dealt the rows by shard and chunk, so a task writes few, large files.
+    The result has the columns of read_store and old_shard: the untouched files of the old store
+    and the new files. Slots stay gapless; `before` is only kept for rows that stay.
     """
-    if only is not None:
-        rows = rows.filter(F.col("shard").isin(sorted(only)))
-    rows.write.partitionBy("shard").mode("append").parquet(path)
-
-
-def shard_digest(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str | None = None) -> DataFrame:
-    """Reshard, write the files, and describe each document from what was read back."""
+    spark = store.sparkSession
+    light = store.select("size", "slot", "before", "shard", "file")
+    sums = {r[0]: r[1] for r in light.groupBy("shard").agg(F.sum("size")).collect()}  # a row per old shard
+    supply = [sums.get(i, 0) for i in range(old_shards)]
+    intervals = flow_intervals(min_cost_flow(supply, capacities or even_capacities(sum(supply), new_shards), cost))
+    cuts = F.broadcast(spark.createDataFrame(intervals or [(0, 0, 0, 0)], "cut_old int, to int, low long, high long"))  # a row per flow
+    middle = F.col("before") + F.col("size") / 2
+    sent = light.join(cuts, (F.col("shard") == F.col("cut_old")) & (middle >= F.col("low")) & (middle < F.col("high")))
+    flows = sorted((r["to"], r["shard"] != r["to"], r["shard"], r["first"], r["n"]) for r in sent.groupBy("shard", "to").agg(F.min("slot").alias("first"), F.count(F.lit(1)).alias("n")).collect())
+    bases, held = [], {}
+    for to, _, old, first, n in flows:  # what stays comes first and keeps its slots
+        bases.append((old, to, held.get(to, 0) - first))
+        held[to] = held.get(to, 0) + n
+    shifts = F.broadcast(spark.createDataFrame(bases or [(0, 0, 0)], "base_old int, base_to int, shift long"))
+    files = materialize(sent.groupBy("shard", "file").agg(F.bool_or(F.col("to") != F.col("shard")).alias("touched")), "files")
+    touched = store.join(_small(files.filter("touched").select("shard", "file")), ["shard", "file"], "left_semi")
+    moved = touched.join(cuts, (F.col("shard") == F.col("cut_old")) & (middle >= F.col("low")) & (middle < F.col("high")))
+    moved = moved.join(shifts, (F.col("shard") == F.col("base_old")) & (F.col("to") == F.col("base_to")))
+    new = moved.select("doc_id", "text", "size", (F.col("slot") + F.col("shift")).alias("slot"), F.when(F.col("to") == F.col("shard"), F.col("before")).alias("before"), F.col("shard").alias("old_shard"), "file", F.col("to").alias("shard"))
+    new.repartition("shard", "old_shard", "file").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    written = spark.read.schema("doc_id long, text string, size long, slot long, before long, old_shard int, file int, shard int").parquet(path)
+    kept = store.join(_small(files.filter("NOT touched").select("shard", "file")), ["shard", "file"], "left_semi").withColumn("old_shard", F.col("shard"))
+    return kept.unionByName(written)
+
+
+def shard_digest(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the old store, reshard it, and describe each document from the files of the new one."""
     spark = docs.sparkSession
     path = path or f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
-    rows, _ = reshard(docs, old_shard, old_shards, new_shards)
-    write_shards(rows, path)
-    files = spark.read.schema("doc_id long, text string, size long, old_shard int, slot long, shard int").parquet(path)
-    return files.select(
+    write_store(docs, old_shard, f"{path}/old", file_bytes)
+    rows = reshard(read_store(spark, f"{path}/old"), old_shards, new_shards, f"{path}/new")
+    return rows.select(
         "doc_id",
         "size",
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
