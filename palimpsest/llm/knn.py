@@ -1,15 +1,19 @@
 """Operator 8, exact top-k search: a Voronoi kNN join on the integer inner product.
 
-PIVOTS vectors, first by a hash of their id, divide the space into cells. From small summaries
-(a row per pair of cells, and the k + 1 shortest distances to each pivot) each cell of queries
-gets a score that the k-th hit of all its queries is sure to reach: for a vector at distance b
-from its pivot p, |q.v - q.p| <= |q| b. A vector is sent to a cell of queries only where
-max(q.p) + max|q| b reaches that score. Each cell of queries, dealt into blocks, then meets the
-vectors sent to it, dealt into slices, and the slices' best are ranked once more. Distances and
-bounds are floating-point with a margin for rounding; scores are integers.
-
-The pivots are a bounded sample and only steer the work; every vector is placed and every one
-that could be a hit is scored.
+Pivots, about sqrt(n) vectors and PIVOTS at most, first by a hash of their id, divide the space into cells.
+Every query is sure of the k-th best score that it has with a sample of SAMPLE other vectors; the
+least of these in a cell of queries is the cell's `reach`. For a vector v at distance b from its
+pivot p, q.v <= q.p + |q| b, so from the summaries (a row per pair of cells: the largest q.p, the
+longest q, the reach) follows the distance that a vector of one cell must have to matter to the
+queries of another. Neighbouring cells of queries form groups of about BLOCK_QUERIES queries, and
+a vector is sent once to each group in which it could be a hit. A group that has more queries is
+dealt into blocks, the vectors sent to it into slices; each pair is solved locally, and the
+slices' best are ranked once more. Distances and bounds are floating-point with a margin for
+rounding; scores are integers.
+
+The sample and the pivots are bounded and only steer the work; every vector is placed and every
+one that could be a hit is scored. Where vectors lie evenly in many dimensions no bound excludes
+any, and each is sent to every group.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 32
+from .common import materialize
+
+PIVOTS, SAMPLE = 1_024, 4_096
 SLICE_ROWS = 8_000
-BLOCK_QUERIES = 2_048
+BLOCK_QUERIES = 8_192
 MARGIN = 1e-6
 
 
@@ -32,9 +38,8 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id
     return good.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    """Rows of a list column, padded with zeros (or cut: beyond the pivots' width a query has nothing) to width."""
-    rows = column.to_pylist()
+def _matrix(rows: list, width: int) -> np.ndarray:
+    """Lists padded with zeros to width."""
     out = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
@@ -46,10 +51,9 @@ def _placed(width: int, pivots: np.ndarray):
         import pyarrow as pa
 
         for batch in batches:
-            v = _matrix(batch.column("v"), width)
+            v = _matrix(batch.column("v").to_pylist(), width)
             x = v.astype(float)
-            d = (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T
-            cell = d.argmin(1)
+            cell = ((pivots * pivots).sum(1)[None] - 2 * x @ pivots.T).argmin(1)
             away = np.sqrt(((x - pivots[cell]) ** 2).sum(1)) * (1 + MARGIN) + MARGIN
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array(cell, pa.int32()), pa.array(away), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "cell", "away", "v"]
@@ -58,36 +62,37 @@ def _placed(width: int, pivots: np.ndarray):
     return place
 
 
-def _query_summary(width: int, pivots: np.ndarray):
+def _query_summary(width: int, pivots: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int):
+    """Per cell of queries and pivot: the largest product; per cell its longest query, reach and number (in the rows of pivot 0 and on)."""
+
     def summary(batches):
         import pandas as pd
 
         for b in batches:
             q = np.frombuffer(b"".join(b["v"]), np.int64).reshape(-1, width).astype(float)
-            dots = q @ pivots.T
             long = np.sqrt((q * q).sum(1)) * (1 + MARGIN)
+            scores = q @ sample.T
+            scores[b["vec_id"].to_numpy()[:, None] == sample_ids[None]] = -np.inf
+            reach = np.partition(scores, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] if len(sample_ids) >= k else np.full(len(q), -np.inf)
+            dots = q @ pivots.T
             for cell in np.unique(b["cell"]):
                 own = (b["cell"] == cell).to_numpy()
-                yield pd.DataFrame({"cell": cell, "pivot": range(len(pivots)), "high": dots[own].max(0), "low": dots[own].min(0), "long": long[own].max(), "n": int(own.sum())})
+                yield pd.DataFrame({"cell": cell, "pivot": range(len(pivots)), "high": dots[own].max(0), "long": long[own].max(), "reach": reach[own].min(), "n": int(own.sum())})
 
     return summary
 
 
-def _shortest(k: int):
-    def shortest(batches):
-        import pandas as pd
-
-        best: dict[int, np.ndarray] = {}
-        count: dict[int, int] = {}
-        for b in batches:
-            for cell, away in b.groupby("cell")["away"]:
-                found = np.concatenate([best.get(cell, np.zeros(0)), away.to_numpy()])
-                best[cell] = np.sort(found)[: k + 1]
-                count[cell] = count.get(cell, 0) + len(away)
-        for cell, away in best.items():
-            yield pd.DataFrame({"cell": [cell], "away": [away.tolist()], "n": [count[cell]]})
-
-    return shortest
+def _groups(cells: np.ndarray, asked: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """The group of each cell of queries (-1: no queries): a walk from cell to nearest cell, cut where `most` queries are reached."""
+    group, number, held = np.full(len(asked), -1), 0, 0
+    left = list(cells)
+    at = left.pop(0) if left else None
+    while at is not None:
+        if held and held + asked[at] > most:
+            number, held = number + 1, 0
+        group[at], held = number, held + asked[at]
+        at = left.pop(int(((pivots[left] - pivots[at]) ** 2).sum(1).argmin())) if left else None
+    return group
 
 
 def _local(width: int, k: int):
@@ -96,93 +101,105 @@ def _local(width: int, k: int):
 
         if not len(q) or not len(d):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        queries = np.frombuffer(b"".join(q["v"]), np.int64).reshape(-1, width)
+        queries, asked = np.frombuffer(b"".join(q["v"]), np.int64).reshape(-1, width), q["vec_id"].to_numpy()
         d = d.sort_values("vec_id", kind="stable")
         data, ids = np.frombuffer(b"".join(d["v"]), np.int64).reshape(-1, width), d["vec_id"].to_numpy()
         # Sums under 2**53 are exact in floating point, which has the fast product.
         exact = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * width < 2**53
         flat = data.T.astype(float) if exact else data.T
-        out = []
+        least = np.iinfo(np.int64).min
+        found: list[tuple] = []
         for at in range(0, len(queries), 64):
-            part = queries[at : at + 64]
-            scores = ((part.astype(float) if exact else part) @ flat).astype(np.int64)
-            for own, s in zip(q["vec_id"].to_numpy()[at : at + 64], scores):
-                if len(s) > 4 * k + 4:
-                    edge = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                    near = np.flatnonzero(s > edge)
-                    near = np.concatenate([near, np.flatnonzero(s == edge)[: k + 1]])
-                else:
-                    near = np.arange(len(s))
-                near = near[ids[near] != own]
-                near = near[np.lexsort((ids[near], -s[near]))][:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near], "score": s[near]}))
-        return pd.concat(out)
+            own = asked[at : at + 64]
+            scores = ((queries[at : at + 64].astype(float) if exact else queries[at : at + 64]) @ flat).astype(np.int64)
+            scores[own[:, None] == ids[None]] = least  # a vector is no hit of its own id
+            edges = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), least)
+            for query, s, edge in zip(own, scores, edges):
+                near = np.flatnonzero(s > edge)
+                if len(near) < k and edge > least:
+                    near = np.concatenate([near, np.flatnonzero(s == edge)[: k - len(near)]])  # the smallest ids
+                found.append((np.full(len(near), query), ids[near], s[near]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
     return local
 
 
-def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, n_pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, n_pivots: int | None = None, counts: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for each query.
 
     vectors: vec_id and v, as integer_vectors gives. Queries are the ids divisible by
     query_every. Ties go to the smaller id. A shorter vector counts as padded with zeros; rows
-    repeated under one id are candidates each, but never for their own id. Fewer than k other
-    vectors give as many rows; no vectors, none. Components must keep sums within 64 bits.
+    repeated under one id are candidates each, but one query, and never hits of their own id;
+    different vectors under one query's id share its k places. Fewer than k other vectors give as many rows; no vectors, none. Components must keep sums
+    within 64 bits. `counts` receives the numbers of vectors, groups and rows sent to groups.
     """
     spark = vectors.sparkSession
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(n_pivots).collect()
-    if not sample:
+    width, rows = vectors.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivots = np.unique(np.array([list(r[0]) + [0] * (width - len(r[0])) for r in sample], float), axis=0)
-    placed = vectors.mapInArrow(_placed(width, pivots), "vec_id long, cell int, away double, v binary")
+    width = width or 1
+    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample, sample_ids = _matrix([r["v"] for r in drawn], width).astype(float), np.array([r["vec_id"] for r in drawn])
+    m = n_pivots or min(PIVOTS, max(16, int(rows**0.5)))
+    pivots = np.unique(sample[:m], axis=0)
+    m = len(pivots)
+    placed = materialize(vectors.mapInArrow(_placed(width, pivots), "vec_id long, cell int, away double, v binary"), "placed")
     queries = placed.filter(F.col("vec_id") % query_every == 0)
 
-    # Summaries: at most pivots**2 rows, and pivots rows of k + 1 distances per task.
-    seen = queries.mapInPandas(_query_summary(width, pivots), "cell int, pivot int, high double, low double, long double, n long")
-    seen = seen.groupBy("cell", "pivot").agg(F.max("high"), F.min("low"), F.max("long"), F.sum("n")).collect()
-    near = placed.select("cell", "away").mapInPandas(_shortest(k), "cell int, away array<double>, n long")
-    near = near.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("away"))), 1, k + 1).alias("away"), F.sum("n").alias("n")).collect()
-    m = len(pivots)
-    high, low, long, asked = np.zeros((m, m)), np.zeros((m, m)), np.zeros(m), np.zeros(m, int)
-    for cell, pivot, h, lo, le, n in seen:
-        high[cell, pivot], low[cell, pivot], long[cell], asked[cell] = h, lo, le, n
-    size, away = np.zeros(m, int), {}
-    for cell, a, n in near:
-        size[cell], away[cell] = n, np.array(a)
-    reach = np.full(m, -np.inf)
-    for i in np.flatnonzero(asked):
-        sure = np.concatenate([low[i, j] - long[i] * a for j, a in away.items()])
-        if len(sure) > k:  # one of them may be the query itself
-            reach[i] = np.partition(sure, len(sure) - k - 1)[len(sure) - k - 1]
+    # Summaries: at most a row per pair of pivots.
+    seen = queries.mapInPandas(_query_summary(width, pivots, sample, sample_ids, k), "cell int, pivot int, high double, long double, reach double, n long")
+    seen = seen.groupBy("cell", "pivot").agg(F.max("high"), F.max("long"), F.min("reach"), F.sum("n")).collect()
+    high, long, reach, asked = np.zeros((m, m)), np.zeros(m), np.full(m, -np.inf), np.zeros(m, int)
+    for cell, pivot, h, le, re, n in seen:
+        high[cell, pivot], long[cell], reach[cell], asked[cell] = h, le, re, n
     slack = MARGIN * (np.abs(reach[np.isfinite(reach)]).max(initial=0) + np.abs(high).max(initial=0)) + 1
-    groups = np.flatnonzero(asked)
-    slices = {int(i): max(1, -(-int(size.sum()) // SLICE_ROWS)) for i in groups}
-    blocks = {int(i): -(-int(asked[i]) // BLOCK_QUERIES) for i in groups}
+    group = _groups(np.flatnonzero(asked), asked, pivots, BLOCK_QUERIES)
+    n_groups = int(group.max()) + 1
+    needed = np.full((n_groups, m), np.inf)  # the distance from its pivot that a vector must have
+    for cell in np.flatnonzero(asked):
+        short = reach[cell] - slack - high[cell]
+        needed[group[cell]] = np.minimum(needed[group[cell]], np.where(short <= 0, 0.0, short / max(long[cell], MARGIN)))
+    blocks = {g: -(-int(asked[group == g].sum()) // BLOCK_QUERIES) for g in range(n_groups)}
+
+    def wanted(b):
+        cell, away = b["cell"].to_numpy(), b["away"].to_numpy()
+        for g in range(n_groups):
+            hits = np.flatnonzero(away >= needed[g, cell])
+            if len(hits):
+                yield g, hits
+
+    def count(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(g, len(hits)) for g, hits in wanted(b)], columns=["to", "n"])
+
+    per_group = {r[0]: r[1] for r in placed.select("cell", "away").mapInPandas(count, "to int, n long").groupBy("to").agg(F.sum("n")).collect()}
+    slices = {g: max(1, -(-per_group.get(g, 0) // SLICE_ROWS)) for g in range(n_groups)}
+    if counts is not None:
+        counts.update(vectors=rows, groups=n_groups, cells=m, sent=sum(n * blocks[g] for g, n in per_group.items()))
 
     def send(batches):
         import pandas as pd
 
         for b in batches:
-            cell, a, ids = b["cell"].to_numpy(), b["away"].to_numpy(), b["vec_id"].to_numpy()
-            for i in groups.tolist():
-                wanted = np.flatnonzero(high[i, cell] + long[i] * a >= reach[i] - slack)
-                if len(wanted):
-                    one = pd.DataFrame({"to": i, "slice": (ids[wanted] * 2654435761 >> 7) % slices[i], "vec_id": ids[wanted], "v": b["v"].to_numpy()[wanted]})
-                    for block in range(blocks[i]):
-                        yield one.assign(block=block)[["to", "block", "slice", "vec_id", "v"]]
+            ids, v = b["vec_id"].to_numpy(), b["v"].to_numpy()
+            for g, hits in wanted(b):
+                one = pd.DataFrame({"to": g, "slice": (ids[hits] * 2654435761 >> 7) % slices[g], "vec_id": ids[hits], "v": v[hits]})
+                for block in range(blocks[g]):
+                    yield one.assign(block=block)[["to", "block", "slice", "vec_id", "v"]]
 
     def deal(batches):
         import pandas as pd
 
         for b in batches:
-            for i, own in b.groupby("cell"):
-                block = (own["vec_id"].to_numpy() // query_every) % blocks[int(i)]
-                for s in range(slices[int(i)]):
-                    yield pd.DataFrame({"to": i, "block": block, "slice": s, "vec_id": own["vec_id"], "v": own["v"]})
+            for g, own in b.groupby(group[b["cell"].to_numpy()]):
+                block = (own["vec_id"].to_numpy() // query_every) % blocks[int(g)]
+                for s in range(slices[int(g)]):
+                    yield pd.DataFrame({"to": int(g), "block": block, "slice": s, "vec_id": own["vec_id"], "v": own["v"]})
 
     kind = "to int, block long, slice long, vec_id long, v binary"
-    sent, dealt = placed.mapInPandas(send, kind), queries.mapInPandas(deal, kind)
+    sent, dealt = placed.mapInPandas(send, kind), queries.dropDuplicates(["vec_id", "v"]).mapInPandas(deal, kind)
     keys = ["to", "block", "slice"]
     met = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_local(width, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
