@@ -4,16 +4,17 @@ A source's documents, in hash order, form blocks of `block_docs`. With integer w
 A, block k of a source is released at slot floor(k A / a_s) and due at ceil((k + 1) A / a_s);
 earliest-deadline-first places every block in its window, so after any number of slots a source
 has had its share to within less than one block. The schedule repeats after A slots, so one
-period is simulated and every block finds its slot by arithmetic.
+period is simulated and every block finds its slot by arithmetic. The integers are the target
+weights in parts of PERIOD, so a share is off its target by half a part at most.
 
 When a source's blocks run out, the rest share its slots by their own weights: a new phase with a
-new period. There are no more phases than sources, and no row is dropped or repeated.
+new period. Sources of weight 0 come when all others are used up. There are no more phases than
+sources, and no row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import grouped_rank, rank_blocks
 
 BLOCK_DOCS = 32
-PERIOD = 1_000
+PERIOD = 10_000
+#: Slots up to which the schedule is broadcast; a longer one is joined by shuffle.
+BROADCAST_SLOTS = 2_000_000
 ROWS_PER_BLOCK = 5_000
 
 
@@ -54,6 +57,8 @@ def phases_of(blocks: list[int], weights: list[int]) -> list[dict]:
     first, base, out = [0] * len(blocks), 0, []
     while any(f < b for f, b in zip(first, blocks)):
         alive = [w if f < b else 0 for w, f, b in zip(weights, first, blocks)]
+        if not any(alive):
+            alive = [int(f < b) for f, b in zip(first, blocks)]
         slots, total = period_of(alive), sum(alive)
         end = min(((b - f - 1) // w * total + slots[s][(b - f - 1) % w] + 1 for s, (f, b, w) in enumerate(zip(first, blocks, alive)) if w))
         counts = [end // total * w + sum(x < end % total for x in slots[s]) for s, w in enumerate(alive)]
@@ -63,10 +68,10 @@ def phases_of(blocks: list[int], weights: list[int]) -> list[dict]:
 
 
 def target_weights(counts: dict, weights: dict | None, alpha: float, period: int) -> dict:
-    """Integer weights of about `period` in sum, 1 or more each: those given, else counts ** alpha."""
-    raw = {s: (weights or {}).get(s, 0.0) if weights else c**alpha for s, c in counts.items()}
-    total = sum(raw.values()) or 1.0
-    return {s: max(1, round(w / total * max(period, len(raw)))) for s, w in raw.items()}
+    """Integer weights of about `period` in sum: those given, else counts ** alpha; 1 at least, but 0 where 0 is given."""
+    raw = {s: weights.get(s, None) if weights else c**alpha for s, c in counts.items()}
+    total = sum(w or 0.0 for w in raw.values()) or 1.0
+    return {s: 0 if w == 0 else max(1, round((w or 0.0) / total * max(period, 4 * len(raw)))) for s, w in raw.items()}
 
 
 def mix(
@@ -82,7 +87,7 @@ def mix(
     """One row per document: doc_id, source, weight, block, phase, released, due, slot, place.
 
     weights names the sources' target shares; by default a source of n documents weighs
-    n ** alpha, and a source without a given weight gets the least one. `slot` is the block's
+    n ** alpha, and a source that weights does not name gets the least one. `slot` is the block's
     turn, `place` the document's in its block; (slot, place) orders the mixture. A source's last
     block may be shorter. A null source is a source of its own; repeated rows are ordered like
     any others; an empty table gives no rows. `extra` columns are carried under their names.
@@ -107,7 +112,8 @@ def mix(
     light = named.select("doc_id", "key")
     ranked = grouped_rank(named, "key", ["doc_id"], None, rank_blocks(light, "key", ["doc_id"], None, ROWS_PER_BLOCK))
     blocks = ranked.withColumn("block", F.floor(F.col("__rank") / block_docs)).withColumn("place", F.pmod("__rank", F.lit(block_docs)))
-    joined = blocks.join(F.broadcast(plan), (F.col("key") == F.col("p_key")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
+    slots = sum(len(r[-1]) for r in table)
+    joined = blocks.join(F.broadcast(plan) if slots <= BROADCAST_SLOTS else plan, (F.col("key") == F.col("p_key")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
     k = F.col("block") - F.col("first")
     turn = F.floor(k / F.col("weight")) * F.col("total") + F.element_at("slots", (F.pmod(k, F.col("weight")) + 1).cast("int"))
     return joined.select(
@@ -130,15 +136,3 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = mix(docs, extra=docs.columns, **options)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("__row.*")
-
-
-def shares(n_blocks: list[int], weights: list[int]) -> float:
-    """Largest deviation, in blocks, of any source from its share of the slots of a phase so far."""
-    worst = 0.0
-    for x in phases_of(n_blocks, weights):
-        order = sorted((t + p * x["total"], s) for s, slots in enumerate(x["slots"]) for p in range(math.ceil(max(x["counts"]) / max(1, max(x["weights"]))) + 1) for t in slots)
-        had = [0] * len(weights)
-        for t, s in order[: sum(x["counts"])]:
-            had[s] += 1
-            worst = max(worst, max(abs(h - (t + 1) * w / x["total"]) for h, w in zip(had, x["weights"])))
-    return worst
