@@ -105,10 +105,11 @@ def training_features(text: str) -> np.ndarray:
     return np.concatenate([x[a : a + size] for a in np.linspace(0, len(x) - size, WINDOWS).astype(int)])
 
 
-def _forward_backward(unary: np.ndarray, pairs: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _forward_backward(unary: np.ndarray, pairs: np.ndarray, mask: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of label good, pair marginals and log normalisers of padded chains (documents x lines).
 
-    unary: score of good over bad, per line. pairs: 2 x 2 scores of neighbouring labels.
+    unary: score of good over bad, per line. pairs: 2 x 2 scores of neighbouring labels. share:
+    what a document's pair marginals count for in their sum (1).
     """
     docs, length = unary.shape
     node = np.stack([np.zeros_like(unary), unary], -1)
@@ -127,10 +128,37 @@ def _forward_backward(unary: np.ndarray, pairs: np.ndarray, mask: np.ndarray) ->
     joint = np.zeros((2, 2))
     for t in range(1, length):
         p = forward[:, t - 1, :, None] + pairs[None] + (backward[:, t] + node[:, t])[:, None, :] - total[:, None, None]
-        joint += (np.exp(np.clip(p, -50, 0)) * mask[:, t, None, None]).sum(0)
+        joint += (np.exp(np.clip(p, -50, 0)) * (mask[:, t] if share is None else mask[:, t] * share)[:, None, None]).sum(0)
     return good, joint, total
 
 
+def _padded(documents: list[np.ndarray], labels: list[int]) -> list[tuple]:
+    """Documents of like length together: features of all lines, mask, labels and shares of the lines, labels and lines of the documents."""
+    n, lines, label = len(documents), np.array([len(d) for d in documents]), np.array(labels)
+    alike: dict[int, list[int]] = {}
+    for i, m in enumerate(lines.tolist()):
+        alike.setdefault(m.bit_length() // 2, []).append(i)
+    out = []
+    for own in alike.values():
+        mask = np.arange(lines[own].max()) < lines[own][:, None]
+        share = 1.0 / (lines[own] * n)  # a document counts once, however many lines it has
+        out.append((np.concatenate([documents[i] for i in own]), mask, np.repeat(label[own], lines[own]), share, label[own], lines[own]))
+    return out
+
+
+def _gradient(batch: list[tuple], w: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean over documents of log p(labels | lines) / lines, by the line and the pair weights."""
+    slope, pair_slope = np.zeros(len(w)), np.zeros((2, 2))
+    for x, mask, y, share, label, lines in batch:
+        unary = np.zeros(mask.shape)
+        unary[mask] = x @ w
+        good, joint, _ = _forward_backward(unary, pairs, mask, share)
+        slope += ((y - good[mask]) * np.repeat(share, lines)) @ x
+        steps = share * (lines - 1)
+        pair_slope += np.diag([steps[label == 0].sum(), steps[label == 1].sum()]) - joint
+    return slope, pair_slope
+
+
 class LineChain:
     """The fitted field: line weights (good over bad) and 2 x 2 pair weights."""
 
@@ -138,32 +166,16 @@ class LineChain:
         self.weights, self.pairs = weights, pairs
 
     @classmethod
-    def fit(cls, documents: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, ridge: float = 2e-3, rate: float = 0.08) -> LineChain:
-        """Adam on the ridge-penalised conditional log-likelihood per document; no documents give weights of 0."""
+    def fit(cls, documents: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, ridge: float = 5e-4, rate: float = 0.08) -> LineChain:
+        """Adam on the ridge-penalised conditional log-likelihood, a document's divided by its lines; no documents give weights of 0."""
         w, pairs = np.zeros(FEATURES), np.zeros((2, 2))
         if not documents:
             return cls(w, pairs)
-        n, lines, label = len(documents), np.array([len(d) for d in documents]), np.array(labels)
-        alike: dict[int, list[int]] = {}  # documents of like length are padded together
-        for i, m in enumerate(lines.tolist()):
-            alike.setdefault(m.bit_length() // 2, []).append(i)
-        chains = []
-        for members in alike.values():
-            mask = np.arange(lines[members].max()) < lines[members][:, None]
-            even = 1.0 / np.repeat(lines[members], lines[members])  # a document counts once, however many lines it has
-            chains.append((np.concatenate([documents[i] for i in members]), mask, np.repeat(label[members], lines[members]), even))
-        steps = np.zeros((2, 2))
-        for y, c in ((0, (1 - label) * (lines - 1)), (1, label * (lines - 1))):
-            steps[y, y] = c.sum()
+        batch = _padded(documents, labels)
         first, second = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
         for k in range(1, rounds + 1):
-            slope, joint = -ridge * w, np.zeros((2, 2))
-            for x, mask, y, even in chains:
-                unary = np.zeros(mask.shape)
-                unary[mask] = x @ w
-                good, some, _ = _forward_backward(unary, pairs, mask)
-                slope, joint = slope + ((y - good[mask]) * even) @ x / n, joint + some
-            theta = np.concatenate([slope, ((steps - joint) / max(1, lines.sum()) - ridge * pairs).ravel()])
+            slope, pair_slope = _gradient(batch, w, pairs)
+            theta = np.concatenate([slope - ridge * w, (pair_slope - ridge * pairs).ravel()])
             first, second = 0.9 * first + 0.1 * theta, 0.999 * second + 0.001 * theta**2
             move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
             w, pairs = w + move[:FEATURES], pairs + move[FEATURES:].reshape(2, 2)
