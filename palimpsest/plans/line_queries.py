@@ -196,7 +196,7 @@ def t1_ingest(spark, d):
 def t2_transfer_rate(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("job"), "ts", F.floor(F.col("value") * 1000).cast("long").alias("bytes"))
     r = T.transfer_rate(e.withColumn("remaining", F.col("bytes") * 100), 86400, "remaining")
-    return r.select("event_id", F.floor(F.col("rate") * 1000).cast("long").alias("milli_rate"))
+    return r.select("event_id", F.floor("rate").cast("long").alias("rate"))
 
 
 def t3_stream_commits(spark, d):
@@ -255,7 +255,7 @@ ORACLE_SQL = {
           CASE WHEN conv_id % 9 <> 4 THEN CASE WHEN conv_id % 7 = 0 AND turns > 1 THEN 1 ELSE 0 END END AS warnings FROM c""",
     "t2_transfer_rate": """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(floor(value * 1000) AS BIGINT) AS bytes FROM events),
         w AS (SELECT event_id, sum(bytes) OVER q AS b, (ms - min(ms) OVER q) / 1000.0 AS span FROM e WINDOW q AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW))
-        SELECT event_id, CASE WHEN span >= 0.1 THEN CAST(floor(CAST(b AS DOUBLE) / CAST(span AS DOUBLE) * 1000) AS BIGINT) END AS milli_rate FROM w""",
+        SELECT event_id, CASE WHEN span >= 0.1 THEN CAST(floor(CAST(b AS DOUBLE) / CAST(span AS DOUBLE)) AS BIGINT) END AS rate FROM w""",
     "t3_stream_commits": GRAPH_SQL["h19_replay"],
     "n1_strict": """SELECT event_id, CASE WHEN event_id % 5 < 2 THEN NULL WHEN event_id % 5 = 2 THEN '{"a":' || replace(props, ' ', '') || ',"z":null}' ELSE replace(props, ' ', '') END AS canonical FROM events""",
     "n3_normalize": """WITH e AS (SELECT event_id AS k, props, event_id % 20 < 10 AS first, event_id % 10 AS m FROM events)
