@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. First pass: blocks inside scripts
 menus, headers, footers and containers that name themselves adverts, notices, sidebars or
 comments are boilerplate; of the others, length, link density and stop-word density decide good
 and bad, and short ones without a clear sign stay open. Second pass: an open block takes the
-label of its nearest decided neighbours (if they differ, the nearer; at a tie, good).
+label of its nearest decided neighbours (if they differ, the nearer; at a tie, good), a heading
+that of the next one. What stands in boilerplate elements tells nothing about the blocks beside
+them, so it counts as a neighbour only where there is no other.
 
 Two marks count only as far as the rules bear them out. Where the blocks that a page marks as its
 article hold most of the text that the rules find good, or hold any and the rules find none, an
@@ -211,16 +213,19 @@ def main_text(page: str | None) -> str:
     """The article of a page: its good blocks in order, joined by one space; empty if there are none."""
     blocks, around = blocks_of(page) if page else ([], {})
     labels = _labels(blocks, around)
-    decided = [i for i, x in enumerate(labels) if x != "open"]
+    decided = [i for i, x in enumerate(labels) if x != "open" and not blocks[i][4]] or [i for i, x in enumerate(labels) if x != "open"]
     final, before = list(labels), None
     after = iter([*decided, None])
     ahead = next(after)
     for i, label in enumerate(labels):
+        while ahead is not None and ahead <= i:
+            before, ahead = ahead, next(after)
         if label != "open":
-            before, ahead = i, next(after)
             continue
         near = [(i - before, labels[before] != "good")] if before is not None else []
         near += [(ahead - i, labels[ahead] != "good")] if ahead is not None else []
+        if blocks[i][2] and ahead is not None:
+            near = near[-1:]
         final[i] = "bad" if near and min(near)[1] else "good"
     return " ".join(b[0] for b, x in zip(blocks, final) if x == "good")
 
