@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_id
@@ -18,6 +18,24 @@ def chunk(contents: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("byte_length", F.octet_length("bytes").cast("long")).withColumn("sha256", content_id(F.col("bytes")))
 
 
+def chunk_lines(lines: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """chunk for contents that do not fit a row: keys.., pos, bytes, byte_length, sha256 from their lines (line_no, raw, ending).
+
+    A line knows the bytes before it and gives each chunk it reaches its part; no row holds more than a chunk or a line.
+    """
+    data = F.concat("raw", F.encode("ending", "UTF-8"))
+    rows = lines.select(*keys, "line_no", data.alias("data")).withColumn("n", F.octet_length("data")).filter("n > 0")
+    along = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    parts = rows.withColumn("pos", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))))
+    skip = F.greatest(F.col("pos") * size - F.col("at"), F.lit(0))
+    end = F.least((F.col("pos") + 1) * size - F.col("at"), F.col("n"))
+    piece = F.substring("data", (skip + 1).cast("int"), (end - skip).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.hex(piece).alias("h"))))
+    joined = parts.groupBy(*keys, F.col("pos").cast("int").alias("pos")).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), "")).alias("bytes"))
+    return joined.withColumn("byte_length", F.octet_length("bytes").cast("long")).withColumn("sha256", content_id(F.col("bytes")))
+
+
 def build_manifest(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Per content its ordered chunk list, byte length and the id of the list's canonical text."""
     listed = F.array_sort(F.collect_list(F.struct("pos", "sha256", "byte_length")))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..operators import chunks as C
 from ..operators import normalize as N
 from ..operators import validate as V
 from ..sources import rollouts as S
@@ -43,6 +44,15 @@ def s2_split_lines(spark, d):
     return rows.join(c.select("thread_id", F.octet_length("content").alias("size")), "thread_id").select("thread_id", "lines", "crlf", "lf", (F.col("bytes") == F.col("size")).alias("whole"))
 
 
+def n10_chunk_lines(spark, d):
+    """Chunks of 100 bytes of documents made from lines, against those made from whole contents."""
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("thread_id"), F.encode("text", "UTF-8").alias("content"))
+    one = C.chunk_lines(S.split_lines(c), ["thread_id"], 100).select("thread_id", "pos", "byte_length", "sha256")
+    two = C.chunk(c.select("thread_id", "content"), 100).select("thread_id", "pos", F.col("sha256").alias("whole"))
+    both = one.join(two, ["thread_id", "pos"], "full")
+    return both.groupBy("thread_id").agg(F.count_if(F.col("sha256") == F.col("whole")).alias("alike"), (F.count(F.lit(1)) - F.count_if(F.col("byte_length") == 100)).alias("short"), F.count_if(~F.col("sha256").eqNullSafe(F.col("whole"))).alias("other"))
+
+
 def _odd_lines(spark, d):
     """A line per event, of every kind that the rules know: session records, broken ones, half surrogates, numbers that JSON does not have, other records."""
     k = F.col("event_id")
@@ -235,7 +245,7 @@ def v20_complete(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    n1_strict, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash,
+    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash,
     n16_effective_time, t2_transfer_rate, v12_descriptors, v20_complete)}
 
 ORACLE_SQL = {
@@ -257,6 +267,7 @@ ORACLE_SQL = {
         w AS (SELECT event_id, sum(bytes) OVER q AS b, (ms - min(ms) OVER q) / 1000.0 AS span FROM e WINDOW q AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW))
         SELECT event_id, CASE WHEN span >= 0.1 THEN CAST(floor(CAST(b AS DOUBLE) / CAST(span AS DOUBLE)) AS BIGINT) END AS rate FROM w""",
     "t3_stream_commits": GRAPH_SQL["h19_replay"],
+    "n10_chunk_lines": "SELECT doc_id AS thread_id, (octet_length(encode(text)) + 99) // 100 AS alike, CASE WHEN octet_length(encode(text)) % 100 = 0 THEN 0 ELSE 1 END AS short, CAST(0 AS BIGINT) AS other FROM documents WHERE text <> ''",
     "n1_strict": """SELECT event_id, CASE WHEN event_id % 5 < 2 THEN NULL WHEN event_id % 5 = 2 THEN '{"a":' || replace(props, ' ', '') || ',"z":null}' ELSE replace(props, ' ', '') END AS canonical FROM events""",
     "n3_normalize": """WITH e AS (SELECT event_id AS k, props, event_id % 20 < 10 AS first, event_id % 10 AS m FROM events)
         SELECT k, CASE WHEN m = 1 THEN '{"type": "session_meta", "payload": {"id": "\\ud800"}}' WHEN m = 2 THEN '{"type": "session_meta", "payload": {"id": "a", "n": NaN}}' WHEN m = 3 THEN '{"type": "session_meta"} {}' WHEN m = 4 THEN '{"type": "session_meta", "payload": 3}' WHEN m = 5 THEN '  '

@@ -22,11 +22,33 @@ def read_rollout_files(spark: SparkSession, root: str, inventory: DataFrame | No
 
 
 def read_rollout_lines(spark: SparkSession, root: str) -> DataFrame:
-    """file, line_no, raw (binary), ending of every line, byte by byte; for files that fit a row."""
+    """file, line_no, raw (binary), ending of every line, byte by byte; for files that fit a row (see read_large_lines)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").load(root)
     return split_lines(files.select(F.regexp_extract("path", r"((?:archived_)?sessions/.*)$", 1).alias("file"), "content"))
 
 
+def read_large_lines(spark: SparkSession, root: str) -> DataFrame:
+    """read_rollout_lines for files of any size: each is read in splits, by many tasks.
+
+    Lines are numbered inside a split and the splits' counts added up. The reader does not tell
+    whether the last line ends with a line end; the file's size does.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").text(root)
+    path = F.regexp_extract("_metadata.file_path", r"((?:archived_)?sessions/.*)$", 1)
+    rows = text.select(path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    blocks = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("lines"), F.sum("bytes").over(whole).alias("bytes"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("place")) - 1
+    rows = rows.withColumn("r", inside).join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn("line_no", (F.col("before") + F.col("r")).cast("long"))
+    open_end = (F.col("line_no") == F.col("lines") - 1) & (F.col("bytes") > F.col("size"))
+    cr = F.expr("right(hex(line), 2) = '0D'")
+    ending = F.when(open_end, "").when(cr, "\r\n").otherwise("\n")
+    raw = F.when(~open_end & cr, F.expr("substring(line, 1, octet_length(line) - 1)")).otherwise(F.col("line"))
+    return rows.select("file", "line_no", ending.alias("ending"), raw.alias("raw"))
+
+
 def split_lines(files: DataFrame) -> DataFrame:
     """Lines of `content`, endings (CR LF, LF or none) apart; bytes pass through a one-byte encoding unchanged."""
     text = F.decode("content", "ISO-8859-1")

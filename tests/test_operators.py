@@ -174,6 +174,14 @@ def test_read_files(spark, tmp_path):
     inventory = spark.createDataFrame([("sessions/rollout-e.jsonl", 0)], "path string, byte_length long").withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
     assert rows(S.read_rollout_files(spark, str(tmp_path), inventory), "path", "byte_length", "archived") == [
         ("archived_sessions/rollout-b.jsonl", 2, True), ("sessions/2024/rollout-a.jsonl", 4, False), ("sessions/rollout-e.jsonl", 0, False)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40)
+    try:
+        (tmp_path / "sessions/rollout-long.jsonl").write_bytes(b"".join(b"line %d\xfe\r\n" % i if i % 3 else b"\n" for i in range(60)) + b"end\r")
+        long, whole = (sorted((r.file, r.line_no, bytes(r.raw), r.ending) for r in read(spark, str(tmp_path)).collect()) for read in (S.read_large_lines, S.read_rollout_lines))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert long == whole and len(long) == 64
+    (tmp_path / "sessions/rollout-long.jsonl").unlink()
     got = [(r.file, r.line_no, bytes(r.raw), r.ending) for r in S.read_rollout_lines(spark, str(tmp_path)).orderBy("file", "line_no").collect()]
     assert got == [("archived_sessions/rollout-b.jsonl", 0, b"\xff", "\n"), ("sessions/2024/rollout-a.jsonl", 0, b"x", "\r\n"), ("sessions/2024/rollout-a.jsonl", 1, b"y", "")]
 
