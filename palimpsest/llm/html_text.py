@@ -64,7 +64,7 @@ NAMED = frozenset(
     "overlay pager pagination popup promo promoted related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget widgets complementary contentinfo search".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: "content with-sidebar", "has-ads": such a name tells of something beside the element.
 _HAS = re.compile(r"\b(?:with|has|no|without)[\s_\-]+[a-z]+")

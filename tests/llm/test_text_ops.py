@@ -132,6 +132,11 @@ def test_pages(spark):
     assert got == {(i, t, len(t)) for i, t in texts}
 
 
+def test_a_tag_with_an_open_quote_is_a_tag():
+    prose = "The cat sat on the mat and it was the best of all the times that we had, so they said to us at the end of it."
+    assert html_text.main_text(f"<p>{prose} <a href=x title='y>and</a> on <b>we</b> go.</p>") == f"{prose} and on we go."
+
+
 def test_marks_and_names_do_not_override_the_rules():
     prose = "The cat sat on the mat and it was the best of all the times that we had, so they said to us at the end of it."
     teasers = "".join(f"<article><a href={i}>Card {i} of the list</a><p>Short teaser {i}</p></article>" for i in range(6))
