@@ -38,3 +38,22 @@ def test_commits(spark, tmp_path):
 def test_transfer_rate(spark):
     df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:00:00', 100L, 900L), (1, TIMESTAMP '2024-01-01 00:00:02', 100L, 800L), (1, TIMESTAMP '2024-01-01 00:00:09', 100L, 700L) AS t(job, ts, bytes, rest)")
     assert [(r.rate, r.eta_seconds) for r in T.transfer_rate(df, 5, "rest").orderBy("ts").collect()] == [(None, None), (100.0, 8), (None, None)]
+
+
+def test_transfer_rate_stream(spark, tmp_path):
+    """Windows of two seconds that slide by one, against sums of the same windows."""
+    import datetime
+
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=n)
+    rows = [("a", at(n / 2), 10 * n) for n in range(9)] + [("b", at(3), 7)]
+    df = spark.createDataFrame(rows, "job string, ts timestamp, bytes long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("z", at(500), 0)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark on
+    out = T.transfer_rate_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 2, "1 second")
+    out.writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    want = {}
+    for job, ts, n in rows:
+        for end in range(-2, 12):
+            if at(end - 2) <= ts < at(end):
+                want[job, at(end)] = want.get((job, at(end)), 0) + n / 2
+    assert {(r.job, r["at"]): r.rate for r in spark.table("rates").collect() if r.job != "z"} == want
