@@ -191,41 +191,69 @@ def complete_only(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter("warning_count = 0")
 
 
+def _not_uuid7(c: str) -> Column:
+    return ~F.coalesce(F.col(c).rlike(UUID7), F.lit(False))
+
+
+def _bad_text(c: str, most: int) -> Column:
+    """Blank, longer than `most` characters or with control characters; null is bad."""
+    text = F.trim(c)
+    return F.coalesce((F.char_length(text) < 1) | (F.char_length(text) > most) | F.col(c).rlike(r"\p{Cntrl}"), F.lit(True))
+
+
 def check_path_rules(rules: DataFrame) -> DataFrame:
     """id, label, remote_prefix, local_prefix, created_at (text) of mapping rules."""
     n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    bad_text = lambda c, most: (F.char_length(F.trim(c)) < 1) | (F.char_length(c) > most) | F.col(c).rlike(r"\p{Cntrl}")
     return violations(
         rules.withColumn("n", n),
         ["id"],
         {
-            "id": ~F.coalesce(F.col("id").rlike(UUID7), F.lit(False)),
+            "id": _not_uuid7("id"),
             "repeated_id": F.col("n") > 1,
-            "label": bad_text("label", 128),
-            "remote_prefix": bad_text("remote_prefix", 1024),
-            "local_prefix": bad_text("local_prefix", 1024),
+            "label": _bad_text("label", 128),
+            "remote_prefix": _bad_text("remote_prefix", 1024),
+            "local_prefix": _bad_text("local_prefix", 1024),
             "created_at": ~is_rfc3339(F.col("created_at")),
         },
     )
 
 
 def check_namespace_rules(rules: DataFrame) -> DataFrame:
-    """id, remote_id, fingerprint, provider, home_key of selection rules; nulls are conditions not set."""
+    """id, remote_id, namespace_id, label, fingerprint, provider, home_key, created_at, updated_at of selection rules; null conditions are not set."""
     conditions = ["remote_id", "fingerprint", "provider", "home_key"]
     rows = rules.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*conditions))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    set_ = lambda c: F.col(c).isNotNull()
     return violations(
         rows,
         ["id"],
         {
+            "id": _not_uuid7("id"),
+            "remote_id": _not_uuid7("remote_id"),
+            "namespace_id": _not_uuid7("namespace_id"),
             "repeated_id": F.col("n") > 1,
+            "label": _bad_text("label", 128),
             "no_condition": F.coalesce("fingerprint", "provider", "home_key").isNull(),
-            "fingerprint": F.col("fingerprint").isNotNull() & ~F.col("fingerprint").rlike(FINGERPRINT),
-            "provider": F.col("provider").isNotNull() & ~clean_provider(F.col("provider"), lower=True).eqNullSafe(F.col("provider")),
+            "fingerprint": set_("fingerprint") & ~F.col("fingerprint").rlike(FINGERPRINT),
+            "provider": set_("provider") & ~clean_provider(F.col("provider"), lower=True).eqNullSafe(F.col("provider")),
+            "home_key": set_("home_key") & _bad_text("home_key", 1 << 30),
+            "created_at": ~is_rfc3339(F.col("created_at")),
+            "updated_at": ~is_rfc3339(F.col("updated_at")),
             "same_conditions": F.col("same") > 1,
         },
     )
 
 
 def check_overrides(overrides: DataFrame) -> DataFrame:
-    """(remote_id, home_key) pairs with more than one override."""
-    return overrides.groupBy("remote_id", "home_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """remote_id, namespace_id, home_key, updated_at of manual overrides; a remote overrides a home once."""
+    rows = overrides.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("remote_id", "home_key")))
+    return violations(
+        rows,
+        ["remote_id", "home_key"],
+        {
+            "remote_id": _not_uuid7("remote_id"),
+            "namespace_id": _not_uuid7("namespace_id"),
+            "home_key": _bad_text("home_key", 1 << 30),
+            "updated_at": ~is_rfc3339(F.col("updated_at")),
+            "repeated": F.col("n") > 1,
+        },
+    )

@@ -258,18 +258,27 @@ def p17_path_rules(spark, d):
     return V.check_path_rules(c).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _uuid(n):
+    return F.format_string("01890000-0000-7000-8000-%012d", n)
+
+
 def p17_namespace_rules(spark, d):
     k = F.col("c_custkey")
+    stamp = lambda m: F.when(k % m == 0, "2024-01-01").otherwise("2024-01-01T00:00:00Z")
     c = table(spark, d, "customer").select(
-        k.alias("id"), (k % 3).alias("remote_id"), F.when(k % 4 == 0, F.when(k % 8 == 0, F.sha2(k.cast("string"), 256)).otherwise(F.concat(F.lit("hmac-sha256:"), F.sha2(k.cast("string"), 256)))).alias("fingerprint"), F.when(k % 5 == 0, F.when(k % 10 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))).alias("provider"),
-        F.when(k % 7 != 0, k.cast("string")).alias("home_key"),
+        F.when(k % 90 == 0, k.cast("string")).otherwise(_uuid(k - F.when(k % 100 == 51, 1).otherwise(0))).alias("id"), F.when(k % 85 == 0, "r").otherwise(_uuid(k % 3)).alias("remote_id"), F.when(k % 75 == 0, "n").otherwise(_uuid(k % 5)).alias("namespace_id"),
+        F.when(k % 80 == 0, F.repeat(F.lit("x"), 129)).otherwise(F.col("c_name")).alias("label"),
+        F.when(k % 4 == 0, F.when(k % 8 == 0, F.sha2(k.cast("string"), 256)).otherwise(F.concat(F.lit("hmac-sha256:"), F.sha2(k.cast("string"), 256)))).alias("fingerprint"), F.when(k % 5 == 0, F.when(k % 10 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment"))).alias("provider"),
+        F.when(k % 7 != 0, F.when(k % 65 == 0, " ").otherwise(k.cast("string"))).alias("home_key"), stamp(50).alias("created_at"), stamp(55).alias("updated_at"),
     )
     return V.check_namespace_rules(c)
 
 
 def p17_overrides(spark, d):
-    """Homes that a remote overrides more than once."""
-    return V.check_overrides(table(spark, d, "orders").select((F.col("o_orderkey") % 2).alias("remote_id"), F.col("o_custkey").alias("home_key")))
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    rows = o.select(_uuid(k % 2).alias("remote_id"), F.when(k % 101 == 0, "n").otherwise(_uuid(k % 5)).alias("namespace_id"), F.when(k % 103 == 0, "\t").otherwise(F.col("o_custkey").cast("string")).alias("home_key"), F.when(k % 107 == 0, "never").otherwise("2024-01-01T00:00:00+01:00").alias("updated_at"))
+    return V.check_overrides(rows).groupBy("remote_id", "home_key", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -300,7 +309,8 @@ ORACLE_SQL = {
         x AS (SELECT a.key, coalesce(active, 0) AS active, coalesce(archived, 0) AS archived, projects, coalesce(state, 'missing') AS state, EXISTS (SELECT 1 FROM c WHERE a.key = prefix OR starts_with(a.key, prefix || '/')) AS covered, EXISTS (SELECT 1 FROM c WHERE a.key = prefix) AS itself,
           EXISTS (SELECT 1 FROM k q WHERE q.thread_id % 11 = 0 AND (q.key = a.key OR starts_with(a.key, q.key || '/') OR starts_with(q.key, a.key || '/'))) AS touched FROM a LEFT JOIN u USING (key) LEFT JOIN j USING (key) LEFT JOIN d USING (key))
         SELECT key, CAST(active AS BIGINT) AS active, CAST(archived AS BIGINT) AS archived, projects, state, covered, covered AND NOT itself AS inherited, active + archived = 0 AND NOT covered AND NOT touched AND (state = 'empty' OR (state = 'missing' AND projects IS NOT NULL)) AS eligible FROM x""",
-    "p17_overrides": "SELECT o_orderkey % 2 AS remote_id, o_custkey AS home_key, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1",
+    "p17_overrides": """WITH o AS (SELECT o_orderkey AS k, printf('01890000-0000-7000-8000-%012d', o_orderkey % 2) AS remote_id, CASE WHEN o_orderkey % 103 = 0 THEN chr(9) ELSE CAST(o_custkey AS VARCHAR) END AS home_key FROM orders), n AS (SELECT *, count(*) OVER (PARTITION BY remote_id, home_key) AS n FROM o),
+        v AS (SELECT remote_id, home_key, unnest(list_filter([CASE WHEN k % 101 = 0 THEN 'namespace_id' END, CASE WHEN home_key = chr(9) THEN 'home_key' END, CASE WHEN k % 107 = 0 THEN 'updated_at' END, CASE WHEN n > 1 THEN 'repeated' END], lambda x: x IS NOT NULL)) AS rule FROM n) SELECT remote_id, home_key, rule, count(*) AS n FROM v GROUP BY ALL""",
     "n18_format": """WITH o AS (SELECT o_orderkey AS k, o_orderkey * o_orderkey * 37 AS n FROM orders)
         SELECT k AS o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0) WHEN n < 1099511627776 THEN printf('%.1f GiB', n / 1073741824.0) ELSE printf('%.1f TiB', n / 1099511627776.0) END AS size,
           CASE WHEN k < 60 THEN k || ' s' ELSE (k // 60) || ' m ' || (k % 60) || ' s' END AS duration, substr(sha256(CAST(k AS VARCHAR)), 1, 12) AS head FROM o""",
@@ -331,9 +341,11 @@ ORACLE_SQL = {
         n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM c), v AS (SELECT 'id' AS rule FROM n WHERE id = 'x' UNION ALL SELECT 'repeated_id' FROM n WHERE n > 1 UNION ALL SELECT 'label' FROM n WHERE k % 80 = 0 UNION ALL SELECT 'remote_prefix' FROM n WHERE k % 70 = 0
           UNION ALL SELECT 'local_prefix' FROM n WHERE k % 60 = 0 UNION ALL SELECT 'created_at' FROM n WHERE k % 50 < 2)
         SELECT rule, count(*) AS n FROM v GROUP BY rule""",
-    "p17_namespace_rules": """WITH c AS (SELECT c_custkey AS id, c_custkey % 3 AS r, CASE WHEN c_custkey % 8 = 0 THEN 'xyz' || c_custkey WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS f, CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END AS p,
-          CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS h FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY r, f, p, h) AS n FROM c)
-        SELECT id, 'no_condition' AS rule FROM n WHERE f IS NULL AND p IS NULL AND h IS NULL UNION ALL SELECT id, 'fingerprint' FROM n WHERE f LIKE 'xyz%' UNION ALL SELECT id, 'provider' FROM n WHERE id % 10 = 0 UNION ALL SELECT id, 'same_conditions' FROM n WHERE n > 1""",
+    "p17_namespace_rules": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 90 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE printf('01890000-0000-7000-8000-%012d', c_custkey - CASE WHEN c_custkey % 100 = 51 THEN 1 ELSE 0 END) END AS id, CASE WHEN c_custkey % 85 = 0 THEN 'r' ELSE CAST(c_custkey % 3 AS VARCHAR) END AS r,
+          CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS f, CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) END AS p, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 65 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR) END END AS h FROM customer),
+        n AS (SELECT *, count(*) OVER (PARTITION BY r, f, p, h) AS same, count(*) OVER (PARTITION BY id) AS twice FROM c)
+        SELECT id, unnest(list_filter([CASE WHEN k % 90 = 0 THEN 'id' END, CASE WHEN r = 'r' THEN 'remote_id' END, CASE WHEN k % 75 = 0 THEN 'namespace_id' END, CASE WHEN twice > 1 THEN 'repeated_id' END, CASE WHEN k % 80 = 0 THEN 'label' END, CASE WHEN f IS NULL AND p IS NULL AND h IS NULL THEN 'no_condition' END,
+          CASE WHEN k % 8 = 0 THEN 'fingerprint' END, CASE WHEN k % 10 = 0 THEN 'provider' END, CASE WHEN h = ' ' THEN 'home_key' END, CASE WHEN k % 50 = 0 THEN 'created_at' END, CASE WHEN k % 55 = 0 THEN 'updated_at' END, CASE WHEN same > 1 THEN 'same_conditions' END], lambda x: x IS NOT NULL)) AS rule FROM n""",
     "v1_classify_headers": f"WITH {_H} SELECT path, kind, CASE WHEN kind IS NULL THEN tid END AS thread_id, CASE WHEN kind IS NULL THEN cwd END AS cwd, CAST(NULL AS VARCHAR) AS model_provider FROM h",
     "v2_dedupe_threads": f"WITH {_H} SELECT path, tid AS thread_id, row_number() OVER (PARTITION BY tid ORDER BY archived, path) > 1 AS duplicate FROM h WHERE kind IS NULL",
     "v3_enrich": f"""WITH {_H}, i AS (SELECT 't' || CAST(conv_id AS VARCHAR) AS tid, conv_id FROM conversations WHERE turn = 0 AND conv_id % 4 = 0)
