@@ -141,7 +141,7 @@ def check_revision_threads(threads: DataFrame) -> DataFrame:
 
 
 def check_descriptors(d: DataFrame) -> DataFrame:
-    """id, schema_version, normalization_version, thread_id, media_type, logical_sha256, related (array of table names)."""
+    """id, schema_version, normalization_version, thread_id, related (array of table names) and the content reference: media_type, logical_sha256, byte_length, storage_kind, storage_sha256."""
     return violations(
         d,
         ["id"],
@@ -150,6 +150,10 @@ def check_descriptors(d: DataFrame) -> DataFrame:
             "blank_id": F.trim("thread_id") == "",
             "media_type": F.trim("media_type") == "",
             "hash": ~is_sha256_id(F.col("logical_sha256")),
+            "byte_length": (F.col("byte_length") < 0) | (F.col("byte_length") > MAX_BYTES["whole"]),
+            "storage_kind": ~F.col("storage_kind").isin("whole", "chunked"),
+            "storage_hash": ~is_sha256_id(F.col("storage_sha256")),
+            "whole_is_content": (F.col("storage_kind") == "whole") & (F.col("storage_sha256") != F.col("logical_sha256")),
             "forbidden_table": F.array_contains("related", "thread_timeline_ledger"),
         },
     )
@@ -165,15 +169,18 @@ def check_object_limits(objects: DataFrame, remote: bool = True) -> DataFrame:
 
 
 def check_graph(refs: DataFrame, descriptors: DataFrame, manifests: DataFrame, chunk_refs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Broken links: refs without descriptor or with another's id, contents without manifest, chunks that are absent or of another length.
+    """Broken links: refs without descriptor or with another's id, contents without manifest or with one of another identity, chunks that are absent or of another length.
 
-    refs: root, thread_id, descriptor; descriptors: descriptor, thread_id, content; manifests:
-    content; chunk_refs: content, sha256, byte_length; objects: sha256, byte_length.
+    refs: root, thread_id, descriptor; descriptors: descriptor, thread_id, content, logical_sha256,
+    byte_length; manifests: content, logical_sha256, byte_length; chunk_refs: content, sha256,
+    byte_length; objects: sha256, byte_length.
     """
     d = descriptors.select("descriptor", F.col("thread_id").alias("own_id"), F.lit(True).alias("hit"))
     a = refs.join(d, "descriptor", "left")
     a = a.select(F.col("descriptor").alias("key"), F.when(F.col("hit").isNull(), "no_descriptor").when(F.col("own_id") != F.col("thread_id"), "descriptor_id").alias("rule"))
-    b = descriptors.join(manifests.select("content"), "content", "left_anti").select(F.col("content").alias("key"), F.lit("no_manifest").alias("rule"))
+    m = manifests.select("content", F.col("logical_sha256").alias("own_hash"), F.col("byte_length").alias("own_length"), F.lit(True).alias("hit"))
+    other = ~F.col("own_hash").eqNullSafe(F.col("logical_sha256")) | ~F.col("own_length").eqNullSafe(F.col("byte_length"))
+    b = descriptors.join(m, "content", "left").select(F.col("content").alias("key"), F.when(F.col("hit").isNull(), "no_manifest").when(other, "manifest_identity").alias("rule"))
     o = objects.select("sha256", F.col("byte_length").alias("stored"), F.lit(True).alias("hit"))
     c = chunk_refs.join(o, "sha256", "left")
     c = c.select(F.col("sha256").alias("key"), F.when(F.col("hit").isNull(), "no_chunk").when(F.col("stored") != F.col("byte_length"), "chunk_length").alias("rule"))

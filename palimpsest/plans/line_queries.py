@@ -234,7 +234,7 @@ def v12_descriptors(spark, d):
     k = F.col("o_orderkey")
     o = table(spark, d, "orders").select(
         k.alias("id"), F.when(k % 101 == 0, 3).otherwise(4).alias("schema_version"), F.lit(1).alias("normalization_version"), F.when(k % 103 == 0, "").otherwise("t").alias("thread_id"), F.when(k % 107 == 0, " ").otherwise("application/x-ndjson").alias("media_type"),
-        F.when(k % 109 == 0, "sha256:x").otherwise(E.content_id(k.cast("string"))).alias("logical_sha256"), F.when(k % 113 == 0, F.array(F.lit("thread_timeline_ledger"))).otherwise(F.array(F.lit("x"))).alias("related"),
+        F.when(k % 109 == 0, "sha256:x").otherwise(E.content_id(k.cast("string"))).alias("logical_sha256"), F.when(k % 127 == 0, -1).otherwise(5).alias("byte_length"), F.when(k % 131 == 0, "zip").when(k % 2 == 0, "whole").otherwise("chunked").alias("storage_kind"), E.content_id(F.when(k % 137 == 0, "x").otherwise(k.cast("string"))).alias("storage_sha256"), F.when(k % 113 == 0, F.array(F.lit("thread_timeline_ledger"))).otherwise(F.array(F.lit("x"))).alias("related"),
     )
     return V.check_descriptors(o)
 
@@ -286,6 +286,6 @@ ORACLE_SQL = {
     "v11_threads": """SELECT o_custkey AS revision, CASE WHEN o_orderkey % 103 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS thread_id, unnest(list_filter([CASE WHEN o_orderkey % 101 = 0 THEN 'thread_version' END, CASE WHEN o_orderkey % 103 = 0 THEN 'blank_thread' END,
         CASE WHEN o_orderkey % 107 = 0 THEN 'media_type' END, CASE WHEN o_orderkey % 109 = 0 THEN 'object_hash' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",
     "v12_descriptors": """SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 101 = 0 THEN 'version' END, CASE WHEN o_orderkey % 103 = 0 THEN 'blank_id' END, CASE WHEN o_orderkey % 107 = 0 THEN 'media_type' END, CASE WHEN o_orderkey % 109 = 0 THEN 'hash' END,
-        CASE WHEN o_orderkey % 113 = 0 THEN 'forbidden_table' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",
+        CASE WHEN o_orderkey % 127 = 0 THEN 'byte_length' END, CASE WHEN o_orderkey % 131 = 0 THEN 'storage_kind' END, CASE WHEN o_orderkey % 131 <> 0 AND o_orderkey % 2 = 0 AND (o_orderkey % 137 = 0 OR o_orderkey % 109 = 0) THEN 'whole_is_content' END, CASE WHEN o_orderkey % 113 = 0 THEN 'forbidden_table' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",
     "v20_complete": "SELECT user_id AS snapshot_id, CAST(0 AS BIGINT) AS warning_count FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error' AND value > 100) = 0",
 }

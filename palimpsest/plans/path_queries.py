@@ -203,11 +203,11 @@ def v13_limits(spark, d):
 
 
 def v14_graph(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("thread_id"), F.col("doc_id").cast("string").alias("descriptor"), F.col("doc_id").alias("id"))
-    desc = docs.filter("id % 41 <> 0").select("descriptor", F.when(F.col("id") % 43 == 0, -1).otherwise(F.col("id")).alias("thread_id"), F.concat(F.lit("c"), "id").alias("content"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("thread_id"), F.col("doc_id").cast("string").alias("descriptor"), F.col("doc_id").alias("id"), E.content_id(F.col("text")).alias("logical_sha256"), F.octet_length("text").alias("byte_length"))
+    desc = docs.filter("id % 41 <> 0").select("descriptor", F.when(F.col("id") % 43 == 0, -1).otherwise(F.col("id")).alias("thread_id"), F.concat(F.lit("c"), "id").alias("content"), "logical_sha256", "byte_length")
     c = chunk_rows(spark, d)
     objects = c.filter("id % 9 <> 0 OR pos > 0").groupBy("sha256").agg((F.min("byte_length") + F.when(F.min("id") % 47 == 0, 1).otherwise(0)).alias("byte_length"))
-    return V.check_graph(docs, desc, docs.filter("id % 37 <> 0").select(F.concat(F.lit("c"), "id").alias("content")), c, objects)
+    return V.check_graph(docs, desc, docs.filter("id % 37 <> 0").select(F.concat(F.lit("c"), "id").alias("content"), F.when(F.col("id") % 53 == 0, "x").otherwise(F.col("logical_sha256")).alias("logical_sha256"), (F.col("byte_length") + F.when(F.col("id") % 59 == 0, 1).otherwise(0)).alias("byte_length")), c, objects)
 
 
 def v15_limits(spark, d):
@@ -367,7 +367,8 @@ ORACLE_SQL = {
         SELECT kind, sha256, 'kind' AS rule FROM o WHERE kind = 'other' UNION ALL SELECT kind, sha256, 'size' FROM o WHERE (kind = 'chunk' AND n > 4194304) OR (kind IN ('thread', 'snapshot_overlay') AND n > 16777216) UNION ALL SELECT kind, sha256, 'local_only' FROM o WHERE kind = 'snapshot_overlay'""",
     "v14_graph": f"""WITH {CHUNKS_SQL}, o AS (SELECT sha256, min(byte_length) + CASE WHEN min(id) % 47 = 0 THEN 1 ELSE 0 END AS n FROM chunks WHERE id % 9 <> 0 OR pos > 0 GROUP BY 1)
         SELECT CAST(doc_id AS VARCHAR) AS key, 'no_descriptor' AS rule FROM documents WHERE doc_id % 41 = 0 UNION SELECT CAST(doc_id AS VARCHAR), 'descriptor_id' FROM documents WHERE doc_id % 41 <> 0 AND doc_id % 43 = 0
-        UNION SELECT 'c' || CAST(doc_id AS VARCHAR), 'no_manifest' FROM documents WHERE doc_id % 41 <> 0 AND doc_id % 37 = 0 UNION SELECT c.sha256, CASE WHEN o.sha256 IS NULL THEN 'no_chunk' ELSE 'chunk_length' END FROM chunks c LEFT JOIN o ON c.sha256 = o.sha256 WHERE o.sha256 IS NULL OR o.n <> c.byte_length""",
+        UNION SELECT 'c' || CAST(doc_id AS VARCHAR), 'no_manifest' FROM documents WHERE doc_id % 41 <> 0 AND doc_id % 37 = 0
+        UNION SELECT 'c' || CAST(doc_id AS VARCHAR), 'manifest_identity' FROM documents WHERE doc_id % 41 <> 0 AND doc_id % 37 <> 0 AND (doc_id % 53 = 0 OR doc_id % 59 = 0) UNION SELECT c.sha256, CASE WHEN o.sha256 IS NULL THEN 'no_chunk' ELSE 'chunk_length' END FROM chunks c LEFT JOIN o ON c.sha256 = o.sha256 WHERE o.sha256 IS NULL OR o.n <> c.byte_length""",
     "v15_limits": f"""WITH {CHUNKS_SQL}, s AS (SELECT snapshot_id AS revision, count(*) AS r, count(DISTINCT id) AS m FROM chunks GROUP BY 1)
         SELECT revision, 'references' AS rule FROM s WHERE r > 520 UNION ALL SELECT revision, 'manifests' FROM s WHERE m > 49 UNION ALL SELECT revision, 'total' FROM s WHERE r > 600""",
     "v16_safe_paths": "SELECT page_id % 4 = 0 AS archived, count(*) FILTER (page_id % 6 IN (0, 3)) AS safe, count(*) FILTER (page_id % 6 NOT IN (0, 3)) AS unsafe FROM pages GROUP BY 1",
