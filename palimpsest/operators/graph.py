@@ -56,6 +56,12 @@ def root_set(revisions: DataFrame, ops: DataFrame, now: Column) -> DataFrame:
     return revisions.filter("state = 'active'").select("root").unionByName(kept.select("root")).select(F.lit("revision_root").alias("kind"), F.col("root").alias("sha256")).distinct()
 
 
+def local_roots(snapshots: DataFrame, trashed: DataFrame, cached: DataFrame) -> DataFrame:
+    """What a local store keeps: all its snapshots, trashed ones too, and the revision roots it has cached (each: sha256)."""
+    kinds = (("snapshot_root", snapshots), ("snapshot_root", trashed), ("revision_root", cached))
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), "sha256") for kind, df in kinds)).distinct()
+
+
 def gc_plan(objects: DataFrame, reached: DataFrame, now: Column, grace: str = "1 HOUR") -> DataFrame:
     """Objects past the grace period that nothing reaches."""
     return objects.filter(F.col("created_at") < now - F.expr(f"INTERVAL {grace}")).join(reached, OBJECT, "left_anti")
@@ -161,6 +167,20 @@ def storage_summary(refs: DataFrame, trash: DataFrame, objects: DataFrame, by: l
     return summed.join(quarantine.groupBy(*by).agg(F.sum("byte_length").alias("quarantine_bytes")), by, "left").fillna(0, ["quarantine_bytes"])
 
 
+def server_summary(objects: DataFrame, reached: DataFrame, plan: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """Per kind: objects that count (reached or planned for clean-up), stored, reached, reclaimable and quarantined objects and bytes.
+
+    What is neither reached nor old enough to be planned is stored but not counted.
+    """
+    stored = objects.groupBy("kind").agg(F.sum("byte_length").alias("physical_bytes"))
+    live = reached.groupBy("kind").agg(F.count(F.lit(1)).alias("reachable_objects"))
+    out = plan.groupBy("kind").agg(F.count(F.lit(1)).alias("reclaimable_objects"), F.sum("byte_length").alias("reclaimable_bytes"))
+    held = quarantine.groupBy("kind").agg(F.sum("byte_length").alias("quarantine_bytes"))
+    rows = reduce(lambda a, b: a.join(b, "kind", "full"), (stored, live, out, held)).fillna(0)
+    rows = rows.withColumn("object_count", F.col("reachable_objects") + F.col("reclaimable_objects"))
+    return rows.withColumn("reachable_bytes", F.greatest(F.col("physical_bytes") - F.col("reclaimable_bytes"), F.lit(0)))
+
+
 def _open_status(status: Column) -> Column:
     return ~F.lower(F.coalesce(status, F.lit("unknown"))).isin(*FINISHED)
 

@@ -255,13 +255,29 @@ def h15_storage_summary(spark, d):
     return G.storage_summary(c.filter("id % 7 < 4"), c.filter("id % 7 = 4"), c, ["repo"], c.filter("id % 7 = 5"))
 
 
+def h15_server_summary(spark, d):
+    objects, reached = _objects(spark, d), _reached(spark, d)
+    plan = rewritten(G.gc_plan(objects, reached, _now()).select("kind", "sha256", "byte_length"), "plan")
+    return G.server_summary(objects, reached, plan, plan.filter("byte_length < 256"))
+
+
+def h7_local_roots(spark, d):
+    """Everything that local snapshots reach: sources are snapshots, some trashed, some known by their revision only."""
+    n = F.regexp_extract("sha256", r"(\d+)$", 1).cast("int") % 4
+    s = table(spark, d, "documents").select(F.col("source").alias("sha256")).distinct()
+    roots = G.local_roots(s.filter(n == 0), s.filter(n == 1), s.filter(n == 2))
+    edges = _edges(spark, d)
+    snapshots = edges.filter("owner_kind = 'revision_root'").withColumn("owner_kind", F.lit("snapshot_root"))
+    return G.reachable(roots, edges.unionByName(snapshots)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def h16_recovery_points(spark, d):
     j = _journals(spark, d)
     return G.ordered_recovery(G.recovery_points(j).join(j.select("path", "user_id"), "path"), ["user_id"]).drop("user_id").withColumn("place", F.col("place").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (
-    h1_list_namespaces, h5_truncated_revisions, h5_moved_heads, h9_gc_enqueue, h9_gc_results, h10_over_cap, h17_snapshot_trash, h1_list_revisions, h2_namespace_heads, h3_revision_stats, h4_ancestors, h4_is_ancestor, h5_plan_truncation, h6_plan_restore, h7_reachable, h7_reachable_frontier, h8_gc_plan,
+    h7_local_roots, h15_server_summary, h1_list_namespaces, h5_truncated_revisions, h5_moved_heads, h9_gc_enqueue, h9_gc_results, h10_over_cap, h17_snapshot_trash, h1_list_revisions, h2_namespace_heads, h3_revision_stats, h4_ancestors, h4_is_ancestor, h5_plan_truncation, h6_plan_restore, h7_reachable, h7_reachable_frontier, h8_gc_plan,
     h8_gc_fingerprint, h9_gc_recheck, h10_missing, h11_build_edges, h12_list_snapshots, h13_deletion_plan, h14_protected_by, h15_storage_summary, h16_recovery_points, h17_list_trash,
     h18_timeline, h19_chain_breaks, h19_replay)}
 
@@ -339,6 +355,13 @@ ORACLE_SQL = {
           CAST(coalesce(sum(n) FILTER (holders IS NULL AND trashed), 0) AS BIGINT) AS trash_only_bytes, CAST(coalesce(sum(n) FILTER (holders IS NULL AND trashed IS NULL), 0) AS BIGINT) AS reclaimable_bytes,
           (SELECT CAST(coalesce(sum(byte_length), 0) AS BIGINT) FROM c WHERE id % 7 = 5 AND c.repo = o.repo) AS quarantine_bytes
         FROM o LEFT JOIN l USING (repo, sha256) LEFT JOIN t USING (repo, sha256) GROUP BY repo""",
+    "h7_local_roots": f"""WITH {_GRAPH}, r AS (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) % 4 AS n FROM docs), l AS (SELECT * FROM docs WHERE CAST(substr(source, 4) AS INT) % 4 < 3)
+        SELECT 'snapshot_root' AS kind, count(*) AS n FROM r WHERE n < 2 HAVING count(*) > 0 UNION ALL SELECT 'revision_root', count(*) FROM r WHERE n = 2 HAVING count(*) > 0 UNION ALL SELECT 'thread', count(*) FROM l HAVING count(*) > 0
+        UNION ALL SELECT 'chunk_manifest', count(DISTINCT content) FROM l HAVING count(*) > 0 UNION ALL SELECT 'chunk', count(DISTINCT sha256) FROM parts WHERE content IN (SELECT content FROM l) HAVING count(*) > 0""",
+    "h15_server_summary": f"""WITH {_GRAPH}, s AS (SELECT kind, sum(byte_length) AS physical FROM objects GROUP BY 1), l AS (SELECT kind, count(*) AS n FROM reached GROUP BY 1),
+        p AS (SELECT kind, count(*) AS n, sum(byte_length) AS b, coalesce(sum(byte_length) FILTER (byte_length < 256), 0) AS q FROM plan GROUP BY 1)
+        SELECT kind, CAST(coalesce(physical, 0) AS BIGINT) AS physical_bytes, coalesce(l.n, 0) AS reachable_objects, coalesce(p.n, 0) AS reclaimable_objects, CAST(coalesce(b, 0) AS BIGINT) AS reclaimable_bytes, CAST(coalesce(q, 0) AS BIGINT) AS quarantine_bytes,
+          coalesce(l.n, 0) + coalesce(p.n, 0) AS object_count, CAST(greatest(coalesce(physical, 0) - coalesce(b, 0), 0) AS BIGINT) AS reachable_bytes FROM s FULL JOIN l USING (kind) FULL JOIN p USING (kind)""",
     "h16_recovery_points": f"""WITH {_JOURNALS}, k AS (SELECT *, [CASE WHEN prov THEN 'provider_sync' END, CASE WHEN imp THEN 'import' END, CASE WHEN chk THEN 'checkout' END] AS fits FROM j WHERE NOT broken),
         r AS (SELECT path, user_id, coalesce(op, 'j' || CAST(k AS VARCHAR)) AS operation_id, coalesce(fits[1], fits[2], fits[3]) AS kind, CAST(prov AS INT) + CAST(imp AS INT) + CAST(chk AS INT) > 1 AS ambiguous, coalesce(status, 'unknown') AS status, open AS attention, upd AS updated_at FROM k)
         SELECT * EXCLUDE (user_id), row_number() OVER (PARTITION BY user_id ORDER BY attention DESC, updated_at DESC, operation_id DESC) AS place FROM r WHERE kind IS NOT NULL""",
