@@ -203,8 +203,13 @@ def scripted_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _leaves(e):
     """The leaves of a text and the numbers of their ids, by an encoder; an added token is in its leaf."""
     width = e.dtype.itemsize
-    cut = lambda text: e.whole_pieces(text)
-    return cut, lambda pieces: [len(e.encode(x)) // width if e.marked(x) else len(e.known[x]) // width for x in pieces]
+
+    def count(leaves: list[str]) -> list[int]:
+        if e.marked("".join(leaves)):
+            return [len(e.encode(x)) // width for x in leaves]
+        return [n // width for n in map(len, map(e.known.__getitem__, leaves))]
+
+    return e.whole_pieces, count
 
 
 _TREE = "doc_id long, text string, sizes binary, counts binary"

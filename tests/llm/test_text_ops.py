@@ -94,9 +94,24 @@ def test_an_edit_makes_few_nodes():
     assert made[2] <= 2 * made[0] + 6 and max(made) < 40
 
 
+def test_token_files_of_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 50)
+    rows = [(3, "ab " * 300), (1, "x y"), (2, "word " * 90), (None, "null id")]
+    df = spark.createDataFrame([(*r, 5, "p") for r in rows], DOCS + ", seg int, part string")
+    got = sorted(tuple(r) for r in token_files.token_file_digest(df, tokenizer_path("byte_bpe_50k.json")).collect() if r.doc_id is not None)
+    ids = dict(zip([i for i, _ in rows], brute_ids("byte_bpe_50k.json", [t for _, t in rows])))
+    start = len(ids[None]) + 1  # null ids come first
+    for i, at, n, crc in got:
+        assert (at, n, crc) == (start, len(ids[i]) + 1, zlib.crc32(np.array([*ids[i], 2], "<u4").tobytes()))
+        start += n
+    assert [g[0] for g in got] == [1, 2, 3]
+
+
 def test_edited_counts(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(None, None), (0, "")], DOCS)
     script = edit_counts.scripted_edits(docs).collect()
+    clashing = edit_counts.scripted_edits(docs).selectExpr("*", "1 sizes", "'c' counts", "2 leaves")
+    assert edit_counts.edited_counts(clashing, tokenizer_path("byte_bpe_50k.json")).count() == len(script)
     got = sorted((tuple(r) for r in edit_counts.edited_counts(edit_counts.scripted_edits(docs), tokenizer_path("byte_bpe_50k.json")).collect()), key=repr)
     before, after = [], []
     for r in script:
@@ -126,7 +141,9 @@ TEXT = (
 def test_pages(spark):
     marked = "<nav>Menu</nav><article><header><h1>Head</h1></header><p>One<p>Two &lt;b&gt; <b>x</b>y<aside>Side</aside></article><div class=ad>Buy the best of it now and be happy with it</div>"
     rows = [(1, PAGE), (2, marked), (3, None), (4, ""), (5, "plain &amp; simple"), (6, "<p>" * 2000 + "deep and the end of it"), (6, "<script>only")]
-    df = spark.createDataFrame([(i, f"u{i}", h, 1) for i, h in rows], "page_id long, url string, html string, text int")
+    df = spark.createDataFrame([(i, f"u{i}" if i % 2 else None, h, 1) for i, h in rows], "page_id long, url string, html string, text int")
+    assert {(r.page_id, r.url) for r in html_text.extract_main_text(df).collect()} == {(i, f"u{i}" if i % 2 else None) for i, _ in rows}
+    assert html_text.extract_main_text(df.limit(0)).collect() == []
     got = {(r.page_id, r.text, r.n_chars) for r in html_text.extract_main_text(df).collect()}
     texts = {(1, TEXT), (2, "Head One Two <b> xy"), (3, ""), (4, ""), (5, "plain & simple"), (6, "deep and the end of it"), (6, "")}
     assert got == {(i, t, len(t)) for i, t in texts}
