@@ -27,16 +27,14 @@ tokens: none of these tests loses a link. What is left is verified on the full s
 Groups. The answer is each document's connected component, so a group of near copies is not
 expanded into its pairs. First every set meets only a few others under a key: those before it when
 the key's sets stand in an order of least hashes, which puts similar sets together (keys of many
-sets are cut along that order), and of all those the FIRST_PAIRS with the nearest parities. The links found join sets into components (alternating stars).
+sets are cut along that order), and of all those only some, the nearest by parity and others by hash. The links found join sets into components.
 Then, under keys that still hold several components, the sets outside a key's largest component
 meet all those of other components; any link not in the first round's components is found here.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
-from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -55,8 +53,10 @@ PARITY_LONGS = 4
 SALT_SETS = 4_096
 ORDERS = 8
 NEIGHBOURS = 8
-#: Pairs that a set enters in the first round; what they leave unlinked is for the second.
-FIRST_PAIRS = 8
+#: Keys before a key, in a set's order, under which a pair is looked for before it is made again.
+KEYS_BEFORE = 12
+#: Pairs of the nearest parities, and as many by hash, that a set enters in the first round; what they leave unlinked is for the second.
+FIRST_PAIRS = 16
 BROADCAST_ROWS = 1_000_000
 WIDE_BITS = 2_048
 
@@ -391,9 +391,8 @@ def parity(tokens: np.ndarray, bits: int = 64 * PARITY_LONGS) -> np.ndarray:
 
 
 _PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
-_BEFORE = [f"before{i}" for i in range(3)]
-_INDEX = ["key", "salt", "rank", "n", "id", *_BEFORE, *_PARITY]
-_KIND = "key long, salt int, rank long, n int, id long, " + ", ".join(f"{c} long" for c in [*_BEFORE, *_PARITY])
+_INDEX = ["key", "salt", "rank", "n", "id", *_PARITY]
+_KIND = "key long, salt int, rank long, n int, id long, " + ", ".join(f"{p} long" for p in _PARITY)
 
 
 def _index(percent: int, limits: tuple[int, int]):
@@ -415,11 +414,10 @@ def _index(percent: int, limits: tuple[int, int]):
                 if len(keys):
                     keys, first = np.unique(keys, return_index=True)
                     seen = seen[first]
-                    before = [np.concatenate([keys[:i], keys[: max(0, len(keys) - i)]])[: len(keys)] for i in (1, 2, 3)]
                     ranks = similarity_ranks(own)[(keys % np.uint64(ORDERS)).astype(np.int64)]
                     parts = 1 + seen // SALT_SETS
                     salts = np.where(parts > 1, 1 + ((ranks >> 30) * parts >> 30), 0)
-                    found.append((_signed(keys), salts.astype(np.int32), ranks, np.full(len(keys), b - a, np.int32), np.full(len(keys), doc, np.int64), *map(_signed, before), *np.broadcast_to(parity(own)[:, None], (PARITY_LONGS, len(keys)))))
+                    found.append((_signed(keys), salts.astype(np.int32), ranks, np.full(len(keys), b - a, np.int32), np.full(len(keys), doc, np.int64), *np.broadcast_to(parity(own)[:, None], (PARITY_LONGS, len(keys)))))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], _INDEX)
 
@@ -455,7 +453,7 @@ def _stars(percent: int):
             alone[0] = not joined
             alone[:-1] &= new[1:]
             i = np.flatnonzero((~alone | (rows["salt"] > 0)) & (at < n - (not last)))
-            meets = np.stack([np.maximum(at - back, start)[i] for back in range(1, NEIGHBOURS + 1)], 1)
+            meets = np.stack([np.maximum(at - steps, start)[i] for steps in range(1, NEIGHBOURS + 1)], 1)
             fits, differ = (x.reshape(meets.shape) for x in near(rows, np.repeat(i, NEIGHBOURS), meets.ravel()))
             fits[:, 1:] &= meets[:, 1:] != meets[:, :-1]
             bounds = np.concatenate([[0], np.cumsum(fits.sum(1))]).astype(np.int32)
@@ -515,22 +513,26 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest id of its connected component) for the ends of links (a, b).
 
-    Alternating large and small stars; about log2 of the longest path's length rounds.
+    Every node points at its least neighbour if that is less than itself; pointers only fall, so
+    they make trees, and pointing at what the pointer's end points at flattens them in log2 of their height
+    rounds. Links between different trees then join trees in the same way, until none is left.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    trees = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component")), "trees")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        joined = large.join(least, F.col("u") == F.col("w"))
-        star = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(star, "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+        ends = trees.select(F.col("node").alias("component"), F.col("component").alias("end"))
+        flat = materialize(trees.join(ends, "component").select("node", F.col("end").alias("component"), (F.col("end") != F.col("component")).alias("moved")), "trees")
+        trees = flat.select("node", "component")
+        if not flat.filter("moved").limit(1).count():
+            break
+    at = lambda c: trees.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    across = edges.join(at("u"), "u").join(at("v"), "v").filter("of_u <> of_v").select(F.col("of_u").alias("a"), F.col("of_v").alias("b")).distinct()
+    across = materialize(across, "across")
+    if not across.limit(1).count():
+        return trees
+    joined = components(across).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return trees.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
 def _possible(percent: int):
@@ -565,22 +567,34 @@ def _linked(near: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per
     return materialize(second.select("a", "text_a", "b", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
 
 
+_MEETS = ", meets array<struct<id: long, differ: int>>"
+
+
+def _some_pairs(stars: DataFrame) -> DataFrame:
+    """Pairs (a, b) of what each set is to be compared with: FIRST_PAIRS of the nearest parities and as many by hash."""
+    met = stars.select(F.explode("meets").alias("m"), F.col("id").alias("b")).select(F.col("m.id").alias("a"), "b", "m.differ").distinct()
+    near_first, any_first = (F.row_number().over(Window.partitionBy("b").orderBy(*order)) for order in (("differ", "a"), (F.xxhash64("a", "b"), "a")))
+    return met.select("a", "b", near_first.alias("i"), any_first.alias("j")).filter((F.col("i") <= FIRST_PAIRS) | (F.col("j") <= FIRST_PAIRS)).select("a", "b")
+
+
 def _met(index: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components under a key that may be similar enough.
 
-    Of a key's components the one with the most rows meets the others' rows, never its own, and
-    keys of one component are left out. A pair that also shares one of the three keys before this
-    one, in each set's order of keys, is found under that key and not again here.
+    Keys of one component are left out. Of a key's components the one with the most rows meets
+    the others' rows, never its own. A pair that shares one of the KEYS_BEFORE keys before this
+    one, in each set's order of the keys that are left, is found under that key and not again here.
     """
     held = index.groupBy("key", "label").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("count", "label")).alias("largest"))
-    mixed = materialize(index.join(held.filter("parts > 1").select("key", "largest"), "key"), "mixed")
+    mixed = index.join(held.filter("parts > 1").select("key", "largest"), "key")
+    before = Window.partitionBy("id").orderBy("key").rowsBetween(-KEYS_BEFORE, -1)
+    mixed = materialize(mixed.withColumn("before", F.collect_list("key").over(before)), "mixed")
     x, y = mixed.filter("label <> largest").alias("x"), mixed.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITY), F.lit(0))
     once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
     sized = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
     close = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    again = [(F.col(f"x.{a}") == F.col(f"y.{b}")) & (F.col(f"x.{a}") != F.col("x.key")) for a in _BEFORE for b in _BEFORE]
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & sized & close & ~reduce(or_, again))
+    again = F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & sized & close & ~again)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -613,14 +627,12 @@ def similar_groups(
     index = _answers(once.select("doc_id", "text"), words, 1 + total // RANGE_TOKENS, True).mapInArrow(_index(percent, class_limits), _KIND)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "rank", "id")
-    shared = materialize(dealt.mapInArrow(_stars(percent), _KIND + ", meets array<struct<id: long, differ: int>>"), "index")
-
-    met = shared.select(F.explode("meets").alias("m"), F.col("id").alias("b")).select(F.col("m.id").alias("a"), "b", "m.differ").distinct()
-    star = met.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))).filter(F.col("place") <= FIRST_PAIRS).select("a", "b")
-    links = _linked(near, named_nodes := nodes.filter("node IS NOT NULL"), materialize(star, "pairs"), words, percent)
+    shared = materialize(dealt.mapInArrow(_stars(percent), _KIND + _MEETS), "index")
+    named_nodes = nodes.filter("node IS NOT NULL")
+    links = _linked(near, named_nodes, materialize(_some_pairs(shared), "pairs"), words, percent)
     labels = components(links)
     labels = materialize(labels.select(F.col("node").alias("of"), F.col("component").alias("label")), "labels")
-    index = shared.drop("meets").join(_small(labels, labels.count()), F.col("id") == F.col("of"), "left").withColumn("label", F.coalesce("label", "id"))
+    index = shared.drop("meets").join(_small(labels, labels.count()), F.col("id") == F.col("of"), "left").withColumn("label", F.coalesce("label", "id")).drop("of")
     links = links.unionByName(_linked(near, named_nodes, materialize(_met(index, percent), "pairs"), words, percent))
 
     grouped = components(links).select(F.col("node").alias("at"), "component")

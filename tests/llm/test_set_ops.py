@@ -28,6 +28,8 @@ def test_exact_duplicates(spark):
         groups[ascii_lower(t or "")].append(i)
     got = exact_dedup.exact_duplicates(df).collect()
     assert len(got) == len(rows)
+    deep = exact_dedup.exact_duplicates(df, run_rows=5, fan_in=4)  # four rounds
+    assert sorted(map(str, deep.collect())) == sorted(map(str, got)) and exact_dedup.tree_rounds(len(rows), 5, 4) == 4
     for text, ids in groups.items():
         sha = hashlib.sha256(text.encode()).hexdigest()
         own = [r for r in got if r.text_sha256 == sha]
@@ -36,7 +38,11 @@ def test_exact_duplicates(spark):
         assert {(r.keep_id, r.group_size) for r in own} == {(keep, len(ids))}
         assert [r.doc_id for r in own if r.kept] == [keep]
     left = exact_dedup.drop_exact_duplicates(df)
-    assert left.columns == df.columns and left.count() == len(groups)
+    assert left.columns == df.columns
+    kept = collections.Counter((r.doc_id, ascii_lower(r.text or "")) for r in left.collect())
+    assert kept == {(max((i for i in ids if i is not None), default=None), t): 1 for t, ids in groups.items()}
+    plain = df.filter("doc_id IS NOT NULL AND doc_id <> 7")  # without repeated rows
+    assert exact_dedup.drop_exact_duplicates(plain).count() == plain.selectExpr("lower(coalesce(text, ''))").distinct().count() + 1  # lower() joins \xc9 and \xe9
     assert exact_dedup.exact_duplicates(df.limit(0)).collect() == []
 
 
@@ -175,6 +181,15 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), tokenizer_path("word_bpe_49k.json")).collect() == []
 
 
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "a b", "s", 1), (7, "one two", None, 2), (7, "one two", None, 2), (8, None, "s", 3), (9, "", "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key int")
+    for source in (None, "source"):
+        out = packing.pack_documents(df, tokenizer_path("word_bpe_49k.json"), source_col=source).collect()
+        assert sorted(map(str, (r.doc_id for r in out if r.start == 0))) == ["7", "7", "8", "9", "None"]
+        assert sum(r.length for r in out) == sum({"a b": 3, "one two": 3}.get(r[1], 1) for r in rows)
+
+
 def test_min_cost_flow_is_least():
     rng = random.Random(3)
     for _ in range(20):
@@ -219,6 +234,38 @@ def test_sharding_of_odd_rows(spark):
         assert sorted(r.size for r in got) == sorted(len(r.text or "") + 8 for r in d.collect())
 
 
+def test_resharding_leaves_files_alone(spark, tmp_path):
+    """From 4 shards to 6: files whose rows all stay are not written again, and no more bytes move than must."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randint(0, 900)) for i in range(3000)]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], DOCS + ", slot int, old_shard string")
+    sharding.write_store(df, F.pmod("doc_id", F.lit(4)), str(tmp_path / "old"), file_bytes=30_000)
+    store = sharding.read_store(spark, str(tmp_path / "old"))
+    was = {r.doc_id: (r.shard, r.slot, r.file) for r in store.collect()}
+    assert {i: w[0] for i, w in was.items()} == {i: i % 4 for i, _ in rows}
+    got = sharding.reshard(store, 4, 6, str(tmp_path / "new")).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in got) == [(i, len(t)) for i, t in rows]
+    shards, size = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        shards[r.shard].append(r.slot)
+        size[r.shard] += r.size
+        assert r.old_shard == was[r.doc_id][0]
+        if r.shard == r.old_shard:
+            assert r.slot == was[r.doc_id][1]
+    assert sorted(shards) == list(range(6)) and all(sorted(x) == list(range(len(x))) for x in shards.values())
+    assert max(size.values()) - min(size.values()) <= 4 * 908
+    written = {r.doc_id for r in spark.read.parquet(str(tmp_path / "new")).select("doc_id").collect()}
+    lost = {was[r.doc_id][::2] for r in got if r.shard != r.old_shard}
+    assert written == {i for i, w in was.items() if w[::2] in lost} and 0 < len(written) < 0.6 * len(rows)
+    old = collections.Counter()
+    for i, t in rows:
+        old[i % 4] += len(t) + 8
+    moved = sum(r.size for r in got if r.shard != r.old_shard)
+    assert moved <= sum(old.values()) - sum(min(v, sum(old.values()) / 6) for v in old.values()) + 12 * 908
+
+
 def test_mixing(spark):
     counts = {"a": 700, "b": 90, None: 33, "c": 1}
     rows = [(i, s) for i, (s, n) in enumerate((s, k) for s, n in counts.items() for k in range(n))]
@@ -238,7 +285,18 @@ def test_mixing(spark):
     mixed = mixing.mixed_documents(df, block_docs=4, period=50)
     assert mixed.columns == df.columns and sorted((r.doc_id, r.source) for r in mixed.collect()) == sorted(rows)
     assert mixing.mix(df.limit(0)).collect() == []
-    assert {r.weight for r in mixing.mix(df, {"a": 3, "b": 1}).collect() if r.source == "a"} == {750}
+    assert {r.weight for r in mixing.mix(df, {"a": 3, "b": 1}).collect() if r.source == "a"} == {7500}
+
+
+def test_mixing_of_odd_weights(spark, monkeypatch):
+    """Weight 0 comes last, repeated rows and null ids are placed like others, a long schedule is joined by shuffle."""
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    rows = [(i, s) for s, n in (("a", 300), ("b", 100), ("z", 50)) for i in range(n)] + [(7, "a"), (7, "a"), (None, "b"), (None, "z")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, source string, key string")
+    got = mixing.mix(df, {"a": 0.7, "b": 0.3, "z": 0.0}, block_docs=2, period=10).collect()
+    assert sorted(map(str, ((r.doc_id, r.source) for r in got))) == sorted(map(str, rows))
+    assert min(r.slot for r in got if r.source == "z") > max(r.slot for r in got if r.source != "z")
+    assert mixing.target_weights({"a": 5, "b": 5, "c": 5}, {"a": 1.0, "b": 0.0}, 0.5, 100) == {"a": 100, "b": 0, "c": 1}
 
 
 def test_pfair_windows():
@@ -277,6 +335,26 @@ def test_top_k(spark, monkeypatch, hot):
     assert got == plain_top([(i, [int(np.floor(1024 * x)) for x in r]) for i, r in rows], 10)
 
 
+def test_top_k_sends_clustered_vectors_to_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(3)
+    centres = 4 * rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 8000)] + 0.2 * rng.normal(size=(8000, 16))
+    rows = [(i, [int(x) for x in r]) for i, r in enumerate(np.floor(1024 * v))]
+    counts = {}
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), counts=counts).collect()
+    assert sorted(tuple(r) for r in got) == plain_top(rows, 10)
+    assert counts["groups"] >= 4 and counts["sent"] < counts["vectors"] * counts["groups"] / 2
+
+
+def test_top_k_of_repeated_rows(spark):
+    """Copies of a query under its own id are never its hits; shorter vectors count as padded."""
+    rows = [(100, [9, 9])] * 20 + [(i, [i % 7, -i]) for i in range(1, 40)] + [(50, [8]), (51, [8, 0])]
+    want = [(q, r, j, s) for q, r, j, s in plain_top([rows[0]] + [(i, v + [0] * (2 - len(v))) for i, v in rows[20:]], 10)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>")).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [0.5, 0.5]), (3, [2.0, -1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in knn.top_k(knn.integer_vectors(df)).collect()) == plain_top([(0, [1024, 2048]), (100, [512, 512]), (3, [2048, -1024])], 10)
@@ -312,3 +390,23 @@ def test_sequences_follow_the_mixture(spark, monkeypatch):
     assert len(order) == 2000
     for n in range(128, 1153, 128):  # until the smaller source runs out it has a third, by the square roots of 1600 and 400
         assert abs(order[:n].count("b") - n / 3) <= mixing.BLOCK_DOCS
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and empty texts, null ids, repeated rows, an empty table and columns whose names the operators use."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, label int, key int, score double, component_id long, slot int"
+    text = "The cat sat on the mat and it was the best of all the times that we had, so they said to us at the end of it."
+    rows = [(1, text), (2, text.upper()), (2, text.upper()), (3, text + " So."), (4, None), (5, ""), (None, "Quite another line of text that is here for the reader to see."), (6, " \n ")]
+    extra = ("en", None, 1, 0, 1, 0.5, 9, 3)
+    full = spark.createDataFrame([(*r, *extra) for r in rows], kind)
+    data = "/root/testdata/sf0.001"
+    for docs in (full, full.limit(0)):
+        after = docs
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            after = stage(spark, after, data)
+            assert after.columns == docs.columns, name
+        ids = sorted(map(str, (r.doc_id for r in after.collect())))
+        assert ids == (["2", "5", "6", "None"] if docs is full else [])
+        packed = corpus_pipeline.STAGES[4][1](spark, after, data).collect()
+        assert sorted(map(str, (r.doc_id for r in packed if r.start == 0))) == ids
+        assert corpus_pipeline.STAGES[0][1](spark, docs, data).columns == docs.columns
