@@ -94,11 +94,13 @@ def revision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.lag("id", 2).over(Window.partitionBy("namespace_id").orderBy("seq"))
-    return r.withColumn("before", before).withColumn("parent", F.coalesce(parent, "parent")).drop("before")
+    last = F.count(F.lit(1)).over(Window.partitionBy("namespace_id")) - F.col("namespace_id") % 4
+    state = F.when(F.col("seq") > last, "trashed").otherwise("active")
+    return r.withColumn("before", before).withColumn("parent", F.coalesce(parent, "parent")).drop("before").withColumn("state", state)
 
 
 TREE_SQL = f"""{REVISIONS_SQL},
-  tree AS (SELECT id, namespace_id, seq, created_at, state, CASE WHEN id % 97 = 5 THEN id + 10000000 WHEN id % 89 = 7 THEN id - 1 WHEN id % 19 = 3 AND seq > 2 THEN lag(id, 2) OVER (PARTITION BY namespace_id ORDER BY seq) ELSE parent END AS parent FROM revisions)"""
+  tree AS (SELECT id, namespace_id, seq, created_at, CASE WHEN seq > count(*) OVER (PARTITION BY namespace_id) - namespace_id % 4 THEN 'trashed' ELSE 'active' END AS state, CASE WHEN id % 97 = 5 THEN id + 10000000 WHEN id % 89 = 7 THEN id - 1 WHEN id % 19 = 3 AND seq > 2 THEN lag(id, 2) OVER (PARTITION BY namespace_id ORDER BY seq) ELSE parent END AS parent FROM revisions)"""
 
 
 def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:

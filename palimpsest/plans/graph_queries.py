@@ -54,7 +54,7 @@ def _ops(spark, d):
 def _truncation(spark, d):
     """A request per namespace: new heads on the chain, on a branch, in another namespace, the head itself or none; some expect a wrong head or epoch."""
     r = rewritten(revision_tree(spark, d), "tree")
-    n = rewritten(namespaces(spark, d), "namespaces")
+    n = rewritten(H.namespace_heads(r, namespaces(spark, d)), "namespaces")
     k = F.col("namespace_id")
     wanted = r.filter("seq = 6").join(n.select("namespace_id", "head_revision", "namespace_epoch"), "namespace_id").select(
         (k + 1_000).alias("operation_id"), "namespace_id", F.when(k % 13 == 5, F.col("id")).otherwise(F.col("head_revision")).alias("expected_head"), (F.col("namespace_epoch") + F.when(k % 17 == 6, 1).otherwise(0)).alias("expected_epoch"),
@@ -299,9 +299,9 @@ _JOURNALS = """j AS (SELECT 'journals/j' || CAST(event_id AS VARCHAR) || '.json'
     CASE event_id % 5 WHEN 0 THEN 'Completed' WHEN 1 THEN 'rolled_back' WHEN 2 THEN 'RolledBack' WHEN 3 THEN 'running' END AS status, event_id % 5 > 2 AS open, 't' || CAST(event_id * 60 AS VARCHAR) AS upd, 'src' || CAST(event_id % 20 AS VARCHAR) AS snap,
     event_type = 'click' AS prov, event_type IN ('view', 'error') AS imp, event_type = 'signup' OR event_id % 11 = 0 AS chk FROM events)"""
 _WALK = f"""WITH RECURSIVE {TREE_SQL}, walk AS (SELECT id, namespace_id, id AS node, 0 AS steps FROM tree UNION ALL SELECT w.id, w.namespace_id, p.id, steps + 1 FROM walk w JOIN tree t ON t.id = w.node JOIN tree p ON p.id = t.parent AND p.namespace_id = w.namespace_id)"""
-_TRUNCATION = f"""WITH RECURSIVE {TREE_SQL}, {NAMESPACES_SQL},
-  w AS (SELECT t.namespace_id + 1000 AS operation_id, t.namespace_id, CASE WHEN t.namespace_id % 13 = 5 THEN t.id ELSE head_revision END AS expected_head, namespace_epoch + CASE WHEN t.namespace_id % 17 = 6 THEN 1 ELSE 0 END AS expected_epoch, head_revision AS old_head, namespace_epoch,
-    CASE WHEN t.namespace_id % 7 = 1 THEN head_revision WHEN t.namespace_id % 7 = 2 THEN t.id + 1 WHEN t.namespace_id % 7 <> 3 THEN t.id END AS new_head FROM tree t JOIN namespaces n USING (namespace_id) WHERE seq = 6),
+_TRUNCATION = f"""WITH RECURSIVE {TREE_SQL}, {NAMESPACES_SQL}, heads AS (SELECT namespace_id, namespace_epoch, arg_max(t.id, t.seq) FILTER (state = 'active') AS head_revision FROM namespaces JOIN tree t USING (namespace_id) GROUP BY 1, 2),
+  w AS (SELECT t.namespace_id + 1000 AS operation_id, t.namespace_id, CASE WHEN t.namespace_id % 13 = 5 THEN t.id ELSE n.head_revision END AS expected_head, namespace_epoch + CASE WHEN t.namespace_id % 17 = 6 THEN 1 ELSE 0 END AS expected_epoch, head_revision AS old_head, namespace_epoch,
+    CASE WHEN t.namespace_id % 7 = 1 THEN head_revision WHEN t.namespace_id % 7 = 2 THEN t.id + 1 WHEN t.namespace_id % 7 <> 3 THEN t.id END AS new_head FROM tree t JOIN heads n USING (namespace_id) WHERE seq = 6),
   live AS (SELECT * FROM tree WHERE state = 'active'),
   live_walk AS (SELECT id, namespace_id, id AS node, 0 AS steps FROM live WHERE id IN (SELECT old_head FROM w) UNION ALL SELECT w.id, w.namespace_id, p.id, steps + 1 FROM live_walk w JOIN live t ON t.id = w.node JOIN live p ON p.id = t.parent AND p.namespace_id = w.namespace_id),
   hits AS (SELECT w.*, (SELECT steps FROM live_walk x WHERE x.id = old_head AND x.node = new_head) AS found, (SELECT max(steps) + 1 FROM live_walk x JOIN live l ON l.id = x.node WHERE x.id = old_head AND l.parent IS NULL) AS all_of_it FROM w),
@@ -319,7 +319,7 @@ ORACLE_SQL = {
         SELECT a AS ancestor, id, EXISTS (SELECT 1 FROM walk w WHERE w.id = p.id AND w.node = p.a) AS is_ancestor FROM pairs p""",
     "h5_plan_truncation": f"{_TRUNCATION} SELECT operation_id, namespace_id, old_head, new_head, outcome, revision_count, namespace_epoch AS epoch_before, namespace_epoch + CASE WHEN outcome = 'planned' THEN 1 ELSE 0 END AS epoch_after, CASE WHEN outcome = 'planned' THEN {NOW} + INTERVAL 30 DAYS END AS expires_at FROM plan",
     "h5_truncated_revisions": f"{_TRUNCATION} SELECT node AS id, operation_id FROM plan JOIN live_walk w ON w.id = old_head WHERE outcome = 'planned' AND steps < revision_count",
-    "h5_moved_heads": f"{_TRUNCATION} SELECT n.namespace_id, CASE WHEN outcome = 'planned' THEN new_head ELSE n.head_revision END AS head_revision, n.namespace_epoch + CASE WHEN outcome = 'planned' THEN 1 ELSE 0 END AS namespace_epoch FROM namespaces n LEFT JOIN plan p USING (namespace_id)",
+    "h5_moved_heads": f"{_TRUNCATION} SELECT n.namespace_id, CASE WHEN outcome = 'planned' THEN new_head ELSE n.head_revision END AS head_revision, n.namespace_epoch + CASE WHEN outcome = 'planned' THEN 1 ELSE 0 END AS namespace_epoch FROM heads n LEFT JOIN plan p USING (namespace_id)",
     "h6_plan_restore": f"""WITH {_OPS}, h AS (SELECT namespace_id, CASE WHEN namespace_id % 2 = 0 THEN max(id) % 400 END AS head FROM revisions GROUP BY 1),
         r AS (SELECT o.*, head, state = 'active' AND (CASE WHEN id % 3 = 0 THEN new_head END) IS NOT DISTINCT FROM head AS can FROM ops o LEFT JOIN h USING (namespace_id))
         SELECT id, namespace_id, can AS restorable, CASE WHEN can THEN old_head ELSE head END AS head_after, expires_at <= {NOW} AS expired FROM r""",
