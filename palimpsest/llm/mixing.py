@@ -25,7 +25,7 @@ BLOCK_DOCS = 32
 PERIOD = 10_000
 #: Slots up to which the schedule is broadcast; a longer one is joined by shuffle.
 BROADCAST_SLOTS = 2_000_000
-ROWS_PER_BLOCK = 5_000
+ROWS_PER_BLOCK = 1_000
 
 
 def period_of(weights: list[int]) -> list[list[int]]:
