@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, html_text, knn, mixing, ngram_join, packing, quality, sharding, token_files
+from . import edit_counts, exact_dedup, html_text, knn, mixing, ngram_join, packing, quality, sharding, token_files, warc
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_knn": op8_knn,
     "op9_edit_counts": op9_edit_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_warc": op11_warc,
 }
 
 ORACLE_SQL = {
@@ -95,4 +100,11 @@ ORACLE_SQL = {
                count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM n""",
+    "op11_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM t""",
 }
