@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, html_text, knn, mixing, ngram_join, packing, quality, sharding, token_files, warc
+from . import edit_counts, exact_dedup, html_text, knn, lexical, mixing, ngram_join, packing, quality, sharding, token_files, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(table(spark, sf_dir, "pages"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_edit_counts": op9_edit_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_warc": op11_warc,
+    "op12_lexical": op12_lexical,
 }
 
 ORACLE_SQL = {
@@ -107,4 +112,25 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM t""",
+    "op12_lexical": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+          FROM documents),
+        k AS (SELECT r, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+        g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM k),
+        q AS (
+          SELECT qr, item_id, term, count(*) AS times
+          FROM (SELECT row_number() OVER () AS qr, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) b
+          GROUP BY ALL),
+        p AS (
+          SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS term FROM k) u
+          WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term) f, g),
+        s AS (
+          SELECT qr, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * nn) // ll))))) AS BIGINT) AS score
+          FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) t
+        WHERE rank <= 10""",
 }
