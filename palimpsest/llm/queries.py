@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, html_text, knn, lexical, mixing, ngram_join, packing, quality, sharding, token_files, warc
+from . import edit_counts, exact_dedup, html_text, knn, lexical, mixing, ngram_join, packing, quality, sharding, spelling, token_files, warc
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_warc": op11_warc,
     "op12_lexical": op12_lexical,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
