@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_id
+from .chains import rank_lists
 from .chunks import list_fingerprint
 from ..sources.scratch import rewritten
 
 OBJECT = ["kind", "sha256"]
+#: Levels that reachable() follows one by one before it contracts what is left.
+SHALLOW = 4
 #: States of journals that need nothing more, in lower case.
 FINISHED = ("completed", "rolled_back", "rolledback")
 #: The fields that tell the kind of a journal.
@@ -34,19 +37,65 @@ def build_edges(roots: DataFrame, threads: DataFrame, chunks: DataFrame, wholes:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
+def _frontier(roots: DataFrame, edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes reached in so many rounds (None: all), and the last of them, empty once nothing is left."""
+    seen = front = rewritten(roots, "seen")
+    while front.limit(1).count() and (rounds is None or rounds > 0):
+        step = front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        front = rewritten(step.join(seen, "node", "left_anti"), "front")
+        seen, rounds = seen.unionByName(front), rounds and rounds - 1
+    return seen, front
+
+
+def _contracted(roots: DataFrame, edges: DataFrame, shallow: int) -> DataFrame:
+    """Nodes reached from roots. roots: node; edges: a, b, distinct, without a = b."""
+    seen, front = _frontier(roots, edges, shallow)
+    if not front.limit(1).count():
+        return seen
+    # Ends are put aside: an end is reached if one before it is. Owners that nothing points at and that are no roots lead nowhere.
+    seen_before, roots = seen, front
+    inner = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+    into = inner.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+    out = inner.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("b").alias("next"))
+    nodes = into.join(out, "node", "full").join(roots.withColumn("root", F.lit(True)), "node", "left")
+    nodes = rewritten(nodes.fillna(0, ["n_in", "n_out"]).fillna(False, ["root"]), "nodes")
+    # Paths: from a node with one way out to a node with one way in that is no root.
+    single = nodes.filter("n_in = 1 AND NOT root").select(F.col("node").alias("next"))
+    to = nodes.filter("n_out = 1").select("node", "next").join(single, "next", "left_semi")
+    links = nodes.join(to.select("node", F.col("next").alias("to")), "node", "left")
+    ranked = rank_lists(links.select("node", "to", F.lit(1).cast("long").alias("place"), "root", "n_in"), ["place"])
+    # A circle of such nodes has no root in it and no way in, so it is not reached.
+    ranked = rewritten(ranked.filter("end IS NOT NULL").join(nodes.select("node", "n_in", "n_out", "root"), "node"), "ranked")
+    head = F.max(F.struct("place", "node", "n_in", "root")).alias("head")
+    paths = ranked.groupBy("end").agg(head).select("end", F.col("head.node").alias("head"), F.col("head.n_in").alias("head_in"), F.col("head.root").alias("head_root"))
+    live = paths.filter("head_root OR head_in > 0")  # a path that nothing leads to goes
+    named = live.select(F.col("end").alias("a"), F.col("head").alias("from"))
+    short = inner.join(named, "a").select(F.col("from").alias("a"), "b").join(live.select(F.col("head").alias("b")), "b", "left_semi").filter("a <> b")
+    short = rewritten(short.select("a", "b").distinct(), "short")
+    whole = live.filter("head_root").select(F.col("head").alias("node")).distinct()
+    before, after = edges.count(), short.count()
+    heads = _contracted(whole, short, shallow) if after <= 0.9 * before else _frontier(whole, short, None)[0]
+    reached = ranked.join(live.join(heads.select(F.col("node").alias("head")), "head", "left_semi").select("end"), "end", "left_semi").select("node")
+    reached = rewritten(reached, "reached")
+    # Ends, and roots that are ends themselves.
+    ends = edges.join(reached.unionByName(roots).distinct().select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
+    return rewritten(seen_before.unionByName(reached).unionByName(ends).distinct(), "seen")
+
+
+def reachable(roots: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> DataFrame:
     """Objects in the closure of roots (kind, sha256), however deep.
 
-    A frontier runs on until it is empty; each round is written, so it survives the loss of
-    executors, and objects seen before are not followed again.
+    A frontier runs for `shallow` rounds, which is all that the usual graph needs. What is left then is
+    contracted: ends are put aside, owners that nothing leads to are dropped, and paths become one node each by
+    pointer jumping, so a chain costs rounds by the logarithm of its length; the smaller graph is treated in the same way, and
+    its answer is spread over the paths and to the ends. Where contraction finds hardly anything to do, the frontier
+    runs to the end. Each round is written, so it survives the loss of executors. Circles are followed once; repeated
+    edges and roots count once.
     """
-    seen = front = rewritten(roots.select(*OBJECT).distinct(), "seen")
-    while front.limit(1).count():
-        step = front.join(edges, (F.col("kind") == F.col("owner_kind")) & (F.col("sha256") == F.col("owner_sha256")))
-        step = step.select(F.col("target_kind").alias("kind"), F.col("target_sha256").alias("sha256")).distinct()
-        front = rewritten(step.join(seen, OBJECT, "left_anti"), "front")
-        seen = seen.unionByName(front)
-    return seen
+    node = lambda k, s: F.struct(F.col(k).alias("kind"), F.col(s).alias("sha256"))
+    pairs = edges.select(node("owner_kind", "owner_sha256").alias("a"), node("target_kind", "target_sha256").alias("b")).filter("a <> b").distinct()
+    found = _contracted(roots.select(node("kind", "sha256").alias("node")).distinct(), rewritten(pairs, "pairs"), shallow)
+    return found.select("node.kind", "node.sha256")
 
 
 def root_set(revisions: DataFrame, ops: DataFrame, now: Column) -> DataFrame:

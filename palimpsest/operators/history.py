@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import rewritten
+from .chains import rank_lists
 
 RETENTION_DAYS = 30
+#: Fixed value: the most revisions that one request may trash.
+MAX_TRUNCATED = 100_000
+#: Namespaces of more revisions are not walked by one task; a filter lists at most LISTED of them.
+TASK_ROWS = 500_000
+LISTED = 1_000
 
 
 def list_revisions(revisions: DataFrame, limit: int) -> DataFrame:
@@ -38,93 +44,150 @@ def _linked(revisions: DataFrame) -> DataFrame:
     return rows.select("id", "namespace_id", "up", (F.col("parent").isNotNull() & F.col("up").isNull()).alias("broken"))
 
 
-def ancestors(revisions: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """id, namespace_id, depth (steps to the end of its chain), root (that end) and whether the end lacks its parent.
-
-    By pointer jumping inside namespaces, in about log2(max_steps) rounds; rows that have reached
-    their end are not written again. A chain longer than max_steps, or a circle, has nulls.
+def _tree(ids: list, parents: list) -> list[tuple]:
+    """depth, root, broken, first and last of the revisions of one namespace; nulls below a circle."""
+    place = {x: i for i, x in enumerate(ids)}
+    up = [-1 if p is None else place.get(p, -1) for p in parents]
+    below: list[list] = [[] for _ in ids]
+    for i, p in enumerate(up):
+        if p >= 0:
+            below[p].append(i)
+    out, count = [(None, None, None, None, None)] * len(ids), 0
+    for top in (i for i, p in enumerate(up) if p < 0):
+        broken, path = parents[top] is not None, [(top, count, iter(below[top]))]
+        count += 1
+        while path:
+            node, first, rest = path[-1]
+            child = next(rest, None)
+            if child is None:
+                path.pop()
+                out[node] = (len(path), ids[top], broken, first, count - 1)
+            else:
+                path.append((child, count, iter(below[child])))
+                count += 1
+    return out
+
+
+def _toured(revisions: DataFrame) -> DataFrame:
+    """labels by an Euler tour that is ranked as a list, for namespaces that no task should hold."""
+    at = lambda id_, up: F.struct(F.col("namespace_id").alias("ns"), id_.alias("id"), F.lit(up).alias("up"))
+    rows = rewritten(_linked(revisions), "linked")
+    sibling = F.lead("id").over(Window.partitionBy("namespace_id", "up").orderBy("id"))
+    eldest = rows.filter("up IS NOT NULL").groupBy(F.col("namespace_id").alias("of"), F.col("up").alias("over")).agg(F.min("id").alias("child"))
+    rows = rows.withColumn("next", F.when(F.col("up").isNotNull(), sibling)).join(eldest, (F.col("namespace_id") == F.col("of")) & (F.col("id") == F.col("over")), "left")
+    down = rows.select(at(F.col("id"), False).alias("node"), F.when(F.col("child").isNotNull(), at(F.col("child"), False)).otherwise(at(F.col("id"), True)).alias("to"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("open"))
+    back = F.when(F.col("next").isNotNull(), at(F.col("next"), False)).when(F.col("up").isNotNull(), at(F.col("up"), True))
+    up = rows.select(at(F.col("id"), True).alias("node"), back.alias("to"), F.lit(1).cast("long").alias("n"), F.lit(-1).cast("long").alias("open"))
+    ranked = rank_lists(down.unionByName(up), ["n", "open"]).filter("end IS NOT NULL")
+    side = lambda up, c: F.max(F.when(F.col("node.up") == up, F.col(c)))
+    found = ranked.groupBy(F.col("node.ns").alias("of"), F.col("node.id").alias("of_id")).agg((-side(False, "open")).alias("depth"), side(False, "end.id").alias("root"), (-side(False, "n")).alias("first"), (-side(True, "n")).alias("last"))
+    ends = rows.filter("up IS NULL").select(F.col("namespace_id").alias("ns"), F.col("id").alias("top"), "broken")
+    rows = rows.select("id", "namespace_id").join(found, (F.col("namespace_id") == F.col("of")) & (F.col("id") == F.col("of_id")), "left")
+    return rows.join(ends, (F.col("namespace_id") == F.col("ns")) & (F.col("root") == F.col("top")), "left").select("id", "namespace_id", "depth", "root", "broken", "first", "last")
+
+
+def labels(revisions: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The forest of revisions with labels: id, namespace_id, depth (steps to the end of its chain), root (that end),
+    broken (the end lacks its parent), first and last.
+
+    Of two revisions of one namespace and root one is above the other exactly if its first and last
+    enclose the other's. Ids are unique inside a namespace. Namespaces of up to task_rows revisions are
+    walked by one task each, all at once; a larger one is turned into an Euler tour whose ranks come from
+    pointer jumping. Revisions in a circle, or above which one stands, have nulls.
     """
-    first = _linked(revisions).select(
-        "id", "namespace_id", F.coalesce("up", "id").alias("to"), F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").isNull().alias("done"), "broken"
-    )
-    at = rewritten(first, "jump")
-    done, moving = at.filter("done"), at.filter("NOT done")
-    for _ in range(max_steps.bit_length()):
-        if not moving.limit(1).count():
-            break
-        ahead = done.unionByName(moving).select(F.col("namespace_id").alias("of"), F.col("id").alias("mid"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"), F.col("broken").alias("cut"))
-        step = moving.join(ahead, (F.col("namespace_id") == F.col("of")) & (F.col("to") == F.col("mid")))
-        at = rewritten(step.select("id", "namespace_id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"), F.col("cut").alias("broken")), "jump")
-        done, moving = done.unionByName(at.filter("done")), at.filter("NOT done")
-    known = F.col("done") & (F.col("depth") <= max_steps)
-    return done.unionByName(moving).select("id", "namespace_id", *(F.when(known, F.col(a)).alias(b) for a, b in (("depth", "depth"), ("to", "root"), ("broken", "broken"))))
-
-
-def is_ancestor(pairs: DataFrame, revisions: DataFrame, depths: DataFrame, max_steps: int = 10_000) -> DataFrame:
-    """(ancestor, id) pairs with the flag: the id lifted by the difference of depths is the ancestor.
-
-    Only pairs of one namespace and root are lifted, one join per binary digit against jump
-    tables of that length. An id is its own ancestor.
+    kind = revisions.schema["id"].dataType.simpleString()
+    names = ["id", "namespace_id", "depth", "root", "broken", "first", "last"]
+    schema = f"id {kind}, namespace_id {revisions.schema['namespace_id'].dataType.simpleString()}, depth long, root {kind}, broken boolean, first long, last long"
+
+    def walk(batches):
+        import pyarrow as pa
+
+        kinds, of, ids, parents = None, None, [], []
+
+        def done():
+            tree = list(zip(*_tree(ids, parents))) or [()] * 5
+            columns = [ids, [of] * len(ids), *tree]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        for batch in batches:
+            kinds = [batch.schema.field("id").type, batch.schema.field("namespace_id").type, pa.int64(), batch.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64()]
+            for ns, id_, parent in zip(*(batch.column(c).to_pylist() for c in ("namespace_id", "id", "parent"))):
+                if ns != of and ids:
+                    yield done()
+                    ids, parents = [], []
+                of = ns
+                ids.append(id_)
+                parents.append(parent)
+        if ids:
+            yield done()
+
+    rows = revisions.select("id", "namespace_id", "parent")
+    large = [r[0] for r in rows.groupBy("namespace_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_rows).select("namespace_id").limit(LISTED + 1).collect()]
+    if len(large) > LISTED:  # more large ones than a filter should list: all by the tour
+        return _toured(rows)
+    inside = F.coalesce(F.col("namespace_id").isin(large), F.lit(False)) if large else F.lit(False)
+    small = rows.filter(~inside).repartition("namespace_id").sortWithinPartitions("namespace_id", "id").mapInArrow(walk, schema)
+    return small.unionByName(_toured(rows.filter(inside))) if large else small
+
+
+def ancestors(revisions: DataFrame, max_steps: int = 10_000, task_rows: int = TASK_ROWS) -> DataFrame:
+    """id, namespace_id, depth, root and broken of labels; a chain longer than max_steps, or a circle, has nulls."""
+    known = F.col("depth") <= max_steps
+    return labels(revisions, task_rows).select("id", "namespace_id", *(F.when(known, F.col(c)).alias(c) for c in ("depth", "root", "broken")))
+
+
+def is_ancestor(pairs: DataFrame, labelled: DataFrame, max_steps: int = 10_000) -> DataFrame:
+    """pairs (namespace_id, ancestor, id) with the flag, by comparing labels; an id is its own ancestor.
+
+    Ids that the namespace does not have, and more than max_steps between the two, are false.
     """
-    d = depths.select("id", "namespace_id", "depth", "root")
-    above = d.select(F.col("id").alias("ancestor"), F.col("namespace_id").alias("of"), F.col("depth").alias("above"), F.col("root").alias("top"))
-    at = pairs.select("ancestor", "id").join(d, "id", "left").join(above, "ancestor", "left")
-    lift = F.col("depth") - F.col("above")
-    possible = (F.col("namespace_id") == F.col("of")) & (F.col("root") == F.col("top")) & lift.between(0, max_steps)
-    at = at.select("ancestor", "id", "namespace_id", F.when(possible, lift).alias("lift"), F.col("id").alias("at"))
-    jump = _linked(revisions).filter("up IS NOT NULL").select(F.col("namespace_id").alias("of"), F.col("id").alias("near"), F.col("up").alias("far"))
-    for bit in range(max_steps.bit_length()):
-        at = at.join(jump, (F.col("namespace_id") == F.col("of")) & (F.col("at") == F.col("near")), "left")
-        go = F.col("lift").isNotNull() & (F.shiftright("lift", bit).bitwiseAND(F.lit(1)) == 1)
-        at = rewritten(at.withColumn("at", F.when(go, F.col("far")).otherwise(F.col("at"))).drop("of", "near", "far"), "lift")
-        if not at.filter(F.shiftright("lift", bit + 1) > 0).limit(1).count():
-            break
-        next_ = jump.select(F.col("of").alias("of2"), F.col("near").alias("mid"), F.col("far").alias("next"))
-        jump = rewritten(jump.join(next_, (F.col("of") == F.col("of2")) & (F.col("far") == F.col("mid"))).select("of", "near", F.col("next").alias("far")), "jump")
-    return at.select("ancestor", "id", F.coalesce(F.col("lift").isNotNull() & (F.col("at") == F.col("ancestor")), F.lit(False)).alias("is_ancestor"))
-
-
-def plan_truncation(revisions: DataFrame, namespaces: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    d = labelled.select(F.col("namespace_id").alias("of"), F.col("id").alias("at"), "depth", "root", "first", "last")
+    above = labelled.select(F.col("namespace_id").alias("of2"), F.col("id").alias("over"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), F.col("first").alias("first2"), F.col("last").alias("last2"))
+    rows = pairs.join(d, (F.col("namespace_id") == F.col("of")) & (F.col("id") == F.col("at")), "left")
+    rows = rows.join(above, (F.col("namespace_id") == F.col("of2")) & (F.col("ancestor") == F.col("over")), "left")
+    inside = (F.col("root") == F.col("root2")) & (F.col("first2") <= F.col("first")) & (F.col("last") <= F.col("last2")) & (F.col("depth") - F.col("depth2") <= max_steps)
+    return rows.select("namespace_id", "ancestor", "id", F.coalesce(inside, F.lit(False)).alias("is_ancestor"))
+
+
+def plan_truncation(revisions: DataFrame, namespaces: DataFrame, wanted: DataFrame, now: Column, labelled: DataFrame | None = None) -> DataFrame:
     """One row per request: what it would do. A null new_head trashes all.
 
     namespaces: namespace_id, head_revision, namespace_epoch; wanted: operation_id, namespace_id,
-    expected_head, expected_epoch, new_head. outcome: head_mismatch, epoch_mismatch, conflict (the
-    new head is the head, or no walk over active revisions leads from the head to it) or planned.
+    expected_head, expected_epoch, new_head. outcome: not_found (no such namespace), head_mismatch, epoch_mismatch, conflict (the
+    new head is the head, no walk over active revisions leads from the head to it, or it is longer than MAX_TRUNCATED) or planned.
+    labelled: labels of the active revisions, where they are kept as a table.
     """
-    active = revisions.filter("state = 'active'")
-    depths = rewritten(ancestors(active), "depths")
-    rows = wanted.join(namespaces.select("namespace_id", "head_revision", "namespace_epoch"), "namespace_id")
-    pairs = rows.filter("new_head IS NOT NULL").select(F.col("new_head").alias("ancestor"), F.col("head_revision").alias("id")).distinct()
-    hit = is_ancestor(pairs, active, depths).select(F.col("ancestor").alias("new_head"), F.col("id").alias("head_revision"), "is_ancestor")
-    d = depths.select("id", "depth", "broken")
-    rows = rows.join(d.select(F.col("id").alias("head_revision"), F.col("depth").alias("head_depth"), "broken"), "head_revision", "left")
-    rows = rows.join(d.select(F.col("id").alias("new_head"), F.col("depth").alias("new_depth")), "new_head", "left").join(hit, ["new_head", "head_revision"], "left")
-    walk = F.when(F.col("new_head").isNull(), F.col("head_depth").isNotNull() & ~F.coalesce("broken", F.lit(True))).otherwise(F.coalesce("is_ancestor", F.lit(False)))
+    d = labels(revisions.filter("state = 'active'")) if labelled is None else labelled
+    known = namespaces.select("namespace_id", "head_revision", "namespace_epoch", F.lit(True).alias("there"))
+    rows = wanted.join(known, "namespace_id", "left")
+    side = lambda p, id_: d.select(F.col("namespace_id").alias(f"{p}_of"), F.col("id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in ("depth", "root", "broken", "first", "last")))
+    for p, id_ in (("head", "head_revision"), ("new", "new_head")):
+        rows = rows.join(side(p, id_), (F.col("namespace_id") == F.col(f"{p}_of")) & (F.col(id_) == F.col(f"{p}_id")), "left")
+    inside = (F.col("head_root") == F.col("new_root")) & (F.col("new_first") <= F.col("head_first")) & (F.col("head_last") <= F.col("new_last"))
+    steps = F.col("head_depth") - F.when(F.col("new_head").isNull(), -1).otherwise(F.col("new_depth"))
+    walk = F.when(F.col("new_head").isNull(), ~F.col("head_broken")).otherwise(inside) & (steps <= MAX_TRUNCATED)
     outcome = (
-        F.when(~F.col("head_revision").eqNullSafe(F.col("expected_head")), "head_mismatch")
+        F.when(F.col("there").isNull(), "not_found")
+        .when(~F.col("head_revision").eqNullSafe(F.col("expected_head")), "head_mismatch")
         .when(F.col("namespace_epoch") != F.col("expected_epoch"), "epoch_mismatch")
-        .when(F.col("head_revision").eqNullSafe(F.col("new_head")) | ~walk, "conflict")
+        .when(F.col("head_revision").eqNullSafe(F.col("new_head")) | ~F.coalesce(walk, F.lit(False)), "conflict")
         .otherwise("planned")
     )
     ok = F.col("outcome") == "planned"
     return rows.withColumn("outcome", outcome).select(
-        "operation_id", "namespace_id", F.col("head_revision").alias("old_head"), "new_head", "outcome",
-        F.when(ok, F.col("head_depth") - F.coalesce("new_depth", F.lit(-1))).alias("revision_count"), F.col("namespace_epoch").alias("epoch_before"),
+        "operation_id", "namespace_id", F.col("head_revision").alias("old_head"), "new_head", "outcome", F.when(ok, steps).alias("revision_count"), F.col("namespace_epoch").alias("epoch_before"),
         (F.col("namespace_epoch") + F.when(ok, 1).otherwise(0)).alias("epoch_after"), F.when(ok, now + F.expr(f"INTERVAL {RETENTION_DAYS} DAYS")).alias("expires_at"),
     )
 
 
-def truncated_revisions(plan: DataFrame, revisions: DataFrame) -> DataFrame:
-    """id, operation_id of the revisions that the planned requests trash: those on the walk from the head, the new head left out."""
-    active = revisions.filter("state = 'active'")
-    depths = rewritten(ancestors(active), "depths")
-    d = depths.select("id", "namespace_id", "depth", "root")
-    wanted = plan.filter("outcome = 'planned'").select("operation_id", "namespace_id", "old_head", "revision_count")
-    heads = wanted.join(d.select(F.col("id").alias("old_head"), F.col("depth").alias("head_depth"), F.col("root").alias("top")), "old_head")
-    inside = (F.col("root") == F.col("top")) & (F.col("depth") <= F.col("head_depth")) & (F.col("depth") > F.col("head_depth") - F.col("revision_count"))
-    near = heads.join(d, "namespace_id").filter(inside)
-    held = is_ancestor(near.select(F.col("id").alias("ancestor"), F.col("old_head").alias("id")).distinct(), active, depths).filter("is_ancestor")
-    return near.join(held.select(F.col("ancestor").alias("id"), F.col("id").alias("old_head")), ["id", "old_head"]).select("id", "operation_id")
+def truncated_revisions(plan: DataFrame, revisions: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """id, namespace_id, operation_id of the revisions that the planned requests trash: those on the walk from the head, the new head left out."""
+    d = labels(revisions.filter("state = 'active'")) if labelled is None else labelled
+    wanted = plan.filter("outcome = 'planned'").select("operation_id", F.col("namespace_id").alias("of"), "old_head", "revision_count")
+    head = d.select(F.col("namespace_id").alias("of2"), F.col("id").alias("old_head2"), *(F.col(c).alias(f"head_{c}") for c in ("depth", "root", "first", "last")))
+    heads = wanted.join(head, (F.col("of") == F.col("of2")) & (F.col("old_head") == F.col("old_head2")))
+    inside = (F.col("root") == F.col("head_root")) & (F.col("first") <= F.col("head_first")) & (F.col("head_last") <= F.col("last")) & (F.col("depth") > F.col("head_depth") - F.col("revision_count"))
+    return d.join(heads, (F.col("namespace_id") == F.col("of")) & inside).select("id", "namespace_id", "operation_id")
 
 
 def trash_rows(plan: DataFrame, now: Column) -> DataFrame:

@@ -38,9 +38,17 @@ def h4_is_ancestor(spark, d):
     """Each revision with ids shortly before it, in its own namespace and in others."""
     r = rewritten(revision_tree(spark, d), "tree")
     w = Window.partitionBy("namespace_id").orderBy("seq")
-    near = r.select(F.coalesce(F.lag("id", 5).over(w), F.col("id")).alias("ancestor"), "id")
-    far = r.select(F.greatest(F.col("id") - F.pmod(F.col("id") * 7, F.lit(150)) - 1, F.lit(0)).alias("ancestor"), "id")
-    return H.is_ancestor(near.union(far), r, H.ancestors(r)).distinct()
+    near = r.select("namespace_id", F.coalesce(F.lag("id", 5).over(w), F.col("id")).alias("ancestor"), "id")
+    far = r.select("namespace_id", F.greatest(F.col("id") - F.pmod(F.col("id") * 7, F.lit(150)) - 1, F.lit(0)).alias("ancestor"), "id")
+    return H.is_ancestor(near.union(far).distinct(), rewritten(H.labels(r), "labels")).drop("namespace_id")
+
+
+def h4_labels(spark, d):
+    """Per namespace the pairs of revisions one of which is above the other, counted by labels alone."""
+    x = rewritten(H.labels(revision_tree(spark, d)), "labels")
+    y = x.select(F.col("namespace_id").alias("of"), F.col("root").alias("top"), F.col("first").alias("f"), F.col("last").alias("l"))
+    inside = (F.col("namespace_id") == F.col("of")) & (F.col("root") == F.col("top")) & (F.col("f") <= F.col("first")) & (F.col("last") <= F.col("l"))
+    return x.join(y, inside).groupBy("namespace_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def _ops(spark, d):
@@ -60,7 +68,9 @@ def _truncation(spark, d):
         (k + 1_000).alias("operation_id"), "namespace_id", F.when(k % 13 == 5, F.col("id")).otherwise(F.col("head_revision")).alias("expected_head"), (F.col("namespace_epoch") + F.when(k % 17 == 6, 1).otherwise(0)).alias("expected_epoch"),
         F.when(k % 7 == 1, F.col("head_revision")).when(k % 7 == 2, F.col("id") + 1).when(k % 7 != 3, F.col("id")).alias("new_head"),
     )
-    return r, n, rewritten(H.plan_truncation(r, n, wanted, _now()), "plan")
+    unknown = wanted.filter(k % 5 == 0).withColumn("operation_id", k + 2_000_000).withColumn("namespace_id", -k - 1)  # namespaces that are not there
+    labelled = rewritten(H.labels(r.filter("state = 'active'")), "labels")
+    return r, n, H.plan_truncation(r, n, wanted.unionByName(unknown), _now(), labelled), labelled
 
 
 def h5_plan_truncation(spark, d):
@@ -68,12 +78,12 @@ def h5_plan_truncation(spark, d):
 
 
 def h5_truncated_revisions(spark, d):
-    r, _, plan = _truncation(spark, d)
-    return H.truncated_revisions(plan, r)
+    r, _, plan, labelled = _truncation(spark, d)
+    return H.truncated_revisions(plan, r, labelled).drop("namespace_id")
 
 
 def h5_moved_heads(spark, d):
-    _, n, plan = _truncation(spark, d)
+    _, n, plan, _ = _truncation(spark, d)
     return H.moved_heads(plan, n).select("namespace_id", "head_revision", "namespace_epoch")
 
 
@@ -277,7 +287,7 @@ def h16_recovery_points(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    h7_local_roots, h15_server_summary, h1_list_namespaces, h5_truncated_revisions, h5_moved_heads, h9_gc_enqueue, h9_gc_results, h10_over_cap, h17_snapshot_trash, h1_list_revisions, h2_namespace_heads, h3_revision_stats, h4_ancestors, h4_is_ancestor, h5_plan_truncation, h6_plan_restore, h7_reachable, h7_reachable_frontier, h8_gc_plan,
+    h7_local_roots, h15_server_summary, h1_list_namespaces, h5_truncated_revisions, h5_moved_heads, h9_gc_enqueue, h9_gc_results, h10_over_cap, h17_snapshot_trash, h1_list_revisions, h2_namespace_heads, h3_revision_stats, h4_ancestors, h4_is_ancestor, h4_labels, h5_plan_truncation, h6_plan_restore, h7_reachable, h7_reachable_frontier, h8_gc_plan,
     h8_gc_fingerprint, h9_gc_recheck, h10_missing, h11_build_edges, h12_list_snapshots, h13_deletion_plan, h14_protected_by, h15_storage_summary, h16_recovery_points, h17_list_trash,
     h18_timeline, h19_chain_breaks, h19_replay)}
 
@@ -317,7 +327,8 @@ ORACLE_SQL = {
     "h4_ancestors": f"""{_WALK} SELECT w.id, w.namespace_id, max(steps) AS depth, arg_max(node, steps) AS root, (SELECT parent IS NOT NULL FROM tree t WHERE t.id = arg_max(w.node, w.steps)) AS broken FROM walk w GROUP BY w.id, w.namespace_id""",
     "h4_is_ancestor": f"""{_WALK}, pairs AS (SELECT coalesce(lag(id, 5) OVER (PARTITION BY namespace_id ORDER BY seq), id) AS a, id FROM tree UNION SELECT greatest(id - (id * 7) % 150 - 1, 0), id FROM tree)
         SELECT a AS ancestor, id, EXISTS (SELECT 1 FROM walk w WHERE w.id = p.id AND w.node = p.a) AS is_ancestor FROM pairs p""",
-    "h5_plan_truncation": f"{_TRUNCATION} SELECT operation_id, namespace_id, old_head, new_head, outcome, revision_count, namespace_epoch AS epoch_before, namespace_epoch + CASE WHEN outcome = 'planned' THEN 1 ELSE 0 END AS epoch_after, CASE WHEN outcome = 'planned' THEN {NOW} + INTERVAL 30 DAYS END AS expires_at FROM plan",
+    "h4_labels": f"{_WALK} SELECT namespace_id, count(*) AS pairs FROM walk GROUP BY 1",
+    "h5_plan_truncation": f"{_TRUNCATION} SELECT operation_id, namespace_id, old_head, new_head, outcome, revision_count, namespace_epoch AS epoch_before, namespace_epoch + CASE WHEN outcome = 'planned' THEN 1 ELSE 0 END AS epoch_after, CASE WHEN outcome = 'planned' THEN {NOW} + INTERVAL 30 DAYS END AS expires_at FROM plan UNION ALL SELECT namespace_id + 2000000, -namespace_id - 1, NULL, new_head, 'not_found', NULL, NULL, NULL, NULL FROM w WHERE namespace_id % 5 = 0",
     "h5_truncated_revisions": f"{_TRUNCATION} SELECT node AS id, operation_id FROM plan JOIN live_walk w ON w.id = old_head WHERE outcome = 'planned' AND steps < revision_count",
     "h5_moved_heads": f"{_TRUNCATION} SELECT n.namespace_id, CASE WHEN outcome = 'planned' THEN new_head ELSE n.head_revision END AS head_revision, n.namespace_epoch + CASE WHEN outcome = 'planned' THEN 1 ELSE 0 END AS namespace_epoch FROM heads n LEFT JOIN plan p USING (namespace_id)",
     "h6_plan_restore": f"""WITH {_OPS}, h AS (SELECT namespace_id, CASE WHEN namespace_id % 2 = 0 THEN max(id) % 400 END AS head FROM revisions GROUP BY 1),
