@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_id
+from .streamed import verify_contents
 
 
 def chunk(contents: DataFrame, size: int) -> DataFrame:
@@ -45,7 +46,10 @@ def build_manifest(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """The contents again, from chunks whose bytes match their ids; one bad chunk leaves its content null."""
+    """The contents again, from chunks whose bytes match their ids; one bad chunk leaves its content null.
+
+    For contents that fit a row; streamed.stream_parts has no such limit.
+    """
     good = F.bool_and(F.col("sha256") == content_id(F.col("bytes")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("h"))))
     rows = chunks.groupBy(*keys).agg(good.alias("verified"), ordered.alias("parts"))
@@ -82,20 +86,11 @@ def verify_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def verify_whole(chunks: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
-    """Contents whose chunks, put together, do not have the declared id or length, or hold a bad chunk.
+    """Contents of any size whose chunks, put together, do not have the declared id or length, or hold a bad chunk.
 
-    declared: keys.., logical_sha256, byte_length.
+    declared: keys.., logical_sha256, byte_length. The chunks stream by (see streamed.verify_contents).
     """
-    whole = reassemble(chunks, keys).select(*keys, "verified", content_id(F.col("content")).alias("now"), F.octet_length("content").alias("length"))
-    rows = declared.join(whole, keys, "left")
-    rule = (
-        F.when(F.col("verified").isNull() & (F.col("byte_length") > 0), "no_chunks")
-        .when(F.col("verified").isNull(), None)
-        .when(~F.col("verified"), "chunk")
-        .when(F.col("now") != F.col("logical_sha256"), "content_hash")
-        .when(F.col("length") != F.col("byte_length"), "content_length")
-    )
-    return rows.select(*keys, rule.alias("rule")).filter("rule IS NOT NULL")
+    return verify_contents(chunks, declared, keys, "pos", F.col("bytes"), F.col("sha256"))
 
 
 def list_fingerprint(rows: DataFrame, by: list[str], text: Column) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.expr import PROVIDER_TOKEN, WORKSPACE_TOKEN, content_id
+from .streamed import PART_BYTES, stream_digests, stream_parts
 
 MAX_LINE = 16 << 20
 
@@ -165,15 +166,20 @@ def rewrite_provider(lines: DataFrame, provider: str) -> DataFrame:
 
 
 def joined_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Per file its content again: all lines and endings in order. For files that fit a row."""
+    """Per file its content again: all lines and endings in order. For files that fit a row; line_parts has no such limit."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.hex(F.concat("raw", F.encode("ending", "UTF-8"))).alias("h"))))
     data = F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), ""))
     return lines.groupBy(*keys).agg(data.alias("content"))
 
 
+def line_parts(lines: DataFrame, keys: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """joined_lines for files of any size, as parts of part_bytes and a closing row; see streamed.stream_parts."""
+    return stream_parts(lines, keys, "line_no", F.concat("raw", F.encode("ending", "UTF-8")), part_bytes=part_bytes)
+
+
 def content_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Per file its length and content id over all lines and endings in order."""
-    return joined_lines(lines, keys).select(*keys, F.octet_length("content").cast("long").alias("byte_length"), content_id(F.col("content")).alias("content_id"))
+    """Per file of any size its length and content id over all lines and endings in order."""
+    return stream_digests(lines, keys, "line_no", F.concat("raw", F.encode("ending", "UTF-8"))).select(*keys, "byte_length", "content_id")
 
 
 def semantic_row(row: Column, machine_keys: tuple[str, ...] = ("model_provider", "rollout_path", "cwd")) -> Column:

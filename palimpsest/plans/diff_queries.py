@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import chunks as C
 from ..operators import diffmerge as D
+from ..operators import streamed as X
+from ..sources.scratch import shared_dir
 from .bindings import CHUNKS_SQL, LISTED_SQL, SETS_SQL, chunk_rows, table, thread_set, threads
 
 
@@ -164,6 +168,17 @@ def n13_reassemble(spark, d):
     return C.reassemble(chunk_rows(spark, d), ["id"]).select("id", "verified", E.content_id(F.col("content")).alias("content_id"))
 
 
+def n13_parts(spark, d):
+    """Chunks of every document written as parts of 700 bytes and read back; every 41st has a broken chunk."""
+    rows = chunk_rows(spark, d)
+    rows = rows.withColumn("bytes", F.when((F.col("id") % 41 == 0) & (F.col("pos") == 0), F.encode(F.lit("?"), "UTF-8")).otherwise(F.col("bytes")))
+    path = f"{shared_dir(spark)}/contents-{uuid.uuid4().hex}"
+    verdict = X.publish_contents(rows, ["id"], "pos", F.col("bytes"), F.col("sha256"), path, 700)
+    parts = X.read_contents(spark, path, ["id"])
+    again = X.stream_digests(parts, ["id"], "part", F.col("bytes")).select("id", F.col("content_id").alias("again"), F.col("pieces").alias("parts"))
+    return verdict.join(again, "id", "left").select("id", "sound", "byte_length", F.when(F.col("sound"), F.col("content_id")).alias("content_id"), F.col("again").eqNullSafe(F.col("content_id")).alias("same"), "parts")
+
+
 def n14_dedup_stats(spark, d):
     return C.dedup_stats(chunk_rows(spark, d), ["snapshot_id"])
 
@@ -196,7 +211,7 @@ def v9_verify_chunks(spark, d):
 QUERIES = {f.__name__: f for f in (
     d3_duplicate_ids, d12_restore_status, d14_active_binding, v9_verify_whole, d1_snapshot_diff, d2_diff_summary, d3_merge3, d4_conflict_ids, d5_resolution_problems, d5_resolve, d6_same_state, d7_apply_check, d8_import_plan, d9_align,
     d10_provider_drift, d11_set_provider, d12_sync_status, d13_workspace_clean, d14_latest_tracking, d15_primary_source, n2_content_id, n10_chunk, n11_storage_mode,
-    n12_manifest, n13_reassemble, n14_dedup_stats, n15_revision_id, s6_new_objects, v9_verify_chunks)}
+    n12_manifest, n13_reassemble, n13_parts, n14_dedup_stats, n15_revision_id, s6_new_objects, v9_verify_chunks)}
 
 _DIFF = """
   SELECT coalesce(l.{k}, r.{k}) AS {k}, coalesce(l.home_key, r.home_key) AS home_key,
@@ -228,7 +243,9 @@ ORACLE_SQL = {
     "d14_active_binding": """WITH l AS (SELECT user_id, event_type, arg_max(event_id % 3 = 0, event_id) AS a FROM events GROUP BY 1, 2)
         SELECT user_id AS home_key, count(*) FILTER (a) AS n_active, CASE WHEN count(*) FILTER (a) = 1 THEN max(event_type) FILTER (a) END AS namespace_id FROM l GROUP BY 1""",
     "v9_verify_whole": """SELECT doc_id AS id, CASE WHEN doc_id % 41 = 0 THEN 'chunk' WHEN doc_id % 31 = 0 THEN 'content_hash' ELSE 'content_length' END AS rule FROM documents WHERE text <> '' AND (doc_id % 41 = 0 OR doc_id % 31 = 0 OR doc_id % 37 = 0)
-        UNION ALL SELECT doc_id, 'no_chunks' FROM documents WHERE text = '' AND doc_id % 37 = 0""",
+        UNION ALL SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN 'no_chunks' ELSE 'content_hash' END FROM documents WHERE text = '' AND (doc_id % 37 = 0 OR doc_id % 31 = 0)""",
+    "n13_parts": """WITH t AS (SELECT doc_id AS id, text, octet_length(encode(text)) AS n, doc_id % 41 <> 0 AS sound FROM documents WHERE text <> '')
+        SELECT id, sound, CASE WHEN sound THEN n ELSE n - least(n, 256) + 1 END AS byte_length, CASE WHEN sound THEN 'sha256:' || sha256(text) END AS content_id, sound AS same, CASE WHEN sound THEN (n + 699) // 700 END AS parts FROM t""",
     "d1_snapshot_diff": f"WITH {SETS_SQL} SELECT thread_id, status, title FROM ({_DIFF.format(k='thread_id', a='base', b='local')})",
     "d2_diff_summary": f"""WITH {SETS_SQL} SELECT home_key, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted,
         count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'unchanged') AS unchanged
