@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import content_id
+from ..functions.expr import content_id, is_sha256_id
+from ..sources.scratch import rewritten
+from .chains import SPAN, as_of
+from .history import TASK_ROWS, taken_steps
 
 
 def _side(df: DataFrame, name: str, columns: list[str], keys: list[str]) -> DataFrame:
@@ -249,6 +252,42 @@ def latest_tracking(log: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def compare_and_set(log: DataFrame, task_rows: int = TASK_ROWS, span: int = SPAN) -> DataFrame:
+    """The outcome of every attempt to move a tracking record, in order: home_key, remote_id, namespace_id, seq, outcome, generation, integrated_head, active.
+
+    log: home_key, remote_id, namespace_id, seq (unique in a home), action (set or checkout), expected_generation (null: no
+    record yet), integrated_head (an id or null), activate. An attempt is applied if the record's generation is the
+    expected one, which it raises by one; with activate a checkout also makes its namespace the home's active one. A checkout
+    that finds its own result is already_applied, or not_active if it should have activated another namespace than is
+    active. invalid_head: an id that is none; changed: another generation. generation, integrated_head (of the record) and active
+    (this is the home's namespace) are those after the attempt.
+
+    The attempts that are applied are a path of pointers from generation to generation (see history.taken_steps), so a record with any number of
+    attempts is spread over tasks.
+    """
+    record, home = ["grp"], ["home_key"]
+    key = F.to_json(F.struct("home_key", "remote_id", "namespace_id"), {"ignoreNullFields": "false"})
+    good = F.col("integrated_head").isNull() | is_sha256_id(F.col("integrated_head"))
+    after = F.coalesce("expected_generation", F.lit(0)).cast("long") + 1
+    rows = rewritten(log.select("home_key", "remote_id", "namespace_id", "seq", "action", F.col("expected_generation").cast("long").alias("expected"), "integrated_head", "activate", key.alias("grp"), good.alias("good"), after.alias("after")), "attempts")
+    steps = rows.filter("good").select("grp", "seq", F.col("expected").alias("needs"), F.col("after").alias("gives"))
+    taken = taken_steps(steps, task_rows, span).select("grp", "seq", F.lit(True).alias("taken"))
+    rows = rows.join(taken, ["grp", "seq"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    rows = as_of(rows, record, "seq", F.when(F.col("taken"), F.struct(F.col("after").alias("generation"), F.col("integrated_head").alias("head"))), span=span).withColumnRenamed("__last", "was")
+    activates = F.col("taken") & (F.col("action") == "checkout") & F.coalesce("activate", F.lit(False))
+    rows = as_of(rewritten(rows, "attempts"), home, "seq", F.when(activates, F.col("grp")), True, span).withColumnRenamed("__last", "current")
+    own = F.coalesce(F.col("current") == F.col("grp"), F.lit(False))
+    again = (F.col("action") == "checkout") & (F.col("was.generation") == F.col("after")) & F.col("was.head").eqNullSafe(F.col("integrated_head"))
+    outcome = (
+        F.when(~F.col("good"), "invalid_head")
+        .when(F.coalesce(again, F.lit(False)), F.when(F.coalesce("activate", F.lit(False)) & ~own, "not_active").otherwise("already_applied"))
+        .when(F.col("taken"), "applied")
+        .otherwise("changed")
+    )
+    now = lambda new, old: F.when(F.col("taken"), F.col(new)).otherwise(F.col(old))
+    return rows.select("home_key", "remote_id", "namespace_id", "seq", outcome.alias("outcome"), now("after", "was.generation").alias("generation"), now("integrated_head", "was.head").alias("integrated_head"), own.alias("active"))
+
+
 def active_binding(log: DataFrame) -> DataFrame:
     """Per home its active namespace by the newest generation of each binding, and how many are active: more than one names none.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import rewritten
-from .chains import rank_lists
+from .chains import SPAN, as_of, counted, following, rank_lists
 
 RETENTION_DAYS = 30
 #: Fixed value: the most revisions that one request may trash.
@@ -14,6 +14,8 @@ MAX_TRUNCATED = 100_000
 #: Namespaces of more revisions are not walked by one task; a filter lists at most LISTED of them.
 TASK_ROWS = 500_000
 LISTED = 1_000
+#: How often a path of commits is found again without a request that turned out to be known.
+ROUNDS = 6
 
 
 def list_revisions(revisions: DataFrame, limit: int) -> DataFrame:
@@ -237,15 +239,29 @@ def chain_breaks(revisions: DataFrame) -> DataFrame:
     return revisions.withColumn("before", before).filter(~F.col("parent").eqNullSafe(F.col("before"))).drop("before")
 
 
-def replay_commits(log: DataFrame) -> DataFrame:
-    """The outcome of each ordered commit request of every namespace.
+def taken_steps(steps: DataFrame, task_rows: int = TASK_ROWS, span: int = SPAN) -> DataFrame:
+    """grp, seq of the steps that are taken when each group starts with a null state and a step is taken if the state is what it needs; the state then
+    is what it gives.
 
-    log: namespace_id, seq, request_id, parent, expected_head, expected_epoch, action (commit or
-    bump). wrong_epoch; the head again with the same parent: already_committed; another known id:
-    conflict; head is not the expected one: head_mismatch; parent is not the expected head:
-    conflict; else created, and the head moves. bump raises the epoch. The rule is sequential by
-    nature: a namespace is read by one task, batch by batch, which holds its ids and nothing else.
+    steps: grp, seq (unique in a group), needs, gives (not null). Each step points at the first later one that needs what it gives;
+    pointers only lead forward, so they make a forest, and the steps taken are the path from the first step that
+    needs nothing: those of which that step is below, which labels tell.
     """
+    pointed = rewritten(following(steps, span), "steps")
+    start = pointed.filter("needs IS NULL").groupBy("grp").agg(F.min("seq").alias("start"))
+    forest = pointed.join(start.select("grp"), "grp", "left_semi").select(F.col("seq").alias("id"), F.col("grp").alias("namespace_id"), F.col("next").alias("parent"))
+    d = rewritten(labels(forest, task_rows), "labels")
+    low = d.join(start.select(F.col("grp").alias("of"), "start"), (F.col("namespace_id") == F.col("of")) & (F.col("id") == F.col("start")))
+    low = low.select("of", F.col("root").alias("top"), F.col("first").alias("f"), F.col("last").alias("l"))
+    above = d.join(low, (F.col("namespace_id") == F.col("of")) & (F.col("root") == F.col("top")) & (F.col("first") <= F.col("f")) & (F.col("l") <= F.col("last")))
+    return above.select(F.col("namespace_id").alias("grp"), F.col("id").alias("seq"))
+
+
+_OUTCOMES = "namespace_id long, seq long, request_id long, outcome string, epoch long"
+
+
+def _replayed(log: DataFrame) -> DataFrame:
+    """replay_commits, a namespace after another in each task, row by row."""
 
     def replay(batches):
         import pandas as pd
@@ -277,6 +293,68 @@ def replay_commits(log: DataFrame) -> DataFrame:
                 out.append((result, epoch))
             yield pdf[["namespace_id", "seq", "request_id"]].assign(outcome=[o for o, _ in out], epoch=[e for _, e in out])
 
+    ordered = log.repartition("namespace_id").sortWithinPartitions("namespace_id", "seq")
+    return ordered.mapInPandas(replay, _OUTCOMES)
+
+
+def _scanned(log: DataFrame, task_rows: int, span: int) -> DataFrame:
+    """replay_commits by a parallel scan: the same outcomes, for namespaces that no task should hold."""
+    by = ["namespace_id"]
+    rows = rewritten(counted(log, by, "seq", (F.col("action") == "bump").cast("long"), span).withColumnRenamed("__sum", "epoch"), "log")
+    commits = rows.filter("action IS DISTINCT FROM 'bump' AND expected_epoch = epoch")
+    # Only these can be created; whether they are depends on the head they find and on whether their id is known.
+    able = rewritten(commits.filter(F.col("parent").eqNullSafe(F.col("expected_head"))).select(F.col("namespace_id").alias("grp"), "seq", F.col("expected_head").alias("needs"), F.col("request_id").alias("gives")), "able")
+    outcomes = None
+    for left in range(ROUNDS, -1, -1):
+        taken = taken_steps(able, task_rows, span)
+        made = rewritten(able.join(taken, ["grp", "seq"]).select(F.col("grp").alias("namespace_id"), "seq", F.col("gives").alias("id"), F.col("needs").alias("parent")), "made")
+        at = commits.join(made.select("namespace_id", "seq", F.struct("id", "parent").alias("new")), ["namespace_id", "seq"], "left")
+        at = as_of(at, by, "seq", F.col("new"), span=span)
+        since = made.groupBy("namespace_id", "id").agg(F.min("seq").alias("since")).select(F.col("namespace_id").alias("of"), F.col("id").alias("made_id"), "since")
+        at = at.join(since, (F.col("namespace_id") == F.col("of")) & (F.col("request_id") == F.col("made_id")), "left")
+        outcome = (
+            F.when((F.col("request_id") == F.col("__last.id")) & F.col("parent").eqNullSafe(F.col("__last.parent")), "already_committed")
+            .when(F.col("since") < F.col("seq"), "conflict")
+            .when(~F.col("__last.id").eqNullSafe(F.col("expected_head")), "head_mismatch")
+            .when(~F.col("parent").eqNullSafe(F.col("expected_head")), "conflict")
+            .otherwise("created")
+        )
+        at = rewritten(at.select("namespace_id", "seq", "request_id", outcome.alias("outcome"), "epoch", F.col("new").isNotNull().alias("taken")), "outcomes")
+        # A step that was taken although its id was known: the first of a namespace is wrong for certain, what follows it is open.
+        wrong = at.filter("taken AND outcome <> 'created'").groupBy(F.col("namespace_id").alias("grp")).agg(F.min("seq").alias("seq"))
+        wrong = rewritten(wrong, "wrong")
+        some = bool(wrong.limit(1).count())
+        settled = at.join(wrong.select(F.col("grp").alias("namespace_id")), "namespace_id", "left_anti") if some else at
+        settled = settled.drop("taken")
+        outcomes = settled if outcomes is None else outcomes.unionByName(settled)
+        if not some:
+            break
+        commits = commits.join(wrong.select(F.col("grp").alias("namespace_id")), "namespace_id", "left_semi")
+        if not left:  # ids that come again and again under other parents: these namespaces in order
+            outcomes = outcomes.unionByName(_replayed(log.join(wrong.select(F.col("grp").alias("namespace_id")), "namespace_id", "left_semi")).join(commits.select("namespace_id", "seq"), ["namespace_id", "seq"]).select(*settled.columns))
+            break
+        able = rewritten(able.join(wrong.select("grp"), "grp", "left_semi").join(wrong, ["grp", "seq"], "left_anti"), "able")
+    other = rows.filter("action = 'bump' OR expected_epoch IS DISTINCT FROM epoch")
+    kind = F.when(F.col("action") == "bump", "bumped").otherwise("wrong_epoch")
+    return outcomes.unionByName(other.select("namespace_id", "seq", "request_id", kind.alias("outcome"), "epoch"))
+
+
+def replay_commits(log: DataFrame, task_rows: int = TASK_ROWS, span: int = SPAN) -> DataFrame:
+    """The outcome of each ordered commit request of every namespace.
+
+    log: namespace_id, seq (unique in a namespace), request_id, parent, expected_head, expected_epoch, action (commit or
+    bump). wrong_epoch; the head again with the same parent: already_committed; another known id:
+    conflict; head is not the expected one: head_mismatch; parent is not the expected head:
+    conflict; else created, and the head moves. bump raises the epoch. Namespaces of up to task_rows requests
+    are replayed by a task each; a larger one is spread over many tasks: epochs are a running count, the
+    requests that are created are a path of pointers (see taken_steps), and heads and known ids follow from that path by joins.
+    A request on that path whose id was created before is taken out and the path found again, up to ROUNDS times; then the
+    namespace is replayed in order after all.
+    """
     columns = ["namespace_id", "seq", "request_id", "parent", "expected_head", "expected_epoch", "action"]
-    ordered = log.select(*columns).repartition("namespace_id").sortWithinPartitions("namespace_id", "seq")
-    return ordered.mapInPandas(replay, "namespace_id long, seq long, request_id long, outcome string, epoch long")
+    rows = log.select(*columns)
+    large = rows.groupBy("namespace_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_rows).select("namespace_id")
+    large = rewritten(large, "large")
+    if not large.limit(1).count():
+        return _replayed(rows)
+    return _replayed(rows.join(large, "namespace_id", "left_anti")).unionByName(_scanned(rows.join(large, "namespace_id", "left_semi"), task_rows, span).select("namespace_id", "seq", "request_id", "outcome", "epoch"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -126,6 +127,24 @@ def d13_workspace_clean(spark, d):
     return D.workspace_clean(_moved(spark, d), _owned(spark, d), ["home_key"])
 
 
+def _attempts(spark, d):
+    """Attempts on the records of users (homes), event types (remotes) and halves of them: most expect the generation that is there, others a stale one, an id that is none, or repeat the checkout before them."""
+    k, w = F.col("event_id"), Window.partitionBy("user_id", "event_type", "half").orderBy("event_id")
+    e = table(spark, d, "events").withColumn("half", F.col("event_id") % 2).withColumn("odd", F.pmod(F.floor(k / 2), F.lit(7)))
+    e = e.withColumn("n", F.coalesce(F.sum(F.when(F.col("odd") < 4, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = F.last(F.when(F.col("odd") < 4, k), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    head = F.when(F.col("odd") == 4, "sha256:none").when(F.col("odd") == 5, E.content_id(last.cast("string"))).when((F.col("odd") != 3) | (k % 3 != 0), E.content_id(k.cast("string")))
+    expected = F.when(F.col("odd") == 5, F.when(F.col("n") > 1, F.col("n") - 1)).when(F.col("odd") == 6, F.col("n") + 1).when(F.col("n") > 0, F.col("n"))
+    return e.select(
+        F.col("user_id").alias("home_key"), F.col("event_type").alias("remote_id"), F.col("half").alias("namespace_id"), k.alias("seq"), F.when(F.col("odd") % 2 == 1, "checkout").otherwise("set").alias("action"),
+        expected.cast("long").alias("expected_generation"), head.alias("integrated_head"), (k % 3 != 0).alias("activate"),
+    )
+
+
+def d14_compare_and_set(spark, d):
+    return D.compare_and_set(_attempts(spark, d))
+
+
 def d14_active_binding(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("home_key"), F.lit("r").alias("remote_id"), "event_type", F.col("event_id").alias("generation"), (F.col("event_id") % 3 == 0).alias("active"))
     return D.active_binding(e.withColumnRenamed("event_type", "namespace_id"))
@@ -209,7 +228,7 @@ def v9_verify_chunks(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    d3_duplicate_ids, d12_restore_status, d14_active_binding, v9_verify_whole, d1_snapshot_diff, d2_diff_summary, d3_merge3, d4_conflict_ids, d5_resolution_problems, d5_resolve, d6_same_state, d7_apply_check, d8_import_plan, d9_align,
+    d3_duplicate_ids, d12_restore_status, d14_active_binding, d14_compare_and_set, v9_verify_whole, d1_snapshot_diff, d2_diff_summary, d3_merge3, d4_conflict_ids, d5_resolution_problems, d5_resolve, d6_same_state, d7_apply_check, d8_import_plan, d9_align,
     d10_provider_drift, d11_set_provider, d12_sync_status, d13_workspace_clean, d14_latest_tracking, d15_primary_source, n2_content_id, n10_chunk, n11_storage_mode,
     n12_manifest, n13_reassemble, n13_parts, n14_dedup_stats, n15_revision_id, s6_new_objects, v9_verify_chunks)}
 
@@ -240,6 +259,18 @@ ORACLE_SQL = {
     "d3_duplicate_ids": f"WITH {SETS_SQL} SELECT home_key, thread_id - CASE WHEN thread_id % 50 = 1 THEN 1 ELSE 0 END AS thread_id, count(*) AS n FROM local GROUP BY 1, 2 HAVING count(*) > 1",
     "d12_restore_status": """SELECT c_custkey AS home_key, CASE WHEN c_custkey % 9 = 0 THEN 'epoch_changed' WHEN c_custkey % 4 <> c_nationkey % 4 THEN 'pull_first' WHEN s_suppkey % 3 > 0 THEN 'has_warnings' ELSE 'restorable' END AS restore, count(*) AS n
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""",
+    "d14_compare_and_set": """WITH RECURSIVE e AS (SELECT event_id AS k, user_id AS home, event_type AS remote, event_id % 2 AS ns, event_id // 2 % 7 AS odd FROM events),
+        n AS (SELECT *, coalesce(sum(CASE WHEN odd < 4 THEN 1 ELSE 0 END) OVER w, 0) AS n, last_value(CASE WHEN odd < 4 THEN k END IGNORE NULLS) OVER w AS last, row_number() OVER (PARTITION BY home, remote, ns ORDER BY k) AS rn
+          FROM e WINDOW w AS (PARTITION BY home, remote, ns ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        log AS (SELECT *, CASE WHEN odd = 5 THEN CASE WHEN n > 1 THEN n - 1 END WHEN odd = 6 THEN n + 1 WHEN n > 0 THEN n END AS expected, odd % 2 = 1 AS checkout, k % 3 <> 0 AS activate,
+          CASE WHEN odd = 4 THEN 'sha256:none' WHEN odd = 5 THEN 'sha256:' || sha256(CAST(last AS VARCHAR)) WHEN odd <> 3 OR k % 3 <> 0 THEN 'sha256:' || sha256(CAST(k AS VARCHAR)) END AS head FROM n),
+        s AS (SELECT home, remote, ns, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS generation, CAST(NULL AS VARCHAR) AS head, CAST(NULL AS VARCHAR) AS outcome, false AS activates, false AS wants FROM (SELECT DISTINCT home, remote, ns FROM log)
+          UNION ALL SELECT home, remote, ns, rn, k, CASE WHEN o = 'applied' THEN coalesce(generation, 0) + 1 ELSE generation END, CASE WHEN o = 'applied' THEN new_head ELSE head END, o, o = 'applied' AND checkout AND activate, o = 'already_applied' AND activate
+          FROM (SELECT l.home, l.remote, l.ns, l.rn, l.k, l.checkout, l.activate, l.head AS new_head, s.generation, s.head, CASE WHEN l.head = 'sha256:none' THEN 'invalid_head'
+              WHEN l.checkout AND s.generation = coalesce(l.expected, 0) + 1 AND s.head IS NOT DISTINCT FROM l.head THEN 'already_applied' WHEN s.generation IS DISTINCT FROM l.expected THEN 'changed' ELSE 'applied' END AS o
+            FROM s JOIN log l ON l.home = s.home AND l.remote = s.remote AND l.ns = s.ns AND l.rn = s.rn + 1)),
+        a AS (SELECT *, last_value(CASE WHEN activates THEN remote || ns END IGNORE NULLS) OVER (PARTITION BY home ORDER BY k) AS current FROM s WHERE rn > 0)
+        SELECT home AS home_key, remote AS remote_id, ns AS namespace_id, k AS seq, CASE WHEN wants AND current IS DISTINCT FROM remote || ns THEN 'not_active' ELSE outcome END AS outcome, generation, head AS integrated_head, coalesce(current = remote || ns, false) AS active FROM a""",
     "d14_active_binding": """WITH l AS (SELECT user_id, event_type, arg_max(event_id % 3 = 0, event_id) AS a FROM events GROUP BY 1, 2)
         SELECT user_id AS home_key, count(*) FILTER (a) AS n_active, CASE WHEN count(*) FILTER (a) = 1 THEN max(event_type) FILTER (a) END AS namespace_id FROM l GROUP BY 1""",
     "v9_verify_whole": """SELECT doc_id AS id, CASE WHEN doc_id % 41 = 0 THEN 'chunk' WHEN doc_id % 31 = 0 THEN 'content_hash' ELSE 'content_length' END AS rule FROM documents WHERE text <> '' AND (doc_id % 41 = 0 OR doc_id % 31 = 0 OR doc_id % 37 = 0)

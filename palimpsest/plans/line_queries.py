@@ -210,10 +210,10 @@ def t2_transfer_rate(spark, d):
 
 
 def t3_stream_commits(spark, d):
-    """The commit log as a stream, one file in order, to a table."""
+    """The commit log as a stream to a table; a namespace stands in one file, in order."""
     path = f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}"
     log = commit_log(spark, d)
-    log.repartitionByRange(1, "namespace_id", "seq").sortWithinPartitions("namespace_id", "seq").write.parquet(f"{path}/log")
+    log.repartition("namespace_id").sortWithinPartitions("namespace_id", "seq").write.parquet(f"{path}/log")
     store, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

@@ -109,3 +109,70 @@ def test_long_chain_in_few_rounds(spark, monkeypatch):
     e = spark.range(n - 1).select(F.lit("o").alias("owner_kind"), F.col("id").cast("string").alias("owner_sha256"), F.lit("o").alias("target_kind"), (F.col("id") + 1).cast("string").alias("target_sha256"))
     got = G.reachable(spark.createDataFrame([("o", "0")], "kind string, sha256 string"), e)
     assert got.distinct().count() == got.count() == n and len(written) < 25
+
+
+LOG = "namespace_id long, seq long, request_id long, parent long, expected_head long, expected_epoch long, action string"
+
+
+def plain_replay(rows):
+    out, state = {}, {}
+    for ns, seq, rid, parent, expected, epoch, action in sorted(rows, key=lambda r: r[:2]):
+        head, now, known = state.setdefault(ns, [None, 0, {}])
+        if action == "bump":
+            state[ns][1] += 1
+            out[ns, seq] = ("bumped", now + 1)
+            continue
+        if epoch != now:
+            result = "wrong_epoch"
+        elif rid == head and known[head] == parent:
+            result = "already_committed"
+        elif rid in known:
+            result = "conflict"
+        elif head != expected:
+            result = "head_mismatch"
+        elif parent != expected:
+            result = "conflict"
+        else:
+            result = "created"
+            state[ns][0] = rid
+            known[rid] = parent
+        out[ns, seq] = (result, now)
+    return out
+
+
+def commit_rows(rng, n, ids, reuse):
+    """A log in which heads move on, requests come again, parents and expected heads are stale, and ids come back under other parents."""
+    rows, head, used, epoch = [], None, [], 0
+    for seq in range(n):
+        x = rng.random()
+        if x < 0.03:
+            rows.append((1, seq * 3, 0, None, None, 0, "bump"))
+            epoch += 1
+        elif x < 0.15 and used:
+            rows.append((1, seq * 3, *rng.choice(used), epoch, "commit"))
+        elif x < 0.25:
+            rows.append((1, seq * 3, rng.randrange(ids), rng.choice([None, 3, head]), rng.choice([None, 3, head]), epoch - rng.choice([0, 1]), "commit"))
+        else:
+            rid = rng.choice([u[0] for u in used]) if used and rng.random() < reuse else len(used) + ids
+            used.append((rid, head, head))
+            rows.append((1, seq * 3, rid, head, head, epoch, "commit"))
+            if rng.random() < 0.9:
+                head = rid
+    return rows
+
+
+@pytest.mark.parametrize("seed, reuse, task_rows, span", [(1, 0.0, 20, 16), (2, 0.05, 20, 50), (3, 0.5, 20, 7), (4, 0.02, 0, 1 << 16), (5, 0.0, 10**6, 16)])
+def test_replay_of_large_namespaces(spark, seed, reuse, task_rows, span):
+    rng = random.Random(seed)
+    rows = commit_rows(rng, 250, 40, reuse) + [(2, *r[1:]) for r in commit_rows(rng, 15, 40, reuse)] + [(3, *r[1:]) for r in commit_rows(rng, 90, 10, 0)]
+    got = H.replay_commits(spark.createDataFrame(rows, LOG).repartition(4), task_rows, span).collect()
+    assert {(r.namespace_id, r.seq): (r.outcome, r.epoch) for r in got} == plain_replay(rows) and len(got) == len(rows)
+
+
+def test_one_namespace_spreads_over_tasks(spark):
+    """No sort, window or Python task gets a namespace as a whole."""
+    n = 4_000
+    log = spark.range(n).select(F.lit(1).cast("long").alias("namespace_id"), F.col("id").alias("seq"), F.col("id").alias("request_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.when(F.col("id") > 0, F.col("id") - 1).alias("expected_head"), F.lit(0).cast("long").alias("expected_epoch"), F.lit("commit").alias("action"))
+    got = H.replay_commits(log, 100, 64)
+    assert got.filter("outcome = 'created'").count() == n
+    assert "MapInPandas" not in H._scanned(log, 100, 64)._jdf.queryExecution().toString()
