@@ -11,6 +11,11 @@ WORKSPACE_TOKEN = "__local_workspace__"
 ROLLOUT_ROOTS = ("sessions", "archived_sessions")
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space (of all of Unicode) at both ends."""
+    return F.regexp_replace(text, r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
+
+
 def content_id(data: Column) -> Column:
     """sha256:<hex> of the bytes (UTF-8 of a string)."""
     return F.concat(F.lit("sha256:"), F.sha2(data, 256))
@@ -45,30 +50,47 @@ def safe_relative_path(path: Column) -> Column:
 
 def clean_provider(value: Column, lower: bool = False) -> Column:
     """Trimmed, 1 to 128 of [A-Za-z0-9_.-] and not a reserved token; else null."""
-    name = F.lower(F.trim(value)) if lower else F.trim(value)
+    name = F.lower(trimmed(value)) if lower else trimmed(value)
     return F.when(name.rlike(r"\A[A-Za-z0-9_.\-]{1,128}\z") & ~name.isin(PROVIDER_TOKEN, WORKSPACE_TOKEN), name)
 
 
 def clean_display_name(value: Column) -> Column:
     """Trimmed, 1 to 128 characters without control characters; else null."""
-    name = F.trim(value)
+    name = trimmed(value)
     return F.when((F.char_length(name) >= 1) & (F.char_length(name) <= 128) & ~name.rlike(r"\p{Cntrl}"), name)
 
 
+def _kind(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def json_string(v: Column, path: str) -> Column:
+    """A string; other values are null."""
+    return F.when(_kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+
 def lenient_string(v: Column, path: str) -> Column:
-    text = F.try_variant_get(v, path, "string")
-    return F.when(F.trim(text) != "", text)
+    """A string that is not blank."""
+    text = json_string(v, path)
+    return F.when(trimmed(text) != "", text)
 
 
 def lenient_integer(v: Column, path: str) -> Column:
-    """An integer, or a string of one."""
-    return F.coalesce(F.try_variant_get(v, path, "bigint"), F.try_variant_get(v, path, "string").try_cast("bigint"))
+    """An integer, or a string of one; a number with a fraction is none."""
+    text = json_string(v, path)
+    whole = F.when(_kind(v, path) == "BIGINT", F.try_variant_get(v, path, "bigint"))
+    return F.coalesce(whole, F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint")))
 
 
 def lenient_bool(v: Column, path: str) -> Column:
-    """A boolean, a number (0 is false), or the words true and false."""
-    word = F.lower(F.try_variant_get(v, path, "string"))
-    return F.when(word == "true", True).when(word == "false", False).otherwise(F.try_variant_get(v, path, "bigint") != 0)
+    """A boolean, an integer (0 is false), or the words true and false, written like this."""
+    kind, word = _kind(v, path), json_string(v, path)
+    return (
+        F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+        .when(kind == "BIGINT", F.try_variant_get(v, path, "bigint") != 0)
+        .when(word == "true", True)
+        .when(word == "false", False)
+    )
 
 
 def storage_mode(size: Column, threshold: int) -> Column:
@@ -81,12 +103,12 @@ def effective_time_ms(updated_ms: Column, created_ms: Column, row_updated_ms: Co
 
 
 def clean_description(value: Column) -> Column:
-    return F.substring(F.trim(value), 1, 500)
+    return F.substring(trimmed(value), 1, 500)
 
 
 def clean_tags(tags: Column) -> Column:
     """Trimmed to 64 characters, blanks dropped, distinct, sorted, the first 32."""
-    cut = F.transform(tags, lambda t: F.substring(F.trim(t), 1, 64))
+    cut = F.transform(tags, lambda t: F.substring(trimmed(t), 1, 64))
     return F.slice(F.array_sort(F.array_distinct(F.filter(cut, lambda t: t != ""))), 1, 32)
 
 

@@ -6,6 +6,9 @@ value like any other, and presence is always a flag of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +18,18 @@ from .chains import SPAN, as_of
 from .history import TASK_ROWS, taken_steps
 
 
-def _side(df: DataFrame, name: str, columns: list[str], keys: list[str]) -> DataFrame:
-    return df.select(*keys, F.lit(True).alias(f"in_{name}"), *(F.col(c).alias(f"{name}_{c}") for c in columns))
-
-
 def _outer(sides: dict[str, DataFrame], columns: list[str], keys: list[str]) -> DataFrame:
+    """A full join of the sides; keys that are null on both meet."""
     out = None
     for name, df in sides.items():
-        side = _side(df, name, columns, keys)
-        out = side if out is None else out.join(side, keys, "full")
-    return out.select(*keys, *(F.coalesce(f"in_{n}", F.lit(False)).alias(f"in_{n}") for n in sides), *(f"{n}_{c}" for n in sides for c in columns))
+        side = df.select(*(F.col(k).alias(f"__{name}_{k}") for k in keys), F.lit(True).alias(f"in_{name}"), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+        if out is None:
+            out = side.select(*(F.col(f"__{name}_{k}").alias(f"__{k}") for k in keys), *(c for c in side.columns if not c.startswith("__")))
+            continue
+        same = reduce(and_, (F.col(f"__{k}").eqNullSafe(F.col(f"__{name}_{k}")) for k in keys))
+        both = out.join(side, same, "full")
+        out = both.select(*(F.coalesce(f"__{k}", f"__{name}_{k}").alias(f"__{k}") for k in keys), *(c for c in both.columns if not c.startswith("__")))
+    return out.select(*(F.col(f"__{k}").alias(k) for k in keys), *(F.coalesce(f"in_{n}", F.lit(False)).alias(f"in_{n}") for n in sides), *(f"{n}_{c}" for n in sides for c in columns))
 
 
 def snapshot_diff(left: DataFrame, right: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -143,14 +148,16 @@ def apply_check(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def import_plan(incoming: DataFrame, target: DataFrame) -> DataFrame:
     """skip, conflict, path_taken, path_repeated, index_rows or insert for each incoming thread.
 
-    incoming: thread_id, hash, path, index_rows; target: thread_id, hash, path.
+    incoming: thread_id, hash, path, index_rows; target: thread_id, hash, path. An id that the target lists
+    more than once is skipped only if all its hashes are the incoming one.
     """
     repeated = F.count(F.lit(1)).over(Window.partitionBy("path")) > 1
-    by_id = target.select("thread_id", F.col("hash").alias("target_hash"), F.lit(True).alias("known"))
+    hashes = F.struct("hash")
+    by_id = target.groupBy("thread_id").agg(F.min(hashes)["hash"].alias("target_hash"), (F.min(hashes) != F.max(hashes)).alias("several"), F.lit(True).alias("known"))
     by_path = target.select("path", F.lit(True).alias("taken")).distinct()
     rows = incoming.withColumn("repeated", repeated).join(by_id, "thread_id", "left").join(by_path, "path", "left")
     action = (
-        F.when(F.col("known") & F.col("hash").eqNullSafe(F.col("target_hash")), "skip")
+        F.when(F.col("known") & ~F.col("several") & F.col("hash").eqNullSafe(F.col("target_hash")), "skip")
         .when(F.col("known"), "conflict")
         .when(F.col("taken"), "path_taken")
         .when(F.col("repeated"), "path_repeated")

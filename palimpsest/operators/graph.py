@@ -166,11 +166,14 @@ def revision_stats(refs: DataFrame) -> DataFrame:
 
 
 def list_snapshots(refs: DataFrame, meta: DataFrame) -> DataFrame:
-    """Per snapshot: threads, distinct objects (and its overlay), logical and physical bytes, metadata."""
+    """Per snapshot: threads, distinct objects (and its overlay), logical and physical bytes, metadata; newest first, ids descending at one time.
+
+    meta: snapshot_id, created_at and what else is known of a snapshot.
+    """
     stats = revision_stats(refs.withColumnRenamed("snapshot_id", "revision")).withColumnRenamed("revision", "snapshot_id")
     logical = refs.groupBy("snapshot_id").agg(F.sum("byte_length").alias("logical_bytes"))
     rows = stats.join(logical, "snapshot_id").join(meta, "snapshot_id", "left")
-    return rows.withColumn("object_count", F.col("object_count") + 1).withColumnRenamed("total_bytes", "physical_bytes")
+    return rows.withColumn("object_count", F.col("object_count") + 1).withColumnRenamed("total_bytes", "physical_bytes").orderBy(F.desc("created_at"), F.desc("snapshot_id"))
 
 
 def deletion_plan(refs: DataFrame, pinned: DataFrame, protected: DataFrame) -> DataFrame:

@@ -225,12 +225,17 @@ def list_snapshot_trash(entries: DataFrame, manifests: DataFrame, by: list[str])
 
 
 def version_timeline(local: DataFrame, remote: DataFrame, by: list[str], newest: int = 3) -> DataFrame:
-    """The newest local snapshots and all remote revisions in one schema; the newest remote one is HEAD."""
+    """The newest local snapshots (id, created_at, pinned, tags) and all remote revisions (id, created_at) in one schema, newest first.
+
+    labels: PINNED or SNAPSHOT and the tags of a local one, HEAD for the newest remote one.
+    """
     w = Window.partitionBy(*by).orderBy(F.desc("created_at"), F.desc("id"))
     mine = local.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= newest)
-    mine = mine.select(*by, "id", "created_at", F.lit("local").alias("origin"), F.when(F.col("pinned"), "PINNED").otherwise("SNAPSHOT").alias("label"))
-    theirs = remote.select(*by, "id", "created_at", F.lit("remote").alias("origin"), F.when(F.row_number().over(w) == 1, "HEAD").otherwise("").alias("label"))
-    return mine.unionByName(theirs)
+    kind = F.array(F.when(F.col("pinned"), "PINNED").otherwise("SNAPSHOT"))
+    mine = mine.select(*by, "id", "created_at", F.lit("local").alias("origin"), F.concat(kind, F.coalesce("tags", F.array().cast("array<string>"))).alias("labels"))
+    head = F.when(F.row_number().over(w) == 1, F.array(F.lit("HEAD"))).otherwise(F.array().cast("array<string>"))
+    theirs = remote.select(*by, "id", "created_at", F.lit("remote").alias("origin"), head.alias("labels"))
+    return mine.unionByName(theirs).orderBy(*by, F.desc("created_at"), F.desc("id"))
 
 
 def chain_breaks(revisions: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ Arrow function over whole batches; everything else is native.
 from __future__ import annotations
 
 import json
+import math
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +22,79 @@ from .streamed import PART_BYTES, stream_digests, stream_parts
 MAX_LINE = 16 << 20
 
 
+#: Stands around a number in place of its form while a value is written; no text holds it.
+_MARK = uuid.uuid4().hex
+
+
+class _Number:
+    """A number that Python would write in another form; it is written as a marked text, and marks and quotes taken off."""
+
+    marked = re.compile(f'"{_MARK}([-0-9.e]+){_MARK}"')
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def token(self) -> str:
+        return f"{_MARK}{self.text}{_MARK}"
+
+
 def _dump(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False, default=_Number.token)
+    return _Number.marked.sub(lambda m: m[1], text) if _MARK in text else text
+
+
+def _float(text: str):
+    """The double of a number as JSON writes it shortest: no plus in the exponent, none at all from 1e-5 to 1e16."""
+    value = float(text)
+    if value in (math.inf, -math.inf):
+        raise ValueError("the number is out of range")
+    plain = repr(value)
+    if "e" not in plain:
+        return value
+    digits, exponent = plain.split("e")
+    if int(exponent) == -5:
+        sign, digits = ("-", digits[1:]) if digits[0] == "-" else ("", digits)
+        return _Number(f"{sign}0.0000{digits.replace('.', '')}")
+    return _Number(f"{digits}e{int(exponent)}")
+
+
+def _integer(text: str):
+    """Integers of 64 bits, signed or not; others, and -0, are doubles."""
+    value = int(text)
+    return value if -(1 << 63) <= value < 1 << 64 and text != "-0" else _float(text + ".0")
 
 
 def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+#: Fixed value: objects and arrays inside one another that a JSON value may have.
+DEEPEST = 127
+#: Numbers that need a closer look.
+_SPECIAL = re.compile(r"-0|[0-9]{19}|[0-9][.eE]")
+
+
+def _depth(value) -> int:
+    deepest, todo = 0, [(value, 1)]
+    while todo:
+        v, at = todo.pop()
+        if isinstance(v, (dict, list)):
+            deepest = max(deepest, at)
+            todo.extend((x, at + 1) for x in (v.values() if isinstance(v, dict) else v))
+    return deepest
+
+
 def _strict(text: str | None):
-    """The value of a text that is one JSON value and nothing else; NaN, infinities and halves of surrogate pairs are not."""
+    """The value of a text that is one JSON value and nothing else; NaN, numbers beyond doubles, halves of surrogate pairs and more than DEEPEST levels are not."""
     try:
-        value = json.loads(text, parse_constant=_no_constant)
+        if _SPECIAL.search(text):
+            value = json.loads(text, parse_constant=_no_constant, parse_float=_float, parse_int=_integer)
+        else:
+            value = json.loads(text, parse_constant=_no_constant)
         if "\\u" in text:
             _dump(value).encode()
+        if text.count("[") + text.count("{") > DEEPEST and _depth(value) > DEEPEST:
+            return None, False
         return value, True
     except (TypeError, ValueError, RecursionError):
         return None, False
@@ -182,14 +244,18 @@ def content_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return stream_digests(lines, keys, "line_no", F.concat("raw", F.encode("ending", "UTF-8"))).select(*keys, "byte_length", "content_id")
 
 
-def semantic_row(row: Column, machine_keys: tuple[str, ...] = ("model_provider", "rollout_path", "cwd")) -> Column:
-    """A thread's row (map of strings) without machine keys, nulls, synthesised recency and defaults."""
+#: Keys of a thread's row that tell of a machine; the fourth is the name of the key of its home.
+MACHINE_KEYS = ("model_provider", "rollout_path", "cwd")
+
+
+def semantic_row(row: Column, home_key: str) -> Column:
+    """A thread's row (map of strings) without machine keys (home_key is one of them), nulls, synthesised recency and defaults."""
     updated, updated_ms = F.try_element_at(row, F.lit("updated_at")), F.try_element_at(row, F.lit("updated_at_ms"))
     ms = F.coalesce(updated_ms, (updated.try_cast("bigint") * 1000).cast("string"))
 
     def keep(k, v):
         quiet = (
-            k.isin(*machine_keys)
+            k.isin(*MACHINE_KEYS, home_key)
             | v.isNull()
             | ((k == "recency_at") & ((v == "0") | v.eqNullSafe(updated)))
             | ((k == "recency_at_ms") & ((v == "0") | v.eqNullSafe(ms)))
@@ -200,8 +266,8 @@ def semantic_row(row: Column, machine_keys: tuple[str, ...] = ("model_provider",
     return F.map_filter(row, keep)
 
 
-def semantic_hash(row: Column, *fields: Column) -> Column:
+def semantic_hash(row: Column, home_key: str, *fields: Column) -> Column:
     """Equal for threads that differ only in what semantic_row leaves out."""
-    entries = F.array_sort(F.transform(F.map_entries(semantic_row(row)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    entries = F.array_sort(F.transform(F.map_entries(semantic_row(row, home_key)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     parts = [F.coalesce(f.cast("string"), F.lit("\0")) for f in fields]
     return content_id(F.concat_ws("\n", *parts, F.array_join(entries, "\n")))

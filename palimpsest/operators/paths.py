@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import ancestors, path_key, path_syntax, suggest_name
+from ..functions.expr import ancestors, path_key, path_syntax, suggest_name, trimmed
 from ..sources.scratch import rewritten
 
 
@@ -57,7 +57,7 @@ def with_reference_paths(threads: DataFrame, reference: DataFrame) -> DataFrame:
 def path_usage(threads: DataFrame, index: DataFrame, by: list[str]) -> DataFrame:
     """Active and archived threads per path, in its first spelling; index rows without a file count too."""
     both = threads.unionByName(index.join(threads.select("thread_id"), "thread_id", "left_anti"))
-    rows = both.filter(F.trim("path") != "").withColumn("key", path_key(F.col("path")))
+    rows = both.filter(trimmed(F.col("path")) != "").withColumn("key", path_key(F.col("path")))
     return rows.groupBy(*by, "key").agg(F.min_by("path", F.col("thread_id")).alias("path"), F.count_if(~F.col("archived")).alias("active"), F.count_if("archived").alias("archived"))
 
 

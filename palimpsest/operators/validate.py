@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clean_provider, is_rfc3339, is_sha256_id
+from ..functions.expr import clean_provider, is_rfc3339, is_sha256_id, json_string, lenient_string, trimmed
 from .normalize import is_json
 
 MIB = 1 << 20
@@ -30,18 +30,16 @@ def classify_headers(files: DataFrame) -> DataFrame:
     files: path, archived, byte_length, header (binary, the first line). Whether a header is JSON
     is asked of a strict parser, which takes one value and nothing behind it.
     """
-    blank = lambda c: F.when(F.trim(c) != "", c)
     text = F.regexp_replace(F.decode("header", "UTF-8"), "^\ufeff", "")
     rows = files.withColumn("valid_text", F.is_valid_utf8(F.col("header").cast("string"))).withColumn("text", F.when(F.col("valid_text"), text))
     v = F.when(is_json(F.col("text")), F.try_parse_json("text"))
-    rows = rows.withColumn("type", F.try_variant_get(v, "$.type", "string")).withColumn("ok", v.isNotNull())
-    get = lambda name: blank(F.try_variant_get(v, f"$.payload.{name}", "string"))
-    rows = rows.withColumn("thread_id", get("id")).withColumn("cwd", get("cwd")).withColumn("model_provider", get("model_provider"))
+    rows = rows.withColumn("type", json_string(v, "$.type")).withColumn("ok", v.isNotNull())
+    rows = rows.withColumns({c: lenient_string(v, f"$.payload.{name}") for c, name in (("thread_id", "id"), ("cwd", "cwd"), ("model_provider", "model_provider"))})
     kind = (
         F.when(F.col("byte_length") == 0, "empty_rollout")
         .when(F.octet_length("header") > HEADER_BYTES, "invalid_json")
         .when(~F.col("valid_text"), "invalid_utf8")
-        .when(F.trim("text") == "", "empty_rollout")
+        .when(trimmed(F.col("text")) == "", "empty_rollout")
         .when(~F.col("ok"), "invalid_json")
         .when(~F.col("type").eqNullSafe(F.lit("session_meta")), "missing_session_meta")
         .when(F.col("thread_id").isNull(), "missing_thread_id")
@@ -60,7 +58,7 @@ def enrich_with_index(rollouts: DataFrame, index: DataFrame) -> DataFrame:
     """Index values where there are any, else the file's; the title falls back to the id, and the index' times are taken over."""
     i = index.select("thread_id", *(F.col(c).alias(f"i_{c}") for c in ("title", "archived", "cwd", "model_provider")), *(c for c in TIMES if c in index.columns))
     rows = rollouts.join(i, "thread_id", "left")
-    title = F.coalesce(F.when(F.trim("i_title") != "", F.trim("i_title")), F.col("thread_id").cast("string"))
+    title = F.coalesce(F.when(trimmed(F.col("i_title")) != "", trimmed(F.col("i_title"))), F.col("thread_id").cast("string"))
     pick = lambda c: F.coalesce(f"i_{c}", c).alias(c)
     return rows.select("thread_id", "path", "byte_length", title.alias("title"), pick("archived"), pick("cwd"), pick("model_provider"), *(c for c in TIMES if c in index.columns))
 
@@ -81,7 +79,7 @@ def check_thread_refs(refs: DataFrame) -> DataFrame:
     """blank ids, malformed hashes and ids that a root lists twice. refs: root, thread_id, hash."""
     n = F.count(F.lit(1)).over(Window.partitionBy("root", "thread_id"))
     rows = refs.withColumn("n", n)
-    return violations(rows, ["root", "thread_id"], {"blank_id": F.trim("thread_id") == "", "bad_hash": ~is_sha256_id(F.col("hash")), "duplicate": F.col("n") > 1})
+    return violations(rows, ["root", "thread_id"], {"blank_id": trimmed(F.col("thread_id").cast("string")) == "", "bad_hash": ~is_sha256_id(F.col("hash")), "duplicate": F.col("n") > 1})
 
 
 def check_chunk_manifests(manifests: DataFrame, version: int = 4, max_chunk: int = 4 * MIB, max_chunks: int = 16_384) -> DataFrame:
@@ -120,7 +118,7 @@ def check_revisions(revisions: DataFrame) -> DataFrame:
             "namespace": ~F.coalesce(F.col("namespace_id").rlike(UUID7), F.lit(False)),
             "parent": F.col("parent_revision").isNotNull() & ~is_sha256_id(F.col("parent_revision")),
             "created_at": ~is_rfc3339(F.col("created_at")),
-            "blank_thread": F.exists(ids, lambda x: F.trim(x) == ""),
+            "blank_thread": F.exists(ids, lambda x: trimmed(x) == ""),
             "repeated_thread": F.size(F.array_distinct(ids)) != F.size(ids),
         },
     )
@@ -133,9 +131,9 @@ def check_revision_threads(threads: DataFrame) -> DataFrame:
         ["revision", "thread_id"],
         {
             "thread_version": F.col("schema_version") != 4,
-            "blank_thread": F.trim("thread_id") == "",
+            "blank_thread": trimmed(F.col("thread_id").cast("string")) == "",
             "object_hash": ~is_sha256_id(F.col("sha256")),
-            "media_type": F.trim("media_type") == "",
+            "media_type": trimmed(F.col("media_type").cast("string")) == "",
         },
     )
 
@@ -147,8 +145,8 @@ def check_descriptors(d: DataFrame) -> DataFrame:
         ["id"],
         {
             "version": (F.col("schema_version") != 4) | (F.col("normalization_version") != 1),
-            "blank_id": F.trim("thread_id") == "",
-            "media_type": F.trim("media_type") == "",
+            "blank_id": trimmed(F.col("thread_id").cast("string")) == "",
+            "media_type": trimmed(F.col("media_type").cast("string")) == "",
             "hash": ~is_sha256_id(F.col("logical_sha256")),
             "byte_length": (F.col("byte_length") < 0) | (F.col("byte_length") > MAX_BYTES["whole"]),
             "storage_kind": ~F.col("storage_kind").isin("whole", "chunked"),
@@ -204,8 +202,8 @@ def _not_uuid7(c: str) -> Column:
 
 def _bad_text(c: str, most: int) -> Column:
     """Blank, longer than `most` characters or with control characters; null is bad."""
-    text = F.trim(c)
-    return F.coalesce((F.char_length(text) < 1) | (F.char_length(text) > most) | F.col(c).rlike(r"\p{Cntrl}"), F.lit(True))
+    text = trimmed(F.col(c))
+    return F.coalesce((F.char_length(text) < 1) | (F.char_length(text) > most) | F.col(c).rlike(r"\p{Cc}"), F.lit(True))
 
 
 def check_path_rules(rules: DataFrame) -> DataFrame:

@@ -102,8 +102,12 @@ def h17_snapshot_trash(spark, d):
 
 
 def h18_timeline(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("home"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "event_type", (F.col("event_id") % 4 == 0).alias("pinned"))
-    return H.version_timeline(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), ["home"]).drop("created_at")
+    """Purchases and errors are remote revisions, all else local snapshots; some have tags."""
+    k = F.col("event_id")
+    tags = F.when(k % 3 == 0, F.array(F.lit("a"), F.concat(F.lit("t"), k % 5))).when(k % 3 == 1, F.array().cast("array<string>"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("home"), k.alias("id"), F.col("ts").alias("created_at"), "event_type", (k % 4 == 0).alias("pinned"), tags.alias("tags"))
+    remote = F.col("event_type").isin("purchase", "error")
+    return H.version_timeline(e.filter(~remote), e.filter(remote), ["home"]).withColumn("labels", F.array_join("labels", ",")).drop("created_at")
 
 
 def h19_chain_breaks(spark, d):
@@ -233,7 +237,7 @@ def h3_revision_stats(spark, d):
 
 
 def h12_list_snapshots(spark, d):
-    meta = table(spark, d, "documents").groupBy(F.col("source").alias("snapshot_id")).agg((F.min("doc_id") % 2 == 0).alias("pinned"))
+    meta = table(spark, d, "documents").groupBy(F.col("source").alias("snapshot_id")).agg((F.min("doc_id") % 2 == 0).alias("pinned"), F.timestamp_seconds(F.max("doc_id") * 3600).cast("timestamp_ntz").alias("created_at"))
     return G.list_snapshots(_refs(spark, d), meta)
 
 
@@ -350,7 +354,7 @@ ORACLE_SQL = {
     "h11_build_edges": f"""WITH {_GRAPH}, sized AS (SELECT docs.*, octet_length(encode(text)) < 256 AS small FROM docs JOIN documents USING (doc_id))
         SELECT 'revision_root' AS owner_kind, source AS owner_sha256, 'thread' AS target_kind, thread AS target_sha256 FROM docs UNION SELECT 'thread', thread, CASE WHEN small THEN 'whole' ELSE 'chunk_manifest' END, content FROM sized
         UNION SELECT 'chunk_manifest', content, 'chunk', sha256 FROM parts WHERE content IN (SELECT content FROM sized WHERE NOT small)""",
-    "h12_list_snapshots": f"""WITH {CHUNKS_SQL}, o AS (SELECT snapshot_id, sha256, count(*) AS r, any_value(byte_length) AS n FROM chunks GROUP BY 1, 2), m AS (SELECT source AS snapshot_id, min(doc_id) % 2 = 0 AS pinned FROM documents GROUP BY 1),
+    "h12_list_snapshots": f"""WITH {CHUNKS_SQL}, o AS (SELECT snapshot_id, sha256, count(*) AS r, any_value(byte_length) AS n FROM chunks GROUP BY 1, 2), m AS (SELECT source AS snapshot_id, min(doc_id) % 2 = 0 AS pinned, make_timestamp(max(doc_id) * 3600000000) AS created_at FROM documents GROUP BY 1),
         s AS (SELECT snapshot_id, count(*) + 1 AS object_count, CAST(sum(n) AS BIGINT) AS physical_bytes, CAST(sum(n * r) AS BIGINT) AS logical_bytes FROM o GROUP BY 1), t AS (SELECT snapshot_id, count(DISTINCT id) AS thread_count FROM chunks GROUP BY 1)
         SELECT * FROM s JOIN t USING (snapshot_id) JOIN m USING (snapshot_id)""",
     "h13_deletion_plan": f"""WITH {CHUNKS_SQL}, p AS (SELECT DISTINCT snapshot_id, sha256, byte_length FROM chunks), o AS (SELECT *, count(*) OVER (PARTITION BY sha256) = 1 AS own FROM p),
@@ -378,9 +382,9 @@ ORACLE_SQL = {
         SELECT * EXCLUDE (user_id), row_number() OVER (PARTITION BY user_id ORDER BY attention DESC, updated_at DESC, operation_id DESC) AS place FROM r WHERE kind IS NOT NULL""",
     "h17_list_trash": f"WITH {_OPS} SELECT id, namespace_id, row_number() OVER (PARTITION BY namespace_id ORDER BY created_at DESC, id DESC) AS place FROM ops",
     "h17_snapshot_trash": "SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type <> 'view'",
-    "h18_timeline": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-        SELECT user_id AS home, event_id AS id, 'local' AS origin, CASE WHEN event_id % 4 = 0 THEN 'PINNED' ELSE 'SNAPSHOT' END AS label FROM e WHERE event_type = 'view' AND rn <= 3
-        UNION ALL SELECT user_id, event_id, 'remote', CASE WHEN rn = 1 THEN 'HEAD' ELSE '' END FROM e WHERE event_type = 'purchase'""",
+    "h18_timeline": """WITH e AS (SELECT *, event_id AS k, event_type IN ('purchase', 'error') AS remote, row_number() OVER (PARTITION BY user_id, event_type IN ('purchase', 'error') ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+        SELECT user_id AS home, k AS id, 'local' AS origin, CASE WHEN k % 4 = 0 THEN 'PINNED' ELSE 'SNAPSHOT' END || CASE WHEN k % 3 = 0 THEN ',a,t' || CAST(k % 5 AS VARCHAR) ELSE '' END AS labels FROM e WHERE NOT remote AND rn <= 3
+        UNION ALL SELECT user_id, k, 'remote', CASE WHEN rn = 1 THEN 'HEAD' ELSE '' END FROM e WHERE remote""",
     "h19_replay": f"""WITH RECURSIVE {REVISIONS_SQL},
         base AS (SELECT namespace_id AS ns, seq * 2 AS seq, id, parent, CASE WHEN id % 31 = 0 THEN parent - 1 ELSE parent END AS expected, CASE WHEN id % 53 = 0 THEN 9 ELSE 0 END AS e FROM revisions),
         log AS (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY seq) AS rn FROM (SELECT * FROM base UNION ALL SELECT ns, seq + 1, id, parent, expected, e FROM base WHERE id % 9 = 0)),

@@ -35,6 +35,19 @@ def _lines(spark, d):
     return S.split_lines(contents(spark, d))
 
 
+def s1_rollout_files(spark, d):
+    """Conversations written as files, 40 of them, some archived, and found again with their sizes and places."""
+    c = table(spark, d, "conversations").withColumn("bucket", F.col("conv_id") % 40)
+    root = f"{shared_dir(spark)}/home-{uuid.uuid4().hex}"
+    for archived, place in ((True, "archived_sessions"), (False, "sessions")):
+        rows = c.filter((F.col("bucket") % 3 == 0) == archived)
+        rows.repartition("bucket").select("bucket", "text").write.partitionBy("bucket").text(f"{root}/{place}")
+    files = S.read_rollout_files(spark, root, glob="part-*")
+    found = files.groupBy(F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), "archived").agg(F.sum("byte_length").alias("byte_length"))
+    turns = c.groupBy("bucket").agg(F.count(F.lit(1)).alias("turns"))
+    return found.join(turns, "bucket")
+
+
 def s2_split_lines(spark, d):
     """Lines and endings per file, and whether they make up all of its bytes."""
     c = contents(spark, d)
@@ -131,10 +144,29 @@ def n9_semantic_hash(spark, d):
         .when(form == 3, F.map_concat(base, pairs("recency_at", (name * 10 + 2).cast("string"))))
         .otherwise(base)
     )
-    hashed = o.select(name.alias("name"), form.alias("form"), N.semantic_hash(row, F.col("o_orderstatus")).alias("h"), F.col("o_orderstatus").alias("status"))
+    hashed = o.select(name.alias("name"), form.alias("form"), N.semantic_hash(row, "home_dir", F.col("o_orderstatus")).alias("h"), F.col("o_orderstatus").alias("status"))
     return hashed.groupBy("name").agg(F.count_distinct("h").alias("hashes"), F.count_distinct(F.when(F.col("form") != 3, F.col("h"))).alias("plain"), F.count_distinct(F.when(F.col("form") == 3, F.col("h"))).alias("recent"))
 
 
+def n8_semantic_row(spark, d):
+    """Rows without the four keys that tell of a machine, nulls and defaults."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    text = lambda v: F.when(v.isNotNull(), v.cast("string"))
+    row = F.create_map(*(x for name, v in (
+        ("id", k), ("home_dir", k % 7), ("cwd", k % 5), ("rollout_path", k % 3), ("model_provider", k % 2), ("title", F.when(k % 4 > 0, F.col("o_orderstatus"))), ("updated_at", k), ("recency_at", F.when(k % 3 == 0, k).when(k % 3 == 1, 0).otherwise(k + 1)),
+        ("history_mode", F.when(k % 2 == 0, "legacy").otherwise("new"))) for x in (F.lit(name), text(v))))
+    entries = F.transform(F.array_sort(F.map_entries(N.semantic_row(row, "home_dir"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return o.select("o_orderkey", F.array_join(entries, ",").alias("row"))
+
+
+def n1_numbers(spark, d):
+    """Numbers in the form that JSON writes shortest; those beyond a double make a text no JSON."""
+    k = F.col("o_orderkey")
+    n = F.when(k % 9 == 0, F.concat(k, F.lit("e400"))).when(k % 9 == 1, F.concat(k, F.lit("e0"))).when(k % 9 == 2, F.concat(k % 9, F.lit("E-5"))).when(k % 9 == 3, F.concat(k % 9, F.lit("0e-8"))).when(k % 9 == 4, F.concat(k % 9, F.lit("e+20"))).when(k % 9 == 5, F.lit("-0")).when(k % 9 == 6, F.concat(k % 9, F.lit("0000000000000000000000"))).when(k % 9 == 7, F.lit("18446744073709551615")).otherwise(F.concat(k, F.lit(".250")))
+    return table(spark, d, "orders").select("o_orderkey", N.canonical_json_strict(F.concat(F.lit('{"n": ['), n, F.lit(', "1e5"]}'))).alias("canonical"))
+
+
 def n16_effective_time(spark, d):
     k = F.col("o_orderkey")
     t = E.effective_time_ms(F.when(k % 5 == 0, k), F.when(k % 5 == 1, k + 1), F.when(k % 5 == 2, k + 2), F.when(k % 5 == 3, k + 3), F.lit(None).cast("long"), k)
@@ -143,9 +175,10 @@ def n16_effective_time(spark, d):
 
 def s3_thread_index(spark, d):
     o = table(spark, d, "orders")
-    one = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("first").alias("title"))
-    two = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("second").alias("title"), "o_orderstatus")
-    rows, _ = S.read_thread_index({"a": one, "none": o.select("o_custkey"), "b": two})
+    key = F.col("o_orderkey").cast("string").alias("id")
+    one = o.filter("o_orderkey % 2 = 0").select(key, F.lit("first").alias("title"))
+    two = o.select(key, F.lit("second").alias("title"), "o_orderstatus")
+    rows, _ = S.read_thread_index({"a": one, "none": o.select("o_custkey"), "number": o.select(F.col("o_orderkey").alias("id"), F.lit("third").alias("title")), "b": two})
     return rows.groupBy("source", "title", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -245,12 +278,12 @@ def v20_complete(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash,
+    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash, n8_semantic_row, n1_numbers, s1_rollout_files,
     n16_effective_time, t2_transfer_rate, v12_descriptors, v20_complete)}
 
 ORACLE_SQL = {
     "s3_thread_index": """SELECT 'a' AS source, 'first' AS title, CAST(NULL AS VARCHAR) AS o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0
-        UNION ALL SELECT 'b', 'second', o_orderstatus, count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 GROUP BY o_orderstatus""",
+        UNION ALL SELECT 'b', 'second', o_orderstatus, count(*) FROM orders WHERE o_orderkey % 2 <> 0 GROUP BY o_orderstatus""",
     "s2_split_lines": "SELECT 't' || conv_id AS thread_id, count(*) + 1 AS lines, count(*) - 1 AS crlf, CAST(1 AS BIGINT) AS lf, true AS whole FROM conversations GROUP BY conv_id",
     "s4_rows_to_json": """SELECT c_custkey, '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_name":"' || c_name || '","raw":{"$type":"blob","base64":"' || base64(encode(c_name)) || '"},"r":' || CASE WHEN c_nationkey > 9 THEN CAST(c_nationkey AS VARCHAR) ELSE 'null' END || '}' AS "row" FROM customer""",
     "s5_collect_related": """WITH r AS (SELECT n_nationkey AS thread_id, 'nation' AS table_name, '{"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS row FROM nation
@@ -282,6 +315,9 @@ ORACLE_SQL = {
     "n7_contains_key": "SELECT event_type, count(*) FILTER (event_id % 4 = 0) AS n FROM events GROUP BY 1",
     "n9_semantic_hash": """WITH o AS (SELECT o_custkey % 50 AS name, o_orderkey % 4 AS form, o_orderstatus AS st FROM orders)
         SELECT name, count(DISTINCT (st, form = 3)) AS hashes, count(DISTINCT st) FILTER (form <> 3) AS plain, count(DISTINCT st) FILTER (form = 3) AS recent FROM o GROUP BY 1""",
+    "n8_semantic_row": """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 1 THEN 'history_mode=new' END, 'id=' || o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'recency_at=' || (o_orderkey + 1) END, CASE WHEN o_orderkey % 4 > 0 THEN 'title=' || o_orderstatus END, 'updated_at=' || o_orderkey) AS "row" FROM orders""",
+    "n1_numbers": """SELECT o_orderkey, '{"n":[' || CASE o_orderkey % 9 WHEN 0 THEN CASE WHEN o_orderkey = 0 THEN '0.0' END WHEN 1 THEN o_orderkey || '.0' WHEN 2 THEN '0.00002' WHEN 3 THEN '3e-7' WHEN 4 THEN '4e20' WHEN 5 THEN '-0.0' WHEN 6 THEN '6e22' WHEN 7 THEN '18446744073709551615' ELSE o_orderkey || '.25' END || ',"1e5"]}' AS canonical FROM orders""",
+    "s1_rollout_files": """SELECT conv_id % 40 AS bucket, conv_id % 40 % 3 = 0 AS archived, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS byte_length, count(*) AS turns FROM conversations GROUP BY 1, 2""",
     "n16_effective_time": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey + 1 WHEN 2 THEN o_orderkey + 2 WHEN 3 THEN (o_orderkey + 3) * 1000 ELSE o_orderkey * 1000 END AS time_ms FROM orders",
     "v11_threads": """SELECT o_custkey AS revision, CASE WHEN o_orderkey % 103 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS thread_id, unnest(list_filter([CASE WHEN o_orderkey % 101 = 0 THEN 'thread_version' END, CASE WHEN o_orderkey % 103 = 0 THEN 'blank_thread' END,
         CASE WHEN o_orderkey % 107 = 0 THEN 'media_type' END, CASE WHEN o_orderkey % 109 = 0 THEN 'object_hash' END], lambda x: x IS NOT NULL)) AS rule FROM orders""",

@@ -145,6 +145,17 @@ def v1_classify_headers(spark, d):
     return V.classify_headers(headers(spark, d)).select("path", "kind", "thread_id", "cwd", "model_provider")
 
 
+def v1_odd_headers(spark, d):
+    """Headers of white space that is not a space, and ids that are no text, blank, or text between white space."""
+    c = table(spark, d, "conversations").filter("turn = 0")
+    k = F.col("conv_id")
+    head = lambda id_: F.concat(F.lit('{"type":"session_meta","payload":{"id":'), id_, F.lit("}}"))
+    text = F.when(k % 7 == 0, "\t").when(k % 7 == 1, "\u3000\u00a0").when(k % 7 == 2, head(k.cast("string"))).when(k % 7 == 3, head(F.lit('"\\t"'))).when(k % 7 == 4, head(F.lit("true"))).when(k % 7 == 5, '{"type":7,"payload":{"id":"x"}}').otherwise(head(F.concat(F.lit('" t'), k, F.lit('"'))))
+    b = F.encode(text, "UTF-8")
+    rows = c.select(k.cast("string").alias("path"), F.lit(False).alias("archived"), F.octet_length(b).cast("long").alias("byte_length"), b.alias("header"))
+    return V.classify_headers(rows).select("path", "kind", "thread_id")
+
+
 def v2_dedupe_threads(spark, d):
     return V.dedupe_threads(V.classify_headers(headers(spark, d)).filter("kind IS NULL")).select("path", "thread_id", "duplicate")
 
@@ -233,6 +244,15 @@ def v19_casts(spark, d):
     return e.groupBy("event_type").agg(F.sum("k").alias("k"), F.count_if("b").alias("b"), F.count("s").alias("s"))
 
 
+def v19_fields(spark, d):
+    """Values of every type, read as strings, integers and booleans."""
+    k = F.col("event_id")
+    kinds = ("5", '"5"', '" "', "true", '"true"', '"True"', "5.5", '"+7"', "null", "0", '"x"', '"5 "')
+    e = table(spark, d, "events").select("event_id", F.parse_json(F.concat(F.lit('{"v": '), F.element_at(F.array(*map(F.lit, kinds)), (k % len(kinds) + 1).cast("int")), F.lit("}"))).alias("j"))
+    v = F.col("j")
+    return e.select("event_id", E.lenient_string(v, "$.v").alias("s"), E.lenient_integer(v, "$.v").alias("i"), E.lenient_bool(v, "$.v").alias("b"))
+
+
 def n1_canonical_json(spark, d):
     text = F.concat(F.lit('{ "z": '), "props", F.lit(', "a": [1, null, {"y": 2, "b": null}] }'))
     return table(spark, d, "events").select("event_id", E.canonical_json(text).alias("canonical"))
@@ -283,7 +303,7 @@ def p17_overrides(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     p17_overrides,     p17_path_rules, p17_namespace_rules, p1_path_key, p2_map_paths, p3_ambiguous_rules, p4_canonical_paths, p5_reference_paths, p6_path_usage, p7_classify_paths, p8_minimal_roots, p9_path_overlap, p10_unique_names, p11_assign_projects,
-    p12_explode_projects, p13_resolve_namespace, p14_dedupe_rules, p15_cleanup, p16_search_paths, v1_classify_headers, v2_dedupe_threads, v3_enrich, v4_warning_counts, v5_dashboard, v6_ids, v7_thread_refs,
+    p12_explode_projects, p13_resolve_namespace, p14_dedupe_rules, p15_cleanup, p16_search_paths, v1_classify_headers, v1_odd_headers, v19_fields, v2_dedupe_threads, v3_enrich, v4_warning_counts, v5_dashboard, v6_ids, v7_thread_refs,
     v8_manifests, v10_lengths, v11_revisions, v13_limits, v14_graph, v15_limits, v16_safe_paths, v17_names, v19_casts, n1_canonical_json, n17_snapshot_meta, n18_format)}
 
 _P = """p AS (SELECT page_id AS thread_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, page_id % 4 = 0 AS archived FROM pages),
@@ -373,6 +393,10 @@ ORACLE_SQL = {
         SELECT revision, 'references' AS rule FROM s WHERE r > 520 UNION ALL SELECT revision, 'manifests' FROM s WHERE m > 49 UNION ALL SELECT revision, 'total' FROM s WHERE r > 600""",
     "v16_safe_paths": "SELECT page_id % 4 = 0 AS archived, count(*) FILTER (page_id % 6 IN (0, 3)) AS safe, count(*) FILTER (page_id % 6 NOT IN (0, 3)) AS unsafe FROM pages GROUP BY 1",
     "v17_names": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '#', '-') END AS provider, CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, '#', '-') ELSE c_name END END AS display_name FROM customer""",
+    "v1_odd_headers": """SELECT CAST(conv_id AS VARCHAR) AS path, CASE conv_id % 7 WHEN 0 THEN 'empty_rollout' WHEN 1 THEN 'empty_rollout' WHEN 2 THEN 'missing_thread_id' WHEN 3 THEN 'missing_thread_id' WHEN 4 THEN 'missing_thread_id' WHEN 5 THEN 'missing_session_meta' END AS kind,
+        CASE WHEN conv_id % 7 = 6 THEN ' t' || conv_id END AS thread_id FROM conversations WHERE turn = 0""",
+    "v19_fields": """SELECT event_id, CASE event_id % 12 WHEN 1 THEN '5' WHEN 4 THEN 'true' WHEN 5 THEN 'True' WHEN 7 THEN '+7' WHEN 10 THEN 'x' WHEN 11 THEN '5 ' END AS s,
+        CAST(CASE event_id % 12 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 7 THEN 7 WHEN 9 THEN 0 END AS BIGINT) AS i, CASE event_id % 12 WHEN 0 THEN true WHEN 3 THEN true WHEN 4 THEN true WHEN 9 THEN false END AS b FROM events""",
     "v19_casts": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) FILTER (CAST(json_extract(props, '$.k') AS BIGINT) <> 0) AS b, CAST(0 AS BIGINT) AS s FROM events GROUP BY 1",
     "n1_canonical_json": """SELECT event_id, '{"a":[1,null,{"b":null,"y":2}],"z":' || replace(props, ' ', '') || '}' AS canonical FROM events""",
     "n17_snapshot_meta": """SELECT doc_id, substr(trim(text), 1, 500) AS description, CASE WHEN lang < source THEN lang || ',' || source ELSE source || ',' || lang END AS tags FROM documents""",

@@ -9,12 +9,12 @@ from pyspark.sql.types import BinaryType, StructType
 from ..functions.expr import content_id
 
 
-def read_rollout_files(spark: SparkSession, root: str, inventory: DataFrame | None = None) -> DataFrame:
-    """path below root, byte_length, mtime, archived of every rollout-*.jsonl.
+def read_rollout_files(spark: SparkSession, root: str, inventory: DataFrame | None = None, glob: str = "rollout-*.jsonl") -> DataFrame:
+    """path below root, byte_length, mtime, archived of every file whose name fits glob.
 
     The file scan leaves out empty files; an inventory (path, byte_length, mtime) adds them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "rollout-*.jsonl").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rows = files.select(F.regexp_extract("path", r"((?:archived_)?sessions/.*)$", 1).alias("path"), F.col("length").alias("byte_length"), F.col("modificationTime").alias("mtime"))
     if inventory is not None:
         rows = rows.unionByName(inventory.filter("byte_length = 0").select("path", "byte_length", "mtime"))
@@ -59,13 +59,17 @@ def split_lines(files: DataFrame) -> DataFrame:
 
 
 def read_thread_index(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The union of index tables, first source first, one row per id; and warnings for sources without ids."""
+    """The union of index tables, first source first, one row per id; and warnings for sources without ids.
+
+    Ids are texts: of a source whose ids are of another type no row is taken, as of rows with a null id.
+    """
     union, warnings = None, []
     for priority, (name, df) in enumerate(sources.items()):
         if "id" not in df.columns:
             warnings.append(name)
             continue
-        one = df.withColumn("id", F.col("id").cast("string")).filter("id IS NOT NULL").withColumn("source", F.lit(name)).withColumn("priority", F.lit(priority))
+        text = df.schema["id"].dataType.typeName() == "string"
+        one = df.filter("id IS NOT NULL" if text else "false").withColumn("id", F.col("id").cast("string")).withColumn("source", F.lit(name)).withColumn("priority", F.lit(priority))
         union = one if union is None else union.unionByName(one, allowMissingColumns=True)
     spark = next(iter(sources.values())).sparkSession
     warned = spark.createDataFrame([("database_schema_unsupported", n) for n in warnings], "kind string, source string")

@@ -35,6 +35,34 @@ def test_merge_branches(spark):
     }
 
 
+def test_null_group_keys_meet(spark):
+    def side(v):
+        return spark.createDataFrame([(None, "a", v, "t"), ("h", "a", v, "t"), ("h", None, v, "t")], "home_key string, thread_id string, hash string, title string")
+
+    merged = D.merge3(side("1"), side("2"), side("3"), ["home_key", "thread_id"])
+    assert [r.conflict_kind for r in merged.collect()] == ["both_modified"] * 3
+    assert {r.status for r in D.snapshot_diff(side("1"), side("1"), ["home_key", "thread_id"]).collect()} == {"unchanged"}
+
+
+def test_import_of_an_id_that_is_listed_twice(spark):
+    incoming = spark.createDataFrame([("a", "1", "p", 1), ("b", "1", "q", 1), ("c", None, "r", 1)], "thread_id string, hash string, path string, index_rows int")
+    target = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "1", "x"), ("b", "1", "z"), ("c", None, "x"), ("c", "1", "x")], "thread_id string, hash string, path string")
+    assert {r.thread_id: r.action for r in D.import_plan(incoming, target).collect()} == {"a": "conflict", "b": "skip", "c": "conflict"}
+
+
+@pytest.mark.parametrize(
+    "text, canonical",
+    [
+        ('{"b":1e400}', None), ("-1e400", None), ("NaN", None), ("-Infinity", None), ("1e-400", "0.0"), ("-0", "-0.0"), ("0.00001", "0.00001"), ("-1.5e-5", "-0.000015"), ("0.000001", "1e-6"), ("12e-7", "1.2e-6"), ("1e16", "1e16"), ("1e15", "1000000000000000.0"),
+        ("1.25E+30", "1.25e30"), ("18446744073709551616", "1.8446744073709552e19"), ("-9223372036854775809", "-9.223372036854776e18"), ("9223372036854775808", "9223372036854775808"), ('["1e5",1e5]', '["1e5",100000.0]'),
+        ("[" * 127 + "]" * 127, "[" * 127 + "]" * 127), ("[" * 128 + "]" * 128, None), ('"' + "[" * 300 + '"', '"' + "[" * 300 + '"'),
+    ],
+)
+def test_canonical_numbers(text, canonical):
+    value, ok = N._strict(text)
+    assert (N._dump(value) if ok else None) == canonical
+
+
 def test_merge_invariants(spark):
     base, other = threads(spark, {"a": "1", "b": "1"}), threads(spark, {"b": "2", "c": "1"})
     for merged in (D.merge3(base, other, base), D.merge3(base, base, other)):
