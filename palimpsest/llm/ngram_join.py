@@ -20,6 +20,12 @@ pairs of class 2, triples of class 3. Similar sets then share a key in both thei
 number of groups belongs to a size level (powers of two); a set is indexed at the level of every
 partner that is not larger, so keys grow in proportion to a set. Tokens of one set make no key.
 
+Reach. Sets that share a token of class 1 meet under it. Those that meet under a pair or a triple only share none of their
+f tokens of class 1, so at most n - f tokens in all, and that bounds the sizes of the partners that can be similar:
+texts of one template with enough words of their own reach no partner of their size. A set has no pairs and triples
+for levels it does not reach. Under a key of many sets the larger set of a pair asks at the sizes (in steps of some
+3 %) that it reaches, and the smaller one stands at its own size, if it reaches any larger one; so near misses do not even meet.
+
 Candidates share a key, have sizes that can reach the similarity, and parity vectors (one bit per
 hash value, flipped by each token) that differ in no more bits than the sets may differ in
 tokens: none of these tests loses a link. What is left is verified on the full sets with integers.
@@ -34,6 +40,7 @@ meet all those of other components; any link not in the first round's components
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +66,9 @@ KEYS_BEFORE = 12
 FIRST_PAIRS = 16
 BROADCAST_ROWS = 1_000_000
 WIDE_BITS = 2_048
+#: Rows of a key above which sets meet by sizes they reach, in steps of a factor of e ** (1 / SIZE_STEPS).
+PLAIN_ROWS = 64
+SIZE_STEPS = 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -324,20 +334,21 @@ def levels_of(n: int, percent: int) -> range:
     return range(max(1, least_overlap(n, percent)).bit_length() - 1, n.bit_length())
 
 
-def index_keys(tokens: np.ndarray, codes: np.ndarray, percent: int, limits: tuple[int, int] = CLASS_LIMITS) -> tuple[np.ndarray, np.ndarray]:
-    """The keys under which a set is indexed, and about how many sets have the tokens of each.
+def index_keys(tokens: np.ndarray, codes: np.ndarray, percent: int, limits: tuple[int, int] = CLASS_LIMITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys under which a set is indexed, about how many sets have the tokens of each, and whether it is a single token.
 
     tokens: sorted hashes; codes: of the number of sets that hold each.
     """
     n = len(tokens)
     must = least_overlap(n, percent)
     if n * 100 < percent * (n + 1):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)  # only an equal set can be that similar
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)  # only an equal set can be that similar
     need = n - must + 1
     order = np.lexsort((tokens, codes))
     tokens, counts = tokens[order], count_of(codes[order])
     kind = 1 + (counts > limits[0]) + (counts > limits[1])
     found, sizes, single = [], [], 0
+    reached = largest_partner(n, n - int((kind == 1).sum()), percent)
     for level in levels_of(n, percent):
         groups = group_count(level, percent)
         if not groups:
@@ -346,6 +357,9 @@ def index_keys(tokens: np.ndarray, codes: np.ndarray, percent: int, limits: tupl
         if kind[min(need, n) - 1] == 1:
             single = max(single, need)
             continue
+        if reached < max(must, 1 << level):
+            single = max(single, int((kind == 1).sum()))
+            continue
         group = np.where(kind == 1, 0, kind * groups + (_mix(tokens ^ _ODD[5]) % np.uint64(groups)).astype(np.int64))
         at = np.argsort(group, kind="stable")
         start = np.append(True, group[at][1:] != group[at][:-1])
@@ -365,11 +379,18 @@ def index_keys(tokens: np.ndarray, codes: np.ndarray, percent: int, limits: tupl
                         key = (key + tokens[chosen[:, i]]) * _ODD[i + 2]
                     found.append(_mix(key))
                     sizes.append(counts[chosen].min(1))
+    combined = sum(map(len, found))
     if single:
         shared = counts[:single] > 1
         found.append(tokens[:single][shared])
         sizes.append(counts[:single][shared])
-    return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return keys, np.concatenate(sizes) if found else np.zeros(0, np.int64), np.arange(len(keys)) >= combined
+
+
+def largest_partner(n: int, most: int, percent: int) -> int:
+    """The size of the largest set that is similar enough to one of n tokens and shares at most `most` of them; under it, none is."""
+    return (100 + percent) * most // percent - n
 
 
 def similarity_ranks(tokens: np.ndarray) -> np.ndarray:
@@ -391,8 +412,8 @@ def parity(tokens: np.ndarray, bits: int = 64 * PARITY_LONGS) -> np.ndarray:
 
 
 _PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
-_INDEX = ["key", "salt", "rank", "n", "id", *_PARITY]
-_KIND = "key long, salt int, rank long, n int, id long, " + ", ".join(f"{p} long" for p in _PARITY)
+_INDEX = ["key", "salt", "rank", "n", "most", "single", "id", *_PARITY]
+_KIND = "key long, salt int, rank long, n int, most int, single boolean, id long, " + ", ".join(f"{p} long" for p in _PARITY)
 
 
 def _index(percent: int, limits: tuple[int, int]):
@@ -410,14 +431,15 @@ def _index(percent: int, limits: tuple[int, int]):
             bounds, found = np.cumsum([0, *sizes]).tolist(), []
             for doc, a, b in zip(ids, bounds, bounds[1:]):
                 own = tokens[a:b]
-                keys, seen = index_keys(own, codes[a:b], percent, limits)
+                keys, seen, single = index_keys(own, codes[a:b], percent, limits)
                 if len(keys):
                     keys, first = np.unique(keys, return_index=True)
-                    seen = seen[first]
+                    seen, single = seen[first], single[first]
+                    most = np.where(single, b - a, b - a - int((count_of(codes[a:b]) <= limits[0]).sum()))
                     ranks = similarity_ranks(own)[(keys % np.uint64(ORDERS)).astype(np.int64)]
                     parts = 1 + seen // SALT_SETS
                     salts = np.where(parts > 1, 1 + ((ranks >> 30) * parts >> 30), 0)
-                    found.append((_signed(keys), salts.astype(np.int32), ranks, np.full(len(keys), b - a, np.int32), np.full(len(keys), doc, np.int64), *np.broadcast_to(parity(own)[:, None], (PARITY_LONGS, len(keys)))))
+                    found.append((_signed(keys), salts.astype(np.int32), ranks, np.full(len(keys), b - a, np.int32), most.astype(np.int32), single, np.full(len(keys), doc, np.int64), *np.broadcast_to(parity(own)[:, None], (PARITY_LONGS, len(keys)))))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], _INDEX)
 
@@ -436,7 +458,9 @@ def _stars(percent: int):
         for p in _PARITY:
             differ += np.bitwise_count(rows[p][i] ^ rows[p][j])
         a, b = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
-        return (i != j) & (np.maximum(a, b) * percent <= np.minimum(a, b) * 100) & (differ * (100 + percent) <= (a + b) * (100 - percent)), differ
+        most = np.minimum(rows["most"][i], rows["most"][j]).astype(np.int64)
+        fits = (np.maximum(a, b) * percent <= np.minimum(a, b) * 100) & (differ * (100 + percent) <= (a + b) * (100 - percent))
+        return (i != j) & fits & ((a + b) * percent <= most * (100 + percent)), differ
 
     def stars(batches):
         import pyarrow as pa
@@ -464,7 +488,7 @@ def _stars(percent: int):
 
         for batch in batches:
             if batch.num_rows:
-                rows = {c: batch.column(c).to_numpy() for c in _INDEX}
+                rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _INDEX}
                 if held is not None:
                     rows = {c: np.concatenate([held[c], rows[c]]) for c in _INDEX}
                 done, joined = compared(rows, False)
@@ -581,21 +605,31 @@ def _met(index: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components under a key that may be similar enough.
 
     Keys of one component are left out. Of a key's components the one with the most rows meets
-    the others' rows, never its own. A pair that shares one of the KEYS_BEFORE keys before this
-    one, in each set's order of the keys that are left, is found under that key and not again here.
+    the others' rows, never its own. A pair that shares one of the KEYS_BEFORE keys of the same kind before this
+    one, in each set's order of the keys that are left, is found under that key and not again here. Under keys of more than
+    PLAIN_ROWS rows sets meet by the sizes they reach.
     """
-    held = index.groupBy("key", "label").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("count", "label")).alias("largest"))
-    mixed = index.join(held.filter("parts > 1").select("key", "largest"), "key")
-    before = Window.partitionBy("id").orderBy("key").rowsBetween(-KEYS_BEFORE, -1)
+    held = index.groupBy("key", "label").count().groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows"), F.max_by("label", F.struct("count", "label")).alias("largest"))
+    mixed = index.join(held.filter("parts > 1").select("key", "rows", "largest"), "key")
+    before = Window.partitionBy("id", "single").orderBy("key").rowsBetween(-KEYS_BEFORE, -1)
     mixed = materialize(mixed.withColumn("before", F.collect_list("key").over(before)), "mixed")
-    x, y = mixed.filter("label <> largest").alias("x"), mixed.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _PARITY), F.lit(0))
-    once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    both = F.col("x.n") + F.col("y.n")
     sized = (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
-    close = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    again = F.arrays_overlap("x.before", "y.before")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & sized & close & ~again)
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    fits = (differ * (100 + percent) <= both * (100 - percent)) & (both * percent <= F.least("x.most", "y.most") * (100 + percent))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & sized & fits & ~F.arrays_overlap("x.before", "y.before")
+    few, many = mixed.filter(F.col("rows") <= PLAIN_ROWS), mixed.filter(F.col("rows") > PLAIN_ROWS)
+    once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    met = [few.filter("label <> largest").alias("x").join(few.alias("y"), apart & once)]
+    step = lambda size: F.floor(F.log(size.cast("double")) * SIZE_STEPS)
+    reached = F.floor((F.col("most") * (100 + percent)) / percent) - F.col("n")
+    least, largest = F.ceil(F.col("n") * percent / 100), F.least("n", reached)
+    asks = many.filter(largest >= least).withColumn("step", F.explode(F.sequence(step(least), step(largest))))
+    stands = many.filter(reached >= F.col("n")).withColumn("step", step(F.col("n")))
+    larger = (F.col("x.step") == F.col("y.step")) & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
+    for one, other in (("label <> largest", "true"), ("label = largest", "label <> largest")):
+        met.append(asks.filter(one).alias("x").join(stands.filter(other).alias("y"), apart & larger))
+    return reduce(DataFrame.union, (m.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")) for m in met)).distinct()
 
 
 def similar_groups(

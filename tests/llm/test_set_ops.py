@@ -86,6 +86,43 @@ def test_similar_groups(spark, words, percent, limits):
     assert {tuple(r) for r in ngram_join.similar_groups(df, words, percent, class_limits=limits).collect()} == plain_groups(rows, words, percent)
 
 
+def template(rng, n, own, shared=300):
+    """n documents of one template, each with words of its own at one place: near misses of each other, but for some that are nearer."""
+    words = [f"t{i}" for i in range(shared)]
+    for i in range(n):
+        mine = [f"p{i // 2}x{j}" if i % 10 < 2 else f"d{i}x{j}" for j in range(own + i % 3)]
+        at = rng.randrange(shared)
+        yield i, " ".join(words[:at] + mine + words[at:])
+
+
+def test_near_misses_of_a_template_do_not_meet(spark, monkeypatch):
+    """Documents that share a template and miss the similarity: the pairs that are made grow with the documents, not with their square."""
+    made, plain = [], ngram_join._met
+    monkeypatch.setattr(ngram_join, "_met", lambda index, percent: made.append(plain(index, percent)) or made[-1])
+    pairs = {}
+    for n in (100, 200, 1600):
+        rows = list(template(random.Random(n), n, 24))
+        got = {tuple(r) for r in ngram_join.similar_groups(spark.createDataFrame(rows, DOCS).repartition(4), 3, 90, class_limits=(4, 16)).collect()}
+        if n <= 200:
+            assert got == plain_groups(rows, 3, 90)
+        assert sum(1 for i, _, c in got if i != c) == n // 10
+        pairs[n] = made[-1].count()
+    assert pairs[200] <= 400 and pairs[1600] <= 8 * max(pairs[200], 100)
+
+
+def test_template_with_links_and_misses(spark):
+    """Own parts of all lengths, so that some pairs just reach the similarity and others just miss it."""
+    rng = random.Random(4)
+    words = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        mine, at = [f"d{i}x{j}" for j in range(rng.randrange(14))], rng.randrange(150)
+        rows.append((i, " ".join(words[:at] + mine + words[at:] + [f"e{i % 7}x{j}" for j in range(i % 4)])))
+    for limits in ((2, 6), (4, 60), (64, 1024)):
+        got = {tuple(r) for r in ngram_join.similar_groups(spark.createDataFrame(rows, DOCS).repartition(3), 3, 90, class_limits=limits).collect()}
+        assert got == plain_groups(rows, 3, 90)
+
+
 def test_similar_groups_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (5, text), (None, text), (7, text + " more"), (None, "alone by itself here"), (9, "quite other words"), (9, text), (None, None), (3, "")]
