@@ -1,20 +1,20 @@
 """Operator 6, HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass: blocks inside scripts, styles, forms,
-menus, headers, footers and containers that name themselves adverts, notices, sidebars or
-comments are boilerplate; of the others, length, link density and stop-word density decide good
-and bad, and short ones without a clear sign stay open. Second pass: an open block takes the
-label of its nearest decided neighbours (if they differ, the nearer; at a tie, good), a heading
-that of the next one. What stands in boilerplate elements tells nothing about the blocks beside
-them, so it counts as a neighbour only where there is no other.
-
-Two marks count only as far as the rules bear them out. Where the blocks that a page marks as its
-article hold most of the text that the rules find good, or hold any and the rules find none, an
-open block is good inside the article and bad outside, and blocks of links inside are open. A name
-does not drop an element beside which hardly any text is left.
+A page is cut into blocks at block-level tags. First pass, each block by itself: one with many links, a short one with
+links, or one with a copyright sign is bad; a long one in which stop words are dense is good; all others are open, as
+short blocks and blocks in words of another kind tell too little. One more feature counts like links: that
+the elements around a block (menus, footers, forms, containers named as adverts, notices, sidebars or comments) say
+that it stands beside the article. Second pass: an open block takes the label of the nearest decided blocks, where
+near means first of all inside the same container: it climbs from its own element outwards until a container holds
+decided blocks, and takes the nearer one of those before and behind it (at a tie, good); a heading takes the next one's, and a
+long block with hardly a stop word none from outside the container it stands in: it is bad there. Blocks
+that only their elements put beside the article tell nothing about their neighbours, so they count as decided only where there is no other.
+
+A page without any good block gets one: in the element that holds most open text, the open block with the most stop words. A name
+does not count against an element beside which hardly any text is left.
 
 The scan is one pass of a regular expression over the whole text; state is the stack of open
-elements. Unclosed tags end with their parent.
+elements. Unclosed tags end with their parent, an unclosed paragraph with the next block.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 #: Characters under which a block is short, and over which it is long.
 SHORT, LONG = 70, 200
-#: Stop-word densities from which a block reads like prose, clearly or perhaps.
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+#: Share of stop words from which a long block reads like prose.
+STOP_LEAST = 0.15
+#: Share under which a long block beside an article's container is no prose.
+STOP_FEW = 0.05
 LINKS_MOST = 0.33
 #: A named element is dropped only if the text beside such elements is at least this share of its own.
 BESIDE = 0.1
@@ -83,13 +85,21 @@ def _named(attributes: str, main: bool) -> bool:
     return False
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]], dict[int, int]]:
-    """Blocks in page order, and the named element around each named element (by their places; -1: none).
+class Page:
+    """blocks in page order; around: the named element around each named element (by their places; -1: none); up: the element around each element.
 
-    A block: (text, characters in links, is a heading, in the marked article, in a boilerplate element, named element around it).
+    A block: (text, characters in links, is a heading, in the marked article, in a boilerplate element, named element around it, its element).
     """
+
+    def __init__(self, blocks: list, around: dict[int, int], up: list[int]):
+        self.blocks, self.around, self.up = blocks, around, up
+
+
+def blocks_of(page: str) -> Page:
     out, words, linked = [], [], 0
-    stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, in the article, named element
+    up = [-1]  # elements, the page first
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, boilerplate, in the article, named element, element
+    element = 0
     bad = main = heading = False
     named, around = -1, {}
     links = at = 0
@@ -105,7 +115,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]],
         nonlocal words, linked
         joined = " ".join("".join(words).split()) if words else ""
         if joined:
-            out.append((joined, linked, heading, main, bad, named))
+            out.append((joined, linked, heading, main, bad, named, element))
         words, linked = [], 0
 
     while True:
@@ -113,7 +123,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]],
         if not m:
             text(at, len(page))
             close()
-            return out, around
+            return Page(out, around, up)
         text(at, m.start())
         at = m.end()
         name = (m[2] or "").lower()
@@ -121,13 +131,21 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]],
             continue
         if name in BLOCKS:
             close()
+            if not m[1] and name != "br":  # a block ends an open paragraph
+                depth = len(stack) - 1
+                while depth >= 0 and stack[depth][0] not in BLOCKS:
+                    depth -= 1
+                if depth >= 0 and stack[depth][0] == "p":
+                    links -= sum(n[0] == "a" for n in stack[depth:])
+                    del stack[depth:]
+                    bad, main, named, element = stack[-1][1:] if stack else (False, False, -1, 0)
         if m[1]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     links -= sum(n[0] == "a" for n in stack[depth:])
                     del stack[depth:]
                     break
-            bad, main, named = stack[-1][1:] if stack else (False, False, -1)
+            bad, main, named, element = stack[-1][1:] if stack else (False, False, -1, 0)
             heading = any(n[0] == "h" and n[1:].isdigit() for n, *_ in stack[-3:])
             continue
         if name in RAW:
@@ -138,7 +156,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]],
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-            bad, main, named = stack[-1][1:] if stack else (False, False, -1)
+            bad, main, named, element = stack[-1][1:] if stack else (False, False, -1, 0)
         in_main = main or name in MAIN
         inside = name in AROUND and not (name == "header" and main) or name in DROPPED
         if name not in ("html", "body") and name not in MAIN:
@@ -146,23 +164,29 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool, int]],
             if _named(m[3], main):
                 around[m.start()], named = named, m.start()
         bad, main = bad or inside, in_main
-        stack.append((name, bad, main, named))
+        if name in BLOCKS:
+            up.append(element)
+            element = len(up) - 1
+        stack.append((name, bad, main, named, element))
         links += name == "a"
         heading = name[0] == "h" and name[1:].isdigit() or heading and name not in BLOCKS
 
 
+def _stop_words(text: str) -> tuple[int, float]:
+    """How many of its words are stop words, and their share."""
+    words = _WORD.findall(text.lower())
+    n = sum(w in STOP_WORDS for w in words)
+    return n, n / max(1, len(words))
+
+
 def _verdict(text: str, linked: int, heading: bool) -> str:
-    """good, bad or open, by length and density."""
+    """good, bad or open, by length, links and stop words."""
     size = max(1, len("".join(text.split())))
-    if linked / size > LINKS_MOST:
+    if linked / size > LINKS_MOST or "\u00a9" in text and len(text) <= LONG:
         return "bad"
     if len(text) < SHORT:
         return "bad" if linked and not heading else "open"
-    words = _WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= STOP_HIGH or density >= STOP_LOW and len(text) > LONG:
-        return "good"
-    return "good" if len(text) > LONG and not linked else "open"
+    return "good" if len(text) > LONG and _stop_words(text)[1] >= STOP_LEAST else "open"
 
 
 def _kept_names(blocks: list, verdicts: list[str], around: dict[int, int]) -> set[int]:
@@ -186,48 +210,68 @@ def _kept_names(blocks: list, verdicts: list[str], around: dict[int, int]) -> se
     return kept
 
 
-def _labels(blocks: list, around: dict[int, int]) -> list[str]:
-    """The first pass: good, bad or open."""
-    labels = ["bad" if b[4] else _verdict(*b[:3]) for b in blocks]
-    kept = _kept_names(blocks, labels, around)  # from the outside in: what is around a kept one is kept
-    out = [b[4] or b[5] not in kept for b in blocks]
-    labels = ["bad" if o else x for o, x in zip(out, labels)]
-    marked = [b[3] and not o for b, o in zip(blocks, out)]
-    good = [len(b[0]) if x == "good" else 0 for b, x in zip(blocks, labels)]
-    inside = sum(n for n, m in zip(good, marked) if m)
-    if not any(marked) or 2 * inside < sum(good):
-        return labels
-    for i, (text, linked, *_) in enumerate(blocks):
-        if marked[i] and labels[i] == "open":
-            labels[i] = "good"
-        elif marked[i] and labels[i] == "bad":
-            size = len("".join(text.split()))
-            heavy = linked > LINKS_MOST * size
-            labels[i] = ("bad" if linked == size and len(text) < SHORT else "open") if heavy else "good"
-        elif labels[i] == "open":
-            labels[i] = "bad"
-    return labels
-
-
-def main_text(page: str | None) -> str:
+def _labels(page: Page) -> tuple[list[str], list[bool]]:
+    """The first pass: good, bad or open; and which blocks are bad only for what their elements say."""
+    own = [_verdict(*b[:3]) for b in page.blocks]
+    labels = ["bad" if b[4] else x for b, x in zip(page.blocks, own)]
+    kept = _kept_names(page.blocks, labels, page.around)  # from the outside in: what is around a kept one is kept
+    beside = [b[4] or b[5] not in kept for b in page.blocks]
+    labels = ["bad" if o else x for o, x in zip(beside, labels)]
+    if "good" not in labels and "open" in labels:
+        still = [i for i, x in enumerate(labels) if x == "open"]
+        held = dict.fromkeys((page.up[page.blocks[i][6]] for i in still), 0)
+        for i in still:
+            held[page.up[page.blocks[i][6]]] += len(page.blocks[i][0])
+        most = max(held.values())
+        best = max((i for i in still if held[page.up[page.blocks[i][6]]] == most), key=lambda i: (not page.blocks[i][2], _stop_words(page.blocks[i][0])[0], len(page.blocks[i][0]), -i))
+        labels[best] = "good"
+    return labels, [o and x != "bad" for o, x in zip(beside, own)]
+
+
+def _spans(page: Page) -> tuple[list[int], list[int]]:
+    """The first block of each element, and the one behind its last."""
+    n = len(page.blocks)
+    first, behind = [n] * len(page.up), [0] * len(page.up)
+    for i, b in enumerate(page.blocks):
+        first[b[6]], behind[b[6]] = min(first[b[6]], i), i + 1
+    for e in range(len(page.up) - 1, 0, -1):  # an element stands behind the one around it
+        u = page.up[e]
+        first[u], behind[u] = min(first[u], first[e]), max(behind[u], behind[e])
+    return first, behind
+
+
+def main_text(html_text: str | None) -> str:
     """The article of a page: its good blocks in order, joined by one space; empty if there are none."""
-    blocks, around = blocks_of(page) if page else ([], {})
-    labels = _labels(blocks, around)
-    decided = [i for i, x in enumerate(labels) if x != "open" and not blocks[i][4]] or [i for i, x in enumerate(labels) if x != "open"]
-    final, before = list(labels), None
-    after = iter([*decided, None])
-    ahead = next(after)
+    if not html_text:
+        return ""
+    page = blocks_of(html_text)
+    labels, beside = _labels(page)
+    first, behind = _spans(page)
+    decided = [x != "open" and not o for x, o in zip(labels, beside)]
+    if not any(decided):
+        decided = [x != "open" for x in labels]
+    n = len(labels)
+    before, after = [-1] * n, [n] * n
+    for i in range(1, n):
+        before[i] = i - 1 if decided[i - 1] else before[i - 1]
+    for i in range(n - 2, -1, -1):
+        after[i] = i + 1 if decided[i + 1] else after[i + 1]
+    final = list(labels)
     for i, label in enumerate(labels):
-        while ahead is not None and ahead <= i:
-            before, ahead = ahead, next(after)
         if label != "open":
             continue
-        near = [(i - before, labels[before] != "good")] if before is not None else []
-        near += [(ahead - i, labels[ahead] != "good")] if ahead is not None else []
-        if blocks[i][2] and ahead is not None:
+        e = page.blocks[i][6]
+        while e > 0 and before[i] < first[e] and after[i] >= behind[e]:
+            e = page.up[e]
+        low, high = (0, n) if e <= 0 else (first[e], behind[e])
+        near = [(i - before[i], labels[before[i]] != "good")] if before[i] >= low else []
+        near += [(after[i] - i, labels[after[i]] != "good")] if after[i] < high else []
+        if page.blocks[i][2] and after[i] < high:
             near = near[-1:]
-        final[i] = "bad" if near and min(near)[1] else "good"
-    return " ".join(b[0] for b, x in zip(blocks, final) if x == "good")
+        alone = e not in (page.blocks[i][6], page.up[page.blocks[i][6]])
+        listed = alone and len(page.blocks[i][0]) > LONG and _stop_words(page.blocks[i][0])[1] < STOP_FEW
+        final[i] = "bad" if listed or near and min(near)[1] else "good"
+    return " ".join(b[0] for b, x in zip(page.blocks, final) if x == "good")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
