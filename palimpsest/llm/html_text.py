@@ -1,10 +1,10 @@
 """Operator 6, HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass, each block by itself: one with many links, a short one with
-links, or one with a copyright sign is bad; a long one in which stop words are dense is good; all others are open, as
+links, or one with a copyright sign is bad; a long one with many stop words, and a shorter one that is dense with them, is good; all others are open, as
 short blocks and blocks in words of another kind tell too little. One more feature counts like links: that
-the elements around a block (menus, footers, forms, containers named as adverts, notices, sidebars or comments) say
-that it stands beside the article. Second pass: an open block takes the label of the nearest decided blocks, where
+the elements around a block (menus, footers, forms, containers named as adverts, notices, sidebars or comments; for open blocks also that they are outside
+a marked article that holds most of the good text) say that it stands beside the article. Second pass: an open block takes the label of the nearest decided blocks, where
 near means first of all inside the same container: it climbs from its own element outwards until a container holds
 decided blocks, and takes the nearer one of those before and behind it (at a tie, good); a heading takes the next one's, and a
 long block with hardly a stop word none from outside the container it stands in: it is bad there. Blocks
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Characters under which a block is short, and over which it is long.
 SHORT, LONG = 70, 200
-#: Share of stop words from which a long block reads like prose.
-STOP_LEAST = 0.15
+#: Shares of stop words from which a long block, and one that is neither long nor short, read like prose.
+STOP_LEAST, STOP_DENSE = 0.15, 0.5
 #: Share under which a long block beside an article's container is no prose.
 STOP_FEW = 0.05
 LINKS_MOST = 0.33
@@ -186,7 +186,7 @@ def _verdict(text: str, linked: int, heading: bool) -> str:
         return "bad"
     if len(text) < SHORT:
         return "bad" if linked and not heading else "open"
-    return "good" if len(text) > LONG and _stop_words(text)[1] >= STOP_LEAST else "open"
+    return "good" if _stop_words(text)[1] >= (STOP_LEAST if len(text) > LONG else STOP_DENSE) else "open"
 
 
 def _kept_names(blocks: list, verdicts: list[str], around: dict[int, int]) -> set[int]:
@@ -225,6 +225,10 @@ def _labels(page: Page) -> tuple[list[str], list[bool]]:
         most = max(held.values())
         best = max((i for i in still if held[page.up[page.blocks[i][6]]] == most), key=lambda i: (not page.blocks[i][2], _stop_words(page.blocks[i][0])[0], len(page.blocks[i][0]), -i))
         labels[best] = "good"
+    marked = sum(len(b[0]) for b, x in zip(page.blocks, labels) if x == "good" and b[3])
+    if 2 * marked >= sum(len(b[0]) for b, x in zip(page.blocks, labels) if x == "good") > 0:
+        beside = [o or x == "open" and not b[3] for b, o, x in zip(page.blocks, beside, labels)]
+        labels = ["bad" if o else x for o, x in zip(beside, labels)]
     return labels, [o and x != "bad" for o, x in zip(beside, own)]
 
 
