@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_id
 from ..operators import graph as G
 from ..operators import history as H
-from ..sources.scratch import rewritten
+from ..operators import transitions as T
+from ..sources.scratch import rewritten, shared_dir
+from ..sources.versioned import publish, read_table
 from .bindings import CHUNKS_SQL, LISTED_SQL, NAMESPACES_SQL, REVISIONS_SQL, TREE_SQL, chunk_rows, namespaces, revision_tree, revisions, table
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -59,7 +63,7 @@ def _ops(spark, d):
     )
 
 
-def _truncation(spark, d):
+def _wanted(spark, d):
     """A request per namespace: new heads on the chain, on a branch, in another namespace, the head itself or none; some expect a wrong head or epoch."""
     r = rewritten(revision_tree(spark, d), "tree")
     n = rewritten(H.namespace_heads(r, namespaces(spark, d)), "namespaces")
@@ -68,7 +72,14 @@ def _truncation(spark, d):
         (k + 1_000).alias("operation_id"), "namespace_id", F.when(k % 13 == 5, F.col("id")).otherwise(F.col("head_revision")).alias("expected_head"), (F.col("namespace_epoch") + F.when(k % 17 == 6, 1).otherwise(0)).alias("expected_epoch"),
         F.when(k % 7 == 1, F.col("head_revision")).when(k % 7 == 2, F.col("id") + 1).when(k % 7 != 3, F.col("id")).alias("new_head"),
     )
-    unknown = wanted.filter(k % 5 == 0).withColumn("operation_id", k + 2_000_000).withColumn("namespace_id", -k - 1)  # namespaces that are not there
+    return r, n, wanted
+
+
+def _truncation(spark, d):
+    """Those requests, and some for namespaces that are not there."""
+    r, n, wanted = _wanted(spark, d)
+    k = F.col("namespace_id")
+    unknown = wanted.filter(k % 5 == 0).withColumn("operation_id", k + 2_000_000).withColumn("namespace_id", -k - 1)
     labelled = rewritten(H.labels(r.filter("state = 'active'")), "labels")
     return r, n, H.plan_truncation(r, n, wanted.unionByName(unknown), _now(), labelled), labelled
 
@@ -92,6 +103,30 @@ def h6_plan_restore(spark, d):
     return H.plan_restore(_ops(spark, d).withColumn("new_head", F.when(F.col("id") % 3 == 0, F.col("new_head"))), heads.withColumn("head_revision", F.when(F.col("namespace_id") % 2 == 0, F.col("head_revision"))), _now())
 
 
+def h6_restores(spark, d):
+    """A request per trash operation: some name another namespace, an operation that is not there, or a stale head or epoch."""
+    k = F.col("id")
+    ops = _ops(spark, d).withColumn("new_head", F.when(k % 3 == 0, F.col("new_head")))
+    heads = revisions(spark, d).groupBy("namespace_id").agg((F.max("id") % 400).alias("head")).select("namespace_id", F.when(F.col("namespace_id") % 2 == 0, F.col("head")).alias("head_revision"), (F.col("namespace_id") % 3).alias("namespace_epoch"))
+    asked = ops.select("id", "namespace_id").join(heads, "namespace_id").select(
+        F.when(k % 19 == 0, k + 10_000_000).otherwise(k).alias("operation_id"), F.when(k % 17 == 0, -F.col("namespace_id") - 1).otherwise(F.col("namespace_id")).alias("namespace_id"),
+        F.when(k % 13 == 0, k).otherwise(F.col("head_revision")).alias("expected_head"), (F.col("namespace_epoch") + F.when(k % 11 == 0, 1).otherwise(0)).alias("expected_epoch"),
+    )
+    return T.plan_restores(asked, ops, heads)
+
+
+def h6_restored_store(spark, d):
+    """Truncations and then restores of half of them, each published as one version: heads, epochs and trashed revisions that are left."""
+    r, n, wanted = _wanted(spark, d)
+    root = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    kept = r.select("id", "namespace_id", "parent", "state", F.lit(None).cast("long").alias("trash_operation_id"))
+    publish(spark, root, {"revisions": kept, "operations": spark.createDataFrame([], T.HISTORY["operations"]), "namespaces": n.select("namespace_id", "head_revision", "namespace_epoch")})
+    done = T.commit_truncations(spark, root, wanted, _now()).filter("outcome = 'planned' AND namespace_id % 2 = 0")
+    T.commit_restores(spark, root, done.select("operation_id", "namespace_id", F.col("new_head").alias("expected_head"), F.col("epoch_after").alias("expected_epoch")))
+    trashed = read_table(spark, root, "revisions", T.HISTORY["revisions"]).groupBy("namespace_id").agg(F.count("trash_operation_id").alias("trashed"))
+    return read_table(spark, root, "namespaces", T.HISTORY["namespaces"]).join(trashed, "namespace_id")
+
+
 def h17_list_trash(spark, d):
     return H.list_trash(_ops(spark, d)).select("id", "namespace_id", F.col("place").cast("long").alias("place"))
 
@@ -291,7 +326,7 @@ def h16_recovery_points(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    h7_local_roots, h15_server_summary, h1_list_namespaces, h5_truncated_revisions, h5_moved_heads, h9_gc_enqueue, h9_gc_results, h10_over_cap, h17_snapshot_trash, h1_list_revisions, h2_namespace_heads, h3_revision_stats, h4_ancestors, h4_is_ancestor, h4_labels, h5_plan_truncation, h6_plan_restore, h7_reachable, h7_reachable_frontier, h8_gc_plan,
+    h7_local_roots, h15_server_summary, h1_list_namespaces, h5_truncated_revisions, h5_moved_heads, h9_gc_enqueue, h9_gc_results, h10_over_cap, h17_snapshot_trash, h1_list_revisions, h2_namespace_heads, h3_revision_stats, h4_ancestors, h4_is_ancestor, h4_labels, h5_plan_truncation, h6_plan_restore, h6_restores, h6_restored_store, h7_reachable, h7_reachable_frontier, h8_gc_plan,
     h8_gc_fingerprint, h9_gc_recheck, h10_missing, h11_build_edges, h12_list_snapshots, h13_deletion_plan, h14_protected_by, h15_storage_summary, h16_recovery_points, h17_list_trash,
     h18_timeline, h19_chain_breaks, h19_replay)}
 
@@ -338,6 +373,15 @@ ORACLE_SQL = {
     "h6_plan_restore": f"""WITH {_OPS}, h AS (SELECT namespace_id, CASE WHEN namespace_id % 2 = 0 THEN max(id) % 400 END AS head FROM revisions GROUP BY 1),
         r AS (SELECT o.*, head, state = 'active' AND (CASE WHEN id % 3 = 0 THEN new_head END) IS NOT DISTINCT FROM head AS can FROM ops o LEFT JOIN h USING (namespace_id))
         SELECT id, namespace_id, can AS restorable, CASE WHEN can THEN old_head ELSE head END AS head_after, expires_at <= {NOW} AS expired FROM r""",
+    "h6_restores": f"""WITH {_OPS}, h AS (SELECT namespace_id, CASE WHEN namespace_id % 2 = 0 THEN max(id) % 400 END AS head, namespace_id % 3 AS epoch FROM revisions GROUP BY 1),
+        a AS (SELECT id AS k, CASE WHEN id % 19 = 0 THEN id + 10000000 ELSE id END AS op, CASE WHEN id % 17 = 0 THEN -namespace_id - 1 ELSE namespace_id END AS ns, CASE WHEN id % 13 = 0 THEN id ELSE head END AS expected, epoch + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS expected_epoch FROM ops JOIN h USING (namespace_id)),
+        c AS (SELECT a.*, h.head, h.epoch, o.old_head, CASE WHEN h.namespace_id IS NULL THEN 'no_namespace' WHEN h.head IS DISTINCT FROM expected THEN 'head_mismatch' WHEN h.epoch <> expected_epoch THEN 'epoch_mismatch' WHEN o.id IS NULL THEN 'no_operation'
+            WHEN o.state <> 'active' OR (CASE WHEN o.id % 3 = 0 THEN o.new_head END) IS DISTINCT FROM h.head THEN 'conflict' ELSE 'restored' END AS can FROM a LEFT JOIN h ON h.namespace_id = ns LEFT JOIN ops o ON o.id = op AND o.namespace_id = ns),
+        d AS (SELECT *, CASE WHEN can = 'restored' AND row_number() OVER (PARTITION BY ns, can ORDER BY op) > 1 THEN 'repeated' ELSE can END AS outcome FROM c)
+        SELECT op AS operation_id, ns AS namespace_id, outcome, CASE WHEN outcome = 'restored' THEN old_head ELSE head END AS head_after, epoch + CASE WHEN outcome = 'restored' THEN 1 ELSE 0 END AS epoch_after FROM d""",
+    "h6_restored_store": f"""{_TRUNCATION}, done AS (SELECT * FROM plan WHERE outcome = 'planned')
+        SELECT n.namespace_id, CASE WHEN d.namespace_id % 2 = 1 THEN d.new_head ELSE n.head_revision END AS head_revision, n.namespace_epoch + CASE WHEN d.namespace_id IS NULL THEN 0 WHEN d.namespace_id % 2 = 1 THEN 1 ELSE 2 END AS namespace_epoch,
+          CASE WHEN d.namespace_id % 2 = 1 THEN revision_count ELSE 0 END AS trashed FROM heads n LEFT JOIN done d USING (namespace_id)""",
     "h7_reachable": f"WITH {_GRAPH} SELECT kind, sha256 FROM reached",
     "h7_reachable_frontier": f"""WITH {_GRAPH}, o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
         SELECT 'revision_root' AS kind, source AS sha256 FROM docs UNION SELECT 'thread', thread FROM docs UNION SELECT 'chunk_manifest', content FROM docs UNION SELECT 'chunk', sha256 FROM parts UNION SELECT 'order', k FROM o WHERE place >= 3""",

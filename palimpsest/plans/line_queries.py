@@ -11,6 +11,7 @@ from ..operators import chunks as C
 from ..operators import normalize as N
 from ..operators import validate as V
 from ..sources import rollouts as S
+from ..sources.refresh import refresh_snapshot
 from ..sources.scratch import shared_dir
 from ..streaming import streams as T
 from .bindings import table
@@ -217,6 +218,19 @@ def s9_refreshed(spark, d):
     return S.refreshed_contents(files, t.filter("doc_id % 2 = 0").select("path", F.concat(F.lit("n"), "path").alias("content_id")))
 
 
+def s9_refresh(spark, d):
+    """A cache of every conversation's file, brought up to a listing in which some files have changed and some are gone."""
+    root = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    k = F.substring("thread_id", 2, 20).cast("long")
+    first = contents(spark, d).withColumn("mtime", F.lit(1))
+    changed = k % 4 == 0
+    second = first.filter(k % 9 != 2).withColumn("mtime", F.when(changed, 2).otherwise(1)).withColumn("content", F.when(changed, F.concat("content", F.encode(F.lit("\nbroken"), "UTF-8"))).otherwise(F.col("content")))
+    for state in (first, second):
+        files = state.select(F.col("file").alias("path"), F.octet_length("content").alias("byte_length"), "mtime", "thread_id")
+        out = refresh_snapshot(spark, root, files, lambda todo, state=state: state.select(F.col("file").alias("path"), "content").join(todo.select("path"), "path", "left_semi"), 4096)
+    return out.select("path", "thread_id", "reused", "warnings")
+
+
 def s10_json_to_typed(spark, d):
     """Round trips of typed rows; every 7th row has a text where the number should be."""
     from pyspark.sql.types import StructType
@@ -278,7 +292,7 @@ def v20_complete(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash, n8_semantic_row, n1_numbers, s1_rollout_files,
+    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s9_refresh, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash, n8_semantic_row, n1_numbers, s1_rollout_files,
     n16_effective_time, t2_transfer_rate, v12_descriptors, v20_complete)}
 
 ORACLE_SQL = {
@@ -292,6 +306,8 @@ ORACLE_SQL = {
     "s8_load_snapshot": "SELECT doc_id AS thread_id, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 20) END AS title, doc_id % 4 = 0 AS archived, 'sha256:' || sha256(text) AS content_id, lang AS observed_provider, source AS local_path FROM documents",
     "s9_refreshed": "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 <> 0 THEN 'c' || doc_id WHEN doc_id % 2 = 0 THEN 'n' || doc_id END AS content_id, doc_id % 3 <> 0 AS reused FROM documents",
     "s9_unchanged": "SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AND doc_id % 100 % 6 <> 0 AS reused FROM documents",
+    "s9_refresh": """SELECT 'sessions/rollout-t' || conv_id || '.jsonl' AS path, 't' || conv_id AS thread_id, conv_id % 4 <> 0 AS reused, CASE WHEN conv_id % 7 = 0 AND count(*) > 1 THEN 1 ELSE 0 END + CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END AS warnings
+        FROM conversations WHERE conv_id % 9 <> 2 GROUP BY conv_id""",
     "s10_json_to_typed": "SELECT c_custkey, c_name, hex(encode(c_name)) AS raw_hex, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey AS INT) END AS nation, CASE WHEN c_custkey % 7 = 0 THEN 'nation' ELSE '' END AS problems FROM customer",
     "t1_ingest": """WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1)
         SELECT 'sessions/rollout-t' || conv_id || '.jsonl' AS file, CASE WHEN conv_id % 9 = 4 THEN 'missing_session_meta' END AS kind, CASE WHEN conv_id % 9 <> 4 THEN turns + 1 END AS lines,
