@@ -35,6 +35,73 @@ def transfer_rate_stream(events: DataFrame, seconds: int = 5, late: str = "10 se
     )
 
 
+_RATES = "job {job}, event {event}, ts timestamp, rate double, eta_seconds long"
+
+
+def _rates(window_ms: int):
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Rates(StatefulProcessor):
+        """The rows of a job that a later window can still reach; a row goes out once the watermark has passed it."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.rows = handle.getListState("rows", f"ms long, bytes long, remaining long, event {self.event}, sent boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for pdf in rows:
+                for ms in pdf["ms"].unique():
+                    self.handle.registerTimer(int(ms))
+                self.rows.appendList([(int(r.ms), int(r.bytes), None if pd.isna(r.remaining) else int(r.remaining), r.event, False) for r in pdf.itertuples(index=False)])
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = timerValues.getCurrentWatermarkInMs()
+            held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[0]) if self.rows.exists() else []
+            out, first, last, total = [], 0, 0, 0
+            for ms, _, remaining, event, sent in held:
+                if ms > passed:
+                    break
+                while last < len(held) and held[last][0] <= ms:
+                    total += held[last][1]
+                    last += 1
+                while held[first][0] < ms - window_ms:
+                    total -= held[first][1]
+                    first += 1
+                if not sent:
+                    span = (ms - held[first][0]) / 1000
+                    rate = total / span if span >= 0.1 else None
+                    left = None if rate is None or rate <= 0 or remaining is None else -int(-remaining // rate)
+                    out.append((key[0], event, pd.Timestamp(ms, unit="ms"), rate, left))
+            kept = [(*r[:4], r[4] or r[0] <= passed) for r in held if r[0] > passed - window_ms]
+            if kept:
+                self.rows.put(kept)
+            else:
+                self.rows.clear()
+            if out:
+                yield pd.DataFrame(out, columns=["job", "event", "ts", "rate", "eta_seconds"]).astype({"eta_seconds": "Int64"})
+
+        def close(self):
+            pass
+
+    return Rates
+
+
+def sliding_rate_stream(events: DataFrame, seconds: float, late: str = "10 seconds") -> DataFrame:
+    """transfer_rate on a stream, the same numbers for every event: job, event, ts, rate, eta_seconds.
+
+    events: job, event (an id), ts (timestamp), bytes, remaining. An event is answered once the watermark has passed it, so
+    events that come later by up to `late` still count in the windows they belong to; those behind the watermark are
+    dropped. State holds the events of the last window of each job. The session needs the RocksDB state store.
+    """
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    rows = events.withWatermark("ts", late).select("job", "event", "ts", F.unix_millis("ts").alias("ms"), F.col("bytes").cast("long"), F.col("remaining").cast("long"))
+    processor = _rates(int(seconds * 1000))
+    processor.event = kind("event")
+    return rows.groupBy("job").transformWithStateInPandas(statefulProcessor=processor(), outputStructType=_RATES.format(job=kind("job"), event=kind("event")), outputMode="Append", timeMode="EventTime")
+
+
 _OBJECTS = "sha256 string, byte_length long, bytes binary, kind string"
 
 

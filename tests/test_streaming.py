@@ -57,3 +57,25 @@ def test_transfer_rate_stream(spark, tmp_path):
             if at(end - 2) <= ts < at(end):
                 want[job, at(end)] = want.get((job, at(end)), 0) + n / 2
     assert {(r.job, r["at"]): r.rate for r in spark.table("rates").collect() if r.job != "z"} == want
+
+
+def test_sliding_rate_stream_is_the_batch_rate(spark, tmp_path):
+    """Events out of order within the lateness, several at one time, and pauses: every event has the rate that the batch form gives it."""
+    import datetime
+    import random
+
+    rng = random.Random(2)
+    at = lambda ms: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=ms)
+    rows, ms = [], 0
+    for i in range(120):
+        ms += rng.choice([0, 30, 400, 900, 2500])
+        rows.append((rng.choice("ab"), i, at(ms), rng.randrange(1000), rng.choice([None, 5000 - i])))
+    df = spark.createDataFrame(rows, "job string, event long, ts timestamp, bytes long, remaining long")
+    want = {r.event: (r.rate, r.eta_seconds) for r in T.transfer_rate(df, 2, "remaining").collect()}
+    order = sorted(rows, key=lambda r: r[2] + datetime.timedelta(milliseconds=rng.randrange(1500)))
+    for part in (order[:40], order[40:80], order[80:], [("z", -1, at(10**7), 0, None)]):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = T.sliding_rate_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 2, "2 seconds")
+    out.writeStream.format("memory").queryName("sliding").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    got = {r.event: (r.rate, r.eta_seconds) for r in spark.table("sliding").collect() if r.job != "z"}
+    assert got == want and len(got) == 120
