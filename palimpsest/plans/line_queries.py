@@ -12,7 +12,7 @@ from ..operators import normalize as N
 from ..operators import validate as V
 from ..sources import rollouts as S
 from ..sources.refresh import refresh_snapshot
-from ..sources.scratch import shared_dir
+from ..sources.scratch import rewritten, shared_dir
 from ..streaming import streams as T
 from .bindings import table
 from .graph_queries import ORACLE_SQL as GRAPH_SQL
@@ -241,13 +241,12 @@ def s10_json_to_typed(spark, d):
 
 
 def t1_ingest(spark, d):
-    """The rules of the ingest stream, as a batch: what becomes of every conversation's file."""
+    """What becomes of every conversation's file, by the function that the ingest stream runs on each batch."""
     c = contents(spark, d).withColumn("content", F.when(F.substring("thread_id", 2, 20).cast("long") % 9 == 4, F.encode(F.lit("{}\n"), "UTF-8")).otherwise(F.col("content")))
-    head = F.substring_index(F.decode("content", "ISO-8859-1"), "\n", 1)
-    h = V.classify_headers(c.select(F.col("file").alias("path"), F.lit(False).alias("archived"), F.octet_length("content").cast("long").alias("byte_length"), F.encode(head, "ISO-8859-1").alias("header")))
-    sound = c.drop("thread_id").join(h.filter("kind IS NULL").select(F.col("path").alias("file"), "thread_id"), "file")
-    n = N.accepted_lines(N.normalize_lines(S.split_lines(sound))).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count("warning").alias("warnings"))
-    return h.select(F.col("path").alias("file"), "kind").join(n, "file", "left")
+    found, lines, pieces = T.ingested(c.select(F.col("file").alias("path"), "content"), 1024, rewritten)
+    n = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count("warning").alias("warnings"))
+    size = pieces.groupBy("file").agg((F.count(F.lit(1)) == F.max("pos") + 1).alias("chunked"))
+    return found.select(F.col("path").alias("file"), "kind").join(n, "file", "left").join(size, "file", "left")
 
 
 def t2_transfer_rate(spark, d):
@@ -256,6 +255,24 @@ def t2_transfer_rate(spark, d):
     return r.select("event_id", F.floor("rate").cast("long").alias("rate"))
 
 
+def t2_rate_stream(spark, d):
+    """The same rates from a stream of the events; a last one moves the watermark on."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 1000).cast("long").alias("bytes"))
+    e = e.withColumn("remaining", F.col("bytes") * 100)
+    path = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+    e.write.parquet(f"{path}/in")
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(-1).cast("long").alias("job"), F.lit(-1).cast("long").alias("event"), "ts", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("remaining"))
+    last.write.mode("append").parquet(f"{path}/in")
+    store, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = T.sliding_rate_stream(spark.readStream.schema(e.schema).parquet(f"{path}/in"), 86400, "1 second")
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, was) if was else spark.conf.unset(store)
+    return spark.read.schema(out.schema).parquet(f"{path}/out").filter("event >= 0").select(F.col("event").alias("event_id"), F.floor("rate").cast("long").alias("rate"))
+
+
 def t3_stream_commits(spark, d):
     """The commit log as a stream to a table; a namespace stands in one file, in order."""
     path = f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}"
@@ -292,9 +309,12 @@ def v20_complete(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s9_refresh, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash, n8_semantic_row, n1_numbers, s1_rollout_files,
+    n1_strict, n10_chunk_lines, n3_accepted, s8_load_snapshot, s9_refreshed, t1_ingest, t2_rate_stream, t3_stream_commits, v11_threads, s2_split_lines, s3_thread_index, s4_rows_to_json, s5_collect_related, s9_unchanged, s9_refresh, s10_json_to_typed, n3_normalize, n4_round_trip, n5_rewrite_provider, n6_strip_keys, n7_contains_key, n9_semantic_hash, n8_semantic_row, n1_numbers, s1_rollout_files,
     n16_effective_time, t2_transfer_rate, v12_descriptors, v20_complete)}
 
+_RATE = """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(floor(value * 1000) AS BIGINT) AS bytes FROM events),
+        w AS (SELECT event_id, sum(bytes) OVER q AS b, (ms - min(ms) OVER q) / 1000.0 AS span FROM e WINDOW q AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW))
+        SELECT event_id, CASE WHEN span >= 0.1 THEN CAST(floor(CAST(b AS DOUBLE) / CAST(span AS DOUBLE)) AS BIGINT) END AS rate FROM w"""
 ORACLE_SQL = {
     "s3_thread_index": """SELECT 'a' AS source, 'first' AS title, CAST(NULL AS VARCHAR) AS o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0
         UNION ALL SELECT 'b', 'second', o_orderstatus, count(*) FROM orders WHERE o_orderkey % 2 <> 0 GROUP BY o_orderstatus""",
@@ -311,10 +331,9 @@ ORACLE_SQL = {
     "s10_json_to_typed": "SELECT c_custkey, c_name, hex(encode(c_name)) AS raw_hex, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_nationkey AS INT) END AS nation, CASE WHEN c_custkey % 7 = 0 THEN 'nation' ELSE '' END AS problems FROM customer",
     "t1_ingest": """WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1)
         SELECT 'sessions/rollout-t' || conv_id || '.jsonl' AS file, CASE WHEN conv_id % 9 = 4 THEN 'missing_session_meta' END AS kind, CASE WHEN conv_id % 9 <> 4 THEN turns + 1 END AS lines,
-          CASE WHEN conv_id % 9 <> 4 THEN CASE WHEN conv_id % 7 = 0 AND turns > 1 THEN 1 ELSE 0 END END AS warnings FROM c""",
-    "t2_transfer_rate": """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(floor(value * 1000) AS BIGINT) AS bytes FROM events),
-        w AS (SELECT event_id, sum(bytes) OVER q AS b, (ms - min(ms) OVER q) / 1000.0 AS span FROM e WINDOW q AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW))
-        SELECT event_id, CASE WHEN span >= 0.1 THEN CAST(floor(CAST(b AS DOUBLE) / CAST(span AS DOUBLE)) AS BIGINT) END AS rate FROM w""",
+          CASE WHEN conv_id % 9 <> 4 THEN CASE WHEN conv_id % 7 = 0 AND turns > 1 THEN 1 ELSE 0 END END AS warnings, CASE WHEN conv_id % 9 <> 4 THEN true END AS chunked FROM c""",
+    "t2_transfer_rate": _RATE,
+    "t2_rate_stream": _RATE,
     "t3_stream_commits": GRAPH_SQL["h19_replay"],
     "n10_chunk_lines": "SELECT doc_id AS thread_id, (octet_length(encode(text)) + 99) // 100 AS alike, CASE WHEN octet_length(encode(text)) % 100 = 0 THEN 0 ELSE 1 END AS short, CAST(0 AS BIGINT) AS other FROM documents WHERE text <> ''",
     "n1_strict": """SELECT event_id, CASE WHEN event_id % 5 < 2 THEN NULL WHEN event_id % 5 = 2 THEN '{"a":' || replace(props, ' ', '') || ',"z":null}' ELSE replace(props, ' ', '') END AS canonical FROM events""",

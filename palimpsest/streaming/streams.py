@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.chunks import chunk, new_objects
-from ..operators.normalize import accepted_lines, joined_lines, normalize_lines
+from ..operators.chunks import chunk_lines, new_objects
+from ..operators.normalize import accepted_lines, normalize_lines
 from ..operators.validate import classify_headers
 from ..sources.rollouts import split_lines
 from ..sources.scratch import rewritten
@@ -102,28 +102,57 @@ def sliding_rate_stream(events: DataFrame, seconds: float, late: str = "10 secon
     return rows.groupBy("job").transformWithStateInPandas(statefulProcessor=processor(), outputStructType=_RATES.format(job=kind("job"), event=kind("event")), outputMode="Append", timeMode="EventTime")
 
 
-_OBJECTS = "sha256 string, byte_length long, bytes binary, kind string"
+_OBJECTS = "sha256 string, byte_length long, bytes binary, kind string, bucket string"
+#: Leading hex digits of a digest that name a bucket of the store.
+BUCKET_DIGITS = 2
+
+
+def bucket_of(sha256):
+    """The bucket of a content id (sha256:<hex>)."""
+    return F.substring(sha256, 8, BUCKET_DIGITS)
+
+
+def ingested(files: DataFrame, chunk_size: int, kept=lambda df, label: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What becomes of files (path, content): their header's verdict (path, kind, thread_id), the normalised lines of those that are sound,
+    and the chunks of what is accepted. kept cuts lineage between the steps where they run again and again.
+    """
+    head = F.substring_index(F.decode("content", "ISO-8859-1"), "\n", 1)
+    headers = files.select("path", F.col("path").contains("archived_sessions/").alias("archived"), F.octet_length("content").cast("long").alias("byte_length"), F.encode(F.rtrim(head, F.lit("\r")), "ISO-8859-1").alias("header"))
+    found = kept(classify_headers(headers).select("path", "kind", "thread_id"), "headers")
+    sound = files.select("path", "content").join(found.filter("kind IS NULL").drop("kind"), "path")
+    lines = kept(normalize_lines(split_lines(sound.select(F.col("path").alias("file"), "thread_id", "content"))), "lines")
+    pieces = kept(chunk_lines(accepted_lines(lines), ["file", "thread_id"], chunk_size), "pieces")
+    return found, lines, pieces
+
+
+def stored_objects(spark: SparkSession, store: str, kind: str, wanted: DataFrame) -> DataFrame:
+    """The stored objects of the kind in the buckets that wanted (sha256) falls in; other buckets are not read."""
+    buckets = [r[0] for r in wanted.select(bucket_of("sha256")).distinct().limit(16**BUCKET_DIGITS).collect()]
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/objects/kind={kind}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in fs.listStatus(at)} if fs.exists(at) else set()
+    paths = [f"{store}/objects/kind={kind}/bucket={b}" for b in sorted(buckets) if f"bucket={b}" in there]
+    if not paths:
+        return spark.createDataFrame([], _OBJECTS)
+    return spark.read.schema(_OBJECTS).option("basePath", f"{store}/objects").parquet(*paths)
 
 
 def stream_ingest(spark: SparkSession, source: str, store: str, checkpoint: str, chunk_size: int = 4 << 20, glob: str = "rollout-*.jsonl"):
     """Pick up new files, classify and normalise them, chunk what is sound and append what is not stored yet; returns the started query.
 
-    Under store: objects (chunks by kind), manifests (path, thread_id, pos, sha256, byte_length) and
-    warnings (path, kind). A store that does not exist yet is begun. A batch that is run again
+    Under store: objects (chunks by kind and bucket of their digest), manifests (path, thread_id, pos, sha256, byte_length) and
+    warnings (path, kind). A batch looks for its chunks only in the buckets they fall in. A store that does not exist yet is begun. A batch that is run again
     after a failure finds its chunks stored and its own folder of manifests and warnings written over.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(source)
-    spark.createDataFrame([], _OBJECTS).write.partitionBy("kind").mode("append").parquet(f"{store}/objects")
+    spark.createDataFrame([], _OBJECTS).write.partitionBy("kind", "bucket").mode("append").parquet(f"{store}/objects")
 
     def append(batch: DataFrame, number: int) -> None:
-        headers = batch.select("path", F.col("path").contains("archived_sessions/").alias("archived"), F.col("length").alias("byte_length"), F.substring_index(F.decode("content", "ISO-8859-1"), "\n", 1).alias("head"))
-        found = rewritten(classify_headers(headers.withColumn("header", F.encode(F.rtrim("head", F.lit("\r")), "ISO-8859-1"))).select("path", "kind", "thread_id"), "headers")
-        sound = batch.select("path", "content").join(found.filter("kind IS NULL").drop("kind"), "path")
-        lines = rewritten(normalize_lines(split_lines(sound.select(F.col("path").alias("file"), "thread_id", "content"))), "lines")
-        pieces = rewritten(chunk(joined_lines(accepted_lines(lines), ["file", "thread_id"]), chunk_size), "pieces")
-        have = spark.read.schema(_OBJECTS).parquet(f"{store}/objects")
-        new_objects(have, pieces.select(F.lit("chunk").alias("kind"), "sha256", "byte_length", "bytes")).write.partitionBy("kind").mode("append").parquet(f"{store}/objects")
+        found, lines, pieces = ingested(batch.select("path", "content"), chunk_size, rewritten)
+        objects = pieces.select(F.lit("chunk").alias("kind"), "sha256", "byte_length", "bytes")
+        new = new_objects(stored_objects(spark, store, "chunk", pieces), objects).withColumn("bucket", bucket_of("sha256"))
+        new.repartition("bucket").write.partitionBy("kind", "bucket").mode("append").parquet(f"{store}/objects")
         pieces.select(F.col("file").alias("path"), "thread_id", "pos", "sha256", "byte_length").write.mode("overwrite").parquet(f"{store}/manifests/batch={number}")
         noted = found.filter("kind IS NOT NULL").select("path", "kind").unionByName(lines.filter("warning IS NOT NULL").select(F.col("file").alias("path"), F.col("warning").alias("kind")))
         noted.write.mode("overwrite").parquet(f"{store}/warnings/batch={number}")

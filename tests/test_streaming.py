@@ -26,6 +26,17 @@ def test_ingest_appends_each_chunk_once(spark, tmp_path):
     assert noted == [("rollout-1.jsonl", "invalid_json"), ("rollout-2.jsonl", "invalid_json"), ("rollout-3.jsonl", "missing_session_meta"), ("rollout-4.jsonl", "invalid_json")]
 
 
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ids = [f"sha256:{i:02x}" + "0" * 62 for i in range(256)]
+    rows = spark.createDataFrame([(s, 1, bytearray(b"x"), "chunk", s[7:9]) for s in ids], T._OBJECTS)
+    rows.repartition("bucket").write.partitionBy("kind", "bucket").parquet(f"{store}/objects")
+    wanted = spark.createDataFrame([(ids[3],), (ids[3],), (ids[200],)], "sha256 string")
+    have = T.stored_objects(spark, store, "chunk", wanted)
+    assert len(have.inputFiles()) == 2 and sorted(r.sha256 for r in have.collect()) == [ids[3], ids[200]]
+    assert T.stored_objects(spark, store, "other", wanted).collect() == []
+
+
 def test_commits(spark, tmp_path):
     log = spark.createDataFrame([c[:-1] for c in COMMITS], LOG)
     log.coalesce(1).write.parquet(str(tmp_path / "log"))
