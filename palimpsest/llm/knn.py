@@ -11,6 +11,10 @@ dealt into blocks, the vectors sent to it into slices; each pair is solved local
 slices' best are ranked once more. Distances and bounds are floating-point with a margin for
 rounding; scores are integers.
 
+A slice answers only with hits that reach the query's own bound. Where there are more than BOUND_STEPS times SAMPLE vectors the
+bounds are raised first, by searches among ever larger parts of the vectors, each BOUND_STEPS times the one before: a
+search then finds about BOUND_STEPS times k hits for a query, however many slices there are.
+
 The sample and the pivots are bounded and only steer the work; every vector is placed and every
 one that could be a hit is scored. Where vectors lie evenly in many dimensions no bound excludes
 any, and each is sent to every group.
@@ -18,6 +22,8 @@ any, and each is sent to every group.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +33,9 @@ from .common import materialize
 PIVOTS, SAMPLE = 1_024, 4_096
 SLICE_ROWS = 8_000
 BLOCK_QUERIES = 8_192
+BOUND_STEPS = 16
+#: Parts of the vectors are taken by so many bits of a hash of their ids.
+PART_BITS = 40
 MARGIN = 1e-6
 
 
@@ -82,6 +91,22 @@ def _query_summary(width: int, pivots: np.ndarray, sample: np.ndarray, sample_id
     return summary
 
 
+def _own_bounds(width: int, sample: np.ndarray, sample_ids: np.ndarray, k: int):
+    """Each query with a score that k of its hits reach at least."""
+
+    def bounds(batches):
+        least = np.iinfo(np.int64).min
+        for b in batches:
+            q = np.frombuffer(b"".join(b["v"]), np.int64).reshape(-1, width).astype(float)
+            scores = q @ sample.T
+            scores[b["vec_id"].to_numpy()[:, None] == sample_ids[None]] = -np.inf
+            reach = np.partition(scores, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k] if len(sample_ids) >= k else np.full(len(q), -np.inf)
+            low = np.floor(reach - MARGIN * np.abs(reach)) - 1
+            yield b.assign(bound=np.where(np.isfinite(low), low, float(least)).astype(np.int64))
+
+    return bounds
+
+
 def _groups(cells: np.ndarray, asked: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
     """The group of each cell of queries (-1: no queries): a walk from cell to nearest cell, cut where `most` queries are reached."""
     group, number, held = np.full(len(asked), -1), 0, 0
@@ -101,7 +126,7 @@ def _local(width: int, k: int):
 
         if not len(q) or not len(d):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        queries, asked = np.frombuffer(b"".join(q["v"]), np.int64).reshape(-1, width), q["vec_id"].to_numpy()
+        queries, asked, bounds = np.frombuffer(b"".join(q["v"]), np.int64).reshape(-1, width), q["vec_id"].to_numpy(), q["bound"].to_numpy()
         d = d.sort_values("vec_id", kind="stable")
         data, ids = np.frombuffer(b"".join(d["v"]), np.int64).reshape(-1, width), d["vec_id"].to_numpy()
         # Sums under 2**53 are exact in floating point, which has the fast product.
@@ -114,9 +139,9 @@ def _local(width: int, k: int):
             scores = ((queries[at : at + 64].astype(float) if exact else queries[at : at + 64]) @ flat).astype(np.int64)
             scores[own[:, None] == ids[None]] = least  # a vector is no hit of its own id
             edges = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), least)
-            for query, s, edge in zip(own, scores, edges):
-                near = np.flatnonzero(s > edge)
-                if len(near) < k and edge > least:
+            for query, s, edge, bound in zip(own, scores, edges, bounds[at : at + 64]):
+                near = np.flatnonzero((s > edge) & (s >= bound))
+                if len(near) < k and edge > least and edge >= bound:
                     near = np.concatenate([near, np.flatnonzero(s == edge)[: k - len(near)]])  # the smallest ids
                 found.append((np.full(len(near), query), ids[near], s[near]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
@@ -175,32 +200,51 @@ def top_k(vectors: DataFrame, query_every: int = 100, k: int = 10, n_pivots: int
             yield pd.DataFrame([(g, len(hits)) for g, hits in wanted(b)], columns=["to", "n"])
 
     per_group = {r[0]: r[1] for r in placed.select("cell", "away").mapInPandas(count, "to int, n long").groupBy("to").agg(F.sum("n")).collect()}
-    slices = {g: max(1, -(-per_group.get(g, 0) // SLICE_ROWS)) for g in range(n_groups)}
     if counts is not None:
         counts.update(vectors=rows, groups=n_groups, cells=m, sent=sum(n * blocks[g] for g, n in per_group.items()))
 
-    def send(batches):
-        import pandas as pd
+    parts = []  # shares of the vectors in which better bounds are found
+    while rows * BOUND_STEPS ** -(len(parts) + 1) > SAMPLE:
+        parts.append(BOUND_STEPS ** -(len(parts) + 1))
 
-        for b in batches:
-            ids, v = b["vec_id"].to_numpy(), b["v"].to_numpy()
-            for g, hits in wanted(b):
-                one = pd.DataFrame({"to": g, "slice": (ids[hits] * 2654435761 >> 7) % slices[g], "vec_id": ids[hits], "v": v[hits]})
-                for block in range(blocks[g]):
-                    yield one.assign(block=block)[["to", "block", "slice", "vec_id", "v"]]
+    def sends(slices: dict):
+        def send(batches):
+            import pandas as pd
 
-    def deal(batches):
-        import pandas as pd
+            for b in batches:
+                ids, v = b["vec_id"].to_numpy(), b["v"].to_numpy()
+                for g, hits in wanted(b):
+                    one = pd.DataFrame({"to": g, "slice": (ids[hits] * 2654435761 >> 7) % slices[g], "vec_id": ids[hits], "v": v[hits]})
+                    for block in range(blocks[g]):
+                        yield one.assign(block=block)[["to", "block", "slice", "vec_id", "v"]]
 
-        for b in batches:
-            for g, own in b.groupby(group[b["cell"].to_numpy()]):
-                block = (own["vec_id"].to_numpy() // query_every) % blocks[int(g)]
-                for s in range(slices[int(g)]):
-                    yield pd.DataFrame({"to": int(g), "block": block, "slice": s, "vec_id": own["vec_id"], "v": own["v"]})
-
-    kind = "to int, block long, slice long, vec_id long, v binary"
-    sent, dealt = placed.mapInPandas(send, kind), queries.dropDuplicates(["vec_id", "v"]).mapInPandas(deal, kind)
-    keys = ["to", "block", "slice"]
-    met = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_local(width, k), "query_id long, vec_id long, score long")
+        return send
+
+    def deals(slices: dict):
+        def deal(batches):
+            import pandas as pd
+
+            for b in batches:
+                for g, own in b.groupby(group[b["cell"].to_numpy()]):
+                    block = (own["vec_id"].to_numpy() // query_every) % blocks[int(g)]
+                    for s in range(slices[int(g)]):
+                        yield pd.DataFrame({"to": int(g), "block": block, "slice": s, "vec_id": own["vec_id"], "v": own["v"], "bound": own["bound"]})
+
+        return deal
+
+    kind, keys = "to int, block long, slice long, vec_id long, v binary", ["to", "block", "slice"]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(data: DataFrame, asked: DataFrame, share: float = 1) -> DataFrame:
+        slices = {g: max(1, math.ceil(per_group.get(g, 0) * share / SLICE_ROWS)) for g in range(n_groups)}
+        sent, dealt = data.mapInPandas(sends(slices), kind), asked.mapInPandas(deals(slices), kind + ", bound long")
+        met = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_local(width, k), "query_id long, vec_id long, score long")
+        return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked_rows = queries.dropDuplicates(["vec_id", "v"]).mapInPandas(_own_bounds(width, sample, sample_ids, k), "vec_id long, cell int, away double, v binary, bound long")
+    for share in reversed(parts):
+        part = placed.filter(F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(7)), 64 - PART_BITS) < int(share * (1 << PART_BITS)))
+        asked_rows = materialize(asked_rows, "bounds")
+        raised = search(part, asked_rows, share).filter(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("reached"))
+        asked_rows = asked_rows.join(materialize(raised, "raised"), F.col("vec_id") == F.col("of"), "left").withColumn("bound", F.greatest("bound", "reached")).drop("of", "reached")
+    return search(placed, asked_rows)

@@ -345,6 +345,20 @@ def test_pfair_windows():
         assert all(k * total // w <= t < -(-(k + 1) * total // w) for w, s in zip(weights, slots) for k, t in enumerate(s))
 
 
+def test_a_slice_answers_only_what_reaches_the_bound():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    data, query = rng.integers(-50, 50, (400, 6)), rng.integers(-50, 50, 6)
+    scores = data @ query
+    bound = int(np.sort(scores)[-4])
+    q = pd.DataFrame({"vec_id": [1000], "v": [query.tobytes()], "bound": [bound]})
+    d = pd.DataFrame({"vec_id": range(400), "v": [r.tobytes() for r in data]})
+    got = knn._local(6, 10)(q, d)
+    assert sorted(got["score"]) == sorted(scores[scores >= bound])
+    assert len(knn._local(6, 10)(q.assign(bound=np.iinfo(np.int64).min), d)) == 10
+
+
 def plain_top(rows, k):
     out = []
     for i, q in rows:
@@ -356,8 +370,11 @@ def plain_top(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_top_k(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, sample", [(False, knn.SAMPLE), (True, knn.SAMPLE), (False, 25), (True, 25)])
+def test_top_k(spark, monkeypatch, hot, sample):
+    """With few vectors in the sample, bounds are raised among parts of the vectors first."""
+    monkeypatch.setattr(knn, "SAMPLE", sample)
+    monkeypatch.setattr(knn, "BOUND_STEPS", 4)
     monkeypatch.setattr(knn, "SLICE_ROWS", 100)
     monkeypatch.setattr(knn, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(8)
