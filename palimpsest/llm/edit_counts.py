@@ -3,8 +3,9 @@
 A leaf is a word with the white space before it and the marks behind it: the library never joins
 what stands on both sides of the step from a visible character to white space. A leaf knows its
 characters and ids; leaves stand in blocks of up to FAN_OUT, blocks in nodes of up to FAN_OUT, and
-each node knows the sums of what is below it. Trees are kept as a table: the text and two
-arrays with the characters and ids of its leaves, from which the sums follow without encoding.
+each node knows the sums of what is below it. Trees are kept as a table: the text, two
+arrays with the characters and ids of its leaves, and the sums of its blocks. A tree read from it stands on those sums; a block
+looks into the arrays only when an edit comes to it. Edited trees go back into such a table with their texts, ready for the next edits.
 
 An edit finds its first and last leaf by descending the sums, takes as much context as a safe step
 needs on either side, encodes that region, splits the tree at both its ends and joins the
@@ -37,6 +38,19 @@ class Block:
         self.chars, self.ids = len(text), sum(counts)
 
 
+class Stored(Block):
+    """A block of a tree that was read from a table, known by its sums until it is looked at."""
+
+    __slots__ = ("source", "at", "leaf", "leaves")
+
+    def __init__(self, source: tuple, at: int, leaf: int, leaves: int, chars: int, ids: int):
+        self.source, self.at, self.leaf, self.leaves, self.chars, self.ids = source, at, leaf, leaves, chars, ids
+
+    text = property(lambda self: self.source[0][self.at : self.at + self.chars])
+    sizes = property(lambda self: self.source[1][self.leaf : self.leaf + self.leaves].tolist())
+    counts = property(lambda self: self.source[2][self.leaf : self.leaf + self.leaves].tolist())
+
+
 class Node:
     """Up to FAN_OUT blocks or nodes of one height, and their sums."""
 
@@ -74,6 +88,17 @@ def grow(text: str, sizes: list[int], counts: list[int]):
     return level[0] if level else None
 
 
+def blocks_of(tree):
+    """The blocks of a tree in order."""
+    todo = [tree] if tree is not None else []
+    while todo:
+        x = todo.pop()
+        if x.height:
+            todo.extend(reversed(x.kids))
+        else:
+            yield x
+
+
 def join(a, b):
     """The tree of all of a and then all of b: one path of the taller tree is made anew."""
     if a is None or b is None:
@@ -96,11 +121,12 @@ def split(tree, place: int):
     if place >= tree.chars:
         return tree, None
     if tree.height == 0:
+        text, sizes, counts = tree.text, tree.sizes, tree.counts
         k = before = 0
         while before < place:
-            before += tree.sizes[k]
+            before += sizes[k]
             k += 1
-        return Block(tree.text[:before], tree.sizes[:k], tree.counts[:k]), Block(tree.text[before:], tree.sizes[k:], tree.counts[k:])
+        return Block(text[:before], sizes[:k], counts[:k]), Block(text[before:], sizes[k:], counts[k:])
     k = before = 0
     while before + tree.kids[k].chars <= place:
         before += tree.kids[k].chars
@@ -118,11 +144,12 @@ def leaf_at(tree, place: int) -> tuple[int, str]:
             before += tree.kids[k].chars
             k += 1
         tree = tree.kids[k]
+    sizes = tree.sizes
     k, at = 0, 0
-    while k < len(tree.sizes) - 1 and before + at + tree.sizes[k] <= place:
-        at += tree.sizes[k]
+    while k < len(sizes) - 1 and before + at + sizes[k] <= place:
+        at += sizes[k]
         k += 1
-    return before + at, tree.text[at : at + tree.sizes[k]]
+    return before + at, tree.text[at : at + sizes[k]]
 
 
 def text_between(tree, start: int, end: int) -> str:
@@ -142,9 +169,29 @@ def text_between(tree, start: int, end: int) -> str:
 class CountTree:
     """The tree of one document. `leaves` gives the leaves of a text, `count` the ids of each of them."""
 
-    def __init__(self, leaves, count, text: str, sizes: list[int] | None = None, counts: list[int] | None = None):
+    def __init__(self, leaves, count, text: str | None):
         self.cut, self.count, self.encoded = leaves, count, 0
-        self.root = grow(text, sizes, counts) if sizes is not None else self._encode(text)
+        self.root = self._encode(text) if text is not None else None
+
+    @classmethod
+    def stored(cls, leaves, count, text: str, sizes: bytes, counts: bytes, sums: bytes):
+        """The tree of a row of build_trees; see packed."""
+        tree = cls(leaves, count, None)
+        source, n = (text, _unpacked(sizes), _unpacked(counts)), np.frombuffer(sums, "<u4").reshape(-1, 3).astype(np.int64)
+        starts = np.cumsum(n, 0) - n
+        level = [Stored(source, at, leaf, *own) for (leaf, at, _), own in zip(starts.tolist(), n.tolist())]
+        while len(level) > 1:
+            level = [Node(level[i : i + FAN_OUT]) for i in range(0, len(level), FAN_OUT)]
+        tree.root = level[0] if level else None
+        return tree
+
+    def packed(self) -> tuple[str, bytes, bytes, bytes]:
+        """text, sizes, counts, sums (leaves, characters and ids of each block), as build_trees gives them."""
+        own = list(blocks_of(self.root))
+        part = lambda b, i: b.source[i][b.leaf : b.leaf + b.leaves] if isinstance(b, Stored) else (b.sizes if i == 1 else b.counts)
+        joined = [_packed(np.concatenate([np.asarray(part(b, i), np.int64) for b in own]) if own else []) for i in (1, 2)]
+        sums = [(b.leaves if isinstance(b, Stored) else len(b.sizes), b.chars, b.ids) for b in own]
+        return "".join(b.text for b in own), *joined, np.array(sums, "<u4").tobytes()
 
     def _encode(self, text: str):
         found = self.cut(text)
@@ -212,11 +259,15 @@ def _leaves(e):
     return e.whole_pieces, count
 
 
-_TREE = "doc_id long, text string, sizes binary, counts binary"
+_TREE = "doc_id long, text string, sizes binary, counts binary, sums binary"
+
+
+_NAMES = [x.split()[0] for x in _TREE.split(", ")]
+_EDITED = ["doc_id", "chars_before", "n_before", "chars_after", "n_after", "chars_encoded", "leaves", "nodes_made"]
 
 
 def build_trees(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
-    """doc_id, text, sizes, counts (two bytes or four for each leaf: the first byte of each array tells) and the edits, if docs has them.
+    """doc_id, text, sizes, counts (one byte or four for each leaf: the first byte of each array tells), sums (of the blocks) and the edits, if docs has them.
 
     Null texts count as empty and have no leaves; repeated rows have a tree each; an empty table gives no rows.
     """
@@ -228,52 +279,56 @@ def build_trees(docs: DataFrame, tokenizer: str, added_tokens: bool = False) ->
         cut, count = _leaves(encoder(tokenizer, added_tokens=added_tokens))
         for batch in slices(batches):
             texts = [t.as_py() or "" for t in batch.column("text")]
-            found = [cut(t) for t in texts]
-            sizes, counts = ([_packed(x) for x in c] for c in (([len(x) for x in f] for f in found), map(count, found)))
-            columns = [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(sizes, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *([batch.column("edits")] if keeps else [])], ["doc_id", "text", "sizes", "counts", *(["edits"] if keeps else [])])
+            trees = [CountTree(cut, count, t).packed() for t in texts]
+            columns = [batch.column("doc_id"), pa.array(texts, pa.string()), *(pa.array([t[i] for t in trees], pa.binary()) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column("edits")] if keeps else [])], [*_NAMES, *(["edits"] if keeps else [])])
 
     edits = ", edits " + docs.schema["edits"].dataType.simpleString() if keeps else ""
     return docs.select("doc_id", "text", *(["edits"] if keeps else [])).mapInArrow(build, _TREE + edits)
 
 
-def _packed(values: list[int]) -> bytes:
-    x = np.array(values, np.int64)
+def _packed(values) -> bytes:
+    x = np.asarray(values, np.int64)
     width = 1 if x.max(initial=0) < 256 else 4
     return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
-def _unpacked(data: bytes) -> list[int]:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
-def edit_trees(trees: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
+def edit_trees(trees: DataFrame, tokenizer: str, added_tokens: bool = False, keep: bool = False) -> DataFrame:
     """One row per tree of build_trees with its edits: doc_id, chars_before, n_before, chars_after, n_after, chars_encoded, leaves, nodes_made.
 
     edits: start, end, new; applied in order, each on the text the last one left. The n count ids
     by the tokenizer without special tokens; chars_encoded is what the edits made it encode,
     nodes_made the inner nodes they made. Null edits count as none, places outside the text are
-    clipped, a null replacement deletes.
+    clipped, a null replacement deletes. With keep the edited tree is there as well (text, sizes, counts, sums), so that the
+    table written of it takes the place of the one before.
     """
+    more = _NAMES[1:] if keep else []
 
     def edit(batches):
         import pyarrow as pa
 
         cut, count = _leaves(encoder(tokenizer, added_tokens=added_tokens))
-        names = ["doc_id", "chars_before", "n_before", "chars_after", "n_after", "chars_encoded", "leaves", "nodes_made"]
+        kinds = [pa.int64()] * len(_EDITED) + [pa.string(), pa.binary(), pa.binary(), pa.binary()][: len(more)]
         for batch in slices(batches):
             out = []
-            for doc, text, sizes, counts, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "sizes", "counts", "edits"))):
-                sizes = _unpacked(sizes)
-                tree = CountTree(cut, count, text, sizes, _unpacked(counts))
+            for doc, *stored, edits in zip(*(batch.column(c).to_pylist() for c in (*_NAMES, "edits"))):
+                tree = CountTree.stored(cut, count, *stored)
                 before, made = tree.total, Node.made
                 for x in edits or []:
                     if x:
                         tree.edit(x["start"] or 0, x["end"] if x["end"] is not None else x["start"] or 0, x["new"] or "")
-                out.append((doc, *before, *tree.total, tree.encoded, len(sizes), Node.made - made))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 8, names)
-
-    return trees.mapInArrow(edit, "doc_id long, chars_before long, n_before long, chars_after long, n_after long, chars_encoded long, leaves long, nodes_made long")
+                made = Node.made - made
+                leaves = (len(stored[1]) - 1) // stored[1][0]
+                out.append((doc, *before, *tree.total, tree.encoded, leaves, made, *(tree.packed() if keep else ())))
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*_EDITED, *more])
+
+    kind = ", ".join(f"{c} long" for c in _EDITED) + ("," + _TREE.split(",", 1)[1] if keep else "")
+    return trees.mapInArrow(edit, kind)
 
 
 def edited_counts(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from palimpsest.llm import edit_counts, html_text, quality, token_files, tokens
+from palimpsest.llm.common import materialize
 from palimpsest.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string"
@@ -127,6 +128,33 @@ def test_edited_counts(spark):
     assert long[5] < long[3] / 3  # a long text is not encoded again as a whole
 
 
+@pytest.mark.parametrize("fan_out", [2, 32])
+def test_batches_of_edits_on_kept_trees(spark, monkeypatch, fan_out):
+    """Three batches of edits, each on the table that the last one wrote: texts, counts and sums are those of the text encoded afresh."""
+    monkeypatch.setattr(edit_counts, "FAN_OUT", fan_out)
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(9)
+    texts = dict(enumerate([t or "" for t in ODD] + ["many words go by " * 400]))
+    trees = edit_counts.build_trees(spark.createDataFrame(list(texts.items()), DOCS), path)
+    for _ in range(3):
+        script = {}
+        for i, s in texts.items():
+            script[i] = [(a := rng.randrange(len(s) + 1), a + rng.randrange(30), rng.choice(["", " new", "x", "one two ", "\n\n", "é"])) for _ in range(rng.randrange(4))]
+            for start, end, new in script[i]:
+                s = s[:start] + new + s[max(start, end) :] if start <= len(s) else s + new
+            texts[i] = s
+        edits = spark.createDataFrame(list(script.items()), "of long, edits array<struct<start: long, end: long, new: string>>")
+        kept = materialize(edit_counts.edit_trees(trees.join(edits, trees.doc_id == edits.of).drop("of"), path, keep=True), "kept")
+        trees = kept.select(*edit_counts._NAMES)
+        got = {r.doc_id: r for r in kept.collect()}
+        assert {i: r.text for i, r in got.items()} == texts
+        ids = brute_ids("byte_bpe_50k.json", list(texts.values()))
+        assert [(got[i].chars_after, got[i].n_after) for i in texts] == [(len(s), len(x)) for s, x in zip(texts.values(), ids)]
+        for r in got.values():
+            sums = np.frombuffer(r.sums, "<u4").reshape(-1, 3)
+            assert tuple(sums.sum(0)) == (len(edit_counts._unpacked(r.sizes)), r.chars_after, r.n_after) and edit_counts._unpacked(r.counts).sum() == r.n_after
+    assert got[len(texts) - 1].chars_encoded < 400
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies for you and that is what it is for</div>
 <div class="content with-ads"><h2>Title &amp; more</h2><p>The cat sat on the mat and it was the best of all the times that we had, so they said. <a href=x>And a link</a> that goes on for the reader.</p><p>Short
  one.<br>Next<p>Another of the paragraphs that we have in this text for the reader, who is there to see it and be with it at the end of the day.</div>
