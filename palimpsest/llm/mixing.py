@@ -9,13 +9,17 @@ weights in parts of PERIOD, so a share is off its target by half a part at most.
 
 When a source's blocks run out, the rest share its slots by their own weights: a new phase with a
 new period. Sources of weight 0 come when all others are used up. There are no more phases than
-sources, and no row is dropped or repeated.
+sources, and no row is dropped or repeated. Of a phase that is shorter than a period only its own slots are
+simulated. With so many sources that the phases could have more than SLOTS slots in sum, blocks get as many documents
+as keep all blocks within SLOTS; so what the driver works out and sends is bounded, whatever the numbers of sources and documents.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,46 +29,70 @@ BLOCK_DOCS = 32
 PERIOD = 10_000
 #: Slots up to which the schedule is broadcast; a longer one is joined by shuffle.
 BROADCAST_SLOTS = 2_000_000
+#: Most slots that are simulated.
+SLOTS = 4_000_000
 ROWS_PER_BLOCK = 1_000
 
 
-def period_of(weights: list[int]) -> list[list[int]]:
-    """Slots of each source in one period of sum(weights) slots, earliest deadline first.
+def schedule(order, weights: list[int], total: int, n: int, left=None) -> dict[int, list[int]]:
+    """The first n slots, earliest deadline first, or those up to the first source that has its `left` blocks: each source's own slots, of those that have any.
 
-    Ties go to the larger weight, then to the first source.
+    order: the sources, largest weight first, which is the order of their first deadlines; total: the weights' sum. Ties go to the
+    larger weight, then to the first source.
     """
-    total = sum(weights)
-    release = [(0, s) for s, w in enumerate(weights) if w]
-    slots: list[list[int]] = [[] for _ in weights]
+    slots: dict[int, list[int]] = {}
+    release: list[tuple] = []
     ready: list[tuple] = []
-    heapq.heapify(release)
-    for t in range(total):
+    first = 0
+    for t in range(n):
         while release and release[0][0] <= t:
             _, s = heapq.heappop(release)
             heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // weights[s]), -weights[s], s))
-        _, _, s = heapq.heappop(ready)
+        s = int(order[first]) if first < len(order) else None
+        if s is None or ready and ready[0] < (-(-total // weights[s]), -weights[s], s):
+            _, _, s = heapq.heappop(ready)
+        else:
+            slots[s] = []
+            first += 1
         slots[s].append(t)
-        if len(slots[s]) < weights[s]:
-            heapq.heappush(release, (len(slots[s]) * total // weights[s], s))
+        if left is not None and len(slots[s]) == left[s]:
+            break
+        heapq.heappush(release, (len(slots[s]) * total // weights[s], s))
     return slots
 
 
-def phases_of(blocks: list[int], weights: list[int]) -> list[dict]:
-    """Phases in order: base slot, alive sources' weights, first blocks, block counts and slots of a period.
+def period_of(weights: list[int]) -> list[list[int]]:
+    """Slots of each source in one period of sum(weights) slots."""
+    order = sorted((s for s, w in enumerate(weights) if w), key=lambda s: (-weights[s], s))
+    slots = schedule(order, weights, sum(weights), sum(weights))
+    return [slots.get(s, []) for s in range(len(weights))]
+
+
+def phases_of(blocks: list[int], weights: list[int]):
+    """Phases in order: (base slot, sum of weights, rows), a row (source, weight, first block, blocks, slots) for each source that has blocks in it.
 
     A phase runs whole periods and then the part of one that uses up the first source to end.
     """
-    first, base, out = [0] * len(blocks), 0, []
-    while any(f < b for f, b in zip(first, blocks)):
-        alive = [w if f < b else 0 for w, f, b in zip(weights, first, blocks)]
-        if not any(alive):
-            alive = [int(f < b) for f, b in zip(first, blocks)]
-        slots, total = period_of(alive), sum(alive)
-        end = min(((b - f - 1) // w * total + slots[s][(b - f - 1) % w] + 1 for s, (f, b, w) in enumerate(zip(first, blocks, alive)) if w))
-        counts = [end // total * w + sum(x < end % total for x in slots[s]) for s, w in enumerate(alive)]
-        out.append({"base": base, "total": total, "weights": alive, "first": list(first), "counts": counts, "slots": slots})
-        first, base = [f + c for f, c in zip(first, counts)], base + end
-    return out
+    size, weight = np.array(blocks, np.int64), np.array(weights, np.int64)
+    first, base = np.zeros(len(size), np.int64), 0
+    for group in (np.flatnonzero((weight > 0) & (size > 0)), np.flatnonzero((weight == 0) & (size > 0))):
+        w = np.maximum(weight, 1)
+        plain = w.tolist()
+        order = group[np.lexsort((group, -w[group]))]
+        while len(order):
+            left, total = size - first, int(w[order].sum())
+            slots = schedule(order, plain, total, total, left)
+            ended = [own[-1] + 1 for s, own in slots.items() if len(own) == left[s]]  # else the period is whole and no source has run out in it
+            end = ended[0] if ended else min((int(left[s]) - 1) // plain[s] * total + own[(int(left[s]) - 1) % plain[s]] + 1 for s, own in slots.items())
+            rows = []
+            for s, own in slots.items():
+                count = len(own) if ended else end // total * plain[s] + bisect.bisect_left(own, end % total)
+                if count:
+                    rows.append((s, plain[s], int(first[s]), count, own))
+                    first[s] += count
+            yield base, total, rows
+            base += end
+            order = order[first[order] < size[order]]
 
 
 def target_weights(counts: dict, weights: dict | None, alpha: float, period: int) -> dict:
@@ -100,13 +128,11 @@ def mix(
     keys = sorted(counts)
     given = {f"s{s}" if s is not None else "": w for s, w in weights.items()} if weights else None
     share = target_weights(counts, given, alpha, period)
+    documents = sum(counts.values())
+    if len(keys) * max(period, 4 * len(keys)) > SLOTS:
+        block_docs = max(block_docs, -(-documents // max(1, SLOTS - len(keys))))
     phases = phases_of([-(-counts[k] // block_docs) for k in keys], [share[k] for k in keys])
-    table = [
-        (k, p, x["base"], x["total"], x["weights"][s], x["first"][s], x["first"][s] + x["counts"][s], x["slots"][s])
-        for p, x in enumerate(phases)
-        for s, k in enumerate(keys)
-        if x["counts"][s]
-    ]
+    table = [(keys[s], p, base, total, weight, first, first + n, slots) for p, (base, total, rows_) in enumerate(phases) for s, weight, first, n, slots in rows_]
     kind = "p_key string, phase int, base long, total long, weight long, first long, last long, slots array<long>"
     plan = spark.createDataFrame(table or [("", 0, 0, 1, 1, 0, 0, [0])], kind)  # sources x phases rows, `period` slots a phase
     light = named.select("doc_id", "key")

@@ -359,6 +359,44 @@ def test_a_slice_answers_only_what_reaches_the_bound():
     assert len(knn._local(6, 10)(q.assign(bound=np.iinfo(np.int64).min), d)) == 10
 
 
+def test_phases_against_a_plain_simulation():
+    """Slot by slot with all live sources, a new period whenever one has run out."""
+    rng = random.Random(7)
+    for _ in range(40):
+        n = rng.randint(1, 7)
+        blocks, weights = [rng.choice([0, 1, 2, 5, 60]) for _ in range(n)], [rng.choice([0, 1, 2, 9]) for _ in range(n)]
+        left, want, base = list(blocks), [], 0
+        while any(left):
+            live = [w if b else 0 for w, b in zip(weights, left)]
+            live = live if any(live) else [int(b > 0) for b in left]
+            slots, total, done = mixing.period_of(live), sum(live), [0] * n
+            owner = {t: s for s, own in enumerate(slots) for t in own}
+            t = 0
+            while all(d < b for d, b, w in zip(done, left, live) if w):
+                done[owner[t % total]] += 1
+                want.append(owner[t % total])
+                t += 1
+            left, base = [b - d for b, d in zip(left, done)], base + t
+        got = {}
+        for base, total, rows in mixing.phases_of(blocks, weights):
+            for s, w, first, count, slots in rows:
+                got |= {base + k // w * total + slots[k % w]: s for k in range(count)}
+        assert [got[t] for t in sorted(got)] == want and sorted(got) == list(range(len(want)))
+
+
+def test_many_sources():
+    """10,000 sources of many sizes: no phase simulates more than it runs, and all blocks have a slot."""
+    import time
+
+    rng = random.Random(3)
+    counts = {f"s{i}": rng.randint(1, 40) for i in range(10_000)}
+    share = mixing.target_weights(counts, None, 0.5, mixing.PERIOD)
+    began, blocks = time.time(), list(counts.values())
+    phases = list(mixing.phases_of(blocks, [share[k] for k in counts]))
+    assert sum(n for _, _, rows in phases for *_, n, _ in rows) == sum(blocks) and sum(len(own) for _, _, rows in phases for *_, own in rows) <= 2 * sum(blocks) + mixing.PERIOD * 5
+    assert time.time() - began < 60
+
+
 def plain_top(rows, k):
     out = []
     for i, q in rows:
