@@ -24,7 +24,7 @@ Reach. Sets that share a token of class 1 meet under it. Those that meet under a
 f tokens of class 1, so at most n - f tokens in all, and that bounds the sizes of the partners that can be similar:
 texts of one template with enough words of their own reach no partner of their size. A set has no pairs and triples
 for levels it does not reach. Under a key of many sets the larger set of a pair asks at the sizes (in steps of some
-3 %) that it reaches, and the smaller one stands at its own size, if it reaches any larger one; so near misses do not even meet.
+13 %) that it reaches, and the smaller one stands at its own size, if it reaches any larger one; so near misses do not even meet.
 
 Candidates share a key, have sizes that can reach the similarity, and parity vectors (one bit per
 hash value, flipped by each token) that differ in no more bits than the sets may differ in
@@ -68,7 +68,7 @@ BROADCAST_ROWS = 1_000_000
 WIDE_BITS = 2_048
 #: Rows of a key above which sets meet by sizes they reach, in steps of a factor of e ** (1 / SIZE_STEPS).
 PLAIN_ROWS = 64
-SIZE_STEPS = 32
+SIZE_STEPS = 8
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -624,11 +624,14 @@ def _met(index: DataFrame, percent: int) -> DataFrame:
     step = lambda size: F.floor(F.log(size.cast("double")) * SIZE_STEPS)
     reached = F.floor((F.col("most") * (100 + percent)) / percent) - F.col("n")
     least, largest = F.ceil(F.col("n") * percent / 100), F.least("n", reached)
-    asks = many.filter(largest >= least).withColumn("step", F.explode(F.sequence(step(least), step(largest))))
-    stands = many.filter(reached >= F.col("n")).withColumn("step", step(F.col("n")))
+    # Only rows outside the largest component are dealt to the sizes they reach, those of smaller and of larger partners.
+    few_of = many.filter("label <> largest")
+    down = few_of.filter(largest >= least).withColumn("step", F.explode(F.sequence(step(least), step(largest))))
+    up = few_of.filter(reached >= F.col("n")).withColumn("step", F.explode(F.sequence(step(F.col("n")), step(F.least(reached, F.floor(F.col("n") * 100 / percent))))))
+    own = many.withColumn("step", step(F.col("n")))
     larger = (F.col("x.step") == F.col("y.step")) & ((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
-    for one, other in (("label <> largest", "true"), ("label = largest", "label <> largest")):
-        met.append(asks.filter(one).alias("x").join(stands.filter(other).alias("y"), apart & larger))
+    met.append(down.alias("x").join(own.filter(reached >= F.col("n")).alias("y"), apart & larger))
+    met.append(own.filter("label = largest").filter(largest >= least).alias("x").join(up.alias("y"), apart & larger))
     return reduce(DataFrame.union, (m.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")) for m in met)).distinct()
 
 
