@@ -102,6 +102,11 @@ def effective_time_ms(updated_ms: Column, created_ms: Column, row_updated_ms: Co
     return F.coalesce(updated_ms, created_ms, row_updated_ms, row_updated * 1000, row_created_ms, row_created * 1000)
 
 
+def unix_millis(ts: Column) -> Column:
+    """Milliseconds of a timestamp, microseconds rounded half away from zero (not cut, as Spark's own function does)."""
+    return (F.round(F.unix_micros(ts), -3) / 1000).cast("long")
+
+
 def clean_description(value: Column) -> Column:
     return F.substring(trimmed(value), 1, 500)
 

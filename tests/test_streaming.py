@@ -90,3 +90,16 @@ def test_sliding_rate_stream_is_the_batch_rate(spark, tmp_path):
     out.writeStream.format("memory").queryName("sliding").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
     got = {r.event: (r.rate, r.eta_seconds) for r in spark.table("sliding").collect() if r.job != "z"}
     assert got == want and len(got) == 120
+
+
+def _micros(n):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=n)
+
+
+def test_transfer_rate_rounds_to_milliseconds(spark):
+    """As epoch_ms of the queries' SQL does: halves up."""
+    rows = [(1, _micros(999_600), 100, 0), (1, _micros(1_200_499), 110, 0), (1, _micros(1_300_500), 120, 0)]
+    df = spark.createDataFrame(rows, "job long, ts timestamp, bytes long, rest long")
+    assert [r.rate for r in T.transfer_rate(df, 5, "rest").orderBy("ts").collect()] == [None, 210 / 0.2, 330 / 0.301]
