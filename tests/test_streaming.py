@@ -103,3 +103,17 @@ def test_transfer_rate_rounds_to_milliseconds(spark):
     rows = [(1, _micros(999_600), 100, 0), (1, _micros(1_200_499), 110, 0), (1, _micros(1_300_500), 120, 0)]
     df = spark.createDataFrame(rows, "job long, ts timestamp, bytes long, rest long")
     assert [r.rate for r in T.transfer_rate(df, 5, "rest").orderBy("ts").collect()] == [None, 210 / 0.2, 330 / 0.301]
+
+
+def test_sliding_rate_stream_waits_for_the_whole_millisecond(spark, tmp_path):
+    """A late event in the millisecond that the watermark stands in counts for its peer there, too."""
+    rows = [("a", 1, _micros(9_000_600), 5, 0), ("a", 2, _micros(10_000_000), 7, 0), ("z", -1, _micros(12_000_000), 0, 0)]
+    late = [("a", 3, _micros(10_000_300), 9, 0)]
+    df = spark.createDataFrame(rows + late, "job string, event long, ts timestamp, bytes long, remaining long")
+    want = {r.event: r.rate for r in T.transfer_rate(df.filter("event > 0"), 2, "remaining").collect()}
+    for part in (rows, [("z", -2, _micros(12_000_000), 0, 0)], late, [("z", -3, _micros(10**9), 0, 0)]):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = T.sliding_rate_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 2, "2 seconds")
+    out.writeStream.format("memory").queryName("whole_ms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    assert {r.event: r.rate for r in spark.table("whole_ms").collect() if r.job != "z"} == want
+    assert want[2] == want[3] == 21 / 0.999
