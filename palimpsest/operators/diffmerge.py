@@ -236,13 +236,28 @@ def restore_status(tracking: DataFrame, namespaces: DataFrame, revisions: DataFr
     revisions: namespace_id, revision, warning_count.
     """
     rows = tracking.join(namespaces, "namespace_id").join(revisions, "namespace_id")
-    state = (
+    return rows.select("home_key", "namespace_id", "revision", _restore_state(F.col("warning_count") > 0).alias("restore"))
+
+
+def _restore_state(warned: Column) -> Column:
+    return (
         F.when(F.col("remote_epoch") != F.col("namespace_epoch"), "epoch_changed")
         .when(~F.col("head_revision").eqNullSafe(F.col("integrated_head")), "pull_first")
-        .when(F.col("warning_count") > 0, "has_warnings")
+        .when(warned, "has_warnings")
         .otherwise("restorable")
     )
-    return rows.select("home_key", "namespace_id", "revision", state.alias("restore"))
+
+
+def restore_counts(tracking: DataFrame, namespaces: DataFrame, revisions: DataFrame) -> DataFrame:
+    """home_key, restore, n: how many revisions each home finds in each state of restore_status.
+
+    The state of a revision depends only on whether it has warnings, so revisions are counted by namespace and that
+    before homes meet them: a home meets at most two rows of a namespace, not its revisions.
+    """
+    warned = F.coalesce(F.col("warning_count") > 0, F.lit(False))
+    held = revisions.groupBy("namespace_id", warned.alias("warned")).agg(F.count(F.lit(1)).alias("n"))
+    rows = tracking.join(namespaces.join(held, "namespace_id"), "namespace_id")
+    return rows.groupBy("home_key", _restore_state(F.col("warned")).alias("restore")).agg(F.sum("n").alias("n"))
 
 
 def workspace_clean(local: DataFrame, base: DataFrame, by: list[str]) -> DataFrame:

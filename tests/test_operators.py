@@ -220,3 +220,21 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert rows(S.load_snapshot(spark, "s1", str(tmp_path)), *t.columns) == rows(t)
     with pytest.raises(Exception, match="already exists"):
         S.publish_snapshot(t, "s1", str(tmp_path))
+
+
+def test_restore_counts_are_those_of_the_pairs(spark):
+    tracking = spark.createDataFrame([(1, 0, 5, 1), (2, 0, 4, 1), (3, 0, 5, 2), (1, 1, None, 1), (4, 2, 5, 1)], "home_key long, namespace_id long, integrated_head long, remote_epoch long")
+    namespaces = spark.createDataFrame([(0, 5, 1), (1, None, 1), (3, 5, 1)], "namespace_id long, head_revision long, namespace_epoch long")
+    revisions = spark.createDataFrame([(0, 1, 0), (0, 2, 3), (0, 3, None), (1, 4, 0), (3, 5, 0)], "namespace_id long, revision long, warning_count long")
+    want = D.restore_status(tracking, namespaces, revisions).groupBy("home_key", "restore").agg(F.count(F.lit(1)).alias("n"))
+    got = D.restore_counts(tracking, namespaces, revisions)
+    assert rows(got) == rows(want, *got.columns) and (1, "restorable", 3) in rows(got)
+
+
+def test_restore_counts_of_one_large_namespace(spark):
+    """100,000 homes and 1,000,000 revisions of one namespace: no pair of them is made."""
+    tracking = spark.range(100_000).select(F.col("id").alias("home_key"), F.lit(0).alias("namespace_id"), F.lit(1).alias("integrated_head"), F.lit(1).alias("remote_epoch"))
+    namespaces = spark.createDataFrame([(0, 1, 1)], "namespace_id int, head_revision int, namespace_epoch int")
+    revisions = spark.range(1_000_000).select(F.lit(0).alias("namespace_id"), F.col("id").alias("revision"), (F.col("id") % 4).alias("warning_count"))
+    got = D.restore_counts(tracking, namespaces, revisions).groupBy("restore", "n").count()
+    assert rows(got) == [("has_warnings", 750_000, 100_000), ("restorable", 250_000, 100_000)]
