@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,24 +137,33 @@ def resolve_namespace(identities: DataFrame, rules: DataFrame) -> DataFrame:
     """The namespace of each identity: off, override, rule, ambiguous or default.
 
     identities: identity, remote_id, auto, override, default_ns, fingerprint, provider, home_key.
-    A rule's set fields must all match; fingerprint scores 4, provider 2, home 1. Rules meet
-    identities on their remote and one pattern of set fields at a time, so each is an equi-join.
+    A rule's set fields must all match; fingerprint scores 4, provider 2, home 1. Rules with the same remote and the
+    same set fields are a group, which is told of once: whether its namespaces differ, the first rule's, and, where they
+    differ, the ids of its rules. Groups meet the distinct values of identities on one pattern of set fields at a time, an
+    equi-join, and identities then look up their values, so no pair of identity and rule is made.
     """
-    fields = (("fingerprint", 4), ("provider", 2), ("home_key", 1))
-    hits = None
-    for pattern in range(1, 8):
-        chosen = [f for f, score in fields if pattern & score]
-        own = rules
-        for f, score in fields:
-            own = own.filter(F.col(f).isNotNull() if pattern & score else F.col(f).isNull())
-        one = identities.join(own.select("remote_id", *chosen, F.col("id").alias("rule_id"), "namespace_id"), ["remote_id", *chosen])
-        one = one.select("identity", "rule_id", "namespace_id", F.lit(pattern).alias("score"))
-        hits = one if hits is None else hits.unionByName(one)
-    best = hits.withColumn("rk", F.rank().over(Window.partitionBy("identity").orderBy(F.desc("score")))).filter("rk = 1")
-    best = best.groupBy("identity").agg(F.count_distinct("namespace_id").alias("n"), F.min_by("namespace_id", "rule_id").alias("rule_ns"), F.array_join(F.array_sort(F.collect_set(F.col("rule_id").cast("string"))), ",").alias("rules"))
-    rows = identities.join(best, "identity", "left")
+    fields = {"fingerprint": 4, "provider": 2, "home_key": 1}
+    masked = [f"__{f}" for f in fields]
+
+    def same(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+        there = other.select(*(F.col(k).alias(f"__same_{k}") for k in keys), *(c for c in other.columns if c not in keys))
+        return df.join(there, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys)), how).drop(*(f"__same_{k}" for k in keys))
+
+    pattern = sum((F.when(F.col(f).isNotNull(), score).otherwise(0) for f, score in fields.items()), F.lit(0))
+    keyed = rules.filter("remote_id IS NOT NULL").select("remote_id", *(F.col(f).alias(f"__{f}") for f in fields), pattern.alias("score"), F.col("id").alias("rule_id"), "namespace_id").filter("score > 0")
+    by = ["remote_id", *masked, "score"]
+    told = [(F.min("namespace_id") != F.max("namespace_id")).alias("several"), F.min("namespace_id").isNotNull().alias("known"), F.min_by("namespace_id", "rule_id").alias("rule_ns")]
+    groups = keyed.groupBy(*by).agg(*told)
+    ids = same(keyed, groups.filter("several").select(*by), by, "left_semi").groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(F.col("rule_id").cast("string"))), ",").alias("rules"))
+    values = ["remote_id", *fields]
+    at = [F.when(F.col("score").bitwiseAND(n) > 0, F.col(f)).alias(f"__{f}") for f, n in fields.items()]
+    asked = identities.select(*values).distinct().withColumn("score", F.explode(F.array(*map(F.lit, range(1, 8)))))
+    hits = same(asked.select(*values, "score", *at), groups, by, "inner")
+    best = hits.groupBy(*values).agg(F.max("score").alias("score"), F.max_by(F.struct("several", "known", "rule_ns"), "score").alias("of")).select(*values, "score", "of.*")
+    best = same(best.select("*", *at), ids, by, "left").select(*values, "several", "known", "rule_ns", "rules")
+    rows = same(identities, best, values, "left")
     kind = (
-        F.when(~F.col("auto"), "default").when(F.col("override").isNotNull(), "override").when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "rule").when(F.col("default_ns").isNotNull(), "default").otherwise("none")
+        F.when(~F.col("auto"), "default").when(F.col("override").isNotNull(), "override").when(F.col("several"), "ambiguous").when(F.col("known"), "rule").when(F.col("default_ns").isNotNull(), "default").otherwise("none")
     )
     rows = rows.withColumn("kind", kind)
     ns = F.when(F.col("kind") == "override", F.col("override")).when(F.col("kind") == "rule", F.col("rule_ns")).when(F.col("kind") == "default", F.col("default_ns"))

@@ -238,3 +238,35 @@ def test_restore_counts_of_one_large_namespace(spark):
     revisions = spark.range(1_000_000).select(F.lit(0).alias("namespace_id"), F.col("id").alias("revision"), (F.col("id") % 4).alias("warning_count"))
     got = D.restore_counts(tracking, namespaces, revisions).groupBy("restore", "n").count()
     assert rows(got) == [("has_warnings", 750_000, 100_000), ("restorable", 250_000, 100_000)]
+
+
+def test_resolve_namespace_by_groups_of_rules(spark):
+    """Against every pair of identity and rule; fields of identities and namespaces may be null, ids of rules repeat."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda *v: rng.choice([None, *v])
+    who = [(i, rng.choice([0, 1, None]), i % 7 > 0, 99 if i % 11 == 0 else None, 7 if i % 3 == 0 else None, some(1, 2, 3), some("p", "q"), some(5, 6)) for i in range(300)]
+    rules = [(rng.randrange(60), rng.choice([0, 1, None]), some(1, 2) if i % 3 else 1, some(1, 2, 3), some("p", "q"), some(5, 6)) for i in range(40)]
+    rules = list({r[0]: r for r in rules}.values()) + [rules[0]]
+    want = []
+    for i, remote, auto, override, default, *mine in who:
+        hits = [(sum(s for v, s in zip(r[3:], (4, 2, 1)) if v is not None), r) for r in rules if remote is not None and r[1] == remote and any(v is not None for v in r[3:]) and all(v is None or v == m for v, m in zip(r[3:], mine))]
+        top = [r for score, r in hits if score == max(h[0] for h in hits)]
+        spaces = {r[2] for r in top} - {None}
+        kind = "default" if not auto else "override" if override else "ambiguous" if len(spaces) > 1 else "rule" if spaces else "default" if default else "none"
+        first = [r[2] for r in sorted(top, key=lambda r: r[0])[:1]]
+        ns = {"override": override, "rule": first[0] if first else None, "default": default}.get(kind)
+        want.append((i, kind, ns, ",".join(sorted({str(r[0]) for r in top})) if kind == "ambiguous" else None))
+    identities = spark.createDataFrame(who, "identity long, remote_id long, auto boolean, override int, default_ns int, fingerprint long, provider string, home_key int")
+    found = P.resolve_namespace(identities, spark.createDataFrame(rules, "id long, remote_id long, namespace_id int, fingerprint long, provider string, home_key int"))
+    assert rows(found) == want and {"ambiguous", "rule", "override", "default", "none"} == {w[1] for w in want}
+
+
+def test_resolve_namespace_with_large_groups_of_rules(spark):
+    """100,000 identities and 1,000,000 rules with the same fields: no pair of them is made."""
+    none = lambda kind: F.lit(None).cast(kind)
+    who = spark.range(100_000).select(F.col("id").alias("identity"), F.lit(1).alias("remote_id"), F.lit(True).alias("auto"), none("int").alias("override"), none("int").alias("default_ns"), F.lit(1).alias("fingerprint"), F.lit("p").alias("provider"), F.lit(2).alias("home_key"))
+    given = spark.range(1_000_000).select("id", F.lit(1).alias("remote_id"), F.lit(3).alias("namespace_id"), none("int").alias("fingerprint"), F.lit("p").alias("provider"), none("int").alias("home_key"))
+    got = P.resolve_namespace(who, given).groupBy("kind", "namespace_id", "rules").count()
+    assert rows(got) == [("rule", 3, None, 100_000)]
