@@ -8,7 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import content_id
+from ..functions.expr import content_id, is_sha256_id
 from .chains import rank_lists
 from .chunks import list_fingerprint
 from ..sources.scratch import rewritten
@@ -24,8 +24,8 @@ IMPORT_MARKS = ("backupDir", "plannedRollouts", "importedThreadIds")
 CHECKOUT_MARKS = ("repositoryBackupDir", "databaseBackups", "directorySwaps", "expectedThreadHashes")
 
 
-def build_edges(roots: DataFrame, threads: DataFrame, chunks: DataFrame, wholes: DataFrame | None = None) -> DataFrame:
-    """owner -> target edges, distinct.
+def edge_rows(roots: DataFrame, threads: DataFrame, chunks: DataFrame, wholes: DataFrame | None = None) -> DataFrame:
+    """owner -> target edges, as often as they are named.
 
     roots: root, thread; threads: thread, content; chunks: content, sha256; wholes (contents
     stored in one piece): thread, sha256.
@@ -34,27 +34,37 @@ def build_edges(roots: DataFrame, threads: DataFrame, chunks: DataFrame, wholes:
     parts = [edge(roots, "revision_root", "root", "thread", "thread"), edge(threads, "thread", "thread", "chunk_manifest", "content"), edge(chunks, "chunk_manifest", "content", "chunk", "sha256")]
     if wholes is not None:
         parts.append(edge(wholes, "thread", "thread", "whole", "sha256"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def build_edges(roots: DataFrame, threads: DataFrame, chunks: DataFrame, wholes: DataFrame | None = None) -> DataFrame:
+    """edge_rows, distinct."""
+    return edge_rows(roots, threads, chunks, wholes).distinct()
 
 
-def _frontier(roots: DataFrame, edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
-    """Nodes reached in so many rounds (None: all), and the last of them, empty once nothing is left."""
+def _frontier(roots: DataFrame, edges: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes reached in so many rounds (None: all), those of them whose edges were followed, and the others, none once nothing is left."""
     seen = front = rewritten(roots, "seen")
+    followed = front.limit(0)
     while front.limit(1).count() and (rounds is None or rounds > 0):
         step = front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         front = rewritten(step.join(seen, "node", "left_anti"), "front")
-        seen, rounds = seen.unionByName(front), rounds and rounds - 1
-    return seen, front
+        followed, seen, rounds = seen, seen.unionByName(front), rounds and rounds - 1
+    return seen, followed, front
 
 
 def _contracted(roots: DataFrame, edges: DataFrame, shallow: int) -> DataFrame:
     """Nodes reached from roots. roots: node; edges: a, b, distinct, without a = b."""
-    seen, front = _frontier(roots, edges, shallow)
+    seen, followed, front = _frontier(roots, edges, shallow)
     if not front.limit(1).count():
         return seen
-    # Ends are put aside: an end is reached if one before it is. Owners that nothing points at and that are no roots lead nowhere.
+    # Edges that were followed, and others into what is reached, have nothing more to tell. Owners that nothing points at and that are no roots lead nowhere.
     seen_before, roots = seen, front
-    inner = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+    edges = edges.join(followed.select(F.col("node").alias("a")), "a", "left_anti").join(seen.select(F.col("node").alias("b")), "b", "left_anti")
+    edges = rewritten(edges, "ahead")
+    edges = edges.join(edges.select(F.col("b").alias("a")).unionByName(front.select(F.col("node").alias("a"))).distinct(), "a", "left_semi")
+    # Ends are put aside: an end is reached if one before it is.
+    inner = rewritten(edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "inner")
     into = inner.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
     out = inner.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("b").alias("next"))
     nodes = into.join(out, "node", "full").join(roots.withColumn("root", F.lit(True)), "node", "left")
@@ -73,13 +83,25 @@ def _contracted(roots: DataFrame, edges: DataFrame, shallow: int) -> DataFrame:
     short = inner.join(named, "a").select(F.col("from").alias("a"), "b").join(live.select(F.col("head").alias("b")), "b", "left_semi").filter("a <> b")
     short = rewritten(short.select("a", "b").distinct(), "short")
     whole = live.filter("head_root").select(F.col("head").alias("node")).distinct()
-    before, after = edges.count(), short.count()
+    before, after = inner.count(), short.count()
     heads = _contracted(whole, short, shallow) if after <= 0.9 * before else _frontier(whole, short, None)[0]
     reached = ranked.join(live.join(heads.select(F.col("node").alias("head")), "head", "left_semi").select("end"), "end", "left_semi").select("node")
     reached = rewritten(reached, "reached")
     # Ends, and roots that are ends themselves.
     ends = edges.join(reached.unionByName(roots).distinct().select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
-    return rewritten(seen_before.unionByName(reached).unionByName(ends).distinct(), "seen")
+    return seen_before.unionByName(reached.unionByName(ends).join(roots, "node", "left_anti").distinct())
+
+
+def _packed(kind: Column, sha256: Column) -> Column:
+    """An object as a short value: a content id as its 32 bytes, any other name as it is, with a mark that tells them apart."""
+    name = F.when(is_sha256_id(sha256), F.concat(F.lit(b"\1"), F.unhex(F.substring(sha256, 8, 64)))).otherwise(F.concat(F.lit(b"\0"), sha256.cast("binary")))
+    return F.struct(kind.alias("kind"), name.alias("name"))
+
+
+def _unpacked(node: Column) -> list[Column]:
+    name = F.substring(node["name"], 2, 2**31 - 1)
+    given = F.when(F.substring(node["name"], 1, 1) == F.lit(b"\1"), F.concat(F.lit("sha256:"), F.lower(F.hex(name)))).otherwise(name.cast("string"))
+    return [node["kind"].alias("kind"), given.alias("sha256")]
 
 
 def reachable(roots: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> DataFrame:
@@ -92,10 +114,10 @@ def reachable(roots: DataFrame, edges: DataFrame, shallow: int = SHALLOW) -> Dat
     runs to the end. Each round is written, so it survives the loss of executors. Circles are followed once; repeated
     edges and roots count once.
     """
-    node = lambda k, s: F.struct(F.col(k).alias("kind"), F.col(s).alias("sha256"))
+    node = lambda k, s: _packed(F.col(k), F.col(s))
     pairs = edges.select(node("owner_kind", "owner_sha256").alias("a"), node("target_kind", "target_sha256").alias("b")).filter("a <> b").distinct()
     found = _contracted(roots.select(node("kind", "sha256").alias("node")).distinct(), rewritten(pairs, "pairs"), shallow)
-    return found.select("node.kind", "node.sha256")
+    return found.select(*_unpacked(F.col("node")))
 
 
 def root_set(revisions: DataFrame, ops: DataFrame, now: Column) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import expr as E
 from palimpsest.operators import graph as G
 from palimpsest.operators import history as H
 from palimpsest.operators.chains import rank_lists
@@ -115,6 +116,19 @@ def test_long_chain_in_few_rounds(spark, monkeypatch):
     assert got.distinct().count() == got.count() == n and len(written) < 25
 
 
+def test_what_was_followed_is_not_contracted(spark, monkeypatch):
+    """Chains of ten entered at the third: after four rounds only what lies ahead of the seventh is left; content ids are held as their bytes."""
+    written, plain = {}, G.rewritten
+    monkeypatch.setattr(G, "rewritten", lambda df, label: written.setdefault(label, plain(df, label)) if label in ("pairs", "nodes") and label not in written else plain(df, label))
+    name = lambda k: E.content_id((F.col("id") * 10 + k).cast("string"))
+    e = spark.range(30).select("id", F.explode(F.array(*(F.struct(name(k).alias("owner_sha256"), name(k + 1).alias("target_sha256")) for k in range(1, 10)))).alias("e")).select(F.lit("o").alias("owner_kind"), "e.owner_sha256", F.lit("o").alias("target_kind"), "e.target_sha256")
+    got = G.reachable(spark.range(30).select(F.lit("o").alias("kind"), name(3).alias("sha256")), e)
+    want = spark.range(30).select(F.explode(F.array(*(name(k) for k in range(3, 11)))).alias("sha256"))
+    assert sorted(r.sha256 for r in got.collect()) == sorted(r.sha256 for r in want.collect())
+    assert written["nodes"].count() == 30 * 3
+    assert written["pairs"].selectExpr("max(octet_length(a.name))").first()[0] == 33
+
+
 LOG = "namespace_id long, seq long, request_id long, parent long, expected_head long, expected_epoch long, action string"
 
 
