@@ -129,6 +129,18 @@ def test_what_was_followed_is_not_contracted(spark, monkeypatch):
     assert written["pairs"].selectExpr("max(octet_length(a.name))").first()[0] == 33
 
 
+def test_clean_up_reads_and_writes_once(spark, monkeypatch):
+    """h9_gc_results derives its objects once and writes no edges beside those that are followed."""
+    from palimpsest.plans import graph_queries as Q
+
+    written, objects = [], []
+    plain, made = Q.rewritten, Q._objects
+    monkeypatch.setattr(Q, "rewritten", lambda df, label: written.append(label) or plain(df, label))
+    monkeypatch.setattr(Q, "_objects", lambda *x: objects.append(1) or made(*x))
+    assert Q.h9_gc_results(spark, "/root/testdata/sf0.001").count()
+    assert written == ["objects", "queue"] and len(objects) == 1
+
+
 LOG = "namespace_id long, seq long, request_id long, parent long, expected_head long, expected_epoch long, action string"
 
 
