@@ -46,6 +46,56 @@ def test_commits(spark, tmp_path):
     assert sorted(spark.table("commits").collect(), key=key) == sorted(replay_commits(log).collect(), key=key)
 
 
+def test_commits_ask_the_store_once_per_batch(spark, tmp_path):
+    """Known ids of a namespace are no calls of their own until there are too many for one value; both forms give the batch result, over several batches."""
+
+    class State(dict):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            State.calls += 1
+            return self["value"]
+
+        def update(self, value):
+            State.calls += 1
+            self["value"] = value
+
+        def containsKey(self, key):
+            State.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            State.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            State.calls += 1
+            self[key] = value
+
+    class Handle:
+        getValueState = getMapState = lambda self, *names: State()
+
+    rows = []
+    for i in range(1, 400):
+        rows.append((7, 2 * i, i, i - 1 or None, i - 1 or None, 0, "commit"))
+        rows.append((7, 2 * i + 1, i if i % 3 else i // 2, i - 1 or None, i - 1 or None, 0, "commit"))
+    log = spark.createDataFrame(rows, LOG)
+    want = sorted(tuple(r) for r in replay_commits(log).collect())
+    pdf = log.toPandas()
+    for few, calls in ((T.FEW, 7), (100, 2000)):
+        made, State.calls = T._processor(), 0
+        made.handleInputRows.__func__.__globals__["FEW"], was = few, T.FEW
+        try:
+            made.init(Handle())
+            got = [tuple(r) for part in (pdf[:300], pdf[300:310], pdf[310:350], pdf[350:]) for out in made.handleInputRows((7,), iter([part]), None) for r in out.itertuples(index=False)]
+        finally:
+            T.FEW = was
+        assert sorted(got) == want and State.calls <= calls
+
+
 def test_transfer_rate(spark):
     df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:00:00', 100L, 900L), (1, TIMESTAMP '2024-01-01 00:00:02', 100L, 800L), (1, TIMESTAMP '2024-01-01 00:00:09', 100L, 700L) AS t(job, ts, bytes, rest)")
     assert [(r.rate, r.eta_seconds) for r in T.transfer_rate(df, 5, "rest").orderBy("ts").collect()] == [(None, None), (100.0, 8), (None, None)]
