@@ -284,8 +284,8 @@ def compare_and_set(log: DataFrame, task_rows: int = TASK_ROWS, span: int = SPAN
     active. invalid_head: an id that is none; changed: another generation. generation, integrated_head (of the record) and active
     (this is the home's namespace) are those after the attempt.
 
-    The attempts that are applied are a path of pointers from generation to generation (see history.taken_steps), so a record with any number of
-    attempts is spread over tasks.
+    The attempts that are applied are found by history.taken_steps: records of up to task_rows attempts are walked in order, many in a task, and
+    of a larger one they are a path of pointers from generation to generation, so it is spread over tasks.
     """
     record, home = ["grp"], ["home_key"]
     key = F.to_json(F.struct("home_key", "remote_id", "namespace_id"), {"ignoreNullFields": "false"})
@@ -294,7 +294,7 @@ def compare_and_set(log: DataFrame, task_rows: int = TASK_ROWS, span: int = SPAN
     rows = rewritten(log.select("home_key", "remote_id", "namespace_id", "seq", "action", F.col("expected_generation").cast("long").alias("expected"), "integrated_head", "activate", key.alias("grp"), good.alias("good"), after.alias("after")), "attempts")
     steps = rows.filter("good").select("grp", "seq", F.col("expected").alias("needs"), F.col("after").alias("gives"))
     taken = taken_steps(steps, task_rows, span).select("grp", "seq", F.lit(True).alias("taken"))
-    rows = rows.join(taken, ["grp", "seq"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    rows = rewritten(rows.join(taken, ["grp", "seq"], "left").withColumn("taken", F.coalesce("taken", F.lit(False))), "taken")
     rows = as_of(rows, record, "seq", F.when(F.col("taken"), F.struct(F.col("after").alias("generation"), F.col("integrated_head").alias("head"))), span=span).withColumnRenamed("__last", "was")
     activates = F.col("taken") & (F.col("action") == "checkout") & F.coalesce("activate", F.lit(False))
     rows = as_of(rewritten(rows, "attempts"), home, "seq", F.when(activates, F.col("grp")), True, span).withColumnRenamed("__last", "current")

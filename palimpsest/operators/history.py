@@ -248,10 +248,39 @@ def taken_steps(steps: DataFrame, task_rows: int = TASK_ROWS, span: int = SPAN)
     """grp, seq of the steps that are taken when each group starts with a null state and a step is taken if the state is what it needs; the state then
     is what it gives.
 
-    steps: grp, seq (unique in a group), needs, gives (not null). Each step points at the first later one that needs what it gives;
+    steps: grp, seq (unique in a group), needs, gives (not null). Groups of up to task_rows steps are walked in order, many in a task; of
+    a larger one each step points at the first later one that needs what it gives;
     pointers only lead forward, so they make a forest, and the steps taken are the path from the first step that
     needs nothing: those of which that step is below, which labels tell.
     """
+    large = rewritten(steps.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_rows).select("grp"), "large")
+    if not large.limit(1).count():
+        return _walked(steps)
+    return _walked(steps.join(large, "grp", "left_anti")).unionByName(_pointed(steps.join(large, "grp", "left_semi"), task_rows, span))
+
+
+def _walked(steps: DataFrame) -> DataFrame:
+    """taken_steps, a group after another in each task, holding no more than the state."""
+
+    def walk(batches):
+        import pyarrow as pa
+
+        of, state, begun = None, None, False
+        for batch in batches:
+            taken = []
+            for grp, needs, gives in zip(*(batch.column(c).to_pylist() for c in ("grp", "needs", "gives"))):
+                if not begun or grp != of:
+                    of, state, begun = grp, None, True
+                taken.append(needs == state)
+                state = gives if taken[-1] else state
+            yield batch.filter(pa.array(taken, pa.bool_())).select(["grp", "seq"])
+
+    ordered = steps.select("grp", "seq", "needs", "gives").repartition("grp").sortWithinPartitions("grp", "seq")
+    return ordered.mapInArrow(walk, steps.select("grp", "seq").schema)
+
+
+def _pointed(steps: DataFrame, task_rows: int, span: int) -> DataFrame:
+    """taken_steps by pointers, for groups that no task should walk."""
     pointed = rewritten(following(steps, span), "steps")
     start = pointed.filter("needs IS NULL").groupBy("grp").agg(F.min("seq").alias("start"))
     forest = pointed.join(start.select("grp"), "grp", "left_semi").select(F.col("seq").alias("id"), F.col("grp").alias("namespace_id"), F.col("next").alias("parent"))

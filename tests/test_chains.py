@@ -206,3 +206,22 @@ def test_one_namespace_spreads_over_tasks(spark):
     got = H.replay_commits(log, 100, 64)
     assert got.filter("outcome = 'created'").count() == n
     assert "MapInPandas" not in H._scanned(log, 100, 64)._jdf.queryExecution().toString()
+
+
+def test_small_groups_of_steps_are_walked(spark, monkeypatch):
+    """Walks and pointers take the same steps; pointers are made only for groups of more than task_rows."""
+    rng, rows, want = random.Random(8), [], set()
+    for g in range(40):
+        state = None
+        for seq in range(rng.choice([3, 20, 60])):
+            needs, gives = rng.choice([None, 0, 1, 2]), rng.randrange(3)
+            rows.append((g, seq, needs, gives))
+            if needs == state:
+                state = gives
+                want.add((g, seq))
+    steps = spark.createDataFrame(rows, "grp long, seq long, needs long, gives long")
+    pointed, plain = [], H.following
+    monkeypatch.setattr(H, "following", lambda df, span: pointed.append(df.select("grp").distinct().count()) or plain(df, span))
+    for task_rows, groups in ((100, []), (20, [sum(1 for g in range(40) if sum(r[0] == g for r in rows) > 20)]), (0, [40])):
+        pointed.clear()
+        assert {tuple(r) for r in H.taken_steps(steps, task_rows, 16).collect()} == want and pointed == groups
