@@ -167,3 +167,93 @@ def test_sliding_rate_stream_waits_for_the_whole_millisecond(spark, tmp_path):
     out.writeStream.format("memory").queryName("whole_ms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
     assert {r.event: r.rate for r in spark.table("whole_ms").collect() if r.job != "z"} == want
     assert want[2] == want[3] == 21 / 0.999
+
+
+def test_rates_ask_the_store_a_few_times_per_batch(spark):
+    """However many rows a job has: not a timer for each, and the rows of a batch are one value; the numbers are those of the batch form, also where bytes are missing."""
+    import datetime
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class State(list):
+        calls = 0
+        appendValue = list.append
+        appendList = list.extend
+
+        def __getattribute__(self, name):
+            State.calls += name in ("exists", "get", "appendValue", "appendList", "put", "clear")
+            return list.__getattribute__(self, name)
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(list(self))
+
+        def put(self, values):
+            self[:] = values
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = set(), 0
+
+        def getListState(self, *names):
+            return State()
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+    rng = random.Random(4)
+    rows, ms = [], 0
+    for i in range(600):
+        ms += rng.choice([0, 30, 400, 900, 2500])
+        rows.append((7, i, datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=ms), None if 100 < i < 130 or i % 7 == 0 else rng.randrange(1000), rng.choice([None, 5000 - i])))
+    df = spark.createDataFrame(rows, "job long, event long, ts timestamp, bytes long, remaining long")
+    want = {r.event: (r.rate, r.eta_seconds) for r in T.transfer_rate(df, 2, "remaining").collect()}
+    start = 1704067200000
+    at = [start + round((r[2] - rows[0][2]).total_seconds() * 1000) + round((rows[0][2] - datetime.datetime(2024, 1, 1)).total_seconds() * 1000) for r in rows]
+    pdf = pd.DataFrame({"ms": at, "bytes": [r[3] or 0 for r in rows], "given": [r[3] is not None for r in rows], "remaining": pd.array([r[4] for r in rows], "Float64").to_numpy("float64", na_value=float("nan")), "event": [r[1] for r in rows]})
+    kind = T._rates(2000)
+    kind.event = "long"
+    made, handle, got = kind(), Handle(), []
+    made.init(handle)
+    order = pdf.assign(came=pdf["ms"] + [rng.randrange(1500) for _ in rows]).sort_values("came")
+    for first, last in ((0, 200), (200, 210), (210, 500), (500, 600), (600, 600)):
+        part = order[first:last]
+        passed = int(order["ms"][:last].max()) - 1500 if last < 600 or len(part) else 10**15
+        if len(part):
+            assert not list(made.handleInputRows((7,), iter([part[:150], part[150:]] if len(part) > 150 else [part]), None))
+        for due in sorted(t for t in handle.timers if t <= passed):
+            handle.timers.discard(due)
+            for out in made.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), None):
+                got += [(int(e), (None if pd.isna(r) else float(r), None if pd.isna(s) else int(s))) for e, r, s in zip(out["event"], out["rate"], out["eta_seconds"])]
+    assert len(got) == 600 and dict(got) == want
+    assert handle.calls <= 20 and State.calls <= 60 and None in {rate for rate, _ in want.values()}
+
+
+def test_sliding_rate_stream_of_large_parts_and_missing_bytes(spark, tmp_path):
+    """A job whose rows fill several values and answers, nulls among its bytes, sums beyond 64 bits, another time zone, ids of text."""
+    import datetime
+
+    rows = [("a", f"e{i}", _micros(i * 40_000), None if i % 3 == 0 else 2 * i, 10**6) for i in range(250)] + [("b", f"n{i}", _micros(i * 500_000), None, 5) for i in range(4)]
+    rows += [("c", f"l{i}", _micros(i * 500_000), 5 * 10**18, None) for i in range(4)]
+    df = spark.createDataFrame(rows, "job string, event string, ts timestamp, bytes long, remaining long")
+    want = {r.event: (r.ts, r.rate, r.eta_seconds) for r in T.transfer_rate(df.filter("job <> 'c'"), 2, "remaining").collect()}
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("z", "", _micros(10**10), 0, None)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    zone, was = spark.conf.get("spark.sql.session.timeZone"), T.PART
+    T.PART = 64
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        out = T.sliding_rate_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2, "1 second")
+        out.writeStream.format("memory").queryName("parts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+        got = {r.event: (r.ts, r.rate, r.eta_seconds) for r in spark.table("parts").collect() if r.job != "z"}
+    finally:
+        T.PART = was
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    large = [got.pop(f"l{i}")[1] for i in range(4)]
+    assert got == want and large == [None, 10**19 / 0.5, 15 * 10**18 / 1.0, 2 * 10**19 / 1.5]
+    assert {want[f"n{i}"][1] for i in range(4)} == {None} and datetime.datetime(2024, 1, 1) == want["e0"][0]
