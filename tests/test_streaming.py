@@ -257,3 +257,17 @@ def test_sliding_rate_stream_of_large_parts_and_missing_bytes(spark, tmp_path):
     large = [got.pop(f"l{i}")[1] for i in range(4)]
     assert got == want and large == [None, 10**19 / 0.5, 15 * 10**18 / 1.0, 2 * 10**19 / 1.5]
     assert {want[f"n{i}"][1] for i in range(4)} == {None} and datetime.datetime(2024, 1, 1) == want["e0"][0]
+
+
+def test_commits_query_has_bumps(spark):
+    """Every event is a request, and bumps of the epoch stand between them: later requests are created under the new epoch."""
+    from palimpsest.plans.line_queries import t3_stream_commits
+
+    from .test_queries import DATA
+
+    rows = t3_stream_commits(spark, DATA).collect()
+    events = {r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").collect()}
+    assert {r.request_id for r in rows if r.outcome != "bumped"} == events
+    assert sorted(r.request_id for r in rows if r.outcome == "bumped") == sorted(e for e in events if e % 9 == 5)
+    assert len(rows) == len(events) + sum(e % 9 in (0, 5) for e in events)
+    assert {r.epoch > 0 for r in rows if r.outcome == "created"} == {False, True} and len({(r.namespace_id, r.seq) for r in rows}) == len(rows)
