@@ -271,3 +271,36 @@ def test_commits_query_has_bumps(spark):
     assert sorted(r.request_id for r in rows if r.outcome == "bumped") == sorted(e for e in events if e % 9 == 5)
     assert len(rows) == len(events) + sum(e % 9 in (0, 5) for e in events)
     assert {r.epoch > 0 for r in rows if r.outcome == "created"} == {False, True} and len({(r.namespace_id, r.seq) for r in rows}) == len(rows)
+
+
+def test_commits_of_a_batch_in_any_order(spark):
+    """A namespace's rows of a batch come in several frames whose order says nothing."""
+
+    class State(dict):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self["value"]
+
+        def update(self, value):
+            self["value"] = value
+
+    class Handle:
+        getValueState = getMapState = lambda self, *names: State()
+
+    log = spark.createDataFrame([(7, 2 * i, i, i - 1 or None, i - 1 or None, 0, "commit") for i in range(1, 90)], LOG)
+    pdf, made = log.toPandas(), T._processor()
+    made.init(Handle())
+    got = [tuple(r) for parts in ((pdf[20:40], pdf[:20]), (pdf[70:], pdf[40:60], pdf[60:70])) for out in made.handleInputRows((7,), iter(parts), None) for r in out.itertuples(index=False)]
+    assert sorted(got) == sorted(tuple(r) for r in replay_commits(log).collect()) and {r[3] for r in got} == {"created"}
+
+
+def test_commits_query_in_several_batches(spark, monkeypatch):
+    from palimpsest.plans import graph_queries, line_queries
+
+    from .test_queries import DATA
+
+    monkeypatch.setattr(line_queries, "AT_ONCE", 70)
+    want = sorted(replay_commits(graph_queries.commit_log(spark, DATA, bumps=True)).collect())
+    assert max(r.seq for r in want) > 140 and sorted(line_queries.t3_stream_commits(spark, DATA).collect()) == want
